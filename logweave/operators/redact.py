@@ -2,8 +2,8 @@
 
 Layer order is fixed: base64 truncation → phone → email → IP → card → CN id →
 org code → JSON name fields → person names → custom entities. Each layer sees
-the output of the one before. A layer is two columns: ``hit`` (does the
-pattern occur) and the rewritten text (only computed for hit rows).
+the output of the one before. The row state is a struct (text, detected
+names); a layer tests its pattern once and rewrites the text only on a hit.
 """
 
 from __future__ import annotations
@@ -90,6 +90,24 @@ def _persons_rewrite(text: Column, names: Column, rule: _Rule) -> Column:
     return F.aggregate(ordered, text, lambda acc, n: F.replace(acc, n, rule.fn(n)))
 
 
+def _layer(state: Column, rewrite: Callable[[Column], Column], hit: Callable[[Column], Column], name: str | None) -> Column:
+    """One layer over the (t, d) state: rewrite t where ``hit``, append ``name`` to d.
+
+    The state goes through a one-element ``transform`` so that the layer names
+    its input once; if Catalyst inlines the layer chain into a filter or a
+    generator, the plan still grows linearly with the number of layers.
+    """
+
+    def body(x: Column) -> Column:
+        t = x["t"]
+        h = hit(t)
+        new_t = F.when(h, rewrite(t)).otherwise(t)
+        d = x["d"] if name is None else F.when(h, F.array_append(x["d"], F.lit(name))).otherwise(x["d"])
+        return F.struct(new_t.alias("t"), d.alias("d"))
+
+    return F.transform(F.array(state), body)[0]
+
+
 def redact(
     df: DataFrame,
     text_col: str = "msg",
@@ -108,24 +126,19 @@ def redact(
     cfg = cfg or C.RedactionConfig()
     out_col = out_col or text_col
     key = cfg.secret_key
-    t = "__lw_t"
-    cur = df.withColumn(t, F.col(text_col))
-    flags: list[tuple[str, str]] = []
-    n = 0
-
-    def layer(frame: DataFrame, pattern: str, rewrite: Callable[[Column], Column], name: str | None) -> DataFrame:
-        nonlocal n
-        h = f"__lw_h{n}"
-        n += 1
-        frame = frame.withColumn(h, has_match(F.col(t), pattern))
-        frame = frame.withColumn(t, F.when(F.col(h), rewrite(F.col(t))).otherwise(F.col(t)))
-        if name is not None:
-            flags.append((h, name))
-        return frame
+    st = "__lw_state"
+    cur = df.withColumn(st, F.struct(F.col(text_col).alias("t"), F.array().cast("array<string>").alias("d")))
+
+    def add(rewrite: Callable[[Column], Column], hit: Callable[[Column], Column], name: str | None) -> None:
+        nonlocal cur
+        cur = cur.withColumn(st, _layer(F.col(st), rewrite, hit, name))
+
+    def pattern_hit(p: str) -> Callable[[Column], Column]:
+        return lambda t: has_match(t, p)
 
     if cfg.truncate_base64:
         p = jre(C.BASE64_PATTERN)
-        cur = layer(cur, p, lambda c: sub_matches(c, p, _base64_note), None)
+        add(lambda c, p=p: sub_matches(c, p, _base64_note), pattern_hit(p), None)
 
     for entity in C.REGEX_ENTITIES:
         ecfg = cfg.entities.get(entity)
@@ -133,34 +146,25 @@ def redact(
             continue
         p = jre(C.ENTITY_PATTERNS[entity])
         rule = _rule(entity, ecfg, key)
-        cur = layer(cur, p, lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), entity)
+        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p), entity)
 
     pcfg = cfg.entities.get(C.PERSON)
     if pcfg is not None and pcfg.enabled:
         prule = _rule(C.PERSON, pcfg, key)
-        cur = layer(cur, json_name_pattern(), lambda c: _json_name_rewrite(c, prule), C.PERSON)
+        add(lambda c: _json_name_rewrite(c, prule), pattern_hit(json_name_pattern()), C.PERSON)
         if persons_col is not None:
-            h = f"__lw_h{n}"
-            n += 1
             names = F.coalesce(F.col(persons_col), F.array().cast("array<string>"))
-            cur = cur.withColumn(h, F.size(names) > 0)
-            cur = cur.withColumn(t, F.when(F.col(h), _persons_rewrite(F.col(t), names, prule)).otherwise(F.col(t)))
-            flags.append((h, C.PERSON))
+            add(lambda c: _persons_rewrite(c, names, prule), lambda t: F.size(names) > 0, C.PERSON)
 
     for ce in cfg.custom_entities:
         if not ce.config.enabled or not regex_is_valid(ce.pattern):
             continue
         p = jre(ce.pattern)
         rule = _rule(ce.name, ce.config, key)
-        cur = layer(cur, p, lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), ce.name)
+        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p), ce.name)
 
-    detected = (
-        F.array_distinct(F.array_compact(F.array(*[F.when(F.col(h), F.lit(name)) for h, name in flags])))
-        if flags
-        else F.array().cast("array<string>")
-    )
-    cur = cur.withColumn(detected_col, detected).withColumn(out_col, F.col(t))
-    return cur.drop(t, *[f"__lw_h{i}" for i in range(n)])
+    cur = cur.withColumn(detected_col, F.array_distinct(F.col(st)["d"])).withColumn(out_col, F.col(st)["t"])
+    return cur.drop(st)
 
 
 def redact_text(
