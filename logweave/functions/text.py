@@ -31,6 +31,9 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+_MARK = "\ue000"  # a private-use character, not a regex metacharacter
+
+
 def sub_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)`` — match-wise substitution.
 
@@ -38,7 +41,12 @@ def sub_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> C
     sits between piece i and piece i+1; ``zip_with`` interleaves them and pads the
     last piece with a NULL hit. Patterns must not match the empty string.
     """
-    pieces = F.split(text, pattern, -1)
+    # split(text, regex) would compile the regex for every row; cut at a
+    # one-character marker instead (String.split's no-regex fast path) unless
+    # the text already holds the marker.
+    pieces = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(
+        F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    )
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     return F.array_join(
         F.zip_with(pieces, hits, lambda a, b: F.concat(a, F.coalesce(fn(b), F.lit("")))),

@@ -100,10 +100,9 @@ def _layer(state: Column, rewrite: Callable[[Column], Column], hit: Callable[[Co
 
     def body(x: Column) -> Column:
         t = x["t"]
-        h = hit(t)
-        new_t = F.when(h, rewrite(t)).otherwise(t)
-        d = x["d"] if name is None else F.when(h, F.array_append(x["d"], F.lit(name))).otherwise(x["d"])
-        return F.struct(new_t.alias("t"), d.alias("d"))
+        d = x["d"] if name is None else F.array_append(x["d"], F.lit(name))
+        # one CASE: the pattern is tested once per row and layer
+        return F.when(hit(t), F.struct(rewrite(t).alias("t"), d.alias("d"))).otherwise(x)
 
     return F.transform(F.array(state), body)[0]
 
@@ -133,20 +132,22 @@ def redact(
         nonlocal cur
         cur = cur.withColumn(st, _layer(F.col(st), rewrite, hit, name))
 
-    def pattern_hit(p: str) -> Callable[[Column], Column]:
+    def pattern_hit(p: str, literal: str | None = None) -> Callable[[Column], Column]:
+        if literal:
+            return lambda t: F.coalesce(t.contains(literal), F.lit(False)) & has_match(t, p)
         return lambda t: has_match(t, p)
 
     if cfg.truncate_base64:
-        p = jre(C.BASE64_PATTERN)
+        p = jre(C.FAST_FORMS["BASE64"])
         add(lambda c, p=p: sub_matches(c, p, _base64_note), pattern_hit(p), None)
 
     for entity in C.REGEX_ENTITIES:
         ecfg = cfg.entities.get(entity)
         if ecfg is None or not ecfg.enabled:
             continue
-        p = jre(C.ENTITY_PATTERNS[entity])
+        p = jre(C.FAST_FORMS.get(entity, C.ENTITY_PATTERNS[entity]))
         rule = _rule(entity, ecfg, key)
-        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p), entity)
+        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p, C.REQUIRED_LITERAL.get(entity)), entity)
 
     pcfg = cfg.entities.get(C.PERSON)
     if pcfg is not None and pcfg.enabled:
