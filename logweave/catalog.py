@@ -121,6 +121,25 @@ def q_redact_persons(spark, sf):
     return out.select("o_orderkey", F.col("text").alias("clean"), F.array_join("detected", ", ").alias("entities"))
 
 
+def q_source_summary(spark, sf):
+    out = redact.redact(_docs(spark, sf), "text", C.RedactionConfig(secret_key=TOKEN_KEY))
+    return redact.source_summary(out, "source", order_col="doc_id", text_col="text")
+
+
+def q_lane_axis(spark, sf):
+    return events.lane_axis(_classified(spark, sf))
+
+
+def q_service_axis(spark, sf):
+    return latency.service_axis(latency.latency_points(_logs(spark, sf)))
+
+
+def q_event_density_sampled(spark, sf):
+    cl = events.classified_timeline(_logs(spark, sf), TL, sample_first=True, tie_cols=["event_id"])
+    d = events.event_density(cl, TL.bucket_minutes, TL.hot_share)
+    return d.select(_fmt("bucket"), "events", "errors", "hot")
+
+
 def q_filter_level(spark, sf):
     lg = _logs(spark, sf)
     return views.filter_level(lg, "error").select("event_id", "source", "time", "level", "service", "msg")
@@ -276,6 +295,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["redact_pii_token"] = _redact_query(_pii, "event_id", pii_tok)
     q["redact_persons"] = q_redact_persons
     q["redaction_stats"] = q_redaction_stats
+    q["source_summary"] = q_source_summary
     q["entity_counts"] = q_entity_counts
     # parsing
     q["parse_all"] = _parse_kind(None)
@@ -299,10 +319,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["anomaly_buckets"] = q_anomaly_buckets
     q["anomaly_windows"] = q_anomaly_windows
     q["downsample"] = q_downsample
+    q["event_density_sampled"] = q_event_density_sampled
+    q["lane_axis"] = q_lane_axis
     # latency
     q["extract_latency"] = q_extract_latency
     q["latency_points"] = q_latency_points
     q["latency_summary"] = q_latency_summary
+    q["service_axis"] = q_service_axis
     # correlation and flow
     q["rate_buckets"] = q_rate_buckets
     q["rate_correlation"] = q_rate_correlation

@@ -178,7 +178,7 @@ def error_cascades(
         rnd(F.col("mean_lag_s")).alias("mean_lag_s"),
         rnd(F.col("median_lag_s")).alias("median_lag_s"),
         rnd(F.col("min_lag_s")).alias("min_lag_s"),
-    )
+    ).orderBy(F.col("cascades").desc(), "source_a", "source_b")
 
 
 def cascade_matrix(cascades: DataFrame) -> DataFrame:

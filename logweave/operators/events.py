@@ -155,10 +155,23 @@ def assign_lane(
 
 # ── timeline tables ────────────────────────────────────────────────────────
 
-def classified_timeline(df: DataFrame, cfg: C.TimelineConfig | None = None, **time_kw) -> DataFrame:
-    """Timed rows with lane and event class: the frame every timeline table reads."""
+def classified_timeline(
+    df: DataFrame,
+    cfg: C.TimelineConfig | None = None,
+    sample_first: bool = False,
+    tie_cols: list[str] | None = None,
+    **time_kw,
+) -> DataFrame:
+    """Timed rows with lane and event class: the frame every timeline table reads.
+
+    By default classes, density and anomaly rates see every row.
+    ``sample_first=True`` downsamples to ``cfg.max_points`` first, as the
+    original chart did (``tie_cols`` complete the time order).
+    """
     cfg = cfg or C.TimelineConfig()
     timed = with_event_time(df, **time_kw)
+    if sample_first:
+        timed = downsample_every(timed, cfg.max_points, ["ts", *(tie_cols or [])])
     laned = assign_lane(timed, cfg.lane_rules, cfg.lane_mode)
     return classify_event(laned, cfg.custom_event_types)
 
@@ -220,3 +233,8 @@ def anomaly_windows(classified: DataFrame, window_minutes: int = 10, threshold:
     mid, tail = rest.split("{end}")
     label = F.concat(F.lit(head), F.date_format(start, "HH:mm"), F.lit(mid), F.date_format(end, "HH:mm"), F.lit(tail))
     return isl.select(start.alias("start"), end.alias("end"), label.alias("label"), (F.col("k1") - F.col("k0") + 1).alias("buckets"))
+
+
+def lane_axis(classified: DataFrame) -> DataFrame:
+    """Distinct lanes in reverse name order (top to bottom of the chart)."""
+    return classified.select("lane").distinct().orderBy(F.col("lane").desc())

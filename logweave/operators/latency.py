@@ -77,3 +77,8 @@ def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = F
 def latency_report(df: DataFrame, digits: int | None = 1) -> DataFrame:
     """Summary ordered by P95 ascending (ties by service)."""
     return latency_summary(extract_latency(df), digits).orderBy("p95_ms", "service")
+
+
+def service_axis(samples: DataFrame) -> DataFrame:
+    """Distinct service labels of timed samples, by name."""
+    return samples.select("service").distinct().orderBy("service")

@@ -201,3 +201,39 @@ def entity_counts(df: DataFrame, by: list[str] | str | None = "source", detected
         .groupBy(*keys, "entity")
         .agg(F.count(F.lit(1)).alias("lines"))
     )
+
+
+def source_summary(
+    df: DataFrame,
+    by: str = "source",
+    order_col: str | None = None,
+    text_col: str = "msg",
+    detected_col: str = "detected",
+) -> DataFrame:
+    """Per source: lines counted, lines redacted and ``label×n`` entity hits.
+
+    Hits are listed in order of first appearance (by ``order_col``, then the
+    layer order inside a line); without ``order_col`` by entity name. Entities
+    without a display label show their own name. Both sides are aggregates,
+    so the final join is on one row per source.
+    """
+    order = F.col(order_col) if order_col else F.lit(0)
+    hits = (
+        df.select(by, order.alias("__lw_o"), F.posexplode(detected_col).alias("__lw_p", "entity"))
+        .groupBy(by, "entity")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__lw_o", "__lw_p")).alias("first"))
+    )
+    labels = F.create_map(*[x for k, v in C.ENTITY_DISPLAY.items() for x in (F.lit(k), F.lit(v))])
+    item = F.concat(F.coalesce(F.element_at(labels, F.col("entity")), F.col("entity")), F.lit("×"), F.col("n").cast("string"))
+    key = F.struct("first", "entity") if order_col else F.struct("entity")
+    per = hits.groupBy(by).agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"]),
+            C.ENTITY_HIT_SEP,
+        ).alias("entity_hits")
+    )
+    return (
+        redaction_stats(df, by, text_col, detected_col)
+        .join(per, by, "left")
+        .withColumn("entity_hits", F.coalesce(F.col("entity_hits"), F.lit(C.NO_HITS)))
+    )

@@ -224,6 +224,18 @@ def oracle_sql() -> dict[str, str]:
         select source, entity, count(*) as lines from
           (select source, unnest(string_split(entities, ', ')) as entity from ({docs_all}) where entities <> '')
         group by source, entity"""
+    labels = "case entity " + " ".join(f"when {q(k)} then {q(v)}" for k, v in C.ENTITY_DISPLAY.items()) + " else entity end"
+    o["source_summary"] = f"""
+        with r as ({docs_all}),
+        st as (select source, count(*) filter (where length(clean) > 0) as total_lines,
+                      count(*) filter (where length(clean) > 0 and entities <> '') as redacted_lines from r group by source),
+        e as (select source, doc_id, unnest(string_split(entities, ', ')) as entity,
+                     generate_subscripts(string_split(entities, ', '), 1) as pos from r where entities <> ''),
+        h as (select source, entity, count(*) as n, min(doc_id * 1000 + pos) as first from e group by source, entity),
+        agg as (select source, string_agg({labels} || '×' || cast(n as varchar), '{C.ENTITY_HIT_SEP}' order by first) as entity_hits
+                from h group by source)
+        select st.source, total_lines, redacted_lines, coalesce(entity_hits, '{C.NO_HITS}') as entity_hits
+        from st left join agg using (source)"""
     o["redacted_only"] = f"""
         select d.source, d.text as original_msg, r.clean as msg, r.entities as redacted_entities
         from ({docs_all}) r join documents d using (doc_id) where r.entities <> ''"""
@@ -302,6 +314,17 @@ def oracle_sql() -> dict[str, str]:
           select event_id, t, source, row_number() over (order by t, event_id) - 1 as r, count(*) over () as n
           from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null)
         where r % (case when n > 3000 then n // 3000 else 1 end) = 0"""
+    o["lane_axis"] = f"select distinct {lane} as lane from {classified}"
+    sampled = f"""(select * from (
+          select *, row_number() over (order by t, event_id) - 1 as r, count(*) over () as n
+          from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null)
+        where r % (case when n > 3000 then n // 3000 else 1 end) = 0)"""
+    sampled_cl = f"(select *, {etype} as event_type from {sampled})"
+    o["event_density_sampled"] = f"""
+        select strftime({bucket}, '%Y-%m-%d %H:%M:%S') as bucket, count(*) as events,
+          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) as errors,
+          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) / count(*) >= 0.4 as hot
+        from {sampled_cl} group by {bucket}"""
     # ── latency
     lat = f"""
         select event_id, source || ' › ' || split_part(service, '.', 2) || '.' || split_part(service, '.', 3) as service,
@@ -319,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
           round_even(quantile_cont(latency_ms, 0.99), 1) as p99_ms, round_even(max(latency_ms), 1) as max_ms,
           round_even(avg(latency_ms), 1) as mean_ms
         from ({lat}) where latency_ms is not null group by service"""
+    o["service_axis"] = f"select distinct service from ({lat}) where latency_ms is not null"
     # ── correlation
     rb = f"select source, {bucket} as b, count(*) as events from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null group by source, {bucket}"
     o["rate_buckets"] = f"select source, strftime(b, '%Y-%m-%d %H:%M:%S') as bucket, events from ({rb})"
