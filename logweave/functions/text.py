@@ -37,21 +37,24 @@ _MARK = "\ue000"  # a private-use character, not a regex metacharacter
 def sub_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)`` — match-wise substitution.
 
-    ``split`` and ``regexp_extract_all`` walk the same matcher, so the i-th hit
-    sits between piece i and piece i+1; ``zip_with`` interleaves them and pads the
-    last piece with a NULL hit. Patterns must not match the empty string.
+    One regex pass wraps every match in a marker character
+    (``regexp_replace(text, p, M$0M)``); cutting at the marker (String.split's
+    no-regex fast path) gives pieces and matches alternately, and the matches
+    (odd positions) go through ``fn``. Text that already holds the marker
+    takes a two-pass path (``split`` by the pattern + ``regexp_extract_all``).
+    Patterns must not match the empty string.
     """
-    # split(text, regex) would compile the regex for every row; cut at a
-    # one-character marker instead (String.split's no-regex fast path) unless
-    # the text already holds the marker.
-    pieces = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(
-        F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    wrapped = F.split(F.regexp_replace(text, pattern, _MARK + "$0" + _MARK), _MARK, -1)
+    one_pass = F.array_join(
+        F.transform(wrapped, lambda x, i: F.when(i % 2 == 1, F.coalesce(fn(x), F.lit(""))).otherwise(x)), ""
     )
+    pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    return F.array_join(
+    two_pass = F.array_join(
         F.zip_with(pieces, hits, lambda a, b: F.concat(a, F.coalesce(fn(b), F.lit("")))),
         "",
     )
+    return F.when(text.contains(_MARK), two_pass).otherwise(one_pass)
 
 
 def has_match(text: Column, pattern: str) -> Column:
