@@ -11,8 +11,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy text work at least one partition per core.
+
+    A scan of a few large row groups yields fewer tasks than cores (a file
+    with one row group is one task, however big). Then the rows are dealt
+    round-robin to ``defaultParallelism`` partitions and cached: filters are
+    pushed through a repartition, so without the cached relation a filter on
+    redaction output (or the one ``explode`` infers) would run the redaction
+    in the single scan task again. With more splits than cores — any large
+    input — this is a no-op: no shuffle and no cache at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target).cache()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _level(event_type: Column) -> Column:
