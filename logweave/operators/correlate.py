@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import jre
+from ..plans.quantiles import exact_percentiles
+from ..session import materialize
 from .events import floor_minutes, with_event_time
 
 def is_error(level: Column, msg: Column) -> Column:
@@ -40,7 +42,7 @@ def rate_correlation(df: DataFrame, bucket_minutes: int = 1, digits: int | None
     most one row per source and bucket). Constant series give NaN. Fewer than
     two sources → no rows.
     """
-    c = rate_buckets(df, bucket_minutes, **time_kw)
+    c = materialize(rate_buckets(df, bucket_minutes, **time_kw))  # read four times below
     x = F.col("events").cast("double")
     per_source = c.groupBy("source").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
     per_bucket = c.groupBy("bucket").agg(F.lit(1).alias("one"))
@@ -116,6 +118,7 @@ def error_cascades(
     e = e.withColumn("g", F.floor(F.col("t") / F.lit(fine)).cast("long")).withColumn(
         "c", F.floor(F.col("t") / F.lit(W)).cast("long")
     )
+    e = materialize(e)  # read by six branches below
     totals = e.groupBy(F.col("source").alias("source_a")).agg(F.sum("n").alias("errors_a"))
     mc = e.groupBy("source", "c").agg(F.min("t").alias("cmin"))
     # candidate B sources for an A instant in bucket c: errors in c or c+1
@@ -156,22 +159,24 @@ def error_cascades(
         .where(F.col("lag").isNotNull() & (F.col("lag") <= F.lit(W)))
     )
     # weighted lag distribution per pair, then the summary
-    lags = hit.groupBy("src_a", "src_b", "lag").agg(F.sum("n").alias("w"))
-    lag_s = F.col("lag") / F.lit(1_000_000.0)
+    lags = hit.groupBy(F.col("src_a").alias("source_a"), F.col("src_b").alias("source_b"), "lag").agg(F.sum("n").alias("w"))
+    lags = materialize(lags.withColumn("lag_s", F.col("lag") / F.lit(1_000_000.0)))
     out = (
-        lags.groupBy(F.col("src_a").alias("source_a"), F.col("src_b").alias("source_b"))
+        lags.groupBy("source_a", "source_b")
         .agg(
             F.sum("w").alias("cascades"),
-            (F.sum(lag_s * F.col("w")) / F.sum("w")).alias("mean_lag_s"),
-            F.percentile(lag_s, F.lit(0.5), F.col("w")).alias("median_lag_s"),
-            F.min(lag_s).alias("min_lag_s"),
+            (F.sum(F.col("lag_s") * F.col("w")) / F.sum("w")).alias("mean_lag_s"),
+            F.min("lag_s").alias("min_lag_s"),
         )
         .where(F.col("cascades") >= F.lit(int(cfg.min_cascade_count)))
         .join(totals, "source_a")
+        # exact weighted median; bounded partitions (see plans/quantiles.py)
+        .join(exact_percentiles(lags, ["source_a", "source_b"], "lag_s", [0.5], weight="w")
+              .withColumnRenamed("p_0", "median_lag_s"), ["source_a", "source_b"])
     )
     rate = F.col("cascades") / F.col("errors_a") * F.lit(100.0)
     rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
-    return out.select(
+    return materialize(out).select(
         "source_a", "source_b", "cascades", "errors_a",
         rate.alias("trigger_pct"),
         F.format_string("%.1f%%", rate).alias("trigger_rate"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import short_service
+from ..session import materialize
 
 
 def flow_level(level: F.Column) -> F.Column:
@@ -29,7 +30,7 @@ def service_flow(df: DataFrame, multi: bool | None = None) -> DataFrame:
     layers roll up from that small table. ``multi=None`` checks whether more
     than one source is present.
     """
-    base = _tagged(df).groupBy("source", "service", "level").agg(F.count(F.lit(1)).alias("n"))
+    base = materialize(_tagged(df).groupBy("source", "service", "level").agg(F.count(F.lit(1)).alias("n")))
     sl = base.groupBy(F.col("service").alias("src"), F.col("level").alias("dst")).agg(F.sum("n").alias("n"))
     sl = sl.select(F.lit("service_level").alias("layer"), "src", "dst", "n")
     if multi is None:

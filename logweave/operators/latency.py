@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import jre, short_service
+from ..plans.quantiles import exact_percentiles
+from ..session import materialize
 from .events import with_event_time
 
 
@@ -46,29 +48,31 @@ def latency_points(df: DataFrame, **time_kw) -> DataFrame:
 def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = False) -> DataFrame:
     """Per service: samples, P50/P95/P99 (linear interpolation), max, mean.
 
-    Exact by default: samples are first counted per (service, value) — a
-    map-side combined aggregate — and the percentiles weight the distinct
-    values by their counts, so memory follows the distinct values of one
-    service, not its rows. ``approx=True`` uses a bounded-memory sketch.
+    Exact by default, with bounded memory: samples are counted per
+    (service, value) and the percentiles come from
+    :func:`logweave.plans.quantiles.exact_percentiles`, so no task holds all
+    values of a service. ``approx=True`` uses ``percentile_approx`` instead.
     """
-    v = samples.groupBy("service", "latency_ms").agg(F.count(F.lit(1)).alias("w"))
-    if approx:
-        pct = F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10000)
-    else:
-        pct = F.percentile(F.col("latency_ms"), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("w"))
+    v = materialize(samples.groupBy("service", "latency_ms").agg(F.count(F.lit(1)).alias("w")))
     g = v.groupBy("service").agg(
         F.sum("w").alias("samples"),
-        pct.alias("p"),
         F.max("latency_ms").alias("max_ms"),
         (F.sum(F.col("latency_ms") * F.col("w")) / F.sum("w")).alias("mean_ms"),
     )
+    if approx:
+        q = samples.groupBy("service").agg(F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10000).alias("p")).select(
+            "service", *[F.col("p")[i].alias(f"p_{i}") for i in range(3)]
+        )
+    else:
+        q = exact_percentiles(v, ["service"], "latency_ms", [0.5, 0.95, 0.99], weight="w")
+    g = g.join(q, "service")
     rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
     return g.select(
         "service",
         "samples",
-        rnd(F.col("p")[0]).alias("p50_ms"),
-        rnd(F.col("p")[1]).alias("p95_ms"),
-        rnd(F.col("p")[2]).alias("p99_ms"),
+        rnd(F.col("p_0")).alias("p50_ms"),
+        rnd(F.col("p_1")).alias("p95_ms"),
+        rnd(F.col("p_2")).alias("p99_ms"),
         rnd(F.col("max_ms")).alias("max_ms"),
         rnd(F.col("mean_ms")).alias("mean_ms"),
     )

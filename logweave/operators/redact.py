@@ -214,26 +214,32 @@ def source_summary(
 
     Hits are listed in order of first appearance (by ``order_col``, then the
     layer order inside a line); without ``order_col`` by entity name. Entities
-    without a display label show their own name. Both sides are aggregates,
-    so the final join is on one row per source.
+    without a display label show their own name. One pass over the rows: each
+    line becomes one row per entity (one row if none), counted per
+    (source, entity), then rolled up per source.
     """
     order = F.col(order_col) if order_col else F.lit(0)
-    hits = (
-        df.select(by, order.alias("__lw_o"), F.posexplode(detected_col).alias("__lw_p", "entity"))
-        .groupBy(by, "entity")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__lw_o", "__lw_p")).alias("first"))
+    counted = F.coalesce(F.length(F.col(text_col)) > 0, F.lit(False))
+    rows = df.select(
+        by, order.alias("__lw_o"), counted.alias("__lw_c"), (F.size(detected_col) > 0).alias("__lw_r"),
+        F.posexplode_outer(detected_col).alias("__lw_p", "entity"),
+    )
+    line_row = F.coalesce(F.col("__lw_p"), F.lit(0)) == 0  # one row per line
+    per = rows.groupBy(by, "entity").agg(
+        F.count_if(line_row & F.col("__lw_c")).alias("__lw_lines"),
+        F.count_if(line_row & F.col("__lw_c") & F.col("__lw_r")).alias("__lw_red"),
+        F.count("entity").alias("n"),
+        F.min(F.struct("__lw_o", "__lw_p")).alias("first"),
     )
     labels = F.create_map(*[x for k, v in C.ENTITY_DISPLAY.items() for x in (F.lit(k), F.lit(v))])
     item = F.concat(F.coalesce(F.element_at(labels, F.col("entity")), F.col("entity")), F.lit("×"), F.col("n").cast("string"))
     key = F.struct("first", "entity") if order_col else F.struct("entity")
-    per = hits.groupBy(by).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"]),
-            C.ENTITY_HIT_SEP,
-        ).alias("entity_hits")
-    )
-    return (
-        redaction_stats(df, by, text_col, detected_col)
-        .join(per, by, "left")
-        .withColumn("entity_hits", F.coalesce(F.col("entity_hits"), F.lit(C.NO_HITS)))
+    hits = F.sort_array(F.collect_list(F.when(F.col("entity").isNotNull(), F.struct(key.alias("k"), item.alias("v")))))
+    return per.groupBy(by).agg(
+        F.sum("__lw_lines").alias("total_lines"),
+        F.sum("__lw_red").alias("redacted_lines"),
+        F.array_join(F.transform(hits, lambda x: x["v"]), C.ENTITY_HIT_SEP).alias("entity_hits"),
+    ).select(
+        by, "total_lines", "redacted_lines",
+        F.when(F.col("entity_hits") == "", F.lit(C.NO_HITS)).otherwise(F.col("entity_hits")).alias("entity_hits"),
     )

@@ -65,3 +65,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     configure(spark)
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def materialize(df):
+    """Reliable checkpoint of an intermediate result several branches read.
+
+    Without it every branch re-runs the plan above the shared result. The
+    data goes to the session's checkpoint folder, so it survives the loss of
+    the executors that computed it. Used for aggregates, not raw input.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -197,3 +197,21 @@ def test_flow_single_and_multi(spark):
     assert {r["layer"] for r in single} == {"service_level"}
     nodes = {(r["kind"], r["node"]): r["n"] for r in flow.flow_nodes(flow.service_flow(df)).collect()}
     assert nodes[("source", "a")] == 2 and nodes[("service", "x.svc")] == 2 and nodes[("level", "OTHER")] == 1
+
+
+def test_exact_percentiles_plan(spark):
+    from logweave.plans.quantiles import exact_percentiles
+
+    rnd = random.Random(3)
+    rows = []
+    for g in range(6):
+        for _ in range(rnd.randrange(1, 300)):
+            v = rnd.choice([0.0, -1.5, 2.0, rnd.uniform(-1e4, 1e4), rnd.expovariate(0.01), 1e-9, 123456.789])
+            rows.append((g, v, rnd.randrange(1, 4)))
+    df = spark.createDataFrame(rows, "g int, v double, w long")
+    ps = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    got = {r["g"]: [r[f"p_{i}"] for i in range(len(ps))] for r in exact_percentiles(df, ["g"], "v", ps, weight="w", bins_per_octave=4).collect()}
+    for g in {r[0] for r in rows}:
+        expanded = [v for gg, v, w in rows if gg == g for _ in range(w)]
+        want = [float(np.percentile(expanded, p * 100)) for p in ps]
+        assert got[g] == pytest.approx(want, rel=1e-12, abs=1e-12)
