@@ -140,6 +140,22 @@ def q_event_density_sampled(spark, sf):
     return d.select(_fmt("bucket"), "events", "errors", "hot")
 
 
+def q_parse_json_edge(spark, sf):
+    configure(spark)
+    lines = derived.json_lines_from_logs(derived.logs(spark, sf))
+    return parse.parse_logs(lines, "line", keep=["event_id", "kind"])
+
+
+def q_redacted_flag(spark, sf):
+    out = redact.redact(_docs(spark, sf), "text", C.RedactionConfig(secret_key=TOKEN_KEY))
+    return out.select("doc_id", views.redacted_flag().alias("redacted"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    configure(spark)
+    return derived.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+
+
 def q_filter_level(spark, sf):
     lg = _logs(spark, sf)
     return views.filter_level(lg, "error").select("event_id", "source", "time", "level", "service", "msg")
@@ -276,6 +292,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["redact_mask"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="mask"))
     q["redact_redact"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="redact"))
     q["redact_token"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="pseudo"))
+    q["redact_pages"] = _redact_query(_pages, "page_id", C.RedactionConfig(secret_key=TOKEN_KEY))
     # one entity kind at a time on the derived PII texts
     q["redact_phone"] = _redact_query(_pii, "event_id", _only(C.PHONE, b64=False))
     q["redact_cn_id"] = _redact_query(_pii, "event_id", _only(C.CN_ID, b64=False))
@@ -301,6 +318,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["parse_all"] = _parse_kind(None)
     for kind, name in enumerate(["standard", "spring_boot", "logback", "access_log", "syslog", "json", "level_msg", "fallback"]):
         q[f"parse_{name}"] = _parse_kind(kind)
+    q["parse_json_edge"] = q_parse_json_edge
     q["parse_method_share"] = q_parse_method_share
     q["process_all"] = q_process_all
     q["run_totals"] = q_run_totals
@@ -309,6 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["filter_source"] = q_filter_source
     q["search_msg"] = q_search_msg
     q["redacted_only"] = q_redacted_only
+    q["redacted_flag"] = q_redacted_flag
     q["merged_view"] = q_merged_view
     q["export_text_line"] = q_export_text_line
     # timeline

@@ -45,10 +45,10 @@ def person_names(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), gram_of(n))
         for n in range(1, max_words + 1)
     ]
+    # de-duplicate inside the row (no shuffle); rows are unique by key already
     exploded = (
         df.select(*key_cols, _words(F.col(text_col)).alias("__lw_w"))
-        .select(*key_cols, F.explode(F.flatten(F.array(*grams))).alias("__lw_name"))
-        .distinct()
+        .select(*key_cols, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("__lw_name"))
     )
     found = exploded.join(nm, "__lw_name").groupBy(*key_cols).agg(F.sort_array(F.collect_set("__lw_name")).alias(out_col))
     return df.join(found, key_cols, "left").withColumn(

@@ -121,3 +121,21 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+
+
+def json_lines_from_logs(lg: DataFrame) -> DataFrame:
+    """JSON lines that probe type strictness, by ``event_id % 8``: (event_id, kind, line)."""
+    kind = F.col("event_id") % 8
+    t, lv, sv, m = F.col("time"), F.col("level"), F.col("service"), F.col("msg")
+    eid = F.col("event_id").cast("string")
+    line = (
+        F.when(kind == 0, F.concat(F.lit('{"time":"'), t, F.lit('","level":"'), lv, F.lit('","msg":"'), m, F.lit('"}')))
+        .when(kind == 1, F.concat(F.lit('{"time":'), eid, F.lit(',"msg":"'), m, F.lit('"}')))
+        .when(kind == 2, F.concat(F.lit('{"msg":null,"message":"'), m, F.lit('"}')))
+        .when(kind == 3, F.concat(F.lit('{"level":null,"severity":"ERROR","msg":"'), m, F.lit('"}')))
+        .when(kind == 4, F.concat(F.lit('{"msg":"first","msg":"'), m, F.lit('"}')))
+        .when(kind == 5, F.concat(F.lit('{"x":'), eid, F.lit("}")))
+        .when(kind == 6, F.concat(F.lit('{"service":{"a":'), eid, F.lit('},"msg":"'), m, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"loglevel":"'), F.lower(lv), F.lit('","logger":"'), sv, F.lit('","log":"'), m, F.lit('"}')))
+    )
+    return lg.select("event_id", kind.alias("kind"), line.alias("line"))

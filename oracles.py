@@ -216,6 +216,8 @@ def oracle_sql() -> dict[str, str]:
           case when f.names is null then '' else 'PERSON' end as entities
         from notes n left join found f using (o_orderkey)"""
     docs_all = chain(DOCS, "doc_id, source", redact_steps(entities=ALL))
+    o["redact_pages"] = _redact_sql("select page_id, html as text from pages", "page_id", entities=ALL)
+    o["redacted_flag"] = f"select doc_id, entities <> '' as redacted from ({chain(DOCS, 'doc_id, source', redact_steps(entities=ALL))})"
     o["redaction_stats"] = f"""
         select source, count(*) filter (where length(clean) > 0) as total_lines,
                count(*) filter (where length(clean) > 0 and entities <> '') as redacted_lines
@@ -254,6 +256,26 @@ def oracle_sql() -> dict[str, str]:
     o["parse_all"] = parse_expected
     for kind, name in enumerate(["standard", "spring_boot", "logback", "access_log", "syslog", "json", "level_msg", "fallback"]):
         o[f"parse_{name}"] = f"select * from ({parse_expected}) where kind = {kind}"
+    o["parse_json_edge"] = f"""
+        with l as ({LOGS}),
+        j as (select event_id, event_id % 8 as kind, time, level, service, msg,
+          case event_id % 8
+            when 0 then '{{"time":"' || time || '","level":"' || level || '","msg":"' || msg || '"}}'
+            when 1 then '{{"time":' || cast(event_id as varchar) || ',"msg":"' || msg || '"}}'
+            when 2 then '{{"msg":null,"message":"' || msg || '"}}'
+            when 3 then '{{"level":null,"severity":"ERROR","msg":"' || msg || '"}}'
+            when 4 then '{{"msg":"first","msg":"' || msg || '"}}'
+            when 5 then '{{"x":' || cast(event_id as varchar) || '}}'
+            when 6 then '{{"service":{{"a":' || cast(event_id as varchar) || '}},"msg":"' || msg || '"}}'
+            else '{{"loglevel":"' || lower(level) || '","logger":"' || service || '","log":"' || msg || '"}}' end as line
+          from l)
+        select event_id, kind,
+          case when kind in (0) then time else '1970-01-01 00:00:00' end as time,
+          case when kind in (0, 7) then level else 'UNKNOWN' end as level,
+          case when kind = 7 then service else 'unknown' end as service,
+          case when kind in (1, 2, 5, 6) then line else msg end as msg,
+          case when kind in (1, 2, 6) then 'fallback' else 'json' end as parse_method
+        from j"""
     o["parse_method_share"] = f"""
         select count(*) as total_lines, count(*) filter (where parse_method = 'fallback') as fallback_lines,
           coalesce(round_even(100.0 * count(*) filter (where parse_method = 'fallback') / count(*), 1), 0.0)::double as fallback_pct
