@@ -129,9 +129,14 @@ def _json_field(v: Column, key_list: list[str]) -> tuple[Column, Column, Column]
     return any_present, is_str, F.try_variant_get(chosen, "$", "string")
 
 
-def _json_record(line: Column, with_format: bool = False) -> tuple[Column, Column]:
+def json_variant(line: Column) -> Column:
+    """The line as VARIANT when it starts with '{' and is valid JSON, else NULL."""
+    return F.when(line.startswith("{"), F.try_parse_json(line))
+
+
+def _json_record(line: Column, with_format: bool = False, variant: Column | None = None) -> tuple[Column, Column]:
     """(ok, record) for a JSON object line; ok is False when validation fails."""
-    v = F.when(line.startswith("{"), F.try_parse_json(line))
+    v = json_variant(line) if variant is None else variant
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     ok = is_obj
     vals = {}
@@ -153,9 +158,12 @@ def _json_record(line: Column, with_format: bool = False) -> tuple[Column, Colum
     return ok, rec
 
 
-def parse_line(line: Column, with_format: bool = False) -> Column:
-    """A struct (time, level, service, msg, parse_method[, line_format]) for a stripped line."""
-    ok, json_rec = _json_record(line, with_format)
+def parse_line(line: Column, with_format: bool = False, variant: Column | None = None) -> Column:
+    """A struct (time, level, service, msg, parse_method[, line_format]) for a stripped line.
+
+    ``variant`` may carry the line's VARIANT computed once (see :func:`parse_logs`).
+    """
+    ok, json_rec = _json_record(line, with_format, variant)
     expr = F.when(ok, json_rec)
     for name, pat, groups in LINE_FORMATS:
         jp = _full(pat)
@@ -186,8 +194,9 @@ def skip_blank(df: DataFrame, line_col: str = "value") -> DataFrame:
 def parse_logs(df: DataFrame, line_col: str = "value", keep: list[str] | None = None, with_format: bool = False) -> DataFrame:
     """Raw-line table → log table; ``keep`` columns (e.g. source) are carried along."""
     keep = keep if keep is not None else [c for c in df.columns if c != line_col]
-    stripped = skip_blank(df, line_col)
-    rec = parse_line(F.col(line_col), with_format=with_format).alias("__lw_rec")
+    # the VARIANT is read by a dozen field lookups: compute it once per line
+    stripped = skip_blank(df, line_col).withColumn("__lw_v", json_variant(F.col(line_col)))
+    rec = parse_line(F.col(line_col), with_format=with_format, variant=F.col("__lw_v")).alias("__lw_rec")
     return stripped.select(*keep, rec).select(*keep, "__lw_rec.*")
 
 
