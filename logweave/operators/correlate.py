@@ -171,7 +171,7 @@ def error_cascades(
         .where(F.col("cascades") >= F.lit(int(cfg.min_cascade_count)))
         .join(totals, "source_a")
         # exact weighted median; bounded partitions (see plans/quantiles.py)
-        .join(exact_percentiles(lags, ["source_a", "source_b"], "lag_s", [0.5], weight="w")
+        .join(exact_percentiles(lags, ["source_a", "source_b"], "lag_s", [0.5], weight="w", distinct_values=True)
               .withColumnRenamed("p_0", "median_lag_s"), ["source_a", "source_b"])
     )
     rate = F.col("cascades") / F.col("errors_a") * F.lit(100.0)

@@ -64,7 +64,7 @@ def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = F
             "service", *[F.col("p")[i].alias(f"p_{i}") for i in range(3)]
         )
     else:
-        q = exact_percentiles(v, ["service"], "latency_ms", [0.5, 0.95, 0.99], weight="w")
+        q = exact_percentiles(v, ["service"], "latency_ms", [0.5, 0.95, 0.99], weight="w", distinct_values=True)
     g = g.join(q, "service")
     rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
     return g.select(

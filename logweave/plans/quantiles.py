@@ -38,16 +38,23 @@ def exact_percentiles(
     ps: list[float],
     weight: str | None = None,
     bins_per_octave: int = 1024,
+    distinct_values: bool = False,
 ) -> DataFrame:
-    """One row per group: ``keys`` + ``p_<i>`` (double) for each ``ps[i]``; NULL values are ignored."""
+    """One row per group: ``keys`` + ``p_<i>`` (double) for each ``ps[i]``; NULL values are ignored.
+
+    ``distinct_values=True`` says ``df`` already holds one row per
+    (group, value) and is cheap to read twice (e.g. materialized): the
+    counting step and its checkpoint are skipped.
+    """
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    vals = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(F.sum(w).alias("__w"))
-        .withColumn("__b", value_bin(F.col("__v"), bins_per_octave))
-    )
-    vals = materialize(vals)  # read by the bin totals and by the rank lookup
+    base = df.where(F.col(value).isNotNull())
+    if distinct_values:
+        vals = base.select(*keys, F.col(value).cast("double").alias("__v"), w.alias("__w"))
+    else:
+        vals = base.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.sum(w).alias("__w"))
+    vals = vals.withColumn("__b", value_bin(F.col("__v"), bins_per_octave))
+    if not distinct_values:
+        vals = materialize(vals)  # read by the bin totals and by the rank lookup
     bins = vals.groupBy(*keys, "__b").agg(F.sum("__w").alias("__bw"))
     grp = Window.partitionBy(*keys)
     bins = (

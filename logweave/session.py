@@ -79,5 +79,12 @@ def materialize(df):
     data goes to the session's checkpoint folder, so it survives the loss of
     the executors that computed it. Used for aggregates, not raw input.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: writing the checkpoint files would otherwise recompute the rows
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
