@@ -72,12 +72,11 @@ def _redact_query(source: Callable[[SparkSession, str], DataFrame], key: str, cf
 
 
 def _parse_kind(kind: int | None):
+    """Parse all events rendered in one line format (``None``: the mixed stream)."""
+
     def q(spark: SparkSession, sf: str) -> DataFrame:
         configure(spark)
-        raw = derived.raw(spark, sf)
-        if kind is not None:
-            raw = raw.where(F.col("kind") == kind)
-        return parse.parse_logs(raw, "line", keep=["event_id", "kind"])
+        return parse.parse_logs(derived.raw(spark, sf, kind), "line", keep=["event_id", "kind"])
 
     return q
 

@@ -68,9 +68,13 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_from_events(table(spark, sf_dir, "events"))
 
 
-def raw_from_logs(lg: DataFrame) -> DataFrame:
-    """Raw lines in eight formats, chosen by ``event_id % 8``: (event_id, kind, source, line)."""
-    kind = F.col("event_id") % 8
+def raw_from_logs(lg: DataFrame, fmt: int | None = None) -> DataFrame:
+    """Raw lines: (event_id, kind, source, line).
+
+    ``fmt=None`` mixes eight formats, chosen by ``event_id % 8`` (every row is
+    kept); ``fmt=k`` renders every row in format k.
+    """
+    kind = F.col("event_id") % 8 if fmt is None else F.lit(int(fmt)).cast("long")
     t, lv, sv, m, ts = F.col("time"), F.col("level"), F.col("service"), F.col("msg"), F.col("ts")
     etype = F.substring_index(sv, ".", -1)
     line = (
@@ -86,8 +90,8 @@ def raw_from_logs(lg: DataFrame) -> DataFrame:
     return lg.select("event_id", kind.alias("kind"), "source", line.alias("line"))
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_from_logs(logs(spark, sf_dir))
+def raw(spark: SparkSession, sf_dir: str, fmt: int | None = None) -> DataFrame:
+    return raw_from_logs(logs(spark, sf_dir), fmt)
 
 
 def pii_from_events(events: DataFrame) -> DataFrame:

@@ -242,20 +242,24 @@ def oracle_sql() -> dict[str, str]:
         select d.source, d.text as original_msg, r.clean as msg, r.entities as redacted_entities
         from ({docs_all}) r join documents d using (doc_id) where r.entities <> ''"""
     # ── parsing: expected fields come from the columns the raw lines were built from
-    parse_expected = f"""
-        select event_id, event_id % 8 as kind,
-          case event_id % 8 when 2 then strftime(ts, '%H:%M:%S') || '.000'
+    def parse_expected_for(kind_sql: str) -> str:
+        return parse_template.replace("KIND", kind_sql)
+
+    parse_template = f"""
+        select event_id, KIND as kind,
+          case KIND when 2 then strftime(ts, '%H:%M:%S') || '.000'
                             when 3 then strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000'
                             when 4 then strftime(ts, '%b %d %H:%M:%S')
                             when 6 then '1970-01-01 00:00:00' when 7 then '1970-01-01 00:00:00' else time end as time,
-          case event_id % 8 when 3 then 'UNKNOWN' when 4 then 'UNKNOWN' when 7 then 'UNKNOWN' else level end as level,
-          case event_id % 8 when 3 then 'unknown' when 6 then 'unknown' when 7 then 'unknown' else service end as service,
-          case event_id % 8 when 3 then '/item/' || split_part(service, '.', 3) when 7 then 'note: ' || msg else msg end as msg,
-          case event_id % 8 when 5 then 'json' when 7 then 'fallback' else 'grok' end as parse_method
+          case KIND when 3 then 'UNKNOWN' when 4 then 'UNKNOWN' when 7 then 'UNKNOWN' else level end as level,
+          case KIND when 3 then 'unknown' when 6 then 'unknown' when 7 then 'unknown' else service end as service,
+          case KIND when 3 then '/item/' || split_part(service, '.', 3) when 7 then 'note: ' || msg else msg end as msg,
+          case KIND when 5 then 'json' when 7 then 'fallback' else 'grok' end as parse_method
         from ({LOGS})"""
+    parse_expected = parse_expected_for("event_id % 8")
     o["parse_all"] = parse_expected
     for kind, name in enumerate(["standard", "spring_boot", "logback", "access_log", "syslog", "json", "level_msg", "fallback"]):
-        o[f"parse_{name}"] = f"select * from ({parse_expected}) where kind = {kind}"
+        o[f"parse_{name}"] = parse_expected_for(f"cast({kind} as bigint)")
     o["parse_json_edge"] = f"""
         with l as ({LOGS}),
         j as (select event_id, event_id % 8 as kind, time, level, service, msg,
