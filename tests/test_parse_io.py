@@ -114,3 +114,21 @@ def test_entry_and_registry(spark):
     for name, fn in qs.items():
         fn(spark, "/root/testdata/sf0.001").schema  # noqa: B018
     assert F is not None
+
+
+def test_streaming_file_sink_restarts(spark):
+    from logweave.streaming.logs import start_processing
+
+    src = tempfile.mkdtemp(prefix="lw-sin-")
+    out = tempfile.mkdtemp(prefix="lw-sout-")
+    ck = tempfile.mkdtemp(prefix="lw-sck-")
+    with open(os.path.join(src, "a.log"), "w") as f:
+        f.write("2024-01-01 12:00:00 [INFO] [svc] - mail x@y.zz\n")
+    q = start_processing(spark, src, out, ck, trigger_available_now=True)
+    q.awaitTermination(120)
+    with open(os.path.join(src, "b.log"), "w") as f:
+        f.write("ERROR card 4111111111111111\n")
+    q = start_processing(spark, src, out, ck, trigger_available_now=True)  # resumes from the checkpoint
+    q.awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r["source"], r["msg"]) for r in rows) == [("a", "mail <邮箱>"), ("b", "card <卡号>")]
