@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def global_rank(
@@ -38,8 +38,8 @@ def global_rank(
             "__lw_pos",
             F.monotonically_increasing_id() - F.shiftleft(F.col("__lw_pid").cast("long"), 33),
         )
-        .checkpoint(eager=True)
     )
+    ranged = materialize(ranged)  # numbering must not change if a task is re-run
     counts = ranged.groupBy("__lw_pid").agg(F.count(F.lit(1)).alias("__lw_n"))
     # one row per partition: a window over it is cheap and bounded by n
     w = Window.orderBy("__lw_pid")
