@@ -176,7 +176,7 @@ def error_cascades(
     )
     rate = F.col("cascades") / F.col("errors_a") * F.lit(100.0)
     rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
-    return materialize(out).select(
+    return out.select(
         "source_a", "source_b", "cascades", "errors_a",
         rate.alias("trigger_pct"),
         F.format_string("%.1f%%", rate).alias("trigger_rate"),
@@ -188,6 +188,7 @@ def error_cascades(
 
 def cascade_matrix(cascades: DataFrame) -> DataFrame:
     """Long source × source cascade counts over the sources named in ``cascades``, 0 when absent."""
+    cascades = materialize(cascades.select("source_a", "source_b", "cascades"))  # read twice below
     names = cascades.select(F.col("source_a").alias("s")).unionByName(cascades.select(F.col("source_b").alias("s")))
     axis = names.agg(F.sort_array(F.collect_set("s")).alias("axis")).where(F.size("axis") > 0)
     grid = axis.select(F.explode("axis").alias("source_a"), "axis").select("source_a", F.explode("axis").alias("source_b"))

@@ -215,3 +215,19 @@ def test_exact_percentiles_plan(spark):
         expanded = [v for gg, v, w in rows if gg == g for _ in range(w)]
         want = [float(np.percentile(expanded, p * 100)) for p in ps]
         assert got[g] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_event_time_formats(spark):
+    vals = ["2024-01-01 12:00:00", "2024-01-01T12:00:00Z", "2024-01-01T12:00:00.5+08:00", "2024-01-01 12:00:00,123",
+            "2024-01-01", "12:00:00.000", "01/Jan/2024:12:00:00 +0000", "Jan 01 12:00:00", "garbage", "1970-01-01 00:00:00"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, time string")
+    got = {r["i"]: r["ts"] for r in df.select("i", events.event_time(F.col("time")).alias("ts")).collect()}
+    assert got[0] == datetime(2024, 1, 1, 12) and got[1] == datetime(2024, 1, 1, 12)
+    assert got[2] == datetime(2024, 1, 1, 4, 0, 0, 500000) and got[3] == datetime(2024, 1, 1, 12, 0, 0, 123000)
+    assert got[4] == datetime(2024, 1, 1) and got[9] == datetime(1970, 1, 1)
+    assert got[5] is None and got[6] is None and got[7] is None and got[8] is None
+    ext = df.select("i", events.event_time(F.col("time"), base_date="2024-02-02", extra_formats=["dd/MMM/yyyy:HH:mm:ss Z"]).alias("ts"))
+    got = {r["i"]: r["ts"] for r in ext.collect()}
+    assert got[5] == datetime(2024, 2, 2, 12) and got[6] == datetime(2024, 1, 1, 12)
+    timed = events.with_event_time(df, include_untimed=False)
+    assert sorted(r["i"] for r in timed.collect()) == [0, 1, 2, 3, 4]
