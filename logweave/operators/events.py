@@ -223,7 +223,10 @@ def anomaly_windows(classified: DataFrame, window_minutes: int = 10, threshold:
     """
     width = int(window_minutes) * 60_000_000
     bad = anomaly_buckets(classified, window_minutes, threshold).select("bucket_index")
-    ranked = global_rank(bad, ["bucket_index"], rank_col="__lw_r")
+    # one row per bad time bucket (years of minutes are a few million rows): a
+    # handful of range partitions is plenty
+    n = min(32, int(classified.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranked = global_rank(bad, ["bucket_index"], rank_col="__lw_r", num_partitions=n)
     isl = ranked.groupBy((F.col("bucket_index") - F.col("__lw_r")).alias("__lw_island")).agg(
         F.min("bucket_index").alias("k0"), F.max("bucket_index").alias("k1")
     )
