@@ -231,3 +231,28 @@ def test_event_time_formats(spark):
     assert got[5] == datetime(2024, 2, 2, 12) and got[6] == datetime(2024, 1, 1, 12)
     timed = events.with_event_time(df, include_untimed=False)
     assert sorted(r["i"] for r in timed.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_latency_approx_and_report(spark):
+    rows = _random_logs(13, n=500)
+    samples = latency.extract_latency(_df(spark, rows))
+    exact = {r["service"]: r for r in latency.latency_summary(samples).collect()}
+    approx = {r["service"]: r for r in latency.latency_summary(samples, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for k in exact:
+        assert abs(exact[k]["p50_ms"] - approx[k]["p50_ms"]) <= 0.05 * max(1.0, exact[k]["max_ms"])
+    rep = [r["p95_ms"] for r in latency.latency_report(_df(spark, rows)).collect()]
+    assert rep == sorted(rep)
+
+
+def test_cascade_matrix_and_nodes(spark):
+    rows = _random_logs(2)
+    cfg = C.CorrelationConfig(cascade_window_sec=600, min_cascade_count=2)
+    casc = correlate.error_cascades(_df(spark, rows), cfg)
+    m = {(r["source_a"], r["source_b"]): r["cascades"] for r in correlate.cascade_matrix(casc).collect()}
+    got = {(r["source_a"], r["source_b"]): r["cascades"] for r in casc.collect()}
+    names = {a for a, _ in got} | {b for _, b in got}
+    assert set(m) == {(a, b) for a in names for b in names}
+    assert all(m[k] == got.get(k, 0) for k in m)
+    counts = [r["cascades"] for r in casc.collect()]
+    assert counts == sorted(counts, reverse=True)

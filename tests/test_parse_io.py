@@ -132,3 +132,14 @@ def test_streaming_file_sink_restarts(spark):
     q.awaitTermination(120)
     rows = spark.read.parquet(out).collect()
     assert sorted((r["source"], r["msg"]) for r in rows) == [("a", "mail <邮箱>"), ("b", "card <卡号>")]
+
+
+def test_sinks_keep_raw_text_only_on_request(spark):
+    df = spark.createDataFrame([("2024-01-01 12:00:00 [INFO] [s] - tel 13812345678", "a")], "value string, source string")
+    out = process(df, C.RedactionConfig(), keep=["source"])
+    base = tempfile.mkdtemp(prefix="lw-raw-")
+    write_json(out, f"{base}/with", include_original=True)
+    write_json(out, f"{base}/without")
+    w = spark.read.json(f"{base}/with").first()
+    assert w["original_msg"] == "tel 13812345678" and w["msg"] == "tel <手机>"
+    assert "original_msg" not in spark.read.json(f"{base}/without").columns
