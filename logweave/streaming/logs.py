@@ -65,3 +65,29 @@ def start_processing(
     if trigger_available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def stream_event_density(
+    logs: DataFrame,
+    bucket_minutes: int = 5,
+    watermark_minutes: int = 10,
+    hot_share: float = 0.4,
+) -> DataFrame:
+    """Event density on a stream: rows per epoch-aligned time bucket, errors, hot flag.
+
+    The batch operator's buckets and classes, as a windowed aggregate with a
+    watermark: a bucket is final once event time passes its end by
+    ``watermark_minutes``; later lines for it are dropped by Spark, and state
+    for old buckets is freed. ``logs`` is a parsed (and usually redacted)
+    stream with ``time``, ``level``, ``msg``.
+    """
+    from ..operators.events import classify_event, event_time, is_anomaly_type
+
+    timed = logs.withColumn("ts", event_time(F.col("time"))).where(F.col("ts").isNotNull())
+    cl = classify_event(timed, display_col=None).withWatermark("ts", f"{int(watermark_minutes)} minutes")
+    return (
+        cl.groupBy(F.window("ts", f"{int(bucket_minutes)} minutes").alias("w"))
+        .agg(F.count(F.lit(1)).alias("events"), F.count_if(is_anomaly_type(F.col("event_type"))).alias("errors"))
+        .select(F.col("w.start").alias("bucket"), "events", "errors",
+                (F.col("errors") / F.col("events") >= F.lit(hot_share)).alias("hot"))
+    )

@@ -143,3 +143,21 @@ def test_sinks_keep_raw_text_only_on_request(spark):
     w = spark.read.json(f"{base}/with").first()
     assert w["original_msg"] == "tel 13812345678" and w["msg"] == "tel <手机>"
     assert "original_msg" not in spark.read.json(f"{base}/without").columns
+
+
+def test_stream_event_density_matches_batch(spark):
+    from logweave.operators import events
+    from logweave.streaming.logs import process_stream, read_log_stream, stream_event_density
+
+    d = tempfile.mkdtemp(prefix="lw-sd-")
+    lines = [f"2024-01-01 12:{m:02d}:00 [{'ERROR' if m % 3 == 0 else 'INFO'}] [svc] - call {m}" for m in range(0, 20)]
+    with open(os.path.join(d, "svc.log"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    q = (stream_event_density(process_stream(read_log_stream(spark, d)), bucket_minutes=5, watermark_minutes=10)
+         .writeStream.outputMode("update").format("memory").queryName("lw_density").start())
+    q.processAllAvailable()
+    got = {r["bucket"]: (r["events"], r["errors"]) for r in spark.sql("select * from lw_density").collect()}
+    q.stop()
+    batch = process(spark.createDataFrame([(l,) for l in lines], "value string"), C.RedactionConfig(), keep=[])
+    want = {r["bucket"]: (r["events"], r["errors"]) for r in events.event_density(events.classified_timeline(batch), 5).collect()}
+    assert got == want and len(got) == 4
