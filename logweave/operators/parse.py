@@ -103,12 +103,7 @@ def _record(time: Column, level: Column, service: Column, msg: Column, method: s
     return F.struct(*fields)
 
 
-_JSON_ALIASES = {
-    "time": ["time", "@timestamp", "timestamp"],
-    "level": ["level", "severity", "loglevel"],
-    "service": ["service", "app", "logger"],
-    "msg": ["msg", "message", "log"],
-}
+_JSON_ALIASES = C.JSON_ALIASES
 
 
 def _vpath(key: str) -> str:
