@@ -54,3 +54,18 @@ def test_builtin_patterns_unicode_like_python(spark):
         pat = C.FAST_FORMS.get(ent, C.ENTITY_PATTERNS[ent])
         want = {i: [m.group() for m in re.finditer(C.ENTITY_PATTERNS[ent], t)] for i, t in enumerate(rows)}
         assert _spark_matches(spark, rows, pat) == want, ent
+
+
+def test_marker_character_in_text_takes_exact_path(spark):
+    mark = "\ue000"  # the marker the fast paths cut at
+    rows = [f"a{mark}b x@y.zz {mark}", f"{mark}", f"u@v.ww{mark}p@q.rr", "plain u@v.ww"]
+    pat = C.ENTITY_PATTERNS[C.EMAIL]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    out = df.select("i", sub_matches(F.col("t"), jre(pat), lambda m: F.concat(F.lit("<"), m, F.lit(">"))).alias("o"))
+    got = {r["i"]: r["o"] for r in out.collect()}
+    assert got == {i: re.sub(pat, lambda m: "<" + m.group() + ">", t) for i, t in enumerate(rows)}
+    from logweave.operators.redact import redact
+
+    cfg = C.RedactionConfig(secret_key="k").with_only(C.EMAIL, mode="mask")
+    red = {r["i"]: r["t"] for r in redact(df, "t", cfg).collect()}
+    assert red[0] == f"a{mark}b x***** {mark}" and red[3] == "plain u*****"
