@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 PREVIEW_COLUMNS = ["time", "level", "service", "msg", "redacted_entities", "source"]
 
 
-def filter_level(df: DataFrame, level: str | None) -> DataFrame:
-    """Rows of one level (case-insensitive); ``None`` or 'ALL' keeps everything."""
+def filter_level(df: DataFrame, level: str | None, normalised: bool = False) -> DataFrame:
+    """Rows of one level (case-insensitive); ``None`` or 'ALL' keeps everything.
+
+    ``normalised=True`` states that levels are already upper case, as
+    ``parse_logs`` writes them; the plain equality then reaches the parquet
+    scan as a pushed filter (and prunes partitions of a level-partitioned table).
+    """
     if level is None or level.upper() == "ALL":
         return df
+    if normalised:
+        return df.where(F.col("level") == F.lit(level.upper()))
     return df.where(F.upper(F.col("level")) == F.lit(level.upper()))
 
 

@@ -161,3 +161,17 @@ def test_stream_event_density_matches_batch(spark):
     batch = process(spark.createDataFrame([(l,) for l in lines], "value string"), C.RedactionConfig(), keep=[])
     want = {r["bucket"]: (r["events"], r["errors"]) for r in events.event_density(events.classified_timeline(batch), 5).collect()}
     assert got == want and len(got) == 4
+
+
+def test_level_filter_reaches_the_scan(spark):
+    from logweave.operators.views import filter_level
+
+    df = spark.createDataFrame([("2024-01-01 12:00:00 [ERROR] [s] - boom",), ("INFO fine",)], "value string")
+    base = tempfile.mkdtemp(prefix="lw-push-")
+    process(df, C.RedactionConfig(), keep=[]).drop("detected").write.parquet(f"{base}/t")
+    stored = spark.read.parquet(f"{base}/t")
+    q = filter_level(stored, "error", normalised=True)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(level), EqualTo(level,ERROR)]" in plan
+    assert [r["msg"] for r in q.collect()] == ["boom"]
+    assert filter_level(stored, "error").count() == 1
