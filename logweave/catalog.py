@@ -45,7 +45,7 @@ def _logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
-    return derived.table(spark, sf, "documents").select("doc_id", "source", "text")
+    return derived.table(spark, sf, "documents", ["doc_id", "source", "text"])
 
 
 def _pii(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +152,7 @@ def q_redacted_flag(spark, sf):
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
-    return derived.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    return derived.table(spark, sf, "pages", ["page_id", "html"]).withColumnRenamed("html", "text")
 
 
 def q_filter_level(spark, sf):

@@ -28,8 +28,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target).cache()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """One driver table; ``columns`` are selected before any spreading, so the
+    scan reads only them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df)
 
 
 def _level(event_type: Column) -> Column:
@@ -64,8 +69,11 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(table(spark, sf_dir, "events"))
+    return logs_from_events(table(spark, sf_dir, "events", EVENT_COLUMNS))
 
 
 def raw_from_logs(lg: DataFrame, fmt: int | None = None) -> DataFrame:
@@ -108,13 +116,13 @@ def pii_from_events(events: DataFrame) -> DataFrame:
 
 
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_from_events(table(spark, sf_dir, "events"))
+    return pii_from_events(table(spark, sf_dir, "events", ["event_id"]))
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text that mentions customer names: (o_orderkey, c_name, text)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
     return o.join(c, o.o_custkey == c.c_custkey).select(
         "o_orderkey",
         "c_name",
@@ -124,7 +132,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    return table(spark, sf_dir, "customer", ["c_name"]).select(F.col("c_name").alias("name"))
 
 
 def json_lines_from_logs(lg: DataFrame) -> DataFrame:
