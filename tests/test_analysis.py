@@ -256,3 +256,20 @@ def test_cascade_matrix_and_nodes(spark):
     assert all(m[k] == got.get(k, 0) for k in m)
     counts = [r["cascades"] for r in casc.collect()]
     assert counts == sorted(counts, reverse=True)
+
+
+def test_degenerate_sources(spark):
+    import math
+
+    # over the union of buckets (0, 1, 2) "a" is constant [1, 1, 1]; "b" is [2, 1, 1]
+    rows = [(1, "a", "2024-01-01 00:00:00", "ERROR", "s", "x"), (2, "a", "2024-01-01 01:00:00", "ERROR", "s", "x"),
+            (7, "a", "2024-01-01 02:30:00", "ERROR", "s", "x"),
+            (3, "b", "2024-01-01 00:00:00", "ERROR", "s", "x"), (4, "b", "2024-01-01 00:10:00", "ERROR", "s", "x"),
+            (5, "b", "2024-01-01 01:00:00", "ERROR", "s", "x"), (6, "b", "2024-01-01 02:00:00", "ERROR", "s", "x")]
+    df = _df(spark, rows)
+    r = {(x["source_a"], x["source_b"]): x["r"] for x in correlate.rate_correlation(df, 60).collect()}
+    assert math.isnan(r[("a", "a")]) and math.isnan(r[("a", "b")]) and r[("b", "b")] == 1.0
+    one = df.where(F.col("source") == "b")
+    assert correlate.rate_correlation(one, 60).count() == 0
+    assert correlate.error_cascades(one, C.CorrelationConfig(cascade_window_sec=600)).count() == 0
+    assert correlate.shared_ids(one).count() == 0
