@@ -1,7 +1,9 @@
 """Person names from a user-given name table (replaces model inference).
 
 A row "contains" a name when the name equals one of the row's word n-grams
-(n up to the longest name, in words). Matching is an equi-join of exploded
+(n up to the longest name, in words) or, inside runs of CJK characters
+(written without spaces), one of their character n-grams of the usual name
+lengths (2–4 characters by default). Matching is an equi-join of exploded
 n-grams with the de-duplicated name table — no broadcast of the name list is
 assumed, so it works for name tables of any size; AQE's skew handling splits a
 hot n-gram. The names found per row come back as ``array<string>`` for
@@ -14,6 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN_EDGE = r"(?U)^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
+_CJK_RUN = r"[\p{IsHan}]+"
+
+
+def _cjk_grams(text: F.Column, lengths: tuple[int, ...]) -> F.Column:
+    """Character n-grams of the given lengths inside each run of Han characters."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_CJK_RUN), 0)
+
+    def grams_of(n: int):
+        def per_run(run: F.Column) -> F.Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(0)))
+            return F.filter(F.transform(starts, lambda i: F.substring(run, i, n)), lambda g: F.length(g) == n)
+        return per_run
+
+    return F.flatten(F.array(*[F.flatten(F.transform(runs, grams_of(n))) for n in lengths]))
 
 
 def _words(text: F.Column) -> F.Column:
@@ -29,10 +45,12 @@ def person_names(
     name_col: str = "name",
     out_col: str = "persons",
     max_words: int = 3,
+    cjk_lengths: tuple[int, ...] = (2, 3, 4),
 ) -> DataFrame:
     """Add ``out_col`` = distinct names from ``names`` that occur in ``text_col``.
 
-    ``key_cols`` must identify a row of ``df``.
+    ``key_cols`` must identify a row of ``df``. ``cjk_lengths=()`` turns the
+    character n-grams off.
     """
     nm = names.select(F.trim(F.col(name_col)).alias("__lw_name")).where(F.length("__lw_name") > 0).distinct()
     words = F.col("__lw_w")
@@ -46,8 +64,10 @@ def person_names(
         for n in range(1, max_words + 1)
     ]
     # de-duplicate inside the row (no shuffle); rows are unique by key already
+    if cjk_lengths:
+        grams.append(_cjk_grams(F.col(text_col), tuple(cjk_lengths)))
     exploded = (
-        df.select(*key_cols, _words(F.col(text_col)).alias("__lw_w"))
+        df.select(*key_cols, F.col(text_col), _words(F.col(text_col)).alias("__lw_w"))
         .select(*key_cols, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("__lw_name"))
     )
     found = exploded.join(nm, "__lw_name").groupBy(*key_cols).agg(F.sort_array(F.collect_set("__lw_name")).alias(out_col))

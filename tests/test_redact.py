@@ -138,3 +138,14 @@ def test_persons_from_name_table(spark):
 def test_pseudo_needs_key(spark):
     with pytest.raises(ValueError):
         run(spark, ["13812345678"], C.RedactionConfig(secret_key=None).with_only(C.PHONE, mode="pseudo"))
+
+
+def test_persons_in_unspaced_cjk_text(spark):
+    from logweave.operators.persons import person_names
+
+    texts = spark.createDataFrame([(1, "操作员张三执行了删除，李四丰确认"), (2, "张三"), (3, "系统正常")], "k int, text string")
+    names = spark.createDataFrame([("张三",), ("李四丰",), ("王五",)], "name string")
+    found = {r["k"]: list(r["persons"]) for r in person_names(texts, names, ["k"]).collect()}
+    assert found == {1: ["张三", "李四丰"], 2: ["张三"], 3: []}
+    out = redact.redact(person_names(texts, names, ["k"]), "text", _cfg(), persons_col="persons").orderBy("k").collect()
+    assert out[0]["text"] == "操作员<姓名>执行了删除，<姓名>确认" and list(out[0]["detected"]) == [C.PERSON]
