@@ -8,11 +8,14 @@ shuffle files above it.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings of these operators: small Arrow batches, and workers that find this package.
+
+    Python workers started from a plain checkout have not its folder on their
+    path; on a cluster the package is installed or sent with ``--py-files``.
+    """
+    configure(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "2000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One given table, only the named columns."""
-    configure(spark)
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -143,7 +161,7 @@ def batches(rows: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000) -
     for batch in rows:
         if not batch.num_rows:
             continue
-        size = np.cumsum([len(v) if v is not None else 0 for v in _buffers(batch.column(text))])
+        size = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
@@ -152,17 +170,12 @@ def batches(rows: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000) -
             at = to
 
 
-def _buffers(column: pa.Array):
-    return (x.as_buffer() if x.is_valid else None for x in column)
-
-
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string column as one byte array and n+1 offsets; nulls are empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offs, data = column.buffers()
-    o = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None and o[-1] > o[0] else np.zeros(0, np.uint8)
-    return raw, o - o[0]
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's UTF-8 bytes, each value followed by a space, and the n+1 offsets; nulls are empty."""
+    values = column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+    ends = np.cumsum([len(v) + 1 for v in values]) if values else np.zeros(0, np.int64)
+    data = np.frombuffer(b" ".join([*values, b""]), np.uint8)
+    return data, np.concatenate([[0], ends]).astype(np.int64)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 from .common import join_on, n_words, stage
 
-_BUCKET_HEX = 4  # 65,536 hash buckets per source
+_BUCKET_HEX = 3  # 4,096 hash buckets per source
 _SLOT_CHUNK = 1 << 16
 
 

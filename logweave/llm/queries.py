@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import langid, minhash, mixing, quality, tokenbin, toxicity, warc
 from .common import read
 
 
@@ -13,6 +13,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return tokenbin.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.detect(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")
@@ -21,8 +41,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op8_quality_rules": op8_quality_rules}
+    ops = [op1_mixing, op2_langid, op3_minhash, op5_token_files, op7_toxicity, op8_quality_rules, op9_warc]
+    return {f.__name__: f for f in ops}
 
 
 # ── DuckDB SQL for the queries SQL can express ─────────────────────────────
