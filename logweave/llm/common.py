@@ -53,12 +53,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def stage(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    ``free`` asks the driver's JVM for a collection, after which Spark's
+    cleaner removes the shuffle files that only the written plan used.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    sc = staged.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(staged._llm_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shards_for(df_bytes: int, per_shard: int, least: int = 1) -> int:
@@ -139,21 +154,18 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """For each window of ``w`` values, the index of its smallest (leftmost of equals)."""
-    n = len(x) - w + 1
+def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` hashes, the place of the smallest (by upper half, then leftmost)."""
+    n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best = np.arange(len(x))
-    val, done = x, 1
-    while done < w:  # window minima of doubling widths
-        step = min(done, w - done)
-        right, left = val[step:], val[: len(val) - step]
-        take = right < left
-        best = np.where(take, best[step:], best[: len(best) - step])
-        val = np.where(take, right, left)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    done = 1
+    while done < width:  # minima of windows of doubling width
+        step = min(done, width - done)
+        key = np.minimum(key[: len(key) - step], key[step:])
         done += step
-    return best[:n]
+    return (key[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def batches(rows: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

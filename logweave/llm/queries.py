@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, quality, tokenbin, toxicity, warc
+from . import decontam, langid, minhash, mixing, phrases, quality, suffix, tokenbin, toxicity, warc
 from .common import read
 
 
@@ -21,6 +21,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.report(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.detect(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -45,8 +54,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def queries() -> dict:
-    ops = [op1_mixing, op2_langid, op3_minhash, op5_token_files, op7_toxicity, op8_quality_rules, op9_warc]
+    ops = [
+        op1_mixing, op2_langid, op3_minhash, op4_decontamination, op5_token_files, op6_phrases, op7_toxicity,
+        op8_quality_rules, op9_warc, op10_suffix_array,
+    ]
     return {f.__name__: f for f in ops}
 
 
