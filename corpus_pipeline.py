@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import mixing, quality
-from logweave.llm.common import read, stage
+from logweave.llm import decontam, minhash, mixing, quality, tokenbin
+from logweave.llm.common import discard, prepare, read, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +19,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    prepare(spark)
+    return minhash.kept_documents(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its edit budget."""
+    return decontam.clean_documents(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mixture takes it."""
     return mixing.mixed_documents(docs)
 
 
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture as token files, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    import public_tokenizers
+
+    prepare(spark)
+    return tokenbin.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 STAGES = [
     ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("mixing", source_mix),
+    ("token_files", token_files),
 ]
 
 #: MinHash banding, edit matching and the tokenizer cannot be written in SQL
@@ -34,8 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last stage's rows."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; the last stage's rows.
+
+    Each stage's table is written to the shared folder; an earlier one is
+    removed once the next stands.
+    """
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        docs = stage(step(spark, docs, sf_dir), name, free=True)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
