@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import correlate, events, flow, latency, parse, persons, redact, views
+from .operators import correlate, events, flow, latency, parse, redact, views
 from .operators.process import process
 from .session import configure
 from .sources import derived
@@ -25,12 +25,12 @@ TL = C.TimelineConfig(
     bucket_minutes=60,
     anomaly_window_minutes=60,
     anomaly_error_threshold=0.5,
-    max_points=3000,
     lane_rules=[C.LaneRule(pattern="purchase", lane_name="checkout")],
     lane_mode="source_service",
 )
 CORR = C.CorrelationConfig(bucket_minutes=60, cascade_window_sec=600, min_cascade_count=2)
 TRACKED_ID = "1700000000042"
+SAMPLE_STEP = 5
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -82,14 +82,15 @@ def _parse_kind(kind: int | None):
 
 
 def _processed_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed and redacted lines whose messages are the documents' texts (with personal data)."""
     configure(spark)
-    raw = derived.raw(spark, sf)
-    return process(raw, C.RedactionConfig(), line_col="line", keep=["event_id", "source"])
+    raw = derived.document_lines(spark, sf)
+    return process(raw, C.RedactionConfig(), line_col="line", keep=["doc_id", "source"])
 
 
 def q_process_all(spark, sf):
     return _processed_logs(spark, sf).select(
-        "event_id", "source", "time", "level", "service", "msg", "original_msg", "redacted_entities", "parse_method"
+        "doc_id", "source", "time", "level", "service", "msg", "original_msg", "redacted_entities", "parse_method"
     )
 
 
@@ -115,11 +116,66 @@ def q_redact_persons(spark, sf):
     configure(spark)
     notes = derived.order_notes(spark, sf)
     names = derived.customer_names(spark, sf)
-    found = persons.person_names(notes, names, ["o_orderkey"], "text", out_col="persons", max_words=1)
-    out = redact.redact(found, "text", _only(C.PERSON), persons_col="persons")
+    out = redact.redact_names(notes, names, ["o_orderkey"], "text", _only(C.PERSON))
     return out.select("o_orderkey", F.col("text").alias("clean"), F.array_join("detected", ", ").alias("entities"))
 
 
+def q_redact_persons_long(spark, sf):
+    configure(spark)
+    notes = derived.long_name_notes(spark, sf)
+    names = notes.select("name").distinct()
+    out = redact.redact_names(notes, names, ["o_orderkey"], "text", _only(C.PERSON))
+    return out.select("o_orderkey", F.col("text").alias("clean"), F.array_join("detected", ", ").alias("entities"))
+
+
+def q_redact_custom_named(spark, sf):
+    """A pattern with a named group, as Python writes it."""
+    cfg = _only(b64=False)
+    cfg.custom_entities = [C.CustomEntity("员工工号", r"(?P<emp_id>EMP\d{6})", C.EntityConfig(label="<工号>"))]
+    return _redact_query(_pii, "event_id", cfg)(spark, sf)
+
+
+def q_assign_lane_any(spark, sf):
+    """A rule that matches everything, also the empty message."""
+    rules = [C.LaneRule("signup|", "signup or any")]
+    return events.assign_lane(_logs(spark, sf), rules, "service").select("event_id", "lane")
+
+
+def q_classify_custom(spark, sf):
+    """A custom type that reuses a default name, and one whose keyword matches the empty string."""
+    types = [C.EventType("error", "Purchase trouble", keywords=["purchase.*status 500", "purchase.*duration=9"]), C.EventType("seen", "Seen", keywords=["boom|"], levels=["DEBUG"])]
+    return events.classify_event(_logs(spark, sf), types).select("event_id", "event_type", "event_display")
+
+
+def q_search_unicode(spark, sf):
+    """Unicode word characters around Chinese text."""
+    lg = _logs(spark, sf).withColumn("msg", F.concat(F.lit("用户"), F.col("msg"), F.lit("登录")))
+    return views.search_msg(lg, r"用户\w+ user 1\d .*登录").select("event_id", "msg")
+
+
+def q_event_time_forms(spark, sf):
+    """One-digit fields, slash dates and the compact hour-minute form."""
+    lg = derived.logs(spark, sf)
+    forms = ["yyyy-M-d H:mm:ss", "yyyy-MM-dd'T'HHmm", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm"]
+    kind = (F.col("event_id") % len(forms)).cast("int")
+    time = F.element_at(F.array(*[F.date_format("ts", f) for f in forms]), kind + 1)
+    timed = events.with_event_time(lg.withColumn("time", time).drop("ts"))
+    return timed.select("event_id", "time", _fmt("ts"))
+
+
+def q_rate_correlation_large(spark, sf):
+    """Counts of billions per bucket and a constant series: exact where doubles cancel out."""
+    rb = correlate.rate_buckets(_logs(spark, sf), CORR.bucket_minutes)
+    big = rb.select(
+        F.concat(F.lit("big_"), F.col("source")).alias("source"), F.date_format("bucket", TS_FMT).alias("time"),
+        F.lit("INFO").alias("level"), F.lit("s").alias("service"), F.lit("m").alias("msg"), "events",
+    )
+    times = big.select("time").distinct()
+    flat = times.select(F.lit("flat").alias("source"), "time", F.lit("INFO").alias("level"), F.lit("s").alias("service"), F.lit("m").alias("msg"), F.lit(0).cast("long").alias("events"))
+    weighted = big.unionByName(flat).withColumn("events", F.col("events") + 1_000_000_000)
+    return correlate.rate_correlation(weighted, CORR.bucket_minutes, weight_col="events")
+
+
 def q_source_summary(spark, sf):
     out = redact.redact(_docs(spark, sf), "text", C.RedactionConfig(secret_key=TOKEN_KEY))
     return redact.source_summary(out, "source", order_col="doc_id", text_col="text")
@@ -133,12 +189,6 @@ def q_service_axis(spark, sf):
     return latency.service_axis(latency.latency_points(_logs(spark, sf)))
 
 
-def q_event_density_sampled(spark, sf):
-    cl = events.classified_timeline(_logs(spark, sf), TL, sample_first=True, tie_cols=["event_id"])
-    d = events.event_density(cl, TL.bucket_minutes, TL.hot_share)
-    return d.select(_fmt("bucket"), "events", "errors", "hot")
-
-
 def q_parse_json_edge(spark, sf):
     configure(spark)
     lines = derived.json_lines_from_logs(derived.logs(spark, sf))
@@ -179,9 +229,8 @@ def q_redacted_only(spark, sf):
 
 def q_merged_view(spark, sf):
     lg = _logs(spark, sf)
-    return views.preview_columns(lg.withColumn("redacted_entities", F.lit(""))).select(
-        "time", "level", "service", "msg", "source"
-    )
+    ranked = views.merged_view(lg, ["event_id"], rank_col="place")
+    return ranked.select("event_id", "place", *[c for c in views.preview_columns(lg).columns])
 
 
 def q_export_text_line(spark, sf):
@@ -204,9 +253,8 @@ def q_assign_lane(spark, sf):
 
 
 def q_timeline_points(spark, sf):
-    lg = _logs(spark, sf)
-    pts = events.classified_timeline(lg, TL).select("event_id", "ts", "lane", "event_type", "level")
-    return pts.select("event_id", _fmt("ts"), "lane", "event_type", "level")
+    pts = events.timeline_points(_logs(spark, sf), TL, keep=("event_id",))
+    return pts.select("event_id", _fmt("ts"), "lane", "event_type", "event_display", "level", "msg")
 
 
 def q_event_density(spark, sf):
@@ -227,18 +275,18 @@ def q_anomaly_windows(spark, sf):
 def q_downsample(spark, sf):
     lg = _logs(spark, sf)
     timed = events.with_event_time(lg).select("event_id", "ts", "source")
-    out = events.downsample_every(timed, TL.max_points, ["ts", "event_id"])
+    out = events.downsample_every(timed, SAMPLE_STEP, ["ts", "event_id"])
     return out.select("event_id", _fmt("ts"), "source")
 
 
 def q_extract_latency(spark, sf):
-    s = latency.extract_latency(_logs(spark, sf))
-    return s.select("event_id", "service", "latency_ms", "time", "msg_snippet")
+    s = latency.extract_latency(_logs(spark, sf), snippet=100)
+    return s.select("event_id", "service", "latency_ms", "time", "msg", "msg_snippet")
 
 
 def q_latency_points(spark, sf):
     p = latency.latency_points(_logs(spark, sf))
-    return p.select("event_id", _fmt("ts"), "service", "latency_ms")
+    return p.select("event_id", _fmt("ts"), "service", "latency_ms", "msg")
 
 
 def q_latency_summary(spark, sf):
@@ -269,8 +317,8 @@ def q_shared_ids(spark, sf):
 
 
 def q_track_id(spark, sf):
-    t = correlate.track_id(_logs(spark, sf), TRACKED_ID, CORR)
-    return t.select("source", _fmt("ts"), "snippet")
+    t = correlate.track_id(_logs(spark, sf), TRACKED_ID, CORR, snippet=100)
+    return t.select("source", _fmt("ts"), "msg", "snippet")
 
 
 def q_service_flow(spark, sf):
@@ -310,6 +358,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pii_tok.custom_entities = [C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(mode="pseudo"))]
     q["redact_pii_token"] = _redact_query(_pii, "event_id", pii_tok)
     q["redact_persons"] = q_redact_persons
+    q["redact_persons_long"] = q_redact_persons_long
+    q["redact_custom_named"] = q_redact_custom_named
+    q["assign_lane_any"] = q_assign_lane_any
+    q["classify_custom"] = q_classify_custom
+    q["search_unicode"] = q_search_unicode
+    q["event_time_forms"] = q_event_time_forms
+    q["rate_correlation_large"] = q_rate_correlation_large
     q["redaction_stats"] = q_redaction_stats
     q["source_summary"] = q_source_summary
     q["entity_counts"] = q_entity_counts
@@ -337,7 +392,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["anomaly_buckets"] = q_anomaly_buckets
     q["anomaly_windows"] = q_anomaly_windows
     q["downsample"] = q_downsample
-    q["event_density_sampled"] = q_event_density_sampled
     q["lane_axis"] = q_lane_axis
     # latency
     q["extract_latency"] = q_extract_latency

@@ -1,7 +1,8 @@
 """Column-expression building blocks for text work (no Python UDFs).
 
-Every helper returns a ``Column``; Catalyst keeps them inside whole-stage
-codegen, so they run JVM-side on every executor.
+Every helper returns a ``Column`` that runs JVM-side on every executor.
+Lambda functions (``transform``, ``zip_with``) are evaluated by Spark's
+interpreter inside the generated stage, not compiled with it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,18 @@ def jre(pattern: str, ignore_case: bool = False) -> str:
     """Python-syntax pattern → Java pattern with Unicode classes.
 
     ``(?U)`` makes ``\\w \\d \\s \\b`` Unicode-aware (as in Python 3) and implies
-    Unicode case folding for ``(?i)``.
+    Unicode case folding for ``(?i)``. Named groups and references to them
+    are rewritten (Java names have no underscore, so they are numbered).
     """
+    names: dict[str, str] = {}
+
+    def group(m: re.Match) -> str:
+        if m.group(1):  # an escaped character
+            return m.group(0)
+        return f"(?<{names.setdefault(m.group(2), f'g{len(names)}')}>" if m.group(2) else f"\\k<{names.get(m.group(3), m.group(3))}>"
+
+    if "(?P" in pattern:
+        pattern = re.sub(r"(\\.)|\(\?P<(\w+)>|\(\?P=(\w+)\)", group, pattern)
     return ("(?Ui)" if ignore_case else "(?U)") + pattern
 
 
@@ -62,16 +73,10 @@ def has_match(text: Column, pattern: str) -> Column:
 
 
 def mask_value(value: Column, keep_head: int, keep_tail: int, mask_char: str = "*") -> Column:
-    """Keep ``keep_head`` leading and ``keep_tail`` trailing characters, hide the rest."""
-    n = F.length(value)
-    head = F.least(F.lit(int(keep_head)), n)
-    tail = F.least(F.lit(int(keep_tail)), n - head)
-    hidden = F.greatest(F.lit(0), n - head - tail)
-    return F.concat(
-        F.left(value, head),
-        F.repeat(F.lit(mask_char), hidden),
-        F.when(tail > 0, F.right(value, tail)).otherwise(F.lit("")),
-    )
+    """The value with everything but its ends overlaid by ``mask_char``; too short a value stays as it is."""
+    middle = F.length(value) - (keep_head + keep_tail)
+    hidden = F.overlay(value, F.repeat(F.lit(mask_char), middle), F.lit(keep_head + 1), middle)
+    return F.when(middle > 0, hidden).otherwise(value)
 
 
 def _hmac_pads(key: bytes) -> tuple[bytes, bytes]:
@@ -106,31 +111,25 @@ def short_service(c: Column) -> Column:
     return F.when(c.contains("."), F.substring_index(c, ".", -2)).otherwise(c)
 
 
-_REGEX_OK_CACHE: dict[str, bool] = {}
+def usable_pattern(pattern: str, substitutes: bool = False) -> bool:
+    """Whether a user's pattern can be applied; checked on the driver without a Spark job.
 
-
-def regex_is_valid(pattern: str, spark: SparkSession | None = None) -> bool:
-    """Plan-time check that Java accepts the pattern and it cannot match ''."""
-    if pattern in _REGEX_OK_CACHE:
-        return _REGEX_OK_CACHE[pattern]
-    ok = True
+    A pattern Python rejects is skipped with a warning, as is, if it
+    ``substitutes``, one that matches the empty string. A pattern Python
+    accepts and Java rejects raises: skipping it would leave text unredacted.
+    """
     try:
-        re.compile(pattern)
-    except re.error:
-        ok = False
-    if ok:
-        spark = spark or SparkSession.getActiveSession()
-        if spark is not None:
-            try:
-                row = spark.range(1).select(
-                    F.lit("").rlike(jre(pattern)).alias("empty"),
-                ).first()
-                if row is not None and row["empty"]:
-                    ok = False  # a pattern matching '' cannot drive a substitution
-            except Exception as exc:  # Java rejected the pattern
-                log.warning("invalid pattern %r: %s", pattern, exc)
-                ok = False
-    if not ok:
-        log.warning("skipping invalid pattern %r", pattern)
-    _REGEX_OK_CACHE[pattern] = ok
-    return ok
+        compiled = re.compile(pattern)
+    except re.error as exc:
+        log.warning("skipping invalid pattern %r: %s", pattern, exc)
+        return False
+    if substitutes and compiled.search(""):
+        log.warning("skipping pattern %r: it matches the empty string", pattern)
+        return False
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(jre(pattern))
+        except Exception as exc:
+            raise ValueError(f"pattern {pattern!r} is valid in Python but not in Java: {exc}") from exc
+    return True

@@ -25,55 +25,63 @@ def is_error(level: Column, msg: Column) -> Column:
 
 # ── 1. event-rate correlation ──────────────────────────────────────────────
 
-def rate_buckets(df: DataFrame, bucket_minutes: int = 1, **time_kw) -> DataFrame:
-    """Events per source per epoch-aligned bucket: (source, bucket, events)."""
+def rate_buckets(df: DataFrame, bucket_minutes: int = 1, weight_col: str | None = None, **time_kw) -> DataFrame:
+    """Events per source per epoch-aligned bucket: (source, bucket, events).
+
+    ``weight_col`` names a count per row, for tables that were aggregated before.
+    """
     timed = with_event_time(df, **time_kw)
     return timed.groupBy("source", floor_minutes(F.col("ts"), bucket_minutes).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("events")
+        (F.sum(weight_col) if weight_col else F.count(F.lit(1))).cast("long").alias("events")
     )
 
 
+_GRID = 32  # keys that spread the grid of all source pairs over tasks
+
+
+def _source_pairs(sources: DataFrame, cols: list[str]) -> DataFrame:
+    """Every pair a ≤ b of the rows of ``sources`` (one per source), as an equi-join on ``_GRID`` keys.
+
+    The result asks for all pairs; each of them comes out of the task of its
+    key, and no row holds all sources.
+    """
+    a = sources.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.explode(F.sequence(F.lit(0), F.lit(_GRID - 1))).alias("__lw_k"))
+    b = sources.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.pmod(F.xxhash64("source"), F.lit(_GRID)).cast("int").alias("__lw_k"))
+    return a.join(b, "__lw_k").where(F.col("a_source") <= F.col("b_source")).drop("__lw_k")
+
+
 def rate_correlation(df: DataFrame, bucket_minutes: int = 1, digits: int | None = 3, **time_kw) -> DataFrame:
     """Pearson r of per-bucket event counts for every ordered source pair (long form).
 
     The series are aligned on the union of non-empty buckets, missing = 0. No
     wide pivot: r = (N·Sxy − Sx·Sy) / sqrt((N·Sxx − Sx²)(N·Syy − Sy²)), where
-    Sxy comes from a self-join of the per-(source, bucket) counts on bucket (at
-    most one row per source and bucket). Constant series give NaN. Fewer than
-    two sources → no rows.
+    Sxy comes from a self-join of the per-(source, bucket) counts on bucket.
+    Counts are whole numbers, so all sums are exact decimals. Pairs are
+    computed for a ≤ b and mirrored. Constant series give NaN. Fewer than two
+    sources → no rows.
     """
     c = materialize(rate_buckets(df, bucket_minutes, **time_kw))  # read four times below
-    x = F.col("events").cast("double")
-    per_source = c.groupBy("source").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
-    per_bucket = c.groupBy("bucket").agg(F.lit(1).alias("one"))
-    # one row: the source axis (one entry per source) and N (non-empty buckets)
-    axis = (
-        per_source.select(F.struct("source", "sx", "sxx").alias("s"), F.lit(None).cast("int").alias("b"))
-        .unionByName(per_bucket.select(F.lit(None).cast("struct<source:string,sx:double,sxx:double>").alias("s"), F.lit(1).alias("b")))
-        .agg(F.sort_array(F.collect_list("s")).alias("axis"), F.count("b").alias("n"))
-        .where(F.size("axis") >= 2)
-    )
-    grid = axis.select(F.explode("axis").alias("a"), "axis", "n").select(
-        "a", F.explode("axis").alias("b"), "n"
-    )
-    a, b = c.alias("a"), c.alias("b")
-    sxy = (
-        a.join(b, F.col("a.bucket") == F.col("b.bucket"))
-        .groupBy(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"))
-        .agg(F.sum(F.col("a.events").cast("double") * F.col("b.events").cast("double")).alias("sxy"))
-    )
-    g = grid.select(
-        F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"),
-        F.col("n").cast("double").alias("n"), F.col("a.sx").alias("sx"), F.col("a.sxx").alias("sxx"),
-        F.col("b.sx").alias("sy"), F.col("b.sxx").alias("syy"),
-    ).join(sxy, ["source_a", "source_b"], "left")
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    num = n * F.coalesce(F.col("sxy"), F.lit(0.0)) - sx * sy
-    den = F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))
-    r = F.when(den > 0, num / den).otherwise(F.lit(float("nan")))
-    if digits is not None:
-        r = F.bround(r, digits)
-    return g.select("source_a", "source_b", r.alias("r"))
+    exact = lambda x: x.cast("decimal(38,0)")
+    x = exact(F.col("events"))
+    total = lambda v: F.sum(v).cast("decimal(38,0)")
+    per_source = c.groupBy("source").agg(total(x).alias("s"), total(exact(x * x)).alias("ss"))
+    n = c.agg(F.count_distinct("bucket").alias("n"), F.count_distinct("source").alias("k")).where("k >= 2").select("n")  # one row
+    a = c.select("bucket", F.col("source").alias("a_source"), F.col("events").alias("x"))
+    b = c.select("bucket", F.col("source").alias("b_source"), F.col("events").alias("y"))
+    sxy = a.join(b, "bucket").where(F.col("a_source") <= F.col("b_source"))
+    sxy = sxy.groupBy("a_source", "b_source").agg(total(exact(exact(F.col("x")) * exact(F.col("y")))).alias("sxy"))
+    g = _source_pairs(per_source, ["source", "s", "ss"]).join(sxy, ["a_source", "b_source"], "left").join(F.broadcast(n))
+    scaled = lambda p, q: exact(exact(F.col("n")) * p) - exact(q)
+    num = scaled(F.coalesce(F.col("sxy"), exact(F.lit(0))), F.col("a_s") * F.col("b_s"))
+    da = scaled(F.col("a_ss"), F.col("a_s") * F.col("a_s"))
+    db = scaled(F.col("b_ss"), F.col("b_s") * F.col("b_s"))
+    root = F.sqrt(da.cast("double")) * F.sqrt(db.cast("double"))
+    r = F.when((da > 0) & (db > 0), num.cast("double") / root).otherwise(F.lit(float("nan")))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) if digits is None else F.bround(r, digits)
+    r = F.when((da > 0) & (db > 0), r).otherwise(F.lit(float("nan")))
+    pair = lambda p, q: F.struct(F.col(p).alias("source_a"), F.col(q).alias("source_b"))
+    both = F.when(F.col("a_source") == F.col("b_source"), F.array(pair("a_source", "b_source"))).otherwise(F.array(pair("a_source", "b_source"), pair("b_source", "a_source")))
+    return g.select(F.explode(both).alias("p"), r.alias("r")).select("p.source_a", "p.source_b", "r")
 
 
 # ── 2. error cascades ──────────────────────────────────────────────────────
@@ -189,10 +197,12 @@ def error_cascades(
 def cascade_matrix(cascades: DataFrame) -> DataFrame:
     """Long source × source cascade counts over the sources named in ``cascades``, 0 when absent."""
     cascades = materialize(cascades.select("source_a", "source_b", "cascades"))  # read twice below
-    names = cascades.select(F.col("source_a").alias("s")).unionByName(cascades.select(F.col("source_b").alias("s")))
-    axis = names.agg(F.sort_array(F.collect_set("s")).alias("axis")).where(F.size("axis") > 0)
-    grid = axis.select(F.explode("axis").alias("source_a"), "axis").select("source_a", F.explode("axis").alias("source_b"))
-    return grid.join(cascades.select("source_a", "source_b", "cascades"), ["source_a", "source_b"], "left").select(
+    names = cascades.select(F.col("source_a").alias("source")).union(cascades.select("source_b")).distinct()
+    half = _source_pairs(names, ["source"])
+    pair = lambda p, q: F.struct(F.col(p).alias("source_a"), F.col(q).alias("source_b"))
+    both = F.when(F.col("a_source") == F.col("b_source"), F.array(pair("a_source", "b_source"))).otherwise(F.array(pair("a_source", "b_source"), pair("b_source", "a_source")))
+    grid = half.select(F.explode(both).alias("p")).select("p.source_a", "p.source_b")
+    return grid.join(cascades, ["source_a", "source_b"], "left").select(
         "source_a", "source_b", F.coalesce(F.col("cascades"), F.lit(0)).cast("long").alias("cascades")
     )
 
@@ -218,11 +228,10 @@ def id_occurrences(df: DataFrame, cfg: C.CorrelationConfig | None = None, **time
     )
 
 
-def shared_ids(df: DataFrame, cfg: C.CorrelationConfig | None = None, top: int | None = -1, **time_kw) -> DataFrame:
-    """Identifiers seen in ≥2 sources, most sources then most occurrences first.
+def shared_ids(df: DataFrame, cfg: C.CorrelationConfig | None = None, top: int | None = None, **time_kw) -> DataFrame:
+    """All identifiers seen in ≥2 sources; ``top`` keeps the first ones of a report.
 
-    ``top=-1`` uses ``cfg.top_ids`` (300, the report size); ``None`` keeps all.
-    Occurrences are pre-aggregated per (id, source) before the per-id step, so
+    The report's order is most sources, then most occurrences, then the id. Occurrences are pre-aggregated per (id, source) before the per-id step, so
     a hot identifier costs one row per source there.
     """
     cfg = cfg or C.CorrelationConfig()
@@ -250,18 +259,19 @@ def shared_ids(df: DataFrame, cfg: C.CorrelationConfig | None = None, top: int |
         "first_ts",
         "last_ts",
     )
-    if top == -1:
-        top = cfg.top_ids
     if top is not None:
         out = out.orderBy(F.col("n_sources").desc(), F.col("n_occurrences").desc(), F.col("id")).limit(int(top))
     return out
 
 
-def track_id(df: DataFrame, id_value: str, cfg: C.CorrelationConfig | None = None, **time_kw) -> DataFrame:
-    """Timed rows that carry any identifier and contain ``id_value``: (source, ts, snippet)."""
+def track_id(df: DataFrame, id_value: str, cfg: C.CorrelationConfig | None = None, snippet: int | None = None, **time_kw) -> DataFrame:
+    """Timed rows that carry any identifier and contain ``id_value``: (source, ts, msg).
+
+    ``snippet`` adds the first so many characters of ``msg`` for a list.
+    """
     cfg = cfg or C.CorrelationConfig()
     timed = with_event_time(df, **time_kw)
     msg = F.coalesce(F.col("msg"), F.lit(""))
-    return timed.where(msg.rlike(id_pattern(cfg)) & msg.contains(id_value)).select(
-        "source", "ts", F.left(msg, F.lit(100)).alias("snippet")
-    )
+    extra = [F.left(msg, F.lit(snippet)).alias("snippet")] if snippet else []
+    # the cheap search first
+    return timed.where(msg.contains(id_value) & msg.rlike(id_pattern(cfg))).select("source", "ts", msg.alias("msg"), *extra)

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import jre, regex_is_valid
+from ..functions.text import jre, usable_pattern
 from ..plans.rank import global_rank
 
 # Formats tried for every row (first that parses wins). Naive times are UTC.
+# One-digit fields, a slash date and the compact HHmm are accepted by the line formats too.
 TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][,SSSSSSSSS][XXX][X]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][,SSSSSSSSS][XXX][X]",
-    "yyyy-MM-dd HH:mm[XXX][X]",
-    "yyyy-MM-dd'T'HH:mm[XXX][X]",
-    "yyyy-MM-dd",
+    "y-M-d H:m:s[.SSSSSSSSS][,SSSSSSSSS][XXX][X]",
+    "y-M-d'T'H:m:s[.SSSSSSSSS][,SSSSSSSSS][XXX][X]",
+    "y-M-d H:m[XXX][X]",
+    "y-M-d'T'H:m[XXX][X]",
+    "y-M-d HHmm[ss]",
+    "y-M-d'T'HHmm[ss]",
+    "y-M-d",
+    "y/M/d H:m:s[.SSSSSSSSS][,SSSSSSSSS]",
+    "y/M/d H:m",
+    "y/M/d",
 ]
 
 
@@ -72,13 +78,13 @@ def _type_condition(et: C.EventType, msg: Column, level: Column) -> Column | Non
     conds = []
     for code in et.status_codes:
         p = rf"\b{code}\b"
-        if regex_is_valid(p):
+        if usable_pattern(p):
             conds.append(msg.rlike(jre(p)))
     for kw in et.keywords:
-        if regex_is_valid(kw):
+        if usable_pattern(kw):
             conds.append(msg.rlike(jre(kw, ignore_case=True)))
     if et.levels:
-        conds.append(F.upper(level).isin(*[lv.upper() for lv in et.levels]))
+        conds.append(F.upper(level).isin(*et.levels))
     if not conds:
         return None
     out = conds[0]
@@ -104,19 +110,18 @@ def classify_event(
     msg = F.coalesce(F.col(msg_col).cast("string"), F.lit(""))
     level = F.coalesce(F.col(level_col).cast("string"), F.lit(""))
     catch = next((t for t in types if t.catch_all), C.DEFAULT_EVENT_TYPES[-1])
-    name_expr = None
+    # one struct per type: a custom type may reuse a default type's name with a display of its own
+    both = lambda t: F.struct(F.lit(t.name).alias("name"), F.lit(t.display).alias("display"))
+    chain = F
     for et in types:
         cond = _type_condition(et, msg, level)
-        if cond is None:
-            continue
-        name_expr = F.when(cond, F.lit(et.name)) if name_expr is None else name_expr.when(cond, F.lit(et.name))
-    name_expr = F.lit(catch.name) if name_expr is None else name_expr.otherwise(F.lit(catch.name))
-    out = df.withColumn(out_col, name_expr)
+        if cond is not None:
+            chain = chain.when(cond, both(et))
+    chosen = both(catch) if chain is F else chain.otherwise(both(catch))
+    out = df.withColumn("__lw_type", chosen).withColumn(out_col, F.col("__lw_type.name"))
     if display_col:
-        # display follows the class name through a small literal map
-        disp = F.create_map(*[x for t in types for x in (F.lit(t.name), F.lit(t.display))])
-        out = out.withColumn(display_col, F.element_at(disp, F.col(out_col)))
-    return out
+        out = out.withColumn(display_col, F.col("__lw_type.display"))
+    return out.drop("__lw_type")
 
 
 def is_anomaly_type(event_type: Column) -> Column:
@@ -145,7 +150,7 @@ def assign_lane(
         default = F.concat(source, F.lit(" › "), service)
     expr = None
     for r in rules or []:
-        if not regex_is_valid(r.pattern):
+        if not usable_pattern(r.pattern):
             continue
         name = F.concat(source, F.lit(" › "), F.lit(r.lane_name)) if prefixed else F.lit(r.lane_name)
         cond = F.coalesce(msg.rlike(jre(r.pattern, ignore_case=True)), F.lit(False))
@@ -158,38 +163,39 @@ def assign_lane(
 def classified_timeline(
     df: DataFrame,
     cfg: C.TimelineConfig | None = None,
-    sample_first: bool = False,
-    tie_cols: list[str] | None = None,
     **time_kw,
 ) -> DataFrame:
-    """Timed rows with lane and event class: the frame every timeline table reads.
-
-    By default classes, density and anomaly rates see every row.
-    ``sample_first=True`` downsamples to ``cfg.max_points`` first, as the
-    original chart did (``tie_cols`` complete the time order).
-    """
+    """Timed rows with lane and event class: the frame every timeline table reads. Every row is in it."""
     cfg = cfg or C.TimelineConfig()
     timed = with_event_time(df, **time_kw)
-    if sample_first:
-        timed = downsample_every(timed, cfg.max_points, ["ts", *(tie_cols or [])])
     laned = assign_lane(timed, cfg.lane_rules, cfg.lane_mode)
     return classify_event(laned, cfg.custom_event_types)
 
 
-def timeline_points(df: DataFrame, cfg: C.TimelineConfig | None = None, **time_kw) -> DataFrame:
-    """One point per timed row: ts, lane, event_type, event_display, level, msg."""
-    return classified_timeline(df, cfg, **time_kw).select("ts", "lane", "event_type", "event_display", "level", "msg")
+def timeline_points(df: DataFrame, cfg: C.TimelineConfig | None = None, keep: tuple[str, ...] = (), **time_kw) -> DataFrame:
+    """One point per timed row: the ``keep`` columns, ts, lane, event_type, event_display, level, msg."""
+    return classified_timeline(df, cfg, **time_kw).select(*keep, "ts", "lane", "event_type", "event_display", "level", "msg")
 
 
-def downsample_every(df: DataFrame, max_points: int = 3000, order_cols: list[str] | None = None) -> DataFrame:
-    """Keep every step-th row in time order, step = n // max_points, if n > max_points.
+def downsample_every(df: DataFrame, step: int, order_cols: list[str]) -> DataFrame:
+    """A sample: every ``step``-th row in the order of ``order_cols``.
 
-    ``order_cols`` must make the order total (time first, then a unique key).
+    The order must be total: time first, then a unique key (two columns at
+    least, so that a third of all rows at one time still spread over tasks).
+    Only the order columns are ranked and written; the rows come back by a
+    join on them.
     """
-    order_cols = order_cols or ["ts"]
-    ranked = global_rank(df, order_cols, rank_col="__lw_rank", total_col="__lw_n")
-    step = F.when(F.col("__lw_n") > max_points, F.floor(F.col("__lw_n") / F.lit(max_points))).otherwise(F.lit(1))
-    return ranked.where(F.col("__lw_rank") % step == 0).drop("__lw_rank", "__lw_n")
+    if len(order_cols) < 2:
+        raise ValueError("order_cols needs the time and a key that breaks its ties")
+    if step <= 1:
+        return df
+    ranked = global_rank(df.select(*order_cols), order_cols, rank_col="__lw_rank")
+    return df.join(ranked.where(F.col("__lw_rank") % step == 0).drop("__lw_rank"), order_cols, "left_semi")
+
+
+def chart_step(rows: int, max_points: int = 3000) -> int:
+    """The step that thins ``rows`` points to about ``max_points`` for a chart."""
+    return max(1, rows // max_points)
 
 
 def event_density(classified: DataFrame, bucket_minutes: int = 5, hot_share: float = 0.4) -> DataFrame:

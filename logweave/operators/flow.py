@@ -23,18 +23,16 @@ def _tagged(df: DataFrame) -> DataFrame:
     )
 
 
-def service_flow(df: DataFrame, multi: bool | None = None) -> DataFrame:
-    """Edges (layer, src, dst, n): source→service (several sources only) and service→level.
+def service_flow(df: DataFrame, multi: bool = True) -> DataFrame:
+    """Edges (layer, src, dst, n): source→service and service→level.
 
     Counts are pre-aggregated once per (source, service, level); both edge
-    layers roll up from that small table. ``multi=None`` checks whether more
-    than one source is present.
+    layers roll up from that small table. ``multi=False`` leaves the source
+    layer out (for a table of one source).
     """
     base = materialize(_tagged(df).groupBy("source", "service", "level").agg(F.count(F.lit(1)).alias("n")))
     sl = base.groupBy(F.col("service").alias("src"), F.col("level").alias("dst")).agg(F.sum("n").alias("n"))
     sl = sl.select(F.lit("service_level").alias("layer"), "src", "dst", "n")
-    if multi is None:
-        multi = base.select("source").distinct().limit(2).count() > 1
     if not multi:
         return sl
     ss = base.groupBy(F.col("source").alias("src"), F.col("service").alias("dst")).agg(F.sum("n").alias("n"))

@@ -27,22 +27,25 @@ def latency_value(msg: F.Column) -> F.Column:
     return F.coalesce(*hits).try_cast("double")
 
 
-def extract_latency(df: DataFrame, msg_col: str = "msg") -> DataFrame:
-    """One sample per line with a latency: (service, latency_ms, time, msg_snippet)."""
+def extract_latency(df: DataFrame, msg_col: str = "msg", snippet: int | None = None) -> DataFrame:
+    """One sample per line with a latency: (service, latency_ms, time, msg).
+
+    ``snippet`` adds ``msg_snippet``, the first so many characters, for a chart.
+    """
     msg = F.coalesce(F.col(msg_col).cast("string"), F.lit(""))
     keep = [c for c in ("event_id",) if c in df.columns]
+    extra = [F.left(msg, F.lit(snippet)).alias("msg_snippet")] if snippet else []
     return (
-        df.select(*keep, service_label(df).alias("service"), latency_value(msg).alias("latency_ms"),
-                  F.col("time"), F.left(msg, F.lit(100)).alias("msg_snippet"))
+        df.select(*keep, service_label(df).alias("service"), latency_value(msg).alias("latency_ms"), F.col("time"), msg.alias("msg"), *extra)
         .where(F.col("latency_ms").isNotNull())
     )
 
 
 def latency_points(df: DataFrame, **time_kw) -> DataFrame:
-    """Timed latency samples for a scatter: (ts, service, latency_ms, msg_snippet)."""
+    """Timed latency samples for a scatter: (ts, service, latency_ms, msg)."""
     s = with_event_time(extract_latency(df), **time_kw)
     keep = [c for c in ("event_id",) if c in s.columns]
-    return s.select(*keep, "ts", "service", "latency_ms", "msg_snippet")
+    return s.select(*keep, "ts", "service", "latency_ms", "msg")
 
 
 def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = False) -> DataFrame:

@@ -1,40 +1,49 @@
 """Person names from a user-given name table (replaces model inference).
 
-A row "contains" a name when the name equals one of the row's word n-grams
-(n up to the longest name, in words) or, inside runs of CJK characters
-(written without spaces), one of their character n-grams of the usual name
-lengths (2–4 characters by default). Matching is an equi-join of exploded
-n-grams with the de-duplicated name table — no broadcast of the name list is
-assumed, so it works for name tables of any size; AQE's skew handling splits a
-hot n-gram. The names found per row come back as ``array<string>`` for
-:func:`logweave.operators.redact.redact` (``persons_col``).
+A name of Han characters occurs wherever its characters do (Chinese is written
+without spaces). Any other name occurs where its words stand next to each
+other; words end at white space, at punctuation around them, and where Han
+characters meet others. Names may have any length.
+
+Matching joins on *anchors*: the first two characters of a Han name, the first
+word of another. A text offers each distinct word and pair of Han characters
+once; the name table's anchors prune them before they are shuffled (Spark
+broadcasts that small side only below its size limit). Candidates are then
+checked in full against the text, which is joined once. The names found per
+row come back as ``array<string>`` for :func:`logweave.operators.redact.redact`
+(``persons_col``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN_EDGE = r"(?U)^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
-_CJK_RUN = r"[\p{IsHan}]+"
+_HAN_BORDER = r"(?<=\p{IsHan})(?=\P{IsHan})|(?<=\P{IsHan})(?=\p{IsHan})"
+_HAN_RUN = r"\p{IsHan}+"
 
 
-def _cjk_grams(text: F.Column, lengths: tuple[int, ...]) -> F.Column:
-    """Character n-grams of the given lengths inside each run of Han characters."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_CJK_RUN), 0)
+def _words(text: Column) -> Column:
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), _HAN_BORDER, " ")
+    toks = F.split(spaced, r"(?U)\s+", -1)
+    return F.filter(F.transform(toks, lambda t: F.regexp_replace(t, _TOKEN_EDGE, "")), lambda t: F.length(t) > 0)
 
-    def grams_of(n: int):
-        def per_run(run: F.Column) -> F.Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(0)))
-            return F.filter(F.transform(starts, lambda i: F.substring(run, i, n)), lambda g: F.length(g) == n)
-        return per_run
 
-    return F.flatten(F.array(*[F.flatten(F.transform(runs, grams_of(n))) for n in lengths]))
+def _spaced(text: Column) -> Column:
+    """The words with one space around each: a name's words occur if its own form is contained."""
+    return F.concat(F.lit(" "), F.array_join(_words(text), " "), F.lit(" "))
 
 
-def _words(text: F.Column) -> F.Column:
-    toks = F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1)
-    return F.filter(F.transform(toks, lambda t: F.regexp_replace(t, _TOKEN_EDGE, "")), lambda t: F.length(t) > 0)
+def _han_anchors(text: Column) -> Column:
+    """Each Han character and each pair of neighbours, once."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_HAN_RUN), 0)
+
+    def per_run(run: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(run))
+        return F.flatten(F.array(F.transform(places, lambda i: F.substring(run, i, F.lit(1))), F.transform(places, lambda i: F.substring(run, i, F.lit(2)))))
+
+    return F.flatten(F.transform(runs, per_run))
 
 
 def person_names(
@@ -44,33 +53,21 @@ def person_names(
     text_col: str = "text",
     name_col: str = "name",
     out_col: str = "persons",
-    max_words: int = 3,
-    cjk_lengths: tuple[int, ...] = (2, 3, 4),
 ) -> DataFrame:
     """Add ``out_col`` = distinct names from ``names`` that occur in ``text_col``.
 
-    ``key_cols`` must identify a row of ``df``. ``cjk_lengths=()`` turns the
-    character n-grams off.
+    ``key_cols`` must identify a row of ``df``.
     """
     nm = names.select(F.trim(F.col(name_col)).alias("__lw_name")).where(F.length("__lw_name") > 0).distinct()
-    words = F.col("__lw_w")
-
-    def gram_of(n: int):
-        # one-argument lambda: a second argument would be read as the index
-        return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), gram_of(n))
-        for n in range(1, max_words + 1)
-    ]
-    # de-duplicate inside the row (no shuffle); rows are unique by key already
-    if cjk_lengths:
-        grams.append(_cjk_grams(F.col(text_col), tuple(cjk_lengths)))
-    exploded = (
-        df.select(*key_cols, F.col(text_col), _words(F.col(text_col)).alias("__lw_w"))
-        .select(*key_cols, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("__lw_name"))
-    )
-    found = exploded.join(nm, "__lw_name").groupBy(*key_cols).agg(F.sort_array(F.collect_set("__lw_name")).alias(out_col))
-    return df.join(found, key_cols, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>"))
-    )
+    han = F.col("__lw_name").rlike(rf"^{_HAN_RUN}$")
+    form = F.when(~han, _spaced(F.col("__lw_name")))
+    nm = nm.select("__lw_name", form.alias("__lw_form"), F.when(han, F.left("__lw_name", F.lit(2))).otherwise(F.get(_words(F.col("__lw_name")), F.lit(0))).alias("__lw_anchor"))
+    nm = nm.where(F.col("__lw_anchor").isNotNull())
+    text = F.col(text_col)
+    anchors = df.select(*key_cols, F.explode(F.array_distinct(F.concat(_words(text), _han_anchors(text)))).alias("__lw_anchor"))
+    anchors = anchors.join(nm.select("__lw_anchor").distinct(), "__lw_anchor", "left_semi")
+    found = anchors.join(nm, "__lw_anchor").groupBy(*key_cols).agg(F.collect_set(F.struct("__lw_name", "__lw_form")).alias("__lw_found"))
+    out = df.join(found, key_cols, "left").withColumn("__lw_text", F.when(F.col("__lw_found").isNotNull(), _spaced(text)))
+    hit = lambda n: F.when(n["__lw_form"].isNull(), text.contains(n["__lw_name"])).otherwise(F.col("__lw_text").contains(n["__lw_form"]))
+    kept = F.array_sort(F.transform(F.filter("__lw_found", hit), lambda n: n["__lw_name"]))
+    return out.withColumn(out_col, F.coalesce(kept, F.array().cast("array<string>"))).drop("__lw_found", "__lw_text")

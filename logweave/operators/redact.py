@@ -20,10 +20,11 @@ from ..functions.text import (
     jre,
     mask_value,
     quote_replacement,
-    regex_is_valid,
     sub_matches,
     token_value,
+    usable_pattern,
 )
+from .persons import person_names
 
 
 @dataclass
@@ -115,18 +116,25 @@ def redact(
     out_col: str | None = None,
     detected_col: str = "detected",
     persons_col: str | None = None,
+    part: str = "all",
 ) -> DataFrame:
     """Redact ``text_col``; add ``out_col`` (default: overwrite) and ``detected_col``.
 
     ``detected_col`` is the ordered, de-duplicated list of entity names found.
     ``persons_col`` (``array<string>``) names the person names found in each
-    row, e.g. from :func:`logweave.operators.persons.person_names`.
+    row, e.g. from :func:`logweave.operators.persons.person_names`. ``part``
+    ``"before_names"`` stops in front of that layer, ``"from_names"`` goes on
+    from there with the detected list it finds (see :func:`redact_names`).
     """
+    if part not in ("all", "before_names", "from_names"):
+        raise ValueError(f"unknown part {part!r}")
+    head, tail = part != "from_names", part != "before_names"
     cfg = cfg or C.RedactionConfig()
     out_col = out_col or text_col
     key = cfg.secret_key
     st = "__lw_state"
-    cur = df.withColumn(st, F.struct(F.col(text_col).alias("t"), F.array().cast("array<string>").alias("d")))
+    known = F.array().cast("array<string>") if head else F.col(detected_col)
+    cur = df.withColumn(st, F.struct(F.col(text_col).alias("t"), known.alias("d")))
 
     def add(rewrite: Callable[[Column], Column], hit: Callable[[Column], Column], name: str | None) -> None:
         nonlocal cur
@@ -137,13 +145,13 @@ def redact(
             return lambda t: F.coalesce(t.contains(literal), F.lit(False)) & has_match(t, p)
         return lambda t: has_match(t, p)
 
-    if cfg.truncate_base64:
+    if cfg.truncate_base64 and head:
         p = jre(C.FAST_FORMS["BASE64"])
         add(lambda c, p=p: sub_matches(c, p, _base64_note), pattern_hit(p), None)
 
     for entity in C.REGEX_ENTITIES:
         ecfg = cfg.entities.get(entity)
-        if ecfg is None or not ecfg.enabled:
+        if ecfg is None or not ecfg.enabled or not head:
             continue
         p = jre(C.FAST_FORMS.get(entity, C.ENTITY_PATTERNS[entity]))
         rule = _rule(entity, ecfg, key)
@@ -152,13 +160,14 @@ def redact(
     pcfg = cfg.entities.get(C.PERSON)
     if pcfg is not None and pcfg.enabled:
         prule = _rule(C.PERSON, pcfg, key)
-        add(lambda c: _json_name_rewrite(c, prule), pattern_hit(json_name_pattern()), C.PERSON)
-        if persons_col is not None:
+        if head:
+            add(lambda c: _json_name_rewrite(c, prule), pattern_hit(json_name_pattern()), C.PERSON)
+        if persons_col is not None and tail:
             names = F.coalesce(F.col(persons_col), F.array().cast("array<string>"))
             add(lambda c: _persons_rewrite(c, names, prule), lambda t: F.size(names) > 0, C.PERSON)
 
     for ce in cfg.custom_entities:
-        if not ce.config.enabled or not regex_is_valid(ce.pattern):
+        if not tail or not ce.config.enabled or not usable_pattern(ce.pattern, substitutes=True):
             continue
         p = jre(ce.pattern)
         rule = _rule(ce.name, ce.config, key)
@@ -168,6 +177,22 @@ def redact(
     return cur.drop(st)
 
 
+def redact_names(
+    df: DataFrame,
+    names: DataFrame,
+    key_cols: list[str],
+    text_col: str = "text",
+    cfg: C.RedactionConfig | None = None,
+    *,
+    name_col: str = "name",
+    detected_col: str = "detected",
+) -> DataFrame:
+    """All layers with person names of a name table, found on the text as the JSON-name layer left it."""
+    first = redact(df, text_col, cfg, detected_col=detected_col, part="before_names")
+    named = person_names(first, names, key_cols, text_col, name_col, "__lw_persons")
+    return redact(named, text_col, cfg, detected_col=detected_col, persons_col="__lw_persons", part="from_names").drop("__lw_persons")
+
+
 def redact_text(
     df: DataFrame,
     text_col: str,

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import jre
+from ..plans.rank import global_rank
+
 PREVIEW_COLUMNS = ["time", "level", "service", "msg", "redacted_entities", "source"]
 
 
@@ -31,7 +34,7 @@ def search_msg(df: DataFrame, keyword: str, msg_col: str = "msg") -> DataFrame:
     kw = keyword.strip()
     if not kw:
         return df
-    return df.where(F.coalesce(F.col(msg_col).rlike("(?iu)" + kw), F.lit(False)))
+    return df.where(F.coalesce(F.col(msg_col).rlike(jre(kw, ignore_case=True)), F.lit(False)))
 
 
 def redacted_flag(detected_col: str = "detected") -> F.Column:
@@ -48,9 +51,17 @@ def preview_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in PREVIEW_COLUMNS if c in df.columns])
 
 
-def merged_view(df: DataFrame, tie_cols: list[str] | None = None) -> DataFrame:
-    """All sources in one table ordered by the time *string*, then the tie columns."""
-    return df.orderBy("time", *(tie_cols or []))
+def merged_view(df: DataFrame, tie_cols: list[str] | None = None, rank_col: str | None = None) -> DataFrame:
+    """All sources in one table ordered by the time *string*, then the tie columns.
+
+    ``rank_col`` adds each row's place in that order (the tie columns must
+    make it total) instead of sorting the result.
+    """
+    order = ["time", *(tie_cols or [])]
+    if rank_col is None:
+        return df.orderBy(*order)
+    ranked = global_rank(df.select(*order), order, rank_col=rank_col)
+    return df.join(ranked, order)
 
 
 def text_line(df: DataFrame) -> F.Column:

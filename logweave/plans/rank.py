@@ -25,6 +25,8 @@ def global_rank(
 ) -> DataFrame:
     """Add a 0-based ``rank_col`` in ``order_cols`` order (ties must be broken by the caller).
 
+    ``df`` is written once: pass the order columns alone and join wider rows back.
+
     With ``total_col`` the total row count is added as well (no extra job).
     """
     spark = df.sparkSession

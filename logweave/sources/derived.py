@@ -11,30 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    A scan of a few large row groups yields fewer tasks than cores (a file
-    with one row group is one task, however big). Then the rows are dealt
-    round-robin to ``defaultParallelism`` partitions and cached: filters are
-    pushed through a repartition, so without the cached relation a filter on
-    redaction output (or the one ``explode`` infers) would run the redaction
-    in the single scan task again. With more splits than cores — any large
-    input — this is a no-op: no shuffle and no cache at scale.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target).cache()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """One driver table; ``columns`` are selected before any spreading, so the
-    scan reads only them."""
+    """One driver table, only the named columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    return spread(df)
+    return df.select(*columns) if columns else df
 
 
 def _level(event_type: Column) -> Column:
@@ -102,17 +82,33 @@ def raw(spark: SparkSession, sf_dir: str, fmt: int | None = None) -> DataFrame:
     return raw_from_logs(logs(spark, sf_dir), fmt)
 
 
+PII_NAMES = ["Alice", "王芳", "Bob Lee", "欧阳娜娜", "张三"]
+# the order of the fragments and what stands between them, by ``event_id % 3``
+PII_LAYOUTS = [
+    (["tel", "mail", "id", "card", "ip", "org", "emp", "json", "b64"], " "),
+    (["json", "ip", "tel", "org", "card", "mail", "emp", "id", "b64"], "; "),
+    (["b64", "emp", "card", "id", "tel", "mail", "json", "ip", "org"], "，"),
+]
+
+
 def pii_from_events(events: DataFrame) -> DataFrame:
-    """One text per event holding every built-in entity kind: (event_id, text)."""
+    """One text per event holding every built-in entity kind, in varied order and company: (event_id, text)."""
     n = (F.lit(10000000) + F.col("event_id")).cast("string")
-    text = F.concat(
-        F.lit("tel 138"), n, F.lit(" mail u"), n, F.lit("@mail.example id 1101011990"), n,
-        F.lit(" card 41111111"), n, F.lit(" ip 10.0."), (F.col("event_id") % 256).cast("string"),
-        F.lit(".7 org 91110108MA"), n, F.lit(" emp EMP"), F.substring(n, 3, 1000),
-        F.lit(' {"name":"Alice"} b64 '), F.repeat(F.lit("QUJD"), (F.lit(20) + F.col("event_id") % 3).cast("int")),
-        F.lit(" end"),
-    )
-    return events.select("event_id", text.alias("text"))
+    name = F.element_at(F.array(*map(F.lit, PII_NAMES)), (F.col("event_id") % len(PII_NAMES) + 1).cast("int"))
+    part = {
+        "tel": F.concat(F.lit("tel 138"), n),
+        "mail": F.concat(F.lit("mail u"), n, F.lit("@mail.example")),
+        "id": F.concat(F.lit("id 1101011990"), n),
+        "card": F.concat(F.lit("card 41111111"), n),
+        "ip": F.concat(F.lit("ip 10.0."), (F.col("event_id") % 256).cast("string"), F.lit(".7")),
+        "org": F.concat(F.lit("org 91110108MA"), n),
+        "emp": F.concat(F.lit("emp EMP"), F.substring(n, 3, 1000)),
+        "json": F.concat(F.lit('{"name":"'), name, F.lit('"}')),
+        "b64": F.concat(F.lit("b64 "), F.repeat(F.lit("QUJD"), (F.lit(20) + F.col("event_id") % 3).cast("int")), F.lit(" end")),
+    }
+    texts = [F.concat_ws(sep, *[part[k] for k in order]) for order, sep in PII_LAYOUTS]
+    kind = F.col("event_id") % 3
+    return events.select("event_id", F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).otherwise(texts[2]).alias("text"))
 
 
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,3 +147,23 @@ def json_lines_from_logs(lg: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit('{"loglevel":"'), F.lower(lv), F.lit('","logger":"'), sv, F.lit('","log":"'), m, F.lit('"}')))
     )
     return lg.select("event_id", kind.alias("kind"), line.alias("line"))
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log lines whose message is a document's text on one line: (doc_id, source, line)."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    one_line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
+    return docs.select("doc_id", "source", F.concat(F.lit("2024-03-01 08:30:00 [INFO] [docs] - "), one_line).alias("line"))
+
+
+def long_name_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one to five words, and Chinese names of two to five characters inside running text: (o_orderkey, name, text)."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    c = F.col("o_custkey")
+    tail = F.element_at(F.array(*map(F.lit, ["", " de Borbon", " van der Berg", " Maria de la Cruz"])), (c % 4 + 1).cast("int"))
+    han = F.translate(c.cast("string"), "0123456789", "零王李张刘陈杨赵黄周")
+    latin = F.concat(F.lit("Nym"), F.translate(c.cast("string"), "0123456789", "abcdefghij"), tail)
+    chinese = F.concat(F.lit("欧"), F.right(han, F.lit(4)))
+    name = F.when(c % 3 == 0, chinese).otherwise(latin)
+    text = F.concat(F.lit("订单由"), name, F.lit("签收，参见 "), F.when(c % 2 == 0, name).otherwise(F.lit("no name")), F.lit(", 完"))
+    return o.select("o_orderkey", name.alias("name"), text.alias("text"))

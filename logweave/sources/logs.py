@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.views import text_line
 
 
+def _file_name() -> Column:
+    """The file's name as it is on disk; the metadata column has it URL-escaped (``+`` is no escape there)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_logs(
     spark: SparkSession,
     paths: str | list[str],
@@ -24,7 +29,7 @@ def read_logs(
     reader (lines end at ``\\n``, ``\\r`` or ``\\r\\n``).
     """
     df = spark.read.text(paths).select(
-        F.make_valid_utf8(F.col("value")).alias(line_col), F.col("_metadata.file_name").alias("file_name")
+        F.make_valid_utf8(F.col("value")).alias(line_col), _file_name().alias("file_name")
     )
     default = F.regexp_replace(F.col("file_name"), r"\.[^.]*$", "")
     if labels:
@@ -45,7 +50,8 @@ def write_csv(df: DataFrame, path: str, include_original: bool = False, mode: st
     """Full table with a header. Raw (unredacted) text is left out unless asked for."""
     out = _drop_raw(df, include_original)
     out = out.drop(*[f.name for f in out.schema.fields if f.dataType.typeName() in ("array", "map", "struct")])
-    out.write.mode(mode).option("header", True).csv(path)
+    keep = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "quote": '"'}
+    out.write.mode(mode).options(**keep).csv(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:

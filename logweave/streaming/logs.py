@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import config as C
 from ..operators.process import process
+from ..sources.logs import _file_name
 
 
 def read_log_stream(
@@ -29,7 +30,7 @@ def read_log_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.load(path).select(
-        F.make_valid_utf8(F.col("value")).alias("value"), F.col("_metadata.file_name").alias("file_name")
+        F.make_valid_utf8(F.col("value")).alias("value"), _file_name().alias("file_name")
     )
     default = F.regexp_replace(F.col("file_name"), r"\.[^.]*$", "")
     if labels:

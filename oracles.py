@@ -27,10 +27,16 @@ from events
 """
 
 PII = """
-select event_id, concat('tel 138', n, ' mail u', n, '@mail.example id 1101011990', n,
-  ' card 41111111', n, ' ip 10.0.', cast(event_id % 256 as varchar), '.7 org 91110108MA', n,
-  ' emp EMP', substr(n, 3), ' {"name":"Alice"} b64 ', repeat('QUJD', cast(20 + event_id % 3 as integer)), ' end') as text
-from (select event_id, cast(10000000 + event_id as varchar) as n from events)
+select event_id, case event_id % 3
+    when 0 then concat_ws(' ', tel, mail, id, card, ip, org, emp, json, b64)
+    when 1 then concat_ws('; ', json, ip, tel, org, card, mail, emp, id, b64)
+    else concat_ws('，', b64, emp, card, id, tel, mail, json, ip, org) end as text
+from (select event_id, 'tel 138' || n as tel, 'mail u' || n || '@mail.example' as mail, 'id 1101011990' || n as id,
+    'card 41111111' || n as card, 'ip 10.0.' || cast(event_id % 256 as varchar) || '.7' as ip, 'org 91110108MA' || n as org,
+    'emp EMP' || substr(n, 3) as emp,
+    '{"name":"' || (['Alice', '王芳', 'Bob Lee', '欧阳娜娜', '张三'])[event_id % 5 + 1] || '"}' as json,
+    'b64 ' || repeat('QUJD', cast(20 + event_id % 3 as integer)) || ' end' as b64
+  from (select event_id, cast(10000000 + event_id as varchar) as n from events))
 """
 
 TIMED = "(select *, strptime(time, '%Y-%m-%d %H:%M:%S') as t from logs)"
@@ -215,6 +221,23 @@ def oracle_sql() -> dict[str, str]:
             list_reduce(list_prepend(n.text, list_sort(f.names)), lambda acc, nm: replace(acc, nm, '<姓名>')) end as clean,
           case when f.names is null then '' else 'PERSON' end as entities
         from notes n left join found f using (o_orderkey)"""
+    o["redact_custom_named"] = o["redact_custom"]
+    letters = "translate(cast(o_custkey as varchar), '0123456789', 'abcdefghij')"
+    han = "translate(cast(o_custkey as varchar), '0123456789', '零王李张刘陈杨赵黄周')"
+    o["redact_persons_long"] = f"""
+        with notes as (select o_orderkey, o_custkey, case when o_custkey % 3 = 0 then '欧' || right({han}, 4)
+              else 'Nym' || {letters} || (['', ' de Borbon', ' van der Berg', ' Maria de la Cruz'])[o_custkey % 4 + 1] end as name from orders),
+        texts as (select o_orderkey, '订单由' || name || '签收，参见 ' || case when o_custkey % 2 = 0 then name else 'no name' end || ', 完' as text from notes),
+        spaced as (select o_orderkey, text, ' ' || regexp_replace(text, '[^A-Za-z]+', ' ', 'g') || ' ' as words from texts),
+        names as (select distinct name, regexp_matches(name, '^[A-Za-z ]+$') as latin from notes),
+        anchored as (select o_orderkey, text, words, case when regexp_matches(words, 'Nym') then regexp_extract(words, 'Nym[a-z]+') else substr(text, 4, 2) end as anchor from spaced),
+        found as (select o_orderkey, list(name order by length(name) desc, name) as found from anchored
+          join names on anchor = case when latin then regexp_extract(name, 'Nym[a-z]+') else left(name, 2) end
+          where case when latin then contains(words, ' ' || name || ' ') else contains(text, name) end group by o_orderkey)
+        select t.o_orderkey, case when found is null then text else
+            list_reduce(list_prepend(text, found), lambda acc, nm: replace(acc, nm, '<姓名>')) end as clean,
+          case when found is null then '' else 'PERSON' end as entities
+        from texts t left join found using (o_orderkey)"""
     docs_all = chain(DOCS, "doc_id, source", redact_steps(entities=ALL))
     o["redact_pages"] = _redact_sql("select page_id, html as text from pages", "page_id", entities=ALL)
     o["redacted_flag"] = f"select doc_id, entities <> '' as redacted from ({chain(DOCS, 'doc_id, source', redact_steps(entities=ALL))})"
@@ -284,19 +307,29 @@ def oracle_sql() -> dict[str, str]:
         select count(*) as total_lines, count(*) filter (where parse_method = 'fallback') as fallback_lines,
           coalesce(round_even(100.0 * count(*) filter (where parse_method = 'fallback') / count(*), 1), 0.0)::double as fallback_pct
         from ({parse_expected})"""
+    lines = "select doc_id, source, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') as text from documents"
+    clean = chain(lines, "doc_id, source", redact_steps(entities=ALL))
     o["process_all"] = f"""
-        select event_id, source, time, level, service, msg, msg as original_msg, '' as redacted_entities, parse_method
-        from ({parse_expected}) p join (select event_id, source from ({LOGS})) s using (event_id)"""
+        select r.doc_id, r.source, '2024-03-01 08:30:00' as time, 'INFO' as level, 'docs' as service, clean as msg,
+          l.text as original_msg, entities as redacted_entities, 'grok' as parse_method
+        from ({clean}) r join ({lines}) l using (doc_id)"""
     o["run_totals"] = f"""
-        select count(*) as total_lines, 0::bigint as redacted_lines,
-          count(*) filter (where parse_method = 'fallback') as fallback_lines,
-          coalesce(round_even(100.0 * count(*) filter (where parse_method = 'fallback') / count(*), 1), 0.0)::double as fallback_pct
-        from ({parse_expected})"""
+        select count(*) as total_lines, count(*) filter (where entities <> '') as redacted_lines,
+          0::bigint as fallback_lines, 0.0::double as fallback_pct
+        from ({clean})"""
     # ── views
     o["filter_level"] = f"select event_id, source, time, level, service, msg from ({LOGS}) where upper(level) = 'ERROR'"
     o["filter_source"] = f"select event_id, source, time, level, msg from ({LOGS}) where source = 'src2'"
     o["search_msg"] = f"select event_id, source, msg from ({LOGS}) where regexp_matches(msg, trim('SIGNUP user 1[0-9] '), 'i')"
-    o["merged_view"] = f"select time, level, service, msg, source from ({LOGS})"
+    o["search_unicode"] = f"""select event_id, msg from (select event_id, '用户' || msg || '登录' as msg from ({LOGS}))
+        where regexp_matches(msg, '用户[{W}]+ user 1[{D}] .*登录', 'i')"""
+    o["merged_view"] = f"""select event_id, row_number() over (order by time, event_id) - 1 as place, time, level, service, msg, source
+        from ({LOGS})"""
+    o["event_time_forms"] = f"""select event_id, time,
+          strftime(case event_id % 4 when 0 then date_trunc('second', ts) when 2 then date_trunc('second', ts) else date_trunc('minute', ts) end, '%Y-%m-%d %H:%M:%S') as ts
+        from (select event_id, ts, case event_id % 4
+            when 0 then strftime(ts, '%Y-%-m-%-d %-H:%M:%S') when 1 then strftime(ts, '%Y-%m-%dT%H%M')
+            when 2 then strftime(ts, '%Y/%m/%d %H:%M:%S') else strftime(ts, '%Y-%m-%d %H:%M') end as time from ({LOGS}))"""
     o["export_text_line"] = f"select event_id, concat(time, ' [', level, '] [', service, '] [', source, '] - ', msg) as line from ({LOGS})"
     # ── timeline
     etype = """case when regexp_matches(msg, '\\b4\\d{2}\\b') then 'http_4xx'
@@ -312,7 +345,13 @@ def oracle_sql() -> dict[str, str]:
     o["classify_event"] = f"select event_id, event_type, {disp_case} as event_display from (select event_id, {etype} as event_type from ({LOGS}))"
     lane = "case when regexp_matches(msg, 'purchase', 'i') then source || ' › checkout' else source || ' › ' || service end"
     o["assign_lane"] = f"select event_id, {lane} as lane from ({LOGS})"
-    o["timeline_points"] = f"select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, {lane} as lane, event_type, level from {classified}"
+    o["assign_lane_any"] = f"select event_id, 'signup or any' as lane from ({LOGS})"
+    o["classify_custom"] = f"""select event_id,
+          case when regexp_matches(msg, 'purchase.*status 500|purchase.*duration=9') then 'error' else 'seen' end as event_type,
+          case when regexp_matches(msg, 'purchase.*status 500|purchase.*duration=9') then 'Purchase trouble' else 'Seen' end as event_display
+        from ({LOGS})"""
+    o["timeline_points"] = f"""select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, {lane} as lane, event_type,
+        {disp_case} as event_display, level, msg from {classified}"""
     bucket = "time_bucket(interval '60 minutes', t, timestamp '1970-01-01')"
     o["event_density"] = f"""
         select strftime({bucket}, '%Y-%m-%d %H:%M:%S') as bucket, count(*) as events,
@@ -337,30 +376,20 @@ def oracle_sql() -> dict[str, str]:
         from g"""
     o["downsample"] = f"""
         select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, source from (
-          select event_id, t, source, row_number() over (order by t, event_id) - 1 as r, count(*) over () as n
+          select event_id, t, source, row_number() over (order by t, event_id) - 1 as r
           from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null)
-        where r % (case when n > 3000 then n // 3000 else 1 end) = 0"""
+        where r % 5 = 0"""
     o["lane_axis"] = f"select distinct {lane} as lane from {classified}"
-    sampled = f"""(select * from (
-          select *, row_number() over (order by t, event_id) - 1 as r, count(*) over () as n
-          from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null)
-        where r % (case when n > 3000 then n // 3000 else 1 end) = 0)"""
-    sampled_cl = f"(select *, {etype} as event_type from {sampled})"
-    o["event_density_sampled"] = f"""
-        select strftime({bucket}, '%Y-%m-%d %H:%M:%S') as bucket, count(*) as events,
-          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) as errors,
-          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) / count(*) >= 0.4 as hot
-        from {sampled_cl} group by {bucket}"""
     # ── latency
     lat = f"""
         select event_id, source || ' › ' || split_part(service, '.', 2) || '.' || split_part(service, '.', 3) as service,
           cast(coalesce(nullif(regexp_extract(msg, '耗时[时长为：:{S}]*([{D}]+(?:\\.[{D}]+)?)[{S}]*ms', 1, 'i'), ''),
                         nullif(regexp_extract(msg, '(?:duration|elapsed|took|latency|cost)[=:{S}]+([{D}]+(?:\\.[{D}]+)?)[{S}]*ms', 1, 'i'), ''),
                         nullif(regexp_extract(msg, '(?:^|[^{W}])([{D}]+(?:\\.[{D}]+)?)[{S}]*ms(?:[^{W}]|$)', 1), '')) as double) as latency_ms,
-          time, left(msg, 100) as msg_snippet
+          time, msg, left(msg, 100) as msg_snippet
         from ({LOGS})"""
-    o["extract_latency"] = f"select event_id, service, latency_ms, time, msg_snippet from ({lat}) where latency_ms is not null"
-    o["latency_points"] = f"""select event_id, strftime(strptime(time, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as ts, service, latency_ms
+    o["extract_latency"] = f"select event_id, service, latency_ms, time, msg, msg_snippet from ({lat}) where latency_ms is not null"
+    o["latency_points"] = f"""select event_id, strftime(strptime(time, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as ts, service, latency_ms, msg
         from ({lat}) where latency_ms is not null"""
     o["latency_summary"] = f"""
         select service, count(*) as samples,
@@ -377,6 +406,19 @@ def oracle_sql() -> dict[str, str]:
         dense as (select ss.source, bs.b, coalesce(c.events, 0)::double as x from ss cross join bs left join c using (source, b))
         select a.source as source_a, b2.source as source_b, round_even(corr(a.x, b2.x), 3) as r
         from dense a join dense b2 on a.b = b2.b group by a.source, b2.source"""
+    # exact: whole numbers of 128 bits, divided once
+    o["rate_correlation_large"] = f"""
+        with c as ({rb}), bs as (select distinct b from c), n as (select count(*)::hugeint as n from bs),
+        big as (select 'big_' || source as source, b, (events + 1000000000)::hugeint as x from c union all select 'flat', b, 1000000000::hugeint from bs),
+        ss as (select distinct source from big),
+        dense as (select ss.source, bs.b, coalesce(big.x, 0::hugeint) as x from ss cross join bs left join big using (source, b)),
+        p as (select a.source as source_a, b2.source as source_b, sum(a.x)::hugeint as sx, sum(b2.x)::hugeint as sy,
+            sum(a.x * a.x)::hugeint as sxx, sum(b2.x * b2.x)::hugeint as syy, sum(a.x * b2.x)::hugeint as sxy
+          from dense a join dense b2 on a.b = b2.b group by a.source, b2.source)
+        select source_a, source_b, case when n * sxx - sx * sx > 0 and n * syy - sy * sy > 0
+            then round_even((n * sxy - sx * sy)::double / (sqrt((n * sxx - sx * sx)::double) * sqrt((n * syy - sy * sy)::double)), 3)
+            else 'nan'::double end as r
+        from p, n"""
     err = f"""select source, epoch(t) as t from {TIMED.replace('from logs', f'from ({LOGS})')}
               where t is not null and (upper(level) in ('ERROR', 'FATAL', 'WARN', 'WARNING') or regexp_matches(msg, '\\b[45]\\d{{2}}\\b'))"""
     casc = f"""
@@ -401,10 +443,9 @@ def oracle_sql() -> dict[str, str]:
         select id, array_to_string(list_sort(list(distinct source)), ', ') as sources, count(distinct source) as n_sources,
           count(*) as n_occurrences, strftime(min(t), '%H:%M:%S') as first_seen, strftime(max(t), '%H:%M:%S') as last_seen,
           round_even(epoch(max(t)) - epoch(min(t)), 1) as span_s
-        from ({ids}) group by id having count(distinct source) >= 2
-        order by n_sources desc, n_occurrences desc, id limit 300"""
+        from ({ids}) group by id having count(distinct source) >= 2"""
     o["track_id"] = f"""
-        select source, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, left(msg, 100) as snippet
+        select source, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, msg, left(msg, 100) as snippet
         from {TIMED.replace('from logs', f'from ({LOGS})')}
         where t is not null and regexp_matches(msg, '\\b\\d{{13,19}}\\b|\\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\\b')
           and contains(msg, '1700000000042')"""

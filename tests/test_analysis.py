@@ -130,7 +130,7 @@ def test_shared_ids_twin(spark):
 def test_timeline_density_anomalies_downsample(spark):
     rows = _random_logs(5, n=2000)
     df = _df(spark, rows)
-    cfg = C.TimelineConfig(bucket_minutes=30, anomaly_window_minutes=10, anomaly_error_threshold=0.5, max_points=300)
+    cfg = C.TimelineConfig(bucket_minutes=30, anomaly_window_minutes=10, anomaly_error_threshold=0.5)
     cl = events.classified_timeline(df, cfg)
     assert cl.count() == len(rows) - 1  # the unparsable time is dropped, 1970 is kept
     dens = {r["bucket"]: (r["events"], r["errors"]) for r in events.event_density(cl, 30).collect()}
@@ -148,7 +148,7 @@ def test_timeline_density_anomalies_downsample(spark):
         (datetime(1970, 1, 1) + timedelta(minutes=10 * a), datetime(1970, 1, 1) + timedelta(minutes=10 * (b + 1))) for a, b in isl
     ]
     timed = events.with_event_time(df).select("event_id", "ts")
-    got = sorted(r["event_id"] for r in events.downsample_every(timed, 300, ["ts", "event_id"]).collect())
+    got = sorted(r["event_id"] for r in events.downsample_every(timed, events.chart_step(len(rows) - 1, 300), ["ts", "event_id"]).collect())
     order = sorted(((_parse(t), i) for i, _, t, *_ in rows if _parse(t) is not None))
     step = len(order) // 300
     assert got == sorted(i for _, i in order[::step])
@@ -193,7 +193,7 @@ def test_flow_single_and_multi(spark):
     e = {(r["layer"], r["src"], r["dst"]): r["n"] for r in flow.service_flow(df).collect()}
     assert e == {("source_service", "a", "x.svc"): 1, ("source_service", "a", "svc2"): 1, ("source_service", "b", "x.svc"): 1,
                  ("service_level", "x.svc", "INFO"): 1, ("service_level", "svc2", "OTHER"): 1, ("service_level", "x.svc", "ERROR"): 1}
-    single = flow.service_flow(df.where(F.col("source") == "a")).collect()
+    single = flow.service_flow(df.where(F.col("source") == "a"), multi=False).collect()
     assert {r["layer"] for r in single} == {"service_level"}
     nodes = {(r["kind"], r["node"]): r["n"] for r in flow.flow_nodes(flow.service_flow(df)).collect()}
     assert nodes[("source", "a")] == 2 and nodes[("service", "x.svc")] == 2 and nodes[("level", "OTHER")] == 1
@@ -273,3 +273,48 @@ def test_degenerate_sources(spark):
     assert correlate.rate_correlation(one, 60).count() == 0
     assert correlate.error_cascades(one, C.CorrelationConfig(cascade_window_sec=600)).count() == 0
     assert correlate.shared_ids(one).count() == 0
+
+
+def test_custom_type_may_reuse_a_default_name(spark):
+    df = spark.createDataFrame([("INFO", "all fine"), ("ERROR", "x"), ("debug", "")], "level string, msg string")
+    types = [C.EventType("error", "Trouble", keywords=["fine"]), C.EventType("any", "Any", keywords=["boom|"], levels=["debug"])]
+    got = [(r["event_type"], r["event_display"]) for r in events.classify_event(df, types).collect()]
+    assert got == [("error", "Trouble"), ("any", "Any"), ("any", "Any")]
+    rules = [C.LaneRule(".*", "everything")]
+    df = df.withColumn("service", F.lit("s"))
+    assert {r["lane"] for r in events.assign_lane(df, rules).collect()} == {"everything"}
+
+
+def test_large_counts_and_constant_series_correlate_exactly(spark):
+    rows = [("a", m, 10**9 + m) for m in range(5)] + [("b", m, 10**9 + (m * 3) % 5) for m in range(5)] + [("c", m, 10**8) for m in range(5)]
+    df = spark.createDataFrame([(s, f"2024-01-01 00:{m:02d}:00", n) for s, m, n in rows], "source string, time string, n long")
+    got = {(r["source_a"], r["source_b"]): r["r"] for r in correlate.rate_correlation(df, 1, digits=6, weight_col="n").collect()}
+    want = np.corrcoef(range(5), [(m * 3) % 5 for m in range(5)])[0, 1]
+    assert got["a", "a"] == 1.0 and got["a", "b"] == got["b", "a"] == round(want, 6)
+    assert all(math.isnan(got[p]) for p in got if "c" in p) and len(got) == 9
+
+
+def test_sampling_needs_a_total_order_and_spreads_equal_times(spark):
+    df = spark.range(4000).selectExpr("id as event_id", "timestamp'1970-01-01' as ts")
+    with pytest.raises(ValueError):
+        events.downsample_every(df, 3, ["ts"])
+    assert sorted(r["event_id"] for r in events.downsample_every(df, 7, ["ts", "event_id"]).collect()) == list(range(0, 4000, 7))
+    from logweave.plans.rank import global_rank
+
+    ranked = global_rank(df, ["ts", "event_id"])
+    busy = df.repartitionByRange(8, "ts", "event_id").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy > 4 and ranked.where("rank != event_id").count() == 0
+
+
+def test_time_forms_the_line_formats_accept(spark):
+    forms = ["2024-1-5 9:03:01", "2024-01-05T0903", "2024/01/05 09:03:01", "2024-01-05 09:03", "2024-01-05T09:03:01.250+08:00", "nonsense", None]
+    df = spark.createDataFrame([(t,) for t in forms], "time string")
+    got = [r["ts"] for r in events.with_event_time(df).collect()]
+    assert len(got) == 5 and got[0] == got[2] == datetime(2024, 1, 5, 9, 3, 1) and got[1] == got[3] == datetime(2024, 1, 5, 9, 3)
+
+
+def test_search_sees_unicode_words(spark):
+    from logweave.operators import views
+
+    df = spark.createDataFrame([("用户张三登录成功",), ("用户 登录",)], "msg string")
+    assert views.search_msg(df, r"用户\w+登录").count() == 1

@@ -175,3 +175,22 @@ def test_level_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(level), EqualTo(level,ERROR)]" in plan
     assert [r["msg"] for r in q.collect()] == ["boom"]
     assert filter_level(stored, "error").count() == 1
+
+
+def test_names_with_escapes_and_csv_round_trip(spark, tmp_path):
+    from logweave.sources.logs import read_logs, write_csv
+
+    (tmp_path / "my app+1.log").write_text("one\n", encoding="utf-8")
+    (tmp_path / "应用 日志.log").write_text("two\n", encoding="utf-8")
+    got = {r["file_name"]: r["source"] for r in read_logs(spark, str(tmp_path), labels={"应用 日志.log": "app"}).collect()}
+    assert got == {"my app+1.log": "my app+1", "应用 日志.log": "app"}
+    rows = [('  pad "q", x  ', 1), ("plain", 2), ('\\"', 3)]
+    write_csv(spark.createDataFrame(rows, "msg string, n int"), str(tmp_path / "out"))
+    import csv
+    import glob
+
+    back = []
+    for p in glob.glob(str(tmp_path / "out" / "*.csv")):
+        with open(p, newline="", encoding="utf-8") as f:
+            back += [(r["msg"], int(r["n"])) for r in csv.DictReader(f)]
+    assert sorted(back) == sorted(rows)

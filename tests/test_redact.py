@@ -129,7 +129,7 @@ def test_persons_from_name_table(spark):
 
     texts = spark.createDataFrame([(1, "Alice met Bob Smith."), (2, "nobody here"), (3, "Bob Smith, again Bob")], "k int, text string")
     names = spark.createDataFrame([("Bob Smith",), ("Alice",), ("Carol",)], "name string")
-    found = person_names(texts, names, ["k"], max_words=2)
+    found = person_names(texts, names, ["k"])
     out = redact.redact(found, "text", _cfg(), persons_col="persons").orderBy("k").collect()
     assert [r["text"] for r in out] == ["<姓名> met <姓名>.", "nobody here", "<姓名>, again Bob"]
     assert [list(r["detected"]) for r in out] == [[C.PERSON], [], [C.PERSON]]
@@ -149,3 +149,35 @@ def test_persons_in_unspaced_cjk_text(spark):
     assert found == {1: ["张三", "李四丰"], 2: ["张三"], 3: []}
     out = redact.redact(person_names(texts, names, ["k"]), "text", _cfg(), persons_col="persons").orderBy("k").collect()
     assert out[0]["text"] == "操作员<姓名>执行了删除，<姓名>确认" and list(out[0]["detected"]) == [C.PERSON]
+
+
+def test_named_groups_are_redacted_and_java_only_rejects_raise(spark):
+    df = spark.createDataFrame([("badge EMP123456 twice EMP123456EMP123456",)], "text string")
+    cfg = _cfg()
+    cfg.custom_entities = [C.CustomEntity("badge", r"(?P<the_id>EMP\d{6})(?P=the_id)?", C.EntityConfig(label="<badge>"))]
+    row = redact.redact(df, "text", cfg).first()
+    assert row["text"] == "badge <badge> twice <badge>" and list(row["detected"]) == ["badge"]
+    cfg.custom_entities = [C.CustomEntity("bad", r"(?(1)a|b)(x)?(?(1)y|z)", C.EntityConfig(label="<x>"))]
+    with pytest.raises(ValueError):
+        redact.redact(df, "text", cfg)
+
+
+def test_names_of_any_length_are_found_after_the_json_layer(spark):
+    texts = spark.createDataFrame(
+        [(1, "由Juan Carlos de Borbon签收, 欧阳修文远在场"), (2, '{"name":"Ann Lee"} met Ann Lee'), (3, "Juan Carlos only"), (4, None)],
+        "k int, text string",
+    )
+    names = spark.createDataFrame([("Juan Carlos de Borbon",), ("欧阳修文远",), ("Ann Lee",), ("欧",), (" ",)], "name string")
+    cfg = C.RedactionConfig().with_only(C.PERSON)
+    got = {r["k"]: (r["text"], list(r["detected"])) for r in redact.redact_names(texts, names, ["k"], "text", cfg).collect()}
+    label = cfg.entities[C.PERSON].label
+    assert got[1] == (f"由{label}签收, {label}在场", [C.PERSON])
+    assert got[2][0] == f'{{"name":"{label}"}} met {label}' and got[3] == ("Juan Carlos only", []) and got[4] == (None, [])
+
+
+@pytest.mark.parametrize("value,head,tail,want", [("13812345678", 3, 4, "138****5678"), ("abc", 3, 4, "abc"), ("abcdefg", 3, 4, "abcdefg"), ("abcdefgh", 3, 4, "abc*efgh"), ("", 1, 1, ""), ("abcd", 0, 0, "****")])
+def test_masks(spark, value, head, tail, want):
+    from logweave.functions.text import mask_value
+
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(mask_value(F.col("v"), head, tail).alias("m")).first()["m"] == want
