@@ -42,7 +42,8 @@ def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[list[tuple[n
     a position that is no n-gram of its order.
     """
     low = [(t or "").lower() for t in texts]
-    cps = np.frombuffer("".join(x + " " for x in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # a space before each text: the edge of its first word, and behind the text before it
+    cps = np.frombuffer("".join(" " + x for x in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(x) + 1 for x in low])
     letter = _is_letter()[cps]
     keep = letter.copy()  # letters, and the first of each run of other characters

@@ -129,18 +129,31 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> tuple[float, ...]:
-    """Logistic regression with intercept by Newton's method."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w, keep = np.zeros(a.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - keep @ w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, g)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(float(v) for v in w)
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 100) -> tuple[float, ...]:
+    """Logistic regression with intercept by Newton's method; no feature may lower the score."""
+    use = list(range(x.shape[1]))
+    while True:
+        a = np.hstack([np.ones((len(x), 1)), x[:, use]])
+        w, keep = np.zeros(a.shape[1]), np.diag([1e-3] + [ridge] * len(use))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, a.T @ (y - p) - keep @ w)
+            w += step / max(1.0, np.abs(step).max() / 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        wrong = [f for f, v in zip(use, w[1:]) if v < 0]
+        if not wrong:
+            out = np.zeros(x.shape[1])
+            out[use] = w[1:]
+            return (float(w[0]), *(float(v) for v in out))
+        use = [f for f in use if f not in wrong]
+
+
+def chance(k: int, c: int, share: float) -> float:
+    """P(at least k of k + c texts are toxic) if the token had nothing to do with it."""
+    n = k + c
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share) for i in range(k, n + 1)]
+    return min(1.0, sum(map(math.exp, logs)))
 
 
 def tokens(folded: str) -> set[str]:
@@ -176,11 +189,12 @@ def sample_labels(labels: DataFrame, per_class: int) -> list[tuple[int, int, int
     return [(r["doc_id"], r["toxic"], r["h"] & 1) for r in rows]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entries: int = 5_000, least_share: float = 0.02, least_weight: float = 2.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entries: int = 5_000, least_share: float = 0.02, least_weight: float = 2.0, luck: float = 1e-4) -> Lexicon:
     """The lexicon, its exceptions and its curve from a sample of at most ``2 * per_class`` labelled rows.
 
     An entry stands in at least ``least_share`` of the sample's toxic texts
-    (3 at least) and has a smoothed log-odds of ``least_weight`` or more; the
+    (3 at least), has a smoothed log-odds of ``least_weight`` or more and so
+    many toxic texts by chance with probability ``luck`` at most; the
     ``max_entries`` commonest are kept. Without texts of both classes the
     lexicon is empty and every score is the share of toxic texts (0 for none).
     """
@@ -205,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entri
         for r in top:
             k, c = (sum(r[f"{name}{h}"] for h in halves) for name in ("toxic", "clean"))
             weight = odds(k, pos) - odds(c, neg)
-            if k >= need and weight >= least_weight and len(out) < max_entries:
+            if k >= need and weight >= least_weight and len(out) < max_entries and chance(k, c, pos / (pos + neg)) <= luck:
                 out[r["token"]] = weight
         return out
 

@@ -10,9 +10,9 @@ from .helpers import hard_rows, prose, table
 
 def _same(spark, name, view, docs, **tables):
     con = duckdb.connect()
-    con.register("documents", docs.toPandas())
+    con.register("documents", docs.toArrow())
     for t, df in tables.items():
-        con.register(t, df.toPandas())
+        con.register(t, df.toArrow())
     cur = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     want = sorted(map(repr, cur.fetchall()))
