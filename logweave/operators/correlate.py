@@ -65,12 +65,13 @@ def rate_correlation(df: DataFrame, bucket_minutes: int = 1, digits: int | None
     x = exact(F.col("events"))
     total = lambda v: F.sum(v).cast("decimal(38,0)")
     per_source = c.groupBy("source").agg(total(x).alias("s"), total(exact(x * x)).alias("ss"))
-    n = c.agg(F.count_distinct("bucket").alias("n"), F.count_distinct("source").alias("k")).where("k >= 2").select("n")  # one row
+    shape = lambda col: c.select(col).distinct().agg(F.count(F.lit(1))).scalar()
     a = c.select("bucket", F.col("source").alias("a_source"), F.col("events").alias("x"))
     b = c.select("bucket", F.col("source").alias("b_source"), F.col("events").alias("y"))
     sxy = a.join(b, "bucket").where(F.col("a_source") <= F.col("b_source"))
     sxy = sxy.groupBy("a_source", "b_source").agg(total(exact(exact(F.col("x")) * exact(F.col("y")))).alias("sxy"))
-    g = _source_pairs(per_source, ["source", "s", "ss"]).join(sxy, ["a_source", "b_source"], "left").join(F.broadcast(n))
+    g = _source_pairs(per_source, ["source", "s", "ss"]).join(sxy, ["a_source", "b_source"], "left")
+    g = g.withColumn("n", shape("bucket")).where(shape("source") >= 2)
     scaled = lambda p, q: exact(exact(F.col("n")) * p) - exact(q)
     num = scaled(F.coalesce(F.col("sxy"), exact(F.lit(0))), F.col("a_s") * F.col("b_s"))
     da = scaled(F.col("a_ss"), F.col("a_s") * F.col("a_s"))

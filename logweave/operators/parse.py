@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import jre, strip_text
 
-# ── fixed values: public Grok base definitions used by the six formats ─────
+# ── fixed values: public Grok base definitions and the six line formats ────
 YEAR = r"(?>\d\d){1,2}"
 MONTHNUM = r"(?:0?[1-9]|1[0-2])"
 MONTHDAY = r"(?:(?:0[1-9])|(?:[12][0-9])|(?:3[01])|[1-9])"
@@ -44,7 +44,6 @@ HOSTNAME = r"\b(?:[0-9A-Za-z][0-9A-Za-z-]{0,62})(?:\.(?:[0-9A-Za-z][0-9A-Za-z-]{
 URIPATH = r"(?:/[A-Za-z0-9$.+!*'(){},~:;=@#%&_\-]*)+"
 URIPARAM = r"\?[A-Za-z0-9$.+!*'|(){},~@#%&/=:;_?\-\[\]<>]*"
 URIPATHPARAM = rf"{URIPATH}(?:{URIPARAM})?"
-# ── end of fixed values ────────────────────────────────────────────────────
 
 
 def _cap(p: str) -> str:
@@ -84,6 +83,7 @@ LINE_FORMATS: list[tuple[str, str, dict[str, int]]] = [
         {"level": 1, "msg": 2},
     ),
 ]
+# ── end of fixed values ────────────────────────────────────────────────────
 
 
 def _full(p: str) -> str:
