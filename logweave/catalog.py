@@ -7,6 +7,7 @@ match the DuckDB oracle of the same name in ``oracles.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from . import config as C
 from .operators import correlate, events, flow, latency, parse, redact, views
 from .operators.process import process
-from .session import configure
+from .plans.rank import global_rank
+from .session import configure, ensure_checkpoint_dir
 from .sources import derived
+from .sources import logs as logs_io
 
 # Fixed settings of the registered queries. The driver's tables hold one
 # event per ~4 minutes, so time settings are wide (see FIXTURES.md).
@@ -176,6 +179,67 @@ def q_rate_correlation_large(spark, sf):
     return correlate.rate_correlation(weighted, CORR.bucket_minutes, weight_col="events")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+
+
+def q_sink_csv(spark, sf):
+    """The log table written as CSV and read back as text fields."""
+    path = _scratch(spark)
+    lg = _logs(spark, sf).drop("ts").withColumn("msg", F.concat(F.lit('  "'), F.col("msg"), F.lit('", x  ')))
+    logs_io.write_csv(lg, path)
+    back = spark.read.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return back.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+def q_sink_json(spark, sf):
+    path = _scratch(spark)
+    lg = _logs(spark, sf).drop("ts").withColumn("original_msg", F.lit("raw"))
+    logs_io.write_json(lg, path)
+    return spark.read.json(path).select("event_id", "source", "time", "level", "service", "msg")
+
+
+def q_sink_text(spark, sf):
+    """Text lines written by the sink and read again by ``read_logs``."""
+    path = _scratch(spark)
+    logs_io.write_text(_logs(spark, sf), path)
+    return logs_io.read_logs(spark, path).select(F.col("value").alias("line"))
+
+
+def q_read_logs_labelled(spark, sf):
+    """One folder of files per source, merged, each file labelled by its folder."""
+    path, lines = _scratch(spark), derived.raw(spark, sf)
+    for k in range(4):  # one write per source, so that file names differ
+        lines.where(F.col("source") == f"src{k}").select("line").write.text(f"{path}/src{k}")
+    files = spark.read.format("binaryFile").load(f"{path}/*").select("path").collect()
+    labels = {name: f"{folder} (label)" for _, folder, name in (r["path"].rsplit("/", 2) for r in files)}
+    return logs_io.read_logs(spark, f"{path}/*", labels).select(F.col("value").alias("line"), "source")
+
+
+def q_latency_by_p95(spark, sf):
+    """Services from the smallest to the largest P95."""
+    s = latency.latency_summary(latency.extract_latency(_logs(spark, sf)))
+    return global_rank(s.select("p95_ms", "service"), ["p95_ms", "service"], rank_col="place")
+
+
+def q_cascades_by_count(spark, sf):
+    c = correlate.error_cascades(_logs(spark, sf), CORR).select((-F.col("cascades")).alias("less"), "source_a", "source_b")
+    return global_rank(c, ["less", "source_a", "source_b"], rank_col="place").drop("less")
+
+
+def q_shared_ids_custom(spark, sf):
+    """An identifier pattern of the user's own beside the default ones."""
+    cfg = C.CorrelationConfig(id_patterns=[*CORR.id_patterns, r"\buser \d{3,}\b"])
+    return correlate.shared_ids(_logs(spark, sf), cfg).select("id", "sources", "n_sources", "n_occurrences")
+
+
+def q_redact_persons_external(spark, sf):
+    """Names found by the caller (any array column), redacted after the JSON-name layer."""
+    notes = derived.order_notes(spark, sf).withColumn("mine", F.regexp_extract_all("text", F.lit(r"#\d+"), 0))
+    out = redact.redact(notes, "text", _only(C.PERSON), persons_col="mine")
+    return out.select("o_orderkey", F.col("text").alias("clean"), F.array_join("detected", ", ").alias("entities"))
+
+
 def q_source_summary(spark, sf):
     out = redact.redact(_docs(spark, sf), "text", C.RedactionConfig(secret_key=TOKEN_KEY))
     return redact.source_summary(out, "source", order_col="doc_id", text_col="text")
@@ -358,6 +422,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pii_tok.custom_entities = [C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(mode="pseudo"))]
     q["redact_pii_token"] = _redact_query(_pii, "event_id", pii_tok)
     q["redact_persons"] = q_redact_persons
+    q["redact_persons_external"] = q_redact_persons_external
+    q["shared_ids_custom"] = q_shared_ids_custom
+    q["sink_csv"] = q_sink_csv
+    q["sink_json"] = q_sink_json
+    q["sink_text"] = q_sink_text
+    q["read_logs_labelled"] = q_read_logs_labelled
+    q["latency_by_p95"] = q_latency_by_p95
+    q["cascades_by_count"] = q_cascades_by_count
     q["redact_persons_long"] = q_redact_persons_long
     q["redact_custom_named"] = q_redact_custom_named
     q["assign_lane_any"] = q_assign_lane_any

@@ -26,6 +26,19 @@ select event_id, ts,
 from events
 """
 
+RAW = f"""
+select event_id, source, case event_id % 8
+    when 0 then time || ' [' || level || '] [' || service || '] - ' || msg
+    when 1 then time || '  ' || level || ' 123 --- [main] ' || service || ' : ' || msg
+    when 2 then strftime(ts, '%H:%M:%S') || '.000 [main] ' || level || '  ' || service || ' - ' || msg
+    when 3 then '[' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /item/' || split_part(service, '.', 3) || ' HTTP/1.1" 200'
+    when 4 then strftime(ts, '%b %d %H:%M:%S') || ' host1 ' || service || '[123]: ' || msg
+    when 5 then '{{"@timestamp":"' || time || '","severity":"' || lower(level) || '","app":"' || service || '","message":"' || msg || '"}}'
+    when 6 then level || ' ' || msg
+    else 'note: ' || msg end as line
+from ({LOGS})
+"""
+
 PII = """
 select event_id, case event_id % 3
     when 0 then concat_ws(' ', tel, mail, id, card, ip, org, emp, json, b64)
@@ -222,6 +235,10 @@ def oracle_sql() -> dict[str, str]:
           case when f.names is null then '' else 'PERSON' end as entities
         from notes n left join found f using (o_orderkey)"""
     o["redact_custom_named"] = o["redact_custom"]
+    o["redact_persons_external"] = """
+        select o_orderkey, regexp_replace('order ' || cast(o_orderkey as varchar) || ' placed by ' || c_name || ' status ' || o_orderstatus, '#[0-9]+', '<姓名>', 'g') as clean,
+          case when regexp_matches(c_name, '#[0-9]') then 'PERSON' else '' end as entities
+        from orders join customer on o_custkey = c_custkey"""
     letters = "translate(cast(o_custkey as varchar), '0123456789', 'abcdefghij')"
     han = "translate(cast(o_custkey as varchar), '0123456789', '零王李张刘陈杨赵黄周')"
     o["redact_persons_long"] = f"""
@@ -317,6 +334,11 @@ def oracle_sql() -> dict[str, str]:
         select count(*) as total_lines, count(*) filter (where entities <> '') as redacted_lines,
           0::bigint as fallback_lines, 0.0::double as fallback_pct
         from ({clean})"""
+    # ── sinks and sources
+    o["sink_csv"] = f"""select event_id, source, time, level, service, '  "' || msg || '", x  ' as msg from ({LOGS})"""
+    o["sink_json"] = f"select event_id, source, time, level, service, msg from ({LOGS})"
+    o["sink_text"] = f"select concat(time, ' [', level, '] [', service, '] [', source, '] - ', msg) as line from ({LOGS})"
+    o["read_logs_labelled"] = f"select line, source || ' (label)' as source from ({RAW})"
     # ── views
     o["filter_level"] = f"select event_id, source, time, level, service, msg from ({LOGS}) where upper(level) = 'ERROR'"
     o["filter_source"] = f"select event_id, source, time, level, msg from ({LOGS}) where source = 'src2'"
@@ -397,6 +419,8 @@ def oracle_sql() -> dict[str, str]:
           round_even(quantile_cont(latency_ms, 0.99), 1) as p99_ms, round_even(max(latency_ms), 1) as max_ms,
           round_even(avg(latency_ms), 1) as mean_ms
         from ({lat}) where latency_ms is not null group by service"""
+    o["latency_by_p95"] = f"""select p95_ms, service, row_number() over (order by p95_ms, service) - 1 as place
+        from ({o['latency_summary']})"""
     o["service_axis"] = f"select distinct service from ({lat}) where latency_ms is not null"
     # ── correlation
     rb = f"select source, {bucket} as b, count(*) as events from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null group by source, {bucket}"
@@ -433,6 +457,8 @@ def oracle_sql() -> dict[str, str]:
           round_even(min(lag), 2) as min_lag_s
         from hits join tot on tot.source = hits.src_a group by src_a, src_b having count(*) >= 2"""
     o["error_cascades"] = casc
+    o["cascades_by_count"] = f"""select source_a, source_b, row_number() over (order by cascades desc, source_a, source_b) - 1 as place
+        from ({casc})"""
     o["cascade_matrix"] = f"""
         with c as ({casc}), s as (select source_a as s from c union select source_b from c)
         select a.s as source_a, b.s as source_b, coalesce(c.cascades, 0)::bigint as cascades
@@ -449,6 +475,10 @@ def oracle_sql() -> dict[str, str]:
         from {TIMED.replace('from logs', f'from ({LOGS})')}
         where t is not null and regexp_matches(msg, '\\b\\d{{13,19}}\\b|\\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\\b')
           and contains(msg, '1700000000042')"""
+    o["shared_ids_custom"] = f"""
+        select id, array_to_string(list_sort(list(distinct source)), ', ') as sources, count(distinct source) as n_sources, count(*) as n_occurrences
+        from (select unnest(list_concat(regexp_extract_all(msg, '\\b\\d{{13,19}}\\b'), regexp_extract_all(msg, '\\buser \\d{{3,}}\\b'))) as id, source from ({LOGS}))
+        group by id having count(distinct source) >= 2"""
     short = "split_part(service, '.', 2) || '.' || split_part(service, '.', 3)"
     lvl = "case when upper(level) in ('INFO', 'DEBUG', 'WARN', 'WARNING', 'ERROR', 'FATAL') then upper(level) else 'OTHER' end"
     flow = f"""
