@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, discard, join_on, span_hashes, stage
-from .repeats import Level, Runs, blocks, by_shard, digested, identified, open_units, recurring_anchors, shard_facts, words_level
+from .repeats import Level, Runs, blocks, by_shard, digested, identified, member, open_units, recurring_anchors, shard_facts, words_level
 
 _UNITS = "anchor long, unit long, key long, tie long, start long, n int, windows array<long>"
 _EMPTY = pa.table({
@@ -71,11 +71,12 @@ def _located(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text"):
         r, bounds, words = level.runs(batch.column("text"))
         keys, ties = batch.column("key").to_pylist(), batch.column("tie").to_pylist()
+        known = member(recurring, r.anchor)
         cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
         for d in range(batch.num_rows):
             lo, hi = cut[d], cut[d + 1]
             mine = Runs(*(x[lo:hi] for x in (r.doc, r.start, r.n, r.place, r.anchor, r.block)))
-            keep = open_units(mine, covered.get((keys[d], ties[d]), none), recurring, level.window)
+            keep = open_units(mine, covered.get((keys[d], ties[d]), none), known[lo:hi], level.window)
             if not keep.any():
                 continue
             text, at = spaced(batch.column("text")[d].as_py().encode())
@@ -87,7 +88,7 @@ def _located(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     out = []
     for key, tie, text, at, words, r in found:
         seen = np.searchsorted(at, automaton.starts(text))
-        hit = np.isin(r.place, seen)
+        hit = member(seen, r.place)
         start, n, place, anchor = r.start[hit], r.n[hit], r.place[hit], r.anchor[hit]
         # windows by their words and their offset to the anchor
         which = np.repeat(np.arange(len(start)), n)

@@ -188,10 +188,7 @@ def recurring_anchors(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
         h = np.frombuffer(b"".join(cells), "<u8")
         u, c = np.unique(h, return_counts=True)
         u = u[c > 1]
-        hit = np.zeros(len(h), bool)
-        if len(u):
-            at = np.minimum(np.searchsorted(u, h), len(u) - 1)
-            hit = u[at] == h
+        hit = member(u, h)
         ends = np.cumsum(sizes)
         out = [np.unique(h[e - n : e][hit[e - n : e]]).tobytes() for n, e in zip(sizes, ends)]
         return pa.table({"shard": table.column("shard").cast(pa.int32()), "anchors": pa.array(out, pa.binary())})
@@ -209,9 +206,16 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 # ── units ──────────────────────────────────────────────────────────────────
+def member(of: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values stand in the sorted array ``of``."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
 def open_units(r: Runs, covered: np.ndarray, recurring: np.ndarray, window: int) -> np.ndarray:
-    """Which units of one text have a recurring anchor and do not lie in a covered block."""
-    keep = np.isin(r.anchor, recurring)
+    """Which units of one text with a ``recurring`` anchor do not lie in a covered block."""
+    keep = recurring.copy()
     if len(covered) and keep.any():
         at = np.searchsorted(covered[:, 0], r.start, "right") - 1
         inside = (at >= 0) & (r.start + r.n - 1 + window <= covered[np.maximum(at, 0), 1])

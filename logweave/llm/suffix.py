@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, discard, join_on, span_hashes, stage
-from .repeats import Level, Runs, blocks, by_shard, bytes_level, digested, identified, open_units, recurring_anchors, shard_facts
+from .repeats import Level, Runs, blocks, by_shard, bytes_level, digested, identified, member, open_units, recurring_anchors, shard_facts
 
 HOT_UNITS = 20_000  # different stretches of one anchor beyond which they are dealt out by window
 CHUNK_BYTES = 2 << 20
@@ -100,10 +100,10 @@ def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
         r, bounds, data = level.runs(batch.column("text"))
         keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
         cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
-        keep = np.zeros(len(r.doc), bool)
+        keep = member(recurring, r.anchor)
         for d in range(batch.num_rows):
             mine = Runs(*(x[cut[d] : cut[d + 1]] for x in vars(r).values()))
-            keep[cut[d] : cut[d + 1]] = open_units(mine, covered.get((int(keys[d]), int(ties[d])), none), recurring, level.window)
+            keep[cut[d] : cut[d + 1]] = open_units(mine, covered.get((int(keys[d]), int(ties[d])), none), keep[cut[d] : cut[d + 1]], level.window)
         doc, start, n, place = r.doc[keep], r.start[keep], r.n[keep], r.place[keep]
         lo = bounds[doc] + start
         hi = lo + n - 1 + level.window
