@@ -11,10 +11,13 @@ Texts with equal shingle sets are one class from the start (a 128-bit digest
 of the full set), so copies are never expanded into pairs. Between classes, a
 few rounds link each class with one hub of its buckets; only then the classes
 that share a bucket but stand in different components are compared with each
-other. Every link is confirmed on the full sets. A bit sketch (two bits per
-coordinate) and the sizes spare pairs that cannot reach the threshold: a pair
-at the threshold differs in more than SKETCH_MOST of 128 coordinates with
-probability below 1e-8.
+other. Every link is confirmed on the full sets.
+
+Three tests spare pairs that cannot reach the threshold, inside the joins, so
+that no row is made for them: the sizes; a parity map (each shingle flips one
+of PARITY_BITS bits: two maps never differ in more bits than the sets in
+shingles); and two bits of each coordinate (a pair at the threshold differs in
+more than SKETCH_MOST of 128 coordinates with probability below 1e-8).
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, join_on, joined, lower_ascii, mix64, span_hashes, stage, word_spans
+from .common import batches, discard, join_on, joined, lower_ascii, mix64, span_hashes, stage, word_spans
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 SKETCH_MOST = 46
+PARITY_BITS = 1024
+_SPARING = [*(f"s{i}" for i in range(4)), *(f"p{i}" for i in range(PARITY_BITS // 64))]
 STAR_ROUNDS = 2
 _STEP = 0x9E3779B1  # one step of the circular shift; odd, so all shifts differ
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
@@ -106,35 +111,38 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return (two << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, lo long, hi long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """int64 of shape (PARITY_BITS / 64, texts): bit b is set if an odd number of shingles fall on b."""
+    n = len(offsets) - 1
+    bit = (h >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * PARITY_BITS + bit, minlength=n * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.int64).T
+
+
+_SIGNED = "doc_id long, n_shingles long, lo long, hi long, bands array<long>, " + ", ".join(f"{c} long" for c in _SPARING)
 
 
 def _sign(k: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text"):
             h, offs = shingles(batch.column("text"), k)
-            size = np.diff(offs)
+            size, n = np.diff(offs), batch.num_rows
             some = np.flatnonzero(size)
-            n, cols = batch.num_rows, {}
-            filled = lambda v: (lambda a: (a.__setitem__(some, v), a)[1])(np.zeros(n, np.int64))
+            cols = {c: np.zeros(n, np.int64) for c in ("lo", "hi", *_SPARING)}
             bands = np.zeros((0, BANDS), np.int64)
             if len(some):
                 inner = np.concatenate([offs[some], [len(h)]])
                 sig = signatures(h, inner)
                 bands = np.ascontiguousarray(band_keys(sig).T)
-                for i, s in enumerate(sketches(sig)):
-                    cols[f"s{i}"] = filled(s)
-                cols["lo"] = filled(np.add.reduceat(mix64(h ^ _JOIN), inner[:-1]).view(np.int64))
-                cols["hi"] = filled(np.add.reduceat(mix64(h + np.uint64(0x632BE59BD9B4E019)), inner[:-1]).view(np.int64))
-            per = np.zeros(n, np.int64)
-            per[some] = BANDS
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(bands.ravel()))
-            zero = np.zeros(n, np.int64)
-            names = ["lo", "hi", "s0", "s1", "s2", "s3"]
-            arrays = {c: pa.array(cols.get(c, zero)) for c in names}
+                for c, v in zip(_SPARING, [*sketches(sig), *parities(h, inner)]):
+                    cols[c][some] = v
+                cols["lo"][some] = np.add.reduceat(mix64(h ^ _JOIN), inner[:-1]).view(np.int64)
+                cols["hi"][some] = np.add.reduceat(mix64(h + np.uint64(0x632BE59BD9B4E019)), inner[:-1]).view(np.int64)
+            ends = np.cumsum(np.where(size > 0, BANDS, 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), arrays["lo"], arrays["hi"], lists, *(arrays[c] for c in names[2:])],
-                ["doc_id", "n_shingles", "lo", "hi", "bands", "s0", "s1", "s2", "s3"],
+                [batch.column("doc_id"), pa.array(size), pa.array(cols["lo"]), pa.array(cols["hi"]), lists, *(pa.array(cols[c]) for c in _SPARING)],
+                ["doc_id", "n_shingles", "lo", "hi", "bands", *_SPARING],
             )
 
     return run
@@ -152,13 +160,13 @@ def _sets(k: int):
 
 # ── links ──────────────────────────────────────────────────────────────────
 def _possible(percent: int) -> Column:
-    """Sizes and sketches leave the threshold open (columns n, s0..s3 and n_, s0_..s3_)."""
-    least, most = F.least("n", "n_"), F.greatest("n", "n_")
-    differ = sum(
-        F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_")).bitwiseOR(F.shiftrightunsigned(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_")), 1)).bitwiseAND(F.lit(_PAIR_BITS)))
-        for i in range(4)
-    )
-    return (100 * least >= percent * most) & (differ <= SKETCH_MOST)
+    """Sizes, parity maps and sketches leave the threshold open (columns n, s*, p* and n_, s*_, p*_)."""
+    least, most, total = F.least("n", "n_"), F.greatest("n", "n_"), F.col("n") + F.col("n_")
+    apart = [F.col(c).bitwiseXOR(F.col(f"{c}_")) for c in _SPARING]
+    coords = sum(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_PAIR_BITS))) for x in apart[:4])
+    flips = sum(F.bit_count(x) for x in apart[4:])
+    # |x| + |y| - 2 |x and y| is at least the flips and at most this at the threshold
+    return (100 * least >= percent * most) & ((100 + percent) * flips <= (100 - percent) * total) & (coords <= SKETCH_MOST)
 
 
 def _other(df: DataFrame) -> DataFrame:
@@ -185,35 +193,39 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose full shingle sets reach the threshold.
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, set): the shingle sets of the named documents, cut from their texts."""
+    rows = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return stage(rows.mapInArrow(_sets(k), "node long, set array<long>"), "sets", free=True)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full shingle sets reach the threshold.
 
-    Sets are cut from the texts of the named documents only. A pair travels
-    with one set at a time; joins on a hub can be split by Spark.
+    A pair travels with one set at a time; joins on a hub can be split by Spark.
     """
-    pairs = stage(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stage(rows.mapInArrow(_sets(k), "node long, set array<long>"), "sets")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return stage(met.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct(), "links")
+    good = met.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))
+    return stage(good.select("a", "b").distinct(), "links", free=True)
 
 
-def _hub_pairs(member: DataFrame, about: DataFrame, percent: int, seed: int) -> DataFrame:
-    """One hopeful pair (a, b) per class: its bucket hub that shares most buckets with it.
+def _hub_pairs(member: DataFrame, about: DataFrame, spent: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One hopeful pair (a, b) per class, and the hubs: the bucket hub it shares most buckets with.
 
-    The hub of a bucket is the class with the smallest seeded hash. Only
-    buckets whose members stand in different components count.
+    A bucket's hub is its member of highest ``degree`` (how many buckets it
+    shares with how many classes): the text a family of copies was made from
+    shares more with each copy than copies do with each other. Hubs of earlier
+    rounds are ``spent``.
     """
-    order = F.xxhash64("node", F.lit(seed))
-    hubs = member.groupBy("key").agg(F.min(F.struct(order, F.col("node"), F.col("comp"))).alias("h"))
+    hubs = member.join(spent, "node", "left_anti").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h"))
     met = member.join(hubs, "key").filter(F.col("comp") != F.col("h.comp"))
     met = met.groupBy(F.col("h.node").alias("hub"), "node").agg(F.count("*").alias("shared"))
     met = met.join(about, "node").join(_other(about), F.col("hub") == F.col("node_")).filter(_possible(percent))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = stage(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    return pairs, hubs.select("h.node").distinct()
 
 
 def _mixed(member: DataFrame) -> DataFrame:
@@ -232,12 +244,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cannot be named: its component is null and the row is kept. Extra columns
     are ignored; no rows give no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = stage(docs.mapInArrow(_sign(k), _SIGNED), "signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
-    sketch = F.struct("bands", "s0", "s1", "s2", "s3")
+    sketch = F.struct("bands", *_SPARING)
     classes = stage(named.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("node"), F.first(sketch).alias("k")), "classes")
-    about = classes.select("node", F.col("n_shingles").alias("n"), "k.s0", "k.s1", "k.s2", "k.s3")
+    about = classes.select("node", F.col("n_shingles").alias("n"), *[f"k.{c}" for c in _SPARING])
     banded = classes.select("node", F.explode("k.bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     member = stage(banded.join(shared, "key", "left_semi"), "buckets")
@@ -247,17 +260,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = stage(owner.join(first, "doc_id").filter("a != node").select("a", F.col("node").alias("b")).distinct(), "links")
 
     label = components(links)
-    current = lambda m: m.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    for seed in range(STAR_ROUNDS):
-        member = stage(_mixed(current(member)), "buckets").select("key", "node", "comp")
-        found = confirm(docs, _hub_pairs(member, about, percent, seed), k, percent)
-        links = links.union(found)
+    current = lambda m: m.select("key", "node", "degree").join(label, "node", "left").select("key", "node", "degree", F.coalesce("comp", "node").alias("comp"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("c"))
+    degree = member.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("degree"))
+    member = stage(member.join(degree, "node"), "buckets", free=True)
+    spent = spark.createDataFrame([], "node long")
+    for _ in range(STAR_ROUNDS):
+        member = stage(_mixed(current(member)), "buckets", free=True)
+        if not member.head(1):
+            break
+        pairs, hubs = _hub_pairs(member, about, spent, percent)
+        spent = spent.union(hubs)
+        sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
+        links = links.union(confirm(pairs, sets, percent))
+        discard(sets)
         label = components(links)
-        member = member.select("key", "node")
-    # what hubs left open: classes of one bucket in different components, compared with each other
-    rest = stage(_mixed(current(member)).join(about, "node"), "rest")
-    open_pairs = rest.join(_other(rest), (F.col("key") == F.col("key_")) & (F.col("node") < F.col("node_")) & (F.col("comp") != F.col("comp_")) & _possible(percent))
-    links = links.union(confirm(docs, open_pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")), k, percent))
+    # what hubs left open: classes of one bucket in different components, compared with each other;
+    # of each pair at least one side stands outside the component of the bucket's hub
+    rest = _mixed(current(member))
+    main = rest.groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.comp").alias("main"))
+    rest = stage(rest.join(main, "key").join(about, "node").drop("degree"), "rest", free=True)
+    outside, all_ = rest.filter("comp != main").drop("main"), _other(rest)
+    once = (F.col("comp_") == F.col("main_")) | (F.col("node") < F.col("node_"))
+    pairs = outside.join(all_, (F.col("key") == F.col("key_")) & (F.col("comp") != F.col("comp_")) & once & _possible(percent))
+    pairs = stage(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), "pairs", free=True)
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
+    links = links.union(confirm(pairs, sets, percent))
+    discard(sets)
     label = components(links)
 
     comp = classes.select("lo", "hi", "n_shingles", "node").join(label, "node", "left").select("lo", "hi", "n_shingles", F.coalesce("comp", "node").alias("comp"))
