@@ -1,5 +1,6 @@
 """Analyses against brute-force Python twins on small random inputs."""
 
+import math
 import random
 from bisect import bisect_left, bisect_right
 from datetime import datetime, timedelta
