@@ -17,7 +17,6 @@ do. ``part`` and ``seq`` give the files' global order.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import join_on, stage
+from .common import batches, join_on, stage
 
 MAGIC = b"LWPLANE1"
 BLOCK_IDS = 1 << 16
+BATCH_BYTES = 1 << 19  # text encoded at once
 FILE_IDS = 1 << 21  # a file is closed at the first document end beyond this
 _FOOTER = struct.Struct("<QQQQQ8s")
 _INDEX = np.dtype([("offset", "<u8"), ("size", "<u4")])
@@ -42,7 +42,7 @@ def pack(ids: np.ndarray, doc_ids: list, counts: list[int]) -> bytes:
     """One file of the given ids; ``counts`` are the ids per document."""
     import zstandard
 
-    z = zstandard.ZstdCompressor(level=3)
+    z = zstandard.ZstdCompressor(level=1)
     out, at, index = [MAGIC], len(MAGIC), []
     ids = ids.astype("<u4", copy=False)
     for lo in range(0, len(ids), BLOCK_IDS):
@@ -91,19 +91,20 @@ def read_docs(data: bytes) -> tuple[list, np.ndarray]:
 
 # ── encoding ───────────────────────────────────────────────────────────────
 class ChunkEncoder:
-    """The tokenizer over whole texts, remembering the ids of pieces between spaces.
-
-    A byte-level tokenizer with a pattern pre-tokenizer cuts before any space
-    that stands between two characters that are no white space, so the text
-    may be cut there and the parts encoded alone. The pieces that were seen
-    before (most words) are not encoded again; the memory is emptied at
-    ``limit`` pieces. Texts holding an added token's string, and tokenizers of
-    another kind, are encoded whole.
+    """The tokenizer over whole texts, remembering the ids of pieces between white space.
+
+    A byte-level tokenizer with a pattern pre-tokenizer cuts before a single
+    space or line feed that stands between two characters that are no white
+    space; a line feed there is a piece of its own. Between such cuts a text
+    may be encoded in parts. Parts seen before (most words) are not encoded
+    again; new ones go to the tokenizer together, one on a line. The memory
+    is emptied at ``limit`` parts. Texts with other white space, texts holding
+    an added token's string, and tokenizers of another kind are encoded whole.
     """
 
-    _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
+    MARKS = ",.;:!?|*#$%&"
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 3 << 19):
         import json
 
         from tokenizers import Tokenizer
@@ -112,42 +113,93 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.splits = len(feed) == 1 and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.feed_id, self.feed = feed[0] if self.splits else 0, np.array(feed[:1], "<u4").tobytes()
+        self.seen: dict[str, bytes] = {}  # parts behind a space, or with the line feed they follow
+        self.tails: dict[str, bytes] = {}  # marks behind a word
         self.limit = limit
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memory: dict, pieces: set[str], lead: str) -> None:
-        new = list(pieces - memory.keys())
-        if len(memory) > self.limit:
-            memory.clear()
-            new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            memory.update(zip(part, self._ids([lead + p for p in part])))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _lines(self, parts: set[str], lead: str) -> list[tuple[str, bytes]]:
+        """Ids of each part behind ``lead``, one part on a line of one text."""
+        if not parts:
+            return []
+        parts = list(parts)
+        ids = np.array(self.tok.encode_batch_fast([lead + f"\n{lead}".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cut = 4 * np.flatnonzero(ids == self.feed_id)
+        raw, at = ids.tobytes(), [0, *(cut + 4).tolist()]
+        return list(zip(parts, (raw[a:b] for a, b in zip(at, [*cut.tolist(), len(raw)]))))
+
+    def _learn(self, new: set[str]) -> set[str]:
+        """Remember new parts; returns those that are empty or touch white space with their ends."""
+        marked, cores, bad = [], [], set()
+        for p in new:
+            body = p[1:] if p[:1] == "\n" else p
+            if not body or body[0].isspace() or p[-1].isspace():
+                bad.add(p)
+            elif p[-1].isalnum():
+                cores.append(p)
+            else:
+                # a word and the marks behind it are cut apart by the pattern: most such parts hold known words
+                core = p.rstrip(self.MARKS)
+                if core and core[-1].isalnum():
+                    marked.append((p, core, p[len(core) :]))
+                    cores.append(core)
+                else:
+                    cores.append(p)
+        if len(self.seen) > self.limit:
+            self.seen.clear()
+        seen = self.seen
+        unseen = {c for c in cores if c not in seen}
+        heads = {c for c in unseen if c[0] == "\n"}
+        seen.update(self._lines(unseen - heads, " "))
+        seen.update(("\n" + c, self.feed + ids) for c, ids in self._lines({c[1:] for c in heads}, ""))
+        self.tails.update(self._lines({t for _, _, t in marked if t not in self.tails}, ""))
+        for p, core, t in marked:
+            seen[p] = seen[core] + self.tails[t]
+        return bad
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        held, new, get = [], set(), self.seen.get
+        for n, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.splits or any(a in text for a in self.added):
+                out[n] = self._whole(text)
+                continue
+            parts = ("\n" + text).replace("\n", " \n")[1:].split(" ")  # as if the text followed a line feed
+            ids = list(map(get, parts))
+            gaps = [i for i, v in enumerate(ids) if v is None]
+            new.update([parts[i] for i in gaps])
+            held.append((n, parts, ids, gaps))
+        bad = self._learn(new) if new else new
+        seen, skip = self.seen, len(self.feed)
+        for n, parts, ids, gaps in held:
+            if bad and any(parts[i] in bad for i in gaps):
+                out[n] = self._whole(texts[n])
+                continue
+            for i in gaps:
+                ids[i] = seen[parts[i]]
+            out[n] = b"".join(ids)[skip:]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of one text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.splits or any(a in text for a in self.added):
-            return self._ids([text])[0]
-        head, *rest = text.split(" ")
-        # a part that is empty or touches white space with its ends was cut in a wrong place
-        if "" in rest or not head or head[-1].isspace() or any(p[0].isspace() or p[-1].isspace() for p in set(rest)):
-            head, *rest = self._CUT.split(text)
-        self._learn(self.first, {head}, "")
-        self._learn(self.later, set(rest), " ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def forget() -> None:
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
@@ -179,9 +231,10 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 ["part", "seq", "n_ids", "data"],
             )
 
-        for batch in rows:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                blobs.append(enc.encode(text.as_py() or "") + end)
+        for batch in batches(rows, "text", BATCH_BYTES):
+            encoded = enc.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+                blobs.append(ids + end)
                 keys.append(key)
                 counts.append(len(blobs[-1]) // 4)
                 held += counts[-1]
@@ -200,11 +253,12 @@ def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in a file table, from the files' bytes."""
 
     def decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the files stand: a worker need not hold what it remembered for writing them
         for batch in rows:
             for part, seq, data in zip(*(batch.column(c) for c in ("part", "seq", "data"))):
                 raw = data.as_py()
                 blocks = [read_block(raw, b) for b in range(_footer(raw)[2])]
-                ids = (np.concatenate(blocks) if blocks else np.zeros(0, "<u4")).tobytes()
+                ids = memoryview(np.concatenate(blocks) if blocks else np.zeros(0, "<u4")).cast("B")
                 keys, counts = read_docs(raw)
                 ends = np.cumsum(counts, dtype=np.int64)
                 crcs = [zlib.crc32(ids[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
