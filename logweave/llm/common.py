@@ -8,7 +8,9 @@ shuffle files above it.
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -63,7 +65,9 @@ def stage(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     if free:
+        gc.collect()  # plans that Python still holds
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

@@ -68,7 +68,7 @@ def _located(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     if not docs.num_rows or not len(recurring):
         return _EMPTY
     none, automaton, found = np.zeros((0, 2), np.int64), PhraseAutomaton(), []
-    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text"):
+    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", level.batch):
         r, bounds, words = level.runs(batch.column("text"))
         keys, ties = batch.column("key").to_pylist(), batch.column("tie").to_pylist()
         known = member(recurring, r.anchor)
@@ -122,7 +122,7 @@ def covered_words(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     units = stage(units, "units", free=True)
     discard(anchors)
     # equal units: all but the first are covered
-    firsts = stage(units.groupBy("anchor", "unit").agg(F.min(place).alias("first"), F.count("*").alias("c")), "firsts")
+    firsts = stage(units.groupBy("anchor", "unit").agg(F.min(place).alias("first"), F.count("*").alias("c")), "firsts", free=True)
     again = firsts.filter("c > 1").drop("c")
     later = join_on(units.drop("windows"), again, ["anchor", "unit"]).filter(place != F.col("first"))
     later = later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end"))

@@ -6,8 +6,8 @@ the same window also starts earlier. Exact answers need no row per window:
 * a window's *anchor* is its gram (``gram`` positions) with the smallest
   hash; equal windows have equal anchors at equal offsets. Consecutive windows
   with the same anchor are a *unit* (about ``(window - gram) / 2`` windows);
-  units up to and including one whose anchor hash ends in four zero bits are
-  a *block* (about 16 units);
+  units up to and including one whose anchor hash ends in some zero bits are
+  a *block* (about 16 units of words, 8 of bytes);
 * equal blocks are found by a 128-bit hash, with one combining aggregate:
   all later copies of a block are covered as a whole;
 * anchors are counted over all documents, as packed arrays per shard of
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import batches, joined, mix64, shards_for, sliding_argmin, span_hashes, stage, total_bytes, word_spans
 
 SHARD_BYTES = 8 << 20  # text per shard of documents
-BUCKET_BYTES = 64 << 20  # text per bucket of anchor hashes
+BUCKET_BYTES = 16 << 20  # text per bucket of anchor hashes
+HELD_ANCHORS = 1 << 20  # anchors a task holds before it sends them
 NO_ID = (1 << 63) - 1  # a null doc_id comes last
 
 
@@ -56,6 +57,8 @@ class Level:
     window: int
     gram: int
     within: bool  # whether a repeat inside one text counts (words), or only between documents (bytes)
+    batch: int  # bytes of text worked on at once
+    block_units: int  # units in a block on average, a power of two
     hashes: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def runs(self, column: pa.Array) -> tuple[Runs, np.ndarray, np.ndarray]:
@@ -70,9 +73,9 @@ class Level:
         new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
         doc, place, anchor = owner[first], at[first], h[at[first]] if len(first) else np.zeros(0, np.uint64)
-        # a block ends behind a unit whose anchor hash ends in four zero bits, and with its text
+        # a block ends behind a unit whose anchor hash ends in zero bits, and with its text
         ends = np.zeros(len(first), np.int64)
-        ends[1:] = ((anchor[:-1] & np.uint64(15)) == 0) | (doc[1:] != doc[:-1])
+        ends[1:] = ((anchor[:-1] & np.uint64(self.block_units - 1)) == 0) | (doc[1:] != doc[:-1])
         n = np.diff(np.concatenate([first, [len(s)]]))
         return Runs(doc, s[first] - bounds[doc], n, place - bounds[doc], anchor, np.cumsum(ends)), bounds, values
 
@@ -99,11 +102,11 @@ def _word_hashes(column: pa.Array, gram: int):
 
 
 def bytes_level(window: int = 50) -> Level:
-    return Level("bytes", window, 16, False, _byte_hashes)
+    return Level("bytes", window, 16, False, 1 << 20, 8, _byte_hashes)
 
 
 def words_level(window: int = 20) -> Level:
-    return Level("words", window, 8, True, _word_hashes)
+    return Level("words", window, 8, True, 1 << 21, 16, _word_hashes)
 
 
 # ── documents ──────────────────────────────────────────────────────────────
@@ -128,7 +131,7 @@ def blocks(docs: DataFrame, level: Level) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches(rows, "text", 2_000_000):
+        for batch in batches(rows, "text", level.batch):
             r, bounds, values = level.runs(batch.column("text"))
             if not len(r.doc):
                 continue
@@ -168,7 +171,7 @@ def recurring_anchors(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                 blobs = [h[cut[b] : cut[b + 1]].tobytes() for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "shard", "h"])
 
-        for batch in batches(rows, "text", 2_000_000):
+        for batch in batches(rows, "text", level.batch):
             r, _, _ = level.runs(batch.column("text"))
             shard = batch.column("shard").to_numpy()[r.doc]
             for s in np.unique(shard):
@@ -176,7 +179,7 @@ def recurring_anchors(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                 h = r.anchor[mine] if level.within else _distinct(r.doc[mine], r.anchor[mine])
                 held.setdefault(int(s), []).append(h)
                 size += len(h)
-            if size > 4_000_000:
+            if size > HELD_ANCHORS:
                 yield from flush()
                 held.clear()
                 size = 0

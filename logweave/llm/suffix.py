@@ -96,7 +96,7 @@ def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     out, none = [], np.zeros((0, 2), np.int64)
     if not docs.num_rows or not len(recurring):
         return _SCHEMA.empty_table()
-    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", 2_000_000):
+    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", level.batch):
         r, bounds, data = level.runs(batch.column("text"))
         keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
         cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
@@ -118,14 +118,14 @@ def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
 
 
 def _refined(window: int):
-    """Rows (anchor, unit, key, body) sorted by anchor -> (anchor, unit, i): windows found under a smaller key."""
-    names = ["anchor", "unit", "i"]
+    """Rows (anchor, unit, key, body) sorted by anchor -> (anchor, unit, key, i): windows found under a smaller key."""
+    names = ["anchor", "unit", "first", "i"]
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         hits = earlier_windows([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), window)
         n = [len(h) for h in hits]
         at = np.repeat(np.arange(len(rows)), n)
-        cols = [np.array([r[c] for r in rows], np.int64)[at] for c in (0, 1)]
+        cols = [np.array([r[c] for r in rows], np.int64)[at] for c in (0, 1, 2)]
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(hits).astype(np.int32))], names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,33 +159,37 @@ def covered_bytes(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     units = docs.select("shard", "key", "tie", "text").groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(stretches, _UNITS)
     units = stage(units, "units", free=True)
     discard(anchors)
+    firsts = stage(units.groupBy("anchor", "unit").agg(F.min("key").alias("first"), F.max("key").alias("last")), "firsts", free=True)
     # equal stretches: those of larger documents are covered
-    firsts = stage(units.groupBy("anchor", "unit").agg(F.min("key").alias("first"), F.max("key").alias("last")), "firsts")
     spread = firsts.filter("first < last").drop("last")
     later = join_on(units.drop("body"), spread, ["anchor", "unit"]).filter("key > first")
-    later = later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end"))
+    later = stage(later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end")), "later", free=True)
     # different stretches of one anchor, each once: refined window by window
     several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first").alias("x"), F.max("first").alias("y")).filter("c > 1 and x < y").select("anchor", "c")
     open_ = units.select("anchor", "unit", "key", "body").join(several, "anchor")
     once = stage(open_.groupBy("anchor", "unit").agg(F.min("key").alias("key"), F.first("body").alias("body"), F.first("c").alias("c")), "open", free=True)
+    discard(firsts)
     cool = once.filter(F.col("c") <= HOT_UNITS).select("anchor", "unit", "key", "body")
-    cool = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refined(level.window), "anchor long, unit long, i int")
+    cool = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refined(level.window), "anchor long, unit long, first long, i int")
     hot = once.filter(F.col("c") > HOT_UNITS)
     last = F.length("body") - level.window
-    hot = hot.select("anchor", "unit", "key", "body", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    hot = hot.select("anchor", "unit", "key", "i", F.substring(F.col("body"), F.col("i") + 1, F.lit(level.window)).alias("w"))
-    least = hot.groupBy("anchor", "w").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    hot = join_on(hot, least, ["anchor", "w"]).filter("key > first").select("anchor", "unit", "i")
-    found = cool.union(hot).groupBy("anchor", "unit").agg(F.array_sort(F.collect_set("i")).alias("windows"))
-    owners = join_on(units.drop("body"), firsts.drop("last"), ["anchor", "unit"]).filter("key = first")
-    # neighbouring windows of a stretch as one span: i minus its rank is the same along a run
-    single = join_on(owners, found, ["anchor", "unit"]).select("key", "tie", "start", F.posexplode("windows").alias("r", "i"))
+    hot = hot.select("anchor", "unit", F.col("key").alias("first"), "body", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    hot = hot.select("anchor", "unit", "first", "i", F.substring(F.col("body"), F.col("i") + 1, F.lit(level.window)).alias("w"))
+    least = hot.groupBy("anchor", "w").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
+    hot = join_on(hot, least, ["anchor", "w"]).filter("first > least").select("anchor", "unit", "first", "i")
+    found = cool.union(hot).groupBy("anchor", "unit", "first").agg(F.array_sort(F.collect_set("i")).alias("windows"))
+    found = stage(found, "found", free=True)
+    discard(once)
+    # the stretch's occurrences in its smallest document; larger ones are covered as a whole
+    single = join_on(units.select("anchor", "unit", "key", "tie", "start"), found, ["anchor", "unit"]).filter("key = first")
+    # neighbouring windows as one span: i minus its rank is the same along a run
+    single = single.select("key", "tie", "start", F.posexplode("windows").alias("r", "i"))
     single = single.groupBy("key", "tie", "start", (F.col("i") - F.col("r")).alias("g")).agg(F.min("i").alias("x"), F.max("i").alias("y"))
     single = single.select("key", "tie", (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y") + level.window).alias("end"))
-    out = stage(copies.union(later).union(single), "spans", free=True)
-    for used in (copies, units, firsts, once):
-        discard(used)
-    return out
+    single = stage(single, "single", free=True)
+    discard(units)
+    discard(found)
+    return copies.union(later).union(single)
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
