@@ -14,8 +14,8 @@ probability:
   divided by the number of rules and strata (Bonferroni), so all certified
   cutoffs hold together with probability ``1 - delta``;
 * among the certified cutoffs, the one that catches most bad documents
-  (quality 0) is taken, each lost good document counting ``good_cost`` times;
-  with none, the rule is off in that stratum.
+  (quality 0) is taken, each lost good document counting ``good_cost`` times
+  (the loosest of equal ones); with none, the rule is off in that stratum.
 
 DataFrame functions only. Values are computed inside the row; only numbers
 are shuffled, and labels meet documents' numbers, never their texts.
@@ -156,17 +156,17 @@ def cutoffs(held: DataFrame, alpha: float, delta: float, good_cost: float) -> Da
     """
     seen = held.select("stratum", "quality", F.explode("levels").alias("x")).groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.level").alias("level"))
     seen = seen.agg(F.sum(F.col("quality").cast("long")).alias("good"), F.sum(1 - F.col("quality").cast("long")).alias("bad"))
-    # level i is the i-th cutoff from the loose end: it rejects rows with a level of i or more
+    # cutoff i rejects rows with a level of i or more: 1 is the strictest, N_CUTOFFS the loosest
     steps = seen.select("stratum", "rule", F.explode(F.sequence(F.lit(1), F.lit(N_CUTOFFS))).alias("i"), "level", "good", "bad")
     hit = lambda c: F.sum(F.when(F.col("level") >= F.col("i"), F.col(c)).otherwise(F.lit(0)))
     steps = steps.groupBy("stratum", "rule", "i").agg(F.sum("good").alias("n"), hit("good").alias("k"), hit("bad").alias("caught"))
     # one row per stratum, rule and cutoff: every stratum has the first rule's first cutoff
     tests = F.sum(F.when((F.col("rule") == next(iter(RULES))) & (F.col("i") == 1), len(RULES))).over(W.partitionBy(F.lit(0)))
     steps = steps.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / tests)
-    upto = W.partitionBy("stratum", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("stratum", "rule").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
     steps = steps.withColumn("ok", F.min(F.col("ok").cast("int")).over(upto) == 1)
     gain = F.col("caught") - good_cost * F.col("k")
-    best = steps.filter(F.col("ok") & (gain > 0)).groupBy("stratum", "rule").agg(F.max_by("i", F.struct(gain, -F.col("i"))).alias("i"))
+    best = steps.filter(F.col("ok") & (gain > 0)).groupBy("stratum", "rule").agg(F.max_by("i", F.struct(gain, F.col("i"))).alias("i"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("i") - 1))).alias("allowed"))
 
 

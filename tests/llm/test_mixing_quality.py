@@ -115,6 +115,47 @@ def test_rules_catch_bad_rows_and_match_sql(spark):
     assert quality.kept_documents(docs, labels, alpha=0.02).count() == 801
 
 
+def _cutoffs_by_hand(held, alpha, delta, good_cost):
+    """{(stratum, rule): cutoff} as the module's docstring has it; held: (stratum, quality, {rule: value})."""
+    from math import comb
+
+    strata, out = {s for s, _, _ in held}, {}
+    for s in strata:
+        for rule, cuts in quality.RULES.items():
+            good = [v[rule] for t, q, v in held if t == s and q == 1]
+            bad = [v[rule] for t, q, v in held if t == s and q == 0]
+            best = 0
+            for cut in sorted(cuts, reverse=True):  # a higher cutoff rejects less
+                k, n = sum(x > cut for x in good), len(good)
+                p = 1.0 if k >= n * alpha else sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1))
+                if p > delta / (len(strata) * len(quality.RULES)):
+                    break
+                gain = sum(x > cut for x in bad) - good_cost * k
+                if gain > best:
+                    best, out[s, rule] = gain, cut
+    return out
+
+
+def test_cutoffs_are_tested_from_the_loose_end(spark):
+    # the strictest cutoff rejects 30 of 900 good texts; the looser ones none
+    plain, some, junk = "word " * 100, "word " * 55 + "word# " * 45, "word### " * 100
+    texts = [plain] * 870 + [some] * 30 + [junk] * 40
+    share = [t.count("#") / 100 for t in texts]
+    marks = [(i, int(i < 900)) for i in range(len(texts))]
+    # only symbols differ; distinct words keep the base rules quiet
+    own = [" ".join(f"{w.replace('word', 'w')}{j}" for j, w in enumerate(t.split())) for t in texts]
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(own)])
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    held = [("en", q, {r: share[i] if r == "symbols_per_word" else 0.0 for r in quality.RULES}) for i, q in marks]
+    want = _cutoffs_by_hand(held, 0.01, 0.05, 10.0)
+    assert want == {("en", "symbols_per_word"): 2.0}  # 3.0 catches nothing; the looser of equal ones
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert got == {i: share[i] <= 2.0 for i in range(len(texts))}
+    f = quality.features(docs).withColumn("levels", quality.levels()).join(labels, "doc_id")
+    allowed = {r["stratum"]: r["allowed"] for r in quality.cutoffs(f, 0.01, 0.05, 10.0).collect()}
+    assert allowed == {"en": {"symbols_per_word": 6}}  # a kept row may lie above 0.4, 0.5, 0.6, 0.8, 1.0 and 1.5
+
+
 def test_few_labels_certify_nothing(spark):
     docs, labels = _labelled(spark, 60)
     got = quality.judge(docs, labels).filter("not base_failed and not kept").count()
