@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, stage
 from .langid import held_out
 
 # ── fixed values: letters and digits that look like Latin letters ──────────
@@ -189,13 +190,13 @@ def sample_labels(labels: DataFrame, per_class: int) -> list[tuple[int, int, int
     return [(r["doc_id"], r["toxic"], r["h"] & 1) for r in rows]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entries: int = 5_000, least_share: float = 0.02, least_weight: float = 2.0, luck: float = 1e-4) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entries: int = 5_000, least_weight: float = 2.0, luck: float = 1e-4) -> Lexicon:
     """The lexicon, its exceptions and its curve from a sample of at most ``2 * per_class`` labelled rows.
 
-    An entry stands in at least ``least_share`` of the sample's toxic texts
-    (3 at least), has a smoothed log-odds of ``least_weight`` or more and so
-    many toxic texts by chance with probability ``luck`` at most; the
-    ``max_entries`` commonest are kept. Without texts of both classes the
+    An entry stands in at least 3 of the sample's toxic texts (2 of a half's),
+    has a smoothed log-odds of ``least_weight`` or more and so many toxic
+    texts by chance with probability ``luck`` at most; of the tokens that pass
+    all three, the ``max_entries`` commonest are kept. Without texts of both classes the
     lexicon is empty and every score is the share of toxic texts (0 for none).
     """
     spark = docs.sparkSession
@@ -207,24 +208,32 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entri
     counts = sample.mapInArrow(_counted, "token string, half int, toxic long, clean long")
     one = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}")
     size = {(h, t): max(1, sum(1 for _, tt, hh in picked if hh == h and tt == t)) for h in (0, 1) for t in (0, 1)}
-    least = max(3, math.ceil(least_share * sum(t for _, t, _ in picked)))
-    top = counts.groupBy("token").agg(one("toxic", 0), one("toxic", 1), one("clean", 0), one("clean", 1))
-    top = top.filter(F.col("toxic0") + F.col("toxic1") >= least).filter((F.col("toxic0") + F.col("toxic1")) * size[0, 0] > 2 * (F.col("clean0") + F.col("clean1")))
-    top = top.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "token").limit(4 * max_entries).collect()
+    counts = counts.groupBy("token").agg(one("toxic", 0), one("toxic", 1), one("clean", 0), one("clean", 1)).filter("toxic0 + toxic1 > 1")
     odds = lambda k, n: math.log((k + 0.5) / (n + 1))
 
-    def entries(halves: tuple[int, ...]) -> dict[str, float]:
-        pos, neg = (sum(size[h, t] for h in halves) for t in (1, 0))
-        out, need = {}, max(2, math.ceil(least * len(halves) / 2))
-        for r in top:
-            k, c = (sum(r[f"{name}{h}"] for h in halves) for name in ("toxic", "clean"))
-            weight = odds(k, pos) - odds(c, neg)
-            if k >= need and weight >= least_weight and len(out) < max_entries and chance(k, c, pos / (pos + neg)) <= luck:
-                out[r["token"]] = weight
-        return out
-
-    full = Lexicon(entries((0, 1)))
-    halves = [Lexicon(entries((1 - h,))) for h in (0, 1)]  # each half is scored by the other half's words
+    def tested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lexicon, token, toxic, weight) of the entries of the lexicon of both halves (2) and of each one (0, 1)."""
+        for batch in rows:
+            out = []
+            for r in batch.to_pylist():
+                for which, halves in enumerate(((0,), (1,), (0, 1))):
+                    k, c = (sum(r[f"{name}{h}"] for h in halves) for name in ("toxic", "clean"))
+                    pos, neg = (sum(size[h, t] for h in halves) for t in (1, 0))
+                    weight = odds(k, pos) - odds(c, neg)
+                    if k > len(halves) and weight >= least_weight and chance(k, c, pos / (pos + neg)) <= luck:
+                        out.append((which, r["token"], k, weight))
+            cols = zip((pa.int32(), pa.string(), pa.int64(), pa.float64()), zip(*out) if out else [()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in cols], ["lexicon", "token", "toxic", "weight"])
+
+    real = stage(counts.mapInArrow(tested, "lexicon int, token string, toxic long, weight double"), "lexicon")
+
+    def entries(which: int) -> dict[str, float]:
+        top = real.filter(F.col("lexicon") == which).orderBy(F.desc("toxic"), "token").limit(max_entries).collect()
+        return {r["token"]: r["weight"] for r in top}
+
+    full = Lexicon(entries(2))
+    halves = [Lexicon(entries(1 - h)) for h in (0, 1)]  # each half is scored by the other half's words
+    discard(real)
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

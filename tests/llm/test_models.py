@@ -92,6 +92,30 @@ def test_toxicity_is_learned(spark):
     assert all(0 <= g["score"] <= 1 and g["predicted"] == int(g["score"] >= 0.7) for g in got)
 
 
+def test_toxicity_learns_a_long_tail(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain, slurs = [word(7) for _ in range(1500)], [word(8) for _ in range(150)]
+    rows, marks = [], []
+    for i in range(9900):
+        bad = i % 11 == 0  # 900 toxic texts; a slur stands in 12 of them, under 2 %
+        words = rng.choices(plain, k=10)
+        if bad:
+            j = i // 11
+            words[3], words[7] = slurs[j % 150], slurs[(j + 1 + j // 150) % 150]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(bad)))
+    docs, labels = table(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert len(lexicon.entries.keys() & set(slurs)) > 120
+    got = toxicity.predict(docs, lexicon).filter("held_out").collect()
+    assert np.mean([r["predicted"] for r in got if r["doc_id"] % 11 == 0]) > 0.9
+    assert np.mean([r["predicted"] for r in got if r["doc_id"] % 11]) < 0.02
+    # common words of both classes take no place from real entries
+    few = toxicity.learn(docs, labels, max_entries=10).entries
+    assert len(few) == 10 and all(any(s.startswith(e.rstrip("*")) for s in slurs) for e in few)
+
+
 def test_toxicity_without_two_classes(spark):
     docs = table(spark, hard_rows(random.Random(4)))
     none = spark.createDataFrame([], "doc_id long, toxic int")
