@@ -319,3 +319,15 @@ def test_search_sees_unicode_words(spark):
 
     df = spark.createDataFrame([("用户张三登录成功",), ("用户 登录",)], "msg string")
     assert views.search_msg(df, r"用户\w+登录").count() == 1
+
+
+def test_merged_view_keeps_rows_without_time_or_tie(spark):
+    from logweave.operators import views
+
+    rows = [("b", 2, "m1"), (None, 5, "m2"), ("a", None, "m3"), ("a", 1, "m4"), (None, None, "m5")]
+    df = spark.createDataFrame(rows, "time string, event_id long, msg string")
+    out = views.merged_view(df, ["event_id"], rank_col="place")
+    assert out.columns == ["time", "event_id", "msg", "place"]
+    want = [r["msg"] for r in views.merged_view(df, ["event_id"]).collect()]
+    assert want == ["m5", "m2", "m3", "m4", "m1"]
+    assert [(r["place"], r["msg"]) for r in out.orderBy("place").collect()] == list(enumerate(want))
