@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, minhash, mixing, phrases, quality, suffix, tokenbin, toxicity, warc
+from . import align, decontam, langid, linkgraph, minhash, mixing, phrases, quality, spelling, suffix, tokenbin, toxicity, warc
 from .common import read
 
 
@@ -58,10 +58,33 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return align.report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return linkgraph.judge(pages, linkgraph.rule_table(spark, URL_RULES))
+
+
 def queries() -> dict:
     ops = [
         op1_mixing, op2_langid, op3_minhash, op4_decontamination, op5_token_files, op6_phrases, op7_toxicity,
-        op8_quality_rules, op9_warc, op10_suffix_array,
+        op8_quality_rules, op9_warc, op10_suffix_array, op11_spelling, op12_alignment, op13_url_filter,
     ]
     return {f.__name__: f for f in ops}
 
@@ -134,5 +157,41 @@ from base
 """
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_STEPS = 40
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_FRONTS = ",\n".join(
+    f"f{i + 1} as materialized (select w.kind, w.dst as node, cast(sum((f.mass * 85) // (100 * d.n)) as bigint) as mass"
+    f" from f{i} f join degree d using (kind, node) join walks w using (kind, node) where (f.mass * 85) // (100 * d.n) > 0 group by all)"
+    for i in range(_STEPS)
+)
+OP13 = f"""
+with rules(v, h, p) as (values {_RULES}),
+u as (select row_number() over () as rid, page_id, html,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_AZ}) as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+fit as (select rid, arg_min(struct_pack(v := v, rule := h || p), (-length(h || p), h || p, v)) as r
+  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by rid),
+j as (select u.*, r.v as v, r.rule as rule from u left join fit using (rid)),
+links as (select distinct host as src, translate(dst, {_AZ}) as dst
+  from (select host, unnest(regexp_extract_all(html, '(?i)[\x20\x09-\x0D]href=["'']?(?:https?:)?//([^/?#"''<>\x20\x09-\x0D]+)', 1)) as dst from u)),
+e as (select * from links where src <> '' and src <> dst),
+walks as (select 'trust' as kind, src as node, dst from e union all select 'distrust', dst, src from e),
+degree as (select kind, node, count(*) as n from walks group by all),
+votes as (select host, sum(case when v = 'allow' then 1000000 else 0 end) as t, sum(case when v = 'block' then 1000000 else 0 end) as d
+  from j where v is not null group by host),
+f0 as (select 'trust' as kind, host as node, cast(t as bigint) as mass from votes where t > 0
+  union all select 'distrust', host, cast(d as bigint) from votes where d > 0),
+{_FRONTS},
+every as ({" union all ".join(f"select * from f{i}" for i in range(_STEPS + 1))}),
+score as (select node as host, cast(coalesce(sum(mass) filter (kind = 'trust'), 0) as bigint) as trust,
+  cast(coalesce(sum(mass) filter (kind = 'distrust'), 0) as bigint) as distrust from every group by node)
+select page_id, j.host, path, rule,
+  coalesce(v, case when coalesce(distrust, 0) * 100 > 50 * (coalesce(trust, 0) + coalesce(distrust, 0)) then 'block' else 'allow' end) as verdict,
+  coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust
+from j left join score on j.host = score.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op8_quality_rules": OP8}
+    return {"op1_mixing": OP1, "op8_quality_rules": OP8, "op13_url_filter": OP13}
