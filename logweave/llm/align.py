@@ -49,7 +49,7 @@ MEMORY = 1 << 18  # parts a worker remembers
 MEMORY_BYTES = 64 << 20  # and the bytes of their written groups
 BLOCK_BYTES = 4 << 20
 SPACE_MARK = "▁"
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT = re.compile(r"(?<=\S)(?= [\s\S])")  # a lone last space stays with its word
 NO_LINKS = np.zeros(0, np.uint32)
 
 

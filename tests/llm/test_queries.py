@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
@@ -23,10 +23,10 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op8_quality_rules", "op13_url_filter"])
 def test_native_queries_run_no_python(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Pandas" not in plan
@@ -34,7 +34,7 @@ def test_native_queries_run_no_python(spark, name):
 
 def test_queries_return_a_row_per_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op2_langid", "op4_decontamination", "op5_token_files", "op7_toxicity"):
+    for name in ("op2_langid", "op4_decontamination", "op5_token_files", "op7_toxicity", "op12_alignment"):
         assert queries.queries()[name](spark, SF).count() == n
 
 
