@@ -1,17 +1,22 @@
 """Person names from a user-given name table (replaces model inference).
 
-A name of Han characters occurs wherever its characters do (Chinese is written
-without spaces). Any other name occurs where its words stand next to each
-other; words end at white space, at punctuation around them, and where Han
-characters meet others. Names may have any length.
-
-Matching joins on *anchors*: the first two characters of a Han name, the first
-word of another. A text offers each distinct word and pair of Han characters
-once; the name table's anchors prune them before they are shuffled (Spark
-broadcasts that small side only below its size limit). Candidates are then
-checked in full against the text, which is joined once. The names found per
-row come back as ``array<string>`` for :func:`logweave.operators.redact.redact`
-(``persons_col``).
+Scripts written without spaces (Chinese, Japanese, Thai, ...) hold a name
+wherever its characters stand together. Any other name occurs where its words
+stand next to each other; words end at white space, at punctuation around
+them, and where the two kinds of script meet. Names may have any length.
+
+Matching is one equi-join on the *whole* name. The name table gives the
+distinct lengths of its names, in words and in unspaced characters; a text
+offers its n-grams of just those lengths. Each n-gram that equals a name is a
+find, so there are no candidates to check, and the rows grow with the text
+alone, whatever names begin alike. Texts go through in pieces of ``CHUNK``
+words or characters that overlap by the longest name, so no row holds all
+n-grams of a long text. Names and n-grams are dealt over ``SALTS`` keys, so a
+name that stands in a third of all rows is no single key; Spark broadcasts
+the name table only below its size limit.
+
+The names found per row come back as ``array<string>`` for
+:func:`logweave.operators.redact.redact` (``persons_col``).
 """
 
 from __future__ import annotations
@@ -19,31 +24,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 512
+SALTS = 8
+
 _TOKEN_EDGE = r"(?U)^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
-_HAN_BORDER = r"(?<=\p{IsHan})(?=\P{IsHan})|(?<=\P{IsHan})(?=\p{IsHan})"
-_HAN_RUN = r"\p{IsHan}+"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_BORDER = rf"(?<=[{_UNSPACED}])(?=[^{_UNSPACED}])|(?<=[^{_UNSPACED}])(?=[{_UNSPACED}])"
+_RUN = rf"[{_UNSPACED}]+"
 
 
 def _words(text: Column) -> Column:
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), _HAN_BORDER, " ")
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), _BORDER, " ")
     toks = F.split(spaced, r"(?U)\s+", -1)
     return F.filter(F.transform(toks, lambda t: F.regexp_replace(t, _TOKEN_EDGE, "")), lambda t: F.length(t) > 0)
 
 
-def _spaced(text: Column) -> Column:
-    """The words with one space around each: a name's words occur if its own form is contained."""
-    return F.concat(F.lit(" "), F.array_join(_words(text), " "), F.lit(" "))
+def _pieces(of: Column, size: Column, cut, longest: int) -> Column:
+    """``of`` cut into overlapping pieces: every n-gram up to ``longest`` lies whole in the piece it starts in."""
+    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(CHUNK))
+    return F.explode(F.transform(starts, lambda i: cut(of, i, F.lit(CHUNK + longest - 1))))
+
+
+def _grams(piece: Column, size: Column, gram, lengths: list[int]) -> Column:
+    """The distinct n-grams of the wanted lengths that start in the first ``CHUNK`` places of a piece."""
 
+    def of_length(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.least(size - n + 1, F.lit(CHUNK)))
+        places = F.when(size >= n, places).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: gram(piece, i, F.lit(n)))
 
-def _han_anchors(text: Column) -> Column:
-    """Each Han character and each pair of neighbours, once."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_HAN_RUN), 0)
+    return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
 
-    def per_run(run: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(run))
-        return F.flatten(F.array(F.transform(places, lambda i: F.substring(run, i, F.lit(1))), F.transform(places, lambda i: F.substring(run, i, F.lit(2)))))
 
-    return F.flatten(F.transform(runs, per_run))
+def name_table(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """(name, form, unspaced, length): what a text must hold for each distinct name, and its length in characters or words."""
+    nm = names.select(F.trim(F.col(name_col)).alias("name")).where(F.length("name") > 0).distinct()
+    whole = F.col("name").rlike(rf"^{_RUN}$")
+    nm = nm.select("name", whole.alias("unspaced"), F.when(~whole, _words(F.col("name"))).alias("words"))
+    nm = nm.select(
+        "name",
+        F.when(F.col("unspaced"), F.col("name")).otherwise(F.array_join("words", " ")).alias("form"),
+        "unspaced",
+        F.when(F.col("unspaced"), F.length("name")).otherwise(F.size("words")).alias("length"),
+    )
+    return nm.where(F.col("length") > 0)
 
 
 def person_names(
@@ -54,20 +78,34 @@ def person_names(
     name_col: str = "name",
     out_col: str = "persons",
 ) -> DataFrame:
-    """Add ``out_col`` = distinct names from ``names`` that occur in ``text_col``.
+    """Add ``out_col`` = distinct names from ``names`` that occur in ``text_col``, in order.
 
     ``key_cols`` must identify a row of ``df``.
     """
-    nm = names.select(F.trim(F.col(name_col)).alias("__lw_name")).where(F.length("__lw_name") > 0).distinct()
-    han = F.col("__lw_name").rlike(rf"^{_HAN_RUN}$")
-    form = F.when(~han, _spaced(F.col("__lw_name")))
-    nm = nm.select("__lw_name", form.alias("__lw_form"), F.when(han, F.left("__lw_name", F.lit(2))).otherwise(F.get(_words(F.col("__lw_name")), F.lit(0))).alias("__lw_anchor"))
-    nm = nm.where(F.col("__lw_anchor").isNotNull())
-    text = F.col(text_col)
-    anchors = df.select(*key_cols, F.explode(F.array_distinct(F.concat(_words(text), _han_anchors(text)))).alias("__lw_anchor"))
-    anchors = anchors.join(nm.select("__lw_anchor").distinct(), "__lw_anchor", "left_semi")
-    found = anchors.join(nm, "__lw_anchor").groupBy(*key_cols).agg(F.collect_set(F.struct("__lw_name", "__lw_form")).alias("__lw_found"))
-    out = df.join(found, key_cols, "left").withColumn("__lw_text", F.when(F.col("__lw_found").isNotNull(), _spaced(text)))
-    hit = lambda n: F.when(n["__lw_form"].isNull(), text.contains(n["__lw_name"])).otherwise(F.col("__lw_text").contains(n["__lw_form"]))
-    kept = F.array_sort(F.transform(F.filter("__lw_found", hit), lambda n: n["__lw_name"]))
-    return out.withColumn(out_col, F.coalesce(kept, F.array().cast("array<string>"))).drop("__lw_found", "__lw_text")
+    nm = name_table(names, name_col)
+    lengths = nm.select("unspaced", "length").distinct().collect()  # one row per length of a name
+    by_kind = {k: sorted(r["length"] for r in lengths if r["unspaced"] is k) for k in (True, False)}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = [F.col(k).alias(f"__lw_k{i}") for i, k in enumerate(key_cols)]
+    held = [f"__lw_k{i}" for i in range(len(key_cols))]
+    offers = []
+    if by_kind[False]:
+        n = by_kind[False]
+        rows = df.select(*keys, _words(text).alias("all"))
+        rows = rows.select(*held, _pieces(F.col("all"), F.size("all"), F.slice, n[-1]).alias("piece"))
+        gram = lambda p, i, k: F.array_join(F.slice(p, i, k), " ")
+        offers.append(rows.select(*held, F.lit(False).alias("unspaced"), F.explode(_grams(F.col("piece"), F.size("piece"), gram, n)).alias("form")))
+    if by_kind[True]:
+        n = by_kind[True]
+        rows = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_RUN), 0))).alias("all"))
+        rows = rows.select(*held, _pieces(F.col("all"), F.length("all"), F.substring, n[-1]).alias("piece"))
+        offers.append(rows.select(*held, F.lit(True).alias("unspaced"), F.explode(_grams(F.col("piece"), F.length("piece"), F.substring, n)).alias("form")))
+    if not offers:
+        return df.withColumn(out_col, F.array().cast("array<string>"))
+    offered = offers[0] if len(offers) == 1 else offers[0].unionByName(offers[1])
+    offered = offered.withColumn("salt", F.pmod(F.xxhash64(*held), F.lit(SALTS)).cast("int"))
+    nm = nm.select("name", "form", "unspaced", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = offered.join(nm, ["unspaced", "form", "salt"]).groupBy(*held).agg(F.sort_array(F.collect_set("name")).alias("__lw_found"))
+    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(key_cols, held)]
+    out = df.join(found, same, "left")
+    return out.withColumn(out_col, F.coalesce("__lw_found", F.array().cast("array<string>"))).drop("__lw_found", *held)
