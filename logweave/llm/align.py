@@ -37,6 +37,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,6 @@ MEMORY_BYTES = 64 << 20  # and the bytes of their written groups
 BLOCK_BYTES = 4 << 20
 SPACE_MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")  # a lone last space stays with its word
-NO_LINKS = np.zeros(0, np.uint32)
 
 
 # ── pointer jumping ────────────────────────────────────────────────────────
@@ -71,7 +71,8 @@ def components(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.nda
         if np.array_equal(farther, pointer):
             break
         pointer = farther
-    _, label = np.unique(pointer, return_inverse=True)  # terminal tokens stand in text order
+    terminal = pointer == np.arange(n_a + n_b)  # all on the B side, in text order
+    label = (np.cumsum(terminal) - 1)[pointer]
     return label[:n_a], label[n_a:]
 
 
@@ -81,7 +82,9 @@ def overlaps(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     Two tokens of two cuts share at most one stretch, so the pairs are the
     stretches between neighbouring ends of either cut.
     """
-    ends = np.union1d(end_a, end_b)
+    either = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 0, bool)
+    either[end_a] = either[end_b] = True
+    ends = np.flatnonzero(either)
     return np.searchsorted(end_a, ends, "left"), np.searchsorted(end_b, ends, "left")
 
 
@@ -112,6 +115,11 @@ class Pair:
         self.len_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.len_b = np.array([len(t) for t in self.bytes_b], np.int64)
         self.in_parts = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
+        feed = self.a.encode("x\n x", add_special_tokens=False).ids
+        self.feed = feed[1] if len(feed) == 3 and self.bytes_a[feed[1]] == b"\n" else None
+        # every id written with each sign that can follow it
+        self.words = [b"%d%s" % (i, sign) for sign in (b",", b"|", b",", b";") for i in range(1 << 16)]
+        self.word_sizes = np.array([len(w) for w in self.words], np.int64)
         self.memory = memory
         self.forget()
 
@@ -125,36 +133,69 @@ class Pair:
 
     def learn(self, parts: list[str]) -> None:
         """Tokenize and align new parts, all in one batch of arrays; None marks parts whose bytes differ."""
-        got_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        got_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        ok, ids_a, ids_b = [], [], []
-        for part, x, y in zip(parts, got_a, got_b):
-            raw = part.encode()
-            if b"".join([self.bytes_a[i] for i in x]) == raw and b"".join([self.bytes_b[i] for i in y]) == raw:
-                ok.append(part)
-                ids_a.append(x)
-                ids_b.append(y)
-            else:
-                self.seen[part] = None
-        if not ok:
+        ids_a = self._encode_a(parts)
+        ids_b = self.b.encode([p[1:] for p in parts], num_threads=1)
+        ok = self._covers(ids_a, self.bytes_a, parts) & self._covers(ids_b, self.bytes_b, parts)
+        if not ok.all():
+            self.seen.update((parts[i], None) for i in np.flatnonzero(~ok).tolist())
+            parts, ids_a, ids_b = (list(compress(x, ok)) for x in (parts, ids_a, ids_b))
+        if not parts:
             return
         n_a, n_b = np.array([len(x) for x in ids_a]), np.array([len(y) for y in ids_b])
-        flat_a, flat_b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
+        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(n_a.sum()))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
         end_a, end_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
         group_a, group_b = components(end_a, end_b)
         link_a, link_b = overlaps(end_a, end_b)
         codes = (flat_a[link_a] << 16 | flat_b[link_b]).astype("<u4")
         at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
-        links_to = np.searchsorted(link_a, at_a, "left").tolist()
-        groups_to = (group_a[at_a - 1] + 1).tolist()
-        text = _written(flat_a, flat_b, group_a, group_b)
-        a0 = b0 = l0 = g0 = 0
-        for i, part in enumerate(ok):
-            a1, b1, l1, g1 = int(at_a[i]), int(at_b[i]), links_to[i], groups_to[i]
-            written = b";".join(text[g0:g1])
-            self.held += len(written)
-            self.seen[part] = (a1 - a0, b1 - b0, g1 - g0, l1 - l0, codes[l0:l1].tobytes(), written)
-            a0, b0, l0, g0 = a1, b1, l1, g1
+        links_to = np.searchsorted(link_a, at_a, "left")
+        groups_to = group_a[at_a - 1] + 1
+        text, text_to = self._written(flat_a, flat_b, group_a, group_b)
+        number = zip(*(np.diff(x, prepend=0).tolist() for x in (at_a, at_b, groups_to, links_to)))
+        packed, l0, t0 = codes.tobytes(), 0, 0
+        for part, counts, l1, t1 in zip(parts, number, (4 * links_to).tolist(), text_to[groups_to - 1].tolist()):
+            self.seen[part] = (*counts, packed[l0:l1], text[t0 : t1 - 1])
+            l0, t0 = l1, t1
+        self.held += len(text)
+
+    def _encode_a(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part. Parts whose only white space leads them are encoded together, one on a line:
+        the pattern cuts a line feed before a space from both its sides."""
+        out: list[list[int]] = [[]] * len(parts)
+        lines, others = [], []
+        for i, p in enumerate(parts):
+            words = p.split(None, 1)
+            (lines if self.feed is not None and len(words) == 1 and len(words[0]) == len(p) - 1 else others).append(i)
+        if lines:
+            ids = np.array(self.a.encode_batch_fast(["\n".join([parts[i] for i in lines])], add_special_tokens=False)[0].ids)
+            cut = np.flatnonzero(ids == self.feed).tolist()
+            ids = ids.tolist()
+            for i, lo, hi in zip(lines, [0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True):
+                out[i] = ids[lo:hi]
+        for i, e in zip(others, self.a.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    @staticmethod
+    def _covers(ids: list[list[int]], token: list[bytes], parts: list[str]) -> np.ndarray:
+        """Which parts' tokens joined are the part's bytes."""
+        raw = [p.encode() for p in parts]
+        got = [b"".join([token[i] for i in x]) for x in ids]
+        return np.array([x == y for x, y in zip(raw, got)], bool)
+
+    def _written(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as ``a1,a2|b1;`` in one, and where each ends."""
+        n_a, n_b, n = len(ids_a), len(ids_b), int(group_a[-1]) + 1
+        last_a = np.append(group_a[1:] != group_a[:-1], True)
+        last_b = np.append(group_b[1:] != group_b[:-1], True)
+        before_a = np.searchsorted(group_b, group_a, "left")  # B tokens of earlier groups
+        before_b = np.searchsorted(group_a, group_b, "right")  # A tokens up to the own group
+        code = np.empty(n_a + n_b, np.int64)
+        code[np.arange(n_a) + before_a] = ids_a + np.where(last_a, 1 << 16, 0)
+        code[np.arange(n_b) + before_b] = ids_b + np.where(last_b, 3 << 16, 2 << 16)
+        ends = np.cumsum(self.word_sizes[code])
+        return b"".join(map(self.words.__getitem__, code.tolist())), ends[code >= 3 << 16][:n]
 
     def align(self, texts: list[str | None]) -> list[list[tuple] | None]:
         """The aligned parts of each text; None for texts without tokens."""
@@ -171,19 +212,6 @@ class Pair:
         return out
 
 
-def _written(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[bytes]:
-    """Each group as ``a1,a2|b1``."""
-    n = int(group_a[-1]) + 1
-    words_a, words_b = ids_a.astype("S").tolist(), ids_b.astype("S").tolist()
-    to_a = np.searchsorted(group_a, np.arange(n), "right").tolist()
-    to_b = np.searchsorted(group_b, np.arange(n), "right").tolist()
-    out, i, j = [], 0, 0
-    for p, q in zip(to_a, to_b):
-        out.append(b",".join(words_a[i:p]) + b"|" + b",".join(words_b[j:q]))
-        i, j = p, q
-    return out
-
-
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
