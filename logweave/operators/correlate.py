@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import jre
+from ..plans.asof import lag_counts
+from ..plans.gram import pair_products
 from ..plans.quantiles import exact_percentiles
 from ..session import materialize
 from .events import floor_minutes, with_event_time
@@ -55,8 +57,8 @@ def rate_correlation(df: DataFrame, bucket_minutes: int = 1, digits: int | None
 
     The series are aligned on the union of non-empty buckets, missing = 0. No
     wide pivot: r = (N·Sxy − Sx·Sy) / sqrt((N·Sxx − Sx²)(N·Syy − Sy²)), where
-    Sxy comes from a self-join of the per-(source, bucket) counts on bucket.
-    Counts are whole numbers, so all sums are exact decimals. Pairs are
+    Sxy comes from products of blocks of sources and buckets
+    (:mod:`logweave.plans.gram`). Counts are whole numbers, all sums exact decimals. Pairs are
     computed for a ≤ b and mirrored. Constant series give NaN. Fewer than two
     sources → no rows.
     """
@@ -66,10 +68,8 @@ def rate_correlation(df: DataFrame, bucket_minutes: int = 1, digits: int | None
     total = lambda v: F.sum(v).cast("decimal(38,0)")
     per_source = c.groupBy("source").agg(total(x).alias("s"), total(exact(x * x)).alias("ss"))
     shape = lambda col: c.select(col).distinct().agg(F.count(F.lit(1))).scalar()
-    a = c.select("bucket", F.col("source").alias("a_source"), F.col("events").alias("x"))
-    b = c.select("bucket", F.col("source").alias("b_source"), F.col("events").alias("y"))
-    sxy = a.join(b, "bucket").where(F.col("a_source") <= F.col("b_source"))
-    sxy = sxy.groupBy("a_source", "b_source").agg(total(exact(exact(F.col("x")) * exact(F.col("y")))).alias("sxy"))
+    sxy = pair_products(c.withColumn("at", F.unix_micros("bucket")), "source", "at", "events")
+    sxy = sxy.withColumnsRenamed({"a": "a_source", "b": "b_source", "product": "sxy"})
     g = _source_pairs(per_source, ["source", "s", "ss"]).join(sxy, ["a_source", "b_source"], "left")
     g = g.withColumn("n", shape("bucket")).where(shape("source") >= 2)
     scaled = lambda p, q: exact(exact(F.col("n")) * p) - exact(q)
@@ -100,75 +100,23 @@ def error_instants(df: DataFrame, **time_kw) -> DataFrame:
 def error_cascades(
     df: DataFrame,
     cfg: C.CorrelationConfig | None = None,
-    fine_seconds: int = 1,
     digits: int | None = 2,
     **time_kw,
 ) -> DataFrame:
     """For every ordered pair A≠B: how often an A error is followed by a B error within W.
 
     For each A error at t the first B error in [t, t+W] counts (lag = its time − t).
-    Forward as-of in three bounded parts, with coarse bucket c = ⌊t/W⌋ and fine
-    bucket g = ⌊t/fine⌋ (the answer lies in c or c+1):
-      1. first B at/after t inside g — window over (B, g), bounded by the
-         distinct instants of one fine bucket;
-      2. first B in a later fine bucket of c — window over the per-(B, g) minima
-         of (B, c), at most W/fine rows per partition;
-      3. first B of c+1 — equi-join with the per-(B, c) minimum.
     Errors are first reduced to distinct (source, instant) with a count, so a
-    burst of identical times (e.g. untimed lines at 1970) is one row. A errors
-    are only paired with sources that have errors in c or c+1 (equi-join on c).
+    burst of identical times (e.g. untimed lines at 1970) is one row. The
+    search goes by blocks of sources (:mod:`logweave.plans.asof`); out come
+    the lags of each pair with their numbers, from which the exact median,
+    the mean and the least lag are taken.
     """
     cfg = cfg or C.CorrelationConfig()
     W = int(cfg.cascade_window_sec) * 1_000_000
-    fine = int(fine_seconds) * 1_000_000
-    if W % fine:
-        fine = 1_000_000
-    e = error_instants(df, **time_kw)
-    e = e.withColumn("g", F.floor(F.col("t") / F.lit(fine)).cast("long")).withColumn(
-        "c", F.floor(F.col("t") / F.lit(W)).cast("long")
-    )
-    e = materialize(e)  # read by six branches below
+    e = materialize(error_instants(df, **time_kw))
     totals = e.groupBy(F.col("source").alias("source_a")).agg(F.sum("n").alias("errors_a"))
-    mc = e.groupBy("source", "c").agg(F.min("t").alias("cmin"))
-    # candidate B sources for an A instant in bucket c: errors in c or c+1
-    cand = (
-        mc.select(F.col("source").alias("src_b"), "c")
-        .unionByName(mc.select(F.col("source").alias("src_b"), (F.col("c") - 1).alias("c")))
-        .distinct()
-    )
-    probes = (
-        e.select(F.col("source").alias("src_a"), "t", "n", "g", "c")
-        .join(cand, "c")
-        .where(F.col("src_a") != F.col("src_b"))
-    )
-    # 1. inside the fine bucket
-    marks1 = e.select(
-        F.col("source").alias("src_b"), "g", "t", F.lit(True).alias("is_b"),
-        F.lit(None).cast("string").alias("src_a"), F.lit(None).cast("long").alias("n"), "c",
-    )
-    u1 = probes.select("src_b", "g", "t", F.lit(False).alias("is_b"), "src_a", "n", "c").unionByName(marks1)
-    w1 = Window.partitionBy("src_b", "g").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = u1.withColumn("next_own", F.min(F.when(F.col("is_b"), F.col("t"))).over(w1)).where(~F.col("is_b"))
-    # 2. a later fine bucket of the same coarse bucket
-    keys2 = probes.select("src_b", "c", "g").distinct().withColumn("gmin", F.lit(None).cast("long")).withColumn("is_b", F.lit(False))
-    marks2 = e.groupBy(F.col("source").alias("src_b"), "c", "g").agg(F.min("t").alias("gmin")).withColumn("is_b", F.lit(True))
-    w2 = Window.partitionBy("src_b", "c").orderBy(F.col("g").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    later = (
-        keys2.unionByName(marks2)
-        .withColumn("next_fine", F.min(F.when(F.col("is_b"), F.col("gmin"))).over(w2))
-        .where(~F.col("is_b"))
-        .select("src_b", "g", "next_fine")
-    )
-    # 3. the next coarse bucket
-    nextc = mc.select(F.col("source").alias("src_b"), (F.col("c") - 1).alias("c"), F.col("cmin").alias("next_coarse"))
-    hit = (
-        own.join(later, ["src_b", "g"], "left")
-        .join(nextc, ["src_b", "c"], "left")
-        .withColumn("lag", F.least("next_own", "next_fine", "next_coarse") - F.col("t"))
-        .where(F.col("lag").isNotNull() & (F.col("lag") <= F.lit(W)))
-    )
-    # weighted lag distribution per pair, then the summary
-    lags = hit.groupBy(F.col("src_a").alias("source_a"), F.col("src_b").alias("source_b"), "lag").agg(F.sum("n").alias("w"))
+    lags = lag_counts(e, W).groupBy("source_a", "source_b", "lag").agg(F.sum("w").alias("w"))
     lags = materialize(lags.withColumn("lag_s", F.col("lag") / F.lit(1_000_000.0)))
     out = (
         lags.groupBy("source_a", "source_b")
