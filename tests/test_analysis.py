@@ -80,11 +80,11 @@ def _cascades_twin(rows, window, min_count):
     return out
 
 
-@pytest.mark.parametrize("seed,window,fine", [(1, 60, 1), (2, 600, 1), (3, 5, 1), (4, 60, 7), (5, 300, 60)])
-def test_error_cascades_twin(spark, seed, window, fine):
+@pytest.mark.parametrize("seed,window", [(1, 60), (2, 600), (3, 5), (4, 61), (5, 300)])
+def test_error_cascades_twin(spark, seed, window):
     rows = _random_logs(seed)
     cfg = C.CorrelationConfig(cascade_window_sec=window, min_cascade_count=2)
-    got = correlate.error_cascades(_df(spark, rows), cfg, fine_seconds=fine, digits=None).collect()
+    got = correlate.error_cascades(_df(spark, rows), cfg, digits=None).collect()
     got = {(r["source_a"], r["source_b"]): (r["cascades"], r["errors_a"], round(r["mean_lag_s"], 6),
                                             round(r["median_lag_s"], 6), round(r["min_lag_s"], 6)) for r in got}
     assert got == _cascades_twin(rows, window, 2)
