@@ -56,13 +56,12 @@ def _pii(spark: SparkSession, sf: str) -> DataFrame:
     return derived.pii(spark, sf)
 
 
-def _only(*ents: str, mode: str = "replace", b64: bool = True) -> C.RedactionConfig:
-    cfg = C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*ents, mode=mode)
-    cfg.truncate_base64 = b64
-    return cfg
+def _only(*ents: str, kind: type = C.Replace, b64: bool = True, patterns: list[C.Pattern] | None = None) -> C.RedactionConfig:
+    return C.RedactionConfig(TOKEN_KEY, C.built_in_rules(kind, ents), patterns or [], b64)
 
 
-CUSTOM_EMP = C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(label="<工号>"))
+EMP = r"EMP\d{6}"
+CUSTOM_EMP = C.Pattern("员工工号", EMP, C.Replace("<工号>"))
 
 
 def _redact_query(source: Callable[[SparkSession, str], DataFrame], key: str, cfg: C.RedactionConfig, text: str = "text"):
@@ -133,8 +132,7 @@ def q_redact_persons_long(spark, sf):
 
 def q_redact_custom_named(spark, sf):
     """A pattern with a named group, as Python writes it."""
-    cfg = _only(b64=False)
-    cfg.custom_entities = [C.CustomEntity("员工工号", r"(?P<emp_id>EMP\d{6})", C.EntityConfig(label="<工号>"))]
+    cfg = _only(b64=False, patterns=[C.Pattern("员工工号", r"(?P<emp_id>EMP\d{6})", C.Replace("<工号>"))])
     return _redact_query(_pii, "event_id", cfg)(spark, sf)
 
 
@@ -403,9 +401,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["redact_ip"] = _redact_query(_docs, "doc_id", _only(C.IP))
     q["redact_card"] = _redact_query(_docs, "doc_id", _only(C.CARD))
     q["redact_all"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY))
-    q["redact_mask"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="mask"))
-    q["redact_redact"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="redact"))
-    q["redact_token"] = _redact_query(_docs, "doc_id", C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="pseudo"))
+    q["redact_mask"] = _redact_query(_docs, "doc_id", _only(*C.ALL_ENTITIES, kind=C.Mask))
+    q["redact_redact"] = _redact_query(_docs, "doc_id", _only(*C.ALL_ENTITIES, kind=C.Remove))
+    q["redact_token"] = _redact_query(_docs, "doc_id", _only(*C.ALL_ENTITIES, kind=C.Token))
     q["redact_pages"] = _redact_query(_pages, "page_id", C.RedactionConfig(secret_key=TOKEN_KEY))
     # one entity kind at a time on the derived PII texts
     q["redact_phone"] = _redact_query(_pii, "event_id", _only(C.PHONE, b64=False))
@@ -413,17 +411,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["redact_org_code"] = _redact_query(_pii, "event_id", _only(C.ORG_CODE, b64=False))
     q["redact_json_name"] = _redact_query(_pii, "event_id", _only(C.PERSON, b64=False))
     q["redact_base64"] = _redact_query(_pii, "event_id", _only())
-    custom = _only(b64=False)
-    custom.custom_entities = [CUSTOM_EMP]
-    q["redact_custom"] = _redact_query(_pii, "event_id", custom)
-    pii_all = C.RedactionConfig(secret_key=TOKEN_KEY, custom_entities=[CUSTOM_EMP])
-    q["redact_pii_all"] = _redact_query(_pii, "event_id", pii_all)
-    pii_mask = C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="mask")
-    pii_mask.custom_entities = [C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(mode="mask"))]
-    q["redact_pii_mask"] = _redact_query(_pii, "event_id", pii_mask)
-    pii_tok = C.RedactionConfig(secret_key=TOKEN_KEY).with_only(*C.ALL_ENTITIES, mode="pseudo")
-    pii_tok.custom_entities = [C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(mode="pseudo"))]
-    q["redact_pii_token"] = _redact_query(_pii, "event_id", pii_tok)
+    q["redact_custom"] = _redact_query(_pii, "event_id", _only(b64=False, patterns=[CUSTOM_EMP]))
+    q["redact_pii_all"] = _redact_query(_pii, "event_id", _only(*C.ALL_ENTITIES, patterns=[CUSTOM_EMP]))
+    masked = _only(*C.ALL_ENTITIES, kind=C.Mask, patterns=[C.Pattern("员工工号", EMP, C.Mask(3, 4))])
+    q["redact_pii_mask"] = _redact_query(_pii, "event_id", masked)
+    tokens = _only(*C.ALL_ENTITIES, kind=C.Token, patterns=[C.Pattern("员工工号", EMP, C.Token())])
+    q["redact_pii_token"] = _redact_query(_pii, "event_id", tokens)
     q["redact_persons"] = q_redact_persons
     q["redact_persons_external"] = q_redact_persons_external
     q["shared_ids_custom"] = q_shared_ids_custom

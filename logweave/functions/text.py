@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import logging
 import re
+import re._constants as re_constants
+import re._parser as re_parser
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -42,7 +44,7 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-_MARK = "\ue000"  # a private-use character, not a regex metacharacter
+MARK = "\ue000"  # a private-use character, not a regex metacharacter
 
 
 def sub_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
@@ -55,27 +57,32 @@ def sub_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> C
     takes a two-pass path (``split`` by the pattern + ``regexp_extract_all``).
     Patterns must not match the empty string.
     """
-    wrapped = F.split(F.regexp_replace(text, pattern, _MARK + "$0" + _MARK), _MARK, -1)
+    wrapped = F.split(F.regexp_replace(text, pattern, MARK + "$0" + MARK), MARK, -1)
     one_pass = F.array_join(
         F.transform(wrapped, lambda x, i: F.when(i % 2 == 1, F.coalesce(fn(x), F.lit(""))).otherwise(x)), ""
     )
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     two_pass = F.array_join(
-        F.zip_with(pieces, hits, lambda a, b: F.concat(a, F.coalesce(fn(b), F.lit("")))),
+        F.zip_with(pieces, hits, lambda a, b: F.concat(a, F.when(b.isNull(), "").otherwise(F.coalesce(fn(b), F.lit(""))))),
         "",
     )
-    return F.when(text.contains(_MARK), two_pass).otherwise(one_pass)
+    return F.when(text.contains(MARK), two_pass).otherwise(one_pass)
 
 
 def has_match(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
-def mask_value(value: Column, keep_head: int, keep_tail: int, mask_char: str = "*") -> Column:
-    """The value with everything but its ends overlaid by ``mask_char``; too short a value stays as it is."""
-    middle = F.length(value) - (keep_head + keep_tail)
-    hidden = F.overlay(value, F.repeat(F.lit(mask_char), middle), F.lit(keep_head + 1), middle)
+def _column(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def mask_value(value: Column, head: Column | int, tail: Column | int, char: Column | str = "*") -> Column:
+    """The value with everything but its ends overlaid by ``char``; too short a value stays as it is."""
+    head, tail, char = _column(head), _column(tail), _column(char)
+    middle = F.length(value) - (head + tail)
+    hidden = F.overlay(value, F.repeat(char, middle), head + 1, middle)
     return F.when(middle > 0, hidden).otherwise(value)
 
 
@@ -96,9 +103,9 @@ def hmac_sha256_hex(value: Column, key: str) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(opad)), inner), 256)
 
 
-def token_value(value: Column, key: str, prefix: str) -> Column:
+def token_value(value: Column, key: str, prefix: Column | str) -> Column:
     """``[PREFIX_xxxxxxxx]`` — first 8 hex digits of the keyed hash."""
-    return F.concat(F.lit(f"[{prefix}_"), F.substring(hmac_sha256_hex(value, key), 1, 8), F.lit("]"))
+    return F.concat(F.lit("["), _column(prefix), F.lit("_"), F.substring(hmac_sha256_hex(value, key), 1, 8), F.lit("]"))
 
 
 def strip_text(c: Column) -> Column:
@@ -111,6 +118,40 @@ def short_service(c: Column) -> Column:
     return F.when(c.contains("."), F.substring_index(c, ".", -2)).otherwise(c)
 
 
+def needed_literal(pattern: str) -> str | None:
+    """The longest literal (two characters at least) that every match of a Python pattern holds, if one is plain to see.
+
+    Only characters outside alternatives, optional parts and look-arounds
+    count; a pattern that ignores case has none.
+    """
+    parsed = re_parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE or "(?i" in pattern:
+        return None
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, arg in items:
+            if op is re_constants.LITERAL:
+                runs[-1] += chr(arg)
+            elif op is re_constants.SUBPATTERN and not (arg[1] or arg[2]):
+                walk(arg[3])
+            elif op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT, re_constants.POSSESSIVE_REPEAT) and arg[0] >= 1:
+                walk(arg[2])
+                runs.append("")  # what follows need not stand behind the first turn
+            elif op is not re_constants.AT:  # an anchor takes no room
+                runs.append("")
+
+    walk(parsed)
+    best = max(runs, key=len)
+    return best if len(best) >= 2 else None
+
+
+def any_literal(literals: list[str]) -> str:
+    """A Java pattern that finds any of the literals: most places fail at one test of the first character."""
+    firsts = "".join(sorted({f"\\x{{{ord(x[0]):x}}}" for x in literals}))
+    return f"(?=[{firsts}])(?:" + "|".join("\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E" for x in sorted(set(literals))) + ")"
+
+
 def usable_pattern(pattern: str, substitutes: bool = False) -> bool:
     """Whether a user's pattern can be applied; checked on the driver without a Spark job.
 

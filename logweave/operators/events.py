@@ -178,24 +178,29 @@ def timeline_points(df: DataFrame, cfg: C.TimelineConfig | None = None, keep: tu
 
 
 def downsample_every(df: DataFrame, step: int, order_cols: list[str]) -> DataFrame:
-    """A sample: every ``step``-th row in the order of ``order_cols``.
+    """A sample: every ``step``-th row in the order of ``order_cols``, the first one included.
 
-    The order must be total: time first, then a unique key (two columns at
-    least, so that a third of all rows at one time still spread over tasks).
-    Only the order columns are ranked and written; the rows come back by a
-    join on them.
+    Rows equal in the order columns each have a place of their own.
     """
-    if len(order_cols) < 2:
-        raise ValueError("order_cols needs the time and a key that breaks its ties")
     if step <= 1:
         return df
-    ranked = global_rank(df.select(*order_cols), order_cols, rank_col="__lw_rank")
-    return df.join(ranked.where(F.col("__lw_rank") % step == 0).drop("__lw_rank"), order_cols, "left_semi")
+    ranked = global_rank(df, order_cols, rank_col="__lw_rank", ties=True)
+    return ranked.where(F.col("__lw_rank") % step == 0).drop("__lw_rank")
 
 
-def chart_step(rows: int, max_points: int = 3000) -> int:
-    """The step that thins ``rows`` points to about ``max_points`` for a chart."""
-    return max(1, rows // max_points)
+def downsample(df: DataFrame, order_cols: list[str], max_points: int = 3000) -> DataFrame:
+    """A sample for a chart: every (rows // ``max_points``)-th row; all rows up to ``max_points``.
+
+    The step comes from the ranks' own total, so the rows are read once.
+    """
+    ranked = global_rank(df, order_cols, rank_col="__lw_rank", total_col="__lw_rows", ties=True)
+    step = F.greatest(F.floor(F.col("__lw_rows") / F.lit(int(max_points))), F.lit(1))
+    return ranked.where(F.col("__lw_rank") % step == 0).drop("__lw_rank", "__lw_rows")
+
+
+def sampled_density(classified: DataFrame, order_cols: list[str], max_points: int = 3000, bucket_minutes: int = 5, hot_share: float = 0.4) -> DataFrame:
+    """:func:`event_density` of the rows that :func:`downsample` draws for the chart above it."""
+    return event_density(downsample(classified, order_cols, max_points), bucket_minutes, hot_share)
 
 
 def event_density(classified: DataFrame, bucket_minutes: int = 5, hot_share: float = 0.4) -> DataFrame:

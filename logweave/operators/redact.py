@@ -1,24 +1,34 @@
 """PII redaction as a fold of native Column layers.
 
 Layer order is fixed: base64 truncation → phone → email → IP → card → CN id →
-org code → JSON name fields → person names → custom entities. Each layer sees
-the output of the one before. The row state is a struct (text, detected
-names); a layer tests its pattern once and rewrites the text only on a hit.
+org code → JSON name fields → person names → user patterns. Each layer sees
+the output of the one before. The row state is a struct: the text, the
+detected names, and whether anything was rewritten.
+
+A layer runs its pattern once over a text: the replacement carries a marker
+character, and a text with a marker was hit. (Texts that hold the marker
+themselves are tested first and rewritten then.) Cheap tests stand before the
+patterns: an ``@`` for emails; one scan for the digits that all five number
+entities need; for user patterns, the literals they need, all in one scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import (
+    MARK,
+    any_literal,
     has_match,
     jre,
     mask_value,
+    needed_literal,
     quote_replacement,
     sub_matches,
     token_value,
@@ -33,26 +43,29 @@ class _Rule:
     fn: Callable[[Column], Column] | None  # a function of the matched text
 
 
-def _rule(entity: str, cfg: C.EntityConfig, key: str | None) -> _Rule:
-    mode = cfg.mode
-    if mode == "redact":
-        return _Rule(C.REDACTED_TEXT, None)
-    if mode == "replace":
-        return _Rule(cfg.label or C.DEFAULT_LABELS.get(entity, f"<{entity}>"), None)
-    if mode == "mask":
-        return _Rule(None, lambda v: mask_value(v, cfg.keep_head, cfg.keep_tail, cfg.mask_char))
-    if mode == "pseudo":
-        if not key:
-            raise ValueError("pseudonymisation needs RedactionConfig.secret_key")
-        prefix = cfg.token_prefix or C.DEFAULT_PREFIXES.get(entity, C.CUSTOM_TOKEN_PREFIX)
-        return _Rule(None, lambda v: token_value(v, key, prefix))
-    raise ValueError(f"unknown mode {mode!r}")
+def _need_key(key: str | None) -> str:
+    if not key:
+        raise ValueError("pseudonymisation needs RedactionConfig.secret_key")
+    return key
 
 
-def _apply_pattern(text: Column, pattern: str, rule: _Rule) -> Column:
-    if rule.literal is not None:
-        return F.regexp_replace(text, pattern, quote_replacement(rule.literal))
-    return sub_matches(text, pattern, rule.fn)
+def _rule(rewrite: C.Rewrite, key: str | None) -> _Rule:
+    match rewrite:
+        case C.Replace(label):
+            return _Rule(label, None)
+        case C.Remove():
+            return _Rule(C.REDACTED_TEXT, None)
+        case C.Mask(head, tail, char):
+            return _Rule(None, lambda v: mask_value(v, head, tail, char))
+        case C.Token(prefix):
+            key = _need_key(key)
+            return _Rule(None, lambda v: token_value(v, key, F.lit(prefix)))
+    raise ValueError(f"unknown rewrite {rewrite!r}")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, whatever Catalyst inlines."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _base64_note(v: Column) -> Column:
@@ -65,17 +78,37 @@ def json_name_pattern() -> str:
     return jre(f'("(?:{keys})"\\s*:\\s*")({C.JSON_NAME_VALUE})(?=")')
 
 
-def _json_name_rewrite(text: Column, rule: _Rule) -> Column:
-    pattern = json_name_pattern()
+def _state(t: Column, d: Column, changed: Column) -> Column:
+    return F.struct(t.alias("t"), d.alias("d"), changed.alias("changed"))
+
+
+def _hit(x: Column, text: Column, name: Column | None) -> Column:
+    return _state(text, x["d"] if name is None else F.array_append(x["d"], name), F.lit(True))
+
+
+def _between(parts: Column, fn: Callable[[Column], Column]) -> Column:
+    """Texts cut at the marker: every other part is a match and goes through ``fn``."""
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(fn(p), F.lit(""))).otherwise(p)), "")
+
+
+def _pattern_layer(x: Column, pattern: Column, rule: _Rule, name: Column | None, before: str = "", match: str = "$0") -> Column:
+    """One pattern over the state: ``match`` (a group of it, behind group ``before``) is rewritten."""
+    text = x["t"]
     if rule.literal is not None:
-        return F.regexp_replace(text, pattern, "$1" + quote_replacement(rule.literal))
-    keys = "|".join(C.JSON_NAME_KEYS)
-    split_hit = jre(f'(?s)^("(?:{keys})"\\s*:\\s*")(.*)$')
-    return sub_matches(
-        text,
-        pattern,
-        lambda hit: F.concat(F.regexp_extract(hit, split_hit, 1), rule.fn(F.regexp_extract(hit, split_hit, 2))),
-    )
+        marked = F.regexp_replace(text, pattern, F.lit(before + MARK + quote_replacement(rule.literal)))
+        once = _let(marked, lambda r: F.when(r.contains(MARK), _hit(x, F.replace(r, F.lit(MARK), F.lit("")), name)).otherwise(x))
+        again = F.regexp_replace(text, pattern, F.lit(before + quote_replacement(rule.literal)))
+    else:
+        cut = F.split(F.regexp_replace(text, pattern, F.lit(before + MARK + match + MARK)), MARK, -1)
+        once = _let(cut, lambda p: F.when(F.size(p) > 1, _hit(x, _between(p, rule.fn), name)).otherwise(x))
+        if before:
+            head = lambda v: F.call_function("regexp_extract", v, F.concat(F.lit("(?s)^"), pattern), F.lit(1))
+            # the look-ahead behind a match is lost with it: a quote stands in
+            again = sub_matches(text, pattern, lambda v: _let(head(F.concat(v, F.lit('"'))), lambda h: F.concat(h, rule.fn(F.substring(v, F.length(h) + 1, F.length(v))))))
+        else:
+            again = sub_matches(text, pattern, rule.fn)
+    slow = F.when(F.coalesce(F.rlike(text, pattern), F.lit(False)), _hit(x, again, name)).otherwise(x)
+    return F.when(text.contains(MARK), slow).otherwise(once)
 
 
 def _persons_rewrite(text: Column, names: Column, rule: _Rule) -> Column:
@@ -91,21 +124,38 @@ def _persons_rewrite(text: Column, names: Column, rule: _Rule) -> Column:
     return F.aggregate(ordered, text, lambda acc, n: F.replace(acc, n, rule.fn(n)))
 
 
-def _layer(state: Column, rewrite: Callable[[Column], Column], hit: Callable[[Column], Column], name: str | None) -> Column:
-    """One layer over the (t, d) state: rewrite t where ``hit``, append ``name`` to d.
+def _fold_patterns(state: Column, patterns: list[tuple[C.Pattern, str]], key: str | None) -> Column:
+    """User patterns with a literal each, as one loop over a table of them.
 
-    The state goes through a one-element ``transform`` so that the layer names
-    its input once; if Catalyst inlines the layer chain into a filter or a
-    generator, the plan still grows linearly with the number of layers.
+    A text that holds none of the literals leaves at the one scan for all of
+    them; in the loop, a pattern is compiled and run only on a text that
+    holds its own. Once a text was rewritten, every literal is looked for.
     """
-
-    def body(x: Column) -> Column:
-        t = x["t"]
-        d = x["d"] if name is None else F.array_append(x["d"], F.lit(name))
-        # one CASE: the pattern is tested once per row and layer
-        return F.when(hit(t), F.struct(rewrite(t).alias("t"), d.alias("d"))).otherwise(x)
-
-    return F.transform(F.array(state), body)[0]
+    if any(isinstance(p.rule, C.Token) for p, _ in patterns):
+        key = _need_key(key)
+
+    def row(p: C.Pattern, literal: str) -> Column:
+        rule = p.rule
+        fixed = rule.label if isinstance(rule, C.Replace) else C.REDACTED_TEXT if isinstance(rule, C.Remove) else None
+        mask = rule if isinstance(rule, C.Mask) else C.Mask()
+        fields = {
+            "name": F.lit(p.name), "regex": F.lit(jre(p.regex)), "literal": F.lit(literal), "fixed": F.lit(fixed).cast("string"),
+            "prefix": F.lit(rule.prefix if isinstance(rule, C.Token) else None).cast("string"),
+            "head": F.lit(mask.head), "tail": F.lit(mask.tail), "char": F.lit(mask.char),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def step(x: Column, r: Column) -> Column:
+        rewrite = lambda v: F.coalesce(
+            r["fixed"],
+            F.when(r["prefix"].isNotNull(), token_value(v, key, r["prefix"]) if key else F.lit(None).cast("string")),
+            mask_value(v, r["head"], r["tail"], r["char"]),
+        )
+        return F.when(x["t"].contains(r["literal"]), _pattern_layer(x, r["regex"], _Rule(None, rewrite), r["name"])).otherwise(x)
+
+    table = F.array(*[row(p, literal) for p, literal in patterns])
+    some = any_literal([literal for _, literal in patterns])
+    return _let(state, lambda x: F.when(x["changed"] | has_match(x["t"], some), F.aggregate(table, x, step)).otherwise(x))
 
 
 def redact(
@@ -134,47 +184,58 @@ def redact(
     key = cfg.secret_key
     st = "__lw_state"
     known = F.array().cast("array<string>") if head else F.col(detected_col)
-    cur = df.withColumn(st, F.struct(F.col(text_col).alias("t"), known.alias("d")))
+    # what an earlier part may have rewritten is not known: as if it had
+    cur = df.withColumn(st, _state(F.col(text_col), known, F.lit(not head)))
 
-    def add(rewrite: Callable[[Column], Column], hit: Callable[[Column], Column], name: str | None) -> None:
+    def add(layer: Callable[[Column], Column]) -> None:
         nonlocal cur
-        cur = cur.withColumn(st, _layer(F.col(st), rewrite, hit, name))
+        cur = cur.withColumn(st, _let(F.col(st), layer))
+
+    def pattern(regex: str, rule: _Rule, name: str | None, gate: Callable[[Column], Column] | None = None, **groups: str) -> Callable[[Column], Column]:
+        def layer(x: Column) -> Column:
+            out = _pattern_layer(x, F.lit(regex), rule, F.lit(name) if name else None, **groups)
+            return out if gate is None else F.when(gate(x), out).otherwise(x)
 
-    def pattern_hit(p: str, literal: str | None = None) -> Callable[[Column], Column]:
-        if literal:
-            return lambda t: F.coalesce(t.contains(literal), F.lit(False)) & has_match(t, p)
-        return lambda t: has_match(t, p)
+        return layer
 
     if cfg.truncate_base64 and head:
-        p = jre(C.FAST_FORMS["BASE64"])
-        add(lambda c, p=p: sub_matches(c, p, _base64_note), pattern_hit(p), None)
-
-    for entity in C.REGEX_ENTITIES:
-        ecfg = cfg.entities.get(entity)
-        if ecfg is None or not ecfg.enabled or not head:
-            continue
-        p = jre(C.FAST_FORMS.get(entity, C.ENTITY_PATTERNS[entity]))
-        rule = _rule(entity, ecfg, key)
-        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p, C.REQUIRED_LITERAL.get(entity)), entity)
-
-    pcfg = cfg.entities.get(C.PERSON)
-    if pcfg is not None and pcfg.enabled:
-        prule = _rule(C.PERSON, pcfg, key)
+        add(pattern(jre(C.FAST_FORMS["BASE64"]), _Rule(None, _base64_note), None))
+
+    if head:
+        numbers = [e for e in C.NUMBER_ENTITIES if e in cfg.rules]
+        if len(numbers) > 1:
+            cur = cur.withColumn("__lw_numbers", has_match(F.col(st)["t"], jre(C.NUMBER_GATE)))
+        for entity in C.REGEX_ENTITIES:
+            if entity not in cfg.rules:
+                continue
+            regex = jre(C.FAST_FORMS.get(entity, C.ENTITY_PATTERNS[entity]))
+            gate = None
+            if literal := C.REQUIRED_LITERAL.get(entity):
+                gate = lambda x, literal=literal: F.coalesce(x["t"].contains(literal), F.lit(False))
+            elif len(numbers) > 1:
+                gate = lambda x: F.col("__lw_numbers") | x["changed"]
+            add(pattern(regex, _rule(cfg.rules[entity], key), entity, gate))
+
+    if C.PERSON in cfg.rules:
+        rule = _rule(cfg.rules[C.PERSON], key)
         if head:
-            add(lambda c: _json_name_rewrite(c, prule), pattern_hit(json_name_pattern()), C.PERSON)
+            add(pattern(json_name_pattern(), rule, C.PERSON, before="$1", match="$2"))
         if persons_col is not None and tail:
             names = F.coalesce(F.col(persons_col), F.array().cast("array<string>"))
-            add(lambda c: _persons_rewrite(c, names, prule), lambda t: F.size(names) > 0, C.PERSON)
-
-    for ce in cfg.custom_entities:
-        if not tail or not ce.config.enabled or not usable_pattern(ce.pattern, substitutes=True):
-            continue
-        p = jre(ce.pattern)
-        rule = _rule(ce.name, ce.config, key)
-        add(lambda c, p=p, rule=rule: _apply_pattern(c, p, rule), pattern_hit(p), ce.name)
+            add(lambda x: F.when(F.size(names) > 0, _hit(x, _persons_rewrite(x["t"], names, rule), F.lit(C.PERSON))).otherwise(x))
+
+    if tail:
+        usable = [(p, needed_literal(p.regex)) for p in cfg.patterns if usable_pattern(p.regex, substitutes=True)]
+        for has_literal, run in groupby(usable, lambda u: u[1] is not None):
+            if has_literal:
+                run = list(run)
+                cur = cur.withColumn(st, _fold_patterns(F.col(st), run, key))
+            else:
+                for p, _ in run:
+                    add(pattern(jre(p.regex), _rule(p.rule, key), p.name))
 
     cur = cur.withColumn(detected_col, F.array_distinct(F.col(st)["d"])).withColumn(out_col, F.col(st)["t"])
-    return cur.drop(st)
+    return cur.drop(st, "__lw_numbers")
 
 
 def redact_names(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,16 +54,14 @@ def preview_columns(df: DataFrame) -> DataFrame:
 def merged_view(df: DataFrame, tie_cols: list[str] | None = None, rank_col: str | None = None) -> DataFrame:
     """All sources in one table ordered by the time *string*, then the tie columns.
 
-    ``rank_col`` adds each row's place in that order (the tie columns must
-    make it total) instead of sorting the result; nulls come first, none is lost.
+    ``rank_col`` adds each row's place in that order instead of sorting the
+    result. Every row is kept once, rows of one time and tie key (or of none)
+    included; nulls come first.
     """
     order = ["time", *(tie_cols or [])]
     if rank_col is None:
         return df.orderBy(*order)
-    ranked = global_rank(df.select(*order), order, rank_col=rank_col)
-    ranked = ranked.select(*[F.col(c).alias(f"__lw_{c}") for c in order], rank_col)
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__lw_{c}")) for c in order])
-    return df.join(ranked, same).select(*order, *[c for c in df.columns if c not in order], rank_col)
+    return global_rank(df, order, rank_col=rank_col, ties=True).select(*order, *[c for c in df.columns if c not in order], rank_col)
 
 
 def text_line(df: DataFrame) -> F.Column:

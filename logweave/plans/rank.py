@@ -16,25 +16,43 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialize
 
 
+def global_order(df: DataFrame, order_cols: list[str], num_partitions: int | None = None, ties: bool = False) -> DataFrame:
+    """``df`` in range partitions that follow each other in the order, each sorted.
+
+    ``ties`` says that rows may be equal in ``order_cols``: their order then
+    is by a hash of the whole row, then by a running number, which also lets
+    one value's rows spread over partitions. (Rows equal in all columns are
+    interchangeable.)
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = list(order_cols)
+    if ties:
+        hashable = F.to_json(F.struct(*[F.col(c) for c in df.columns]))  # maps have no hash
+        df = df.withColumn("__lw_hash", F.xxhash64(hashable)).withColumn("__lw_row", F.monotonically_increasing_id())
+        places += ["__lw_hash", "__lw_row"]
+    return df.repartitionByRange(n, *places).sortWithinPartitions(*places).drop("__lw_hash", "__lw_row")
+
+
 def global_rank(
     df: DataFrame,
     order_cols: list[str],
     rank_col: str = "rank",
     total_col: str | None = None,
     num_partitions: int | None = None,
+    ties: bool = False,
 ) -> DataFrame:
-    """Add a 0-based ``rank_col`` in ``order_cols`` order (ties must be broken by the caller).
+    """Add a 0-based ``rank_col`` in ``order_cols`` order.
 
-    ``df`` is written once: pass the order columns alone and join wider rows back.
+    Ranks travel with their rows: ``df`` is shuffled and written once as it
+    is, and never joined back, so equal rows stay apart. ``ties`` says that
+    rows may be equal in ``order_cols`` (see :func:`global_order`).
 
     With ``total_col`` the total row count is added as well (no extra job).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
-        df.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
+        global_order(df, order_cols, num_partitions, ties)
         .withColumn("__lw_pid", F.spark_partition_id())
         .withColumn(
             "__lw_pos",

@@ -16,27 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import config as C
 from ..operators.process import process
-from ..sources.logs import _file_name
+from ..sources.logs import labelled
 
 
 def read_log_stream(
     spark: SparkSession,
     path: str,
-    labels: Mapping[str, str] | None = None,
+    labels: Mapping[str, str] | DataFrame | None = None,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """New text files under ``path`` → (value, source) rows, as they arrive."""
+    """New text files under ``path`` → (value, source) rows, as they arrive; lines and labels as in ``read_logs``."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    df = reader.load(path).select(
-        F.make_valid_utf8(F.col("value")).alias("value"), _file_name().alias("file_name")
-    )
-    default = F.regexp_replace(F.col("file_name"), r"\.[^.]*$", "")
-    if labels:
-        m = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
-        default = F.coalesce(F.element_at(m, F.col("file_name")), default)
-    return df.withColumn("source", default).drop("file_name")
+    return labelled(reader.load(path), labels).drop("file_name")
 
 
 def process_stream(stream: DataFrame, cfg: C.RedactionConfig | None = None, include_original: bool = False) -> DataFrame:

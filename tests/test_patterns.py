@@ -66,6 +66,6 @@ def test_marker_character_in_text_takes_exact_path(spark):
     assert got == {i: re.sub(pat, lambda m: "<" + m.group() + ">", t) for i, t in enumerate(rows)}
     from logweave.operators.redact import redact
 
-    cfg = C.RedactionConfig(secret_key="k").with_only(C.EMAIL, mode="mask")
+    cfg = C.RedactionConfig("k", C.built_in_rules(C.Mask, [C.EMAIL]))
     red = {r["i"]: r["t"] for r in redact(df, "t", cfg).collect()}
     assert red[0] == f"a{mark}b x***** {mark}" and red[3] == "plain u*****"

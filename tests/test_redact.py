@@ -12,10 +12,7 @@ from logweave.operators import redact
 
 
 def _cfg(overrides=None, custom=None, secret="test-secret"):
-    cfg = C.RedactionConfig(secret_key=secret, custom_entities=custom or [])
-    for k, v in (overrides or {}).items():
-        cfg.entities[k] = v
-    return cfg
+    return C.RedactionConfig(secret, C.built_in_rules() | (overrides or {}), custom or [])
 
 
 def run(spark, texts, cfg):
@@ -29,7 +26,7 @@ def one(spark, text, cfg):
 
 
 def test_phone_replace(spark):
-    out, det = one(spark, "联系 13812345678 了解详情", _cfg({C.PHONE: C.EntityConfig(mode="replace", label="<手机>")}))
+    out, det = one(spark, "联系 13812345678 了解详情", _cfg({C.PHONE: C.Replace("<手机>")}))
     assert out == "联系 <手机> 了解详情" and det == [C.PHONE]
 
 
@@ -41,24 +38,24 @@ def test_email_ip_id_replace(spark):
 
 
 def test_mask_modes(spark):
-    cfg = _cfg({C.PHONE: C.EntityConfig(mode="mask", keep_head=3, keep_tail=4)})
+    cfg = _cfg({C.PHONE: C.Mask(3, 4)})
     assert one(spark, "手机 13812345678", cfg)[0] == "手机 138****5678"
-    cfg = _cfg({C.CN_ID: C.EntityConfig(mode="mask", keep_head=6, keep_tail=4)})
+    cfg = _cfg({C.CN_ID: C.Mask(6, 4)})
     # the slice arithmetic keeps 6 + 4 characters of the 18
     assert one(spark, "身份证: 110101199003077814", cfg)[0] == "身份证: 110101********7814"
-    cfg = _cfg({C.CARD: C.EntityConfig(mode="mask", keep_head=0, keep_tail=4)})
+    cfg = _cfg({C.CARD: C.Mask(0, 4)})
     out = one(spark, "卡号 4111111111111111", cfg)[0]
     assert out.endswith("1111") and "4111111111111111" not in out
 
 
 def test_token_consistent_and_keyed(spark):
-    cfg = _cfg({C.PHONE: C.EntityConfig(mode="pseudo")})
+    cfg = _cfg({C.PHONE: C.Token("TEL")})
     (a, _), (b, _) = run(spark, ["电话 13812345678", "再次联系 13812345678"], cfg)
     ta, tb = a.split(" ")[-1], b.split(" ")[-1]
     assert ta == tb and ta.startswith("[TEL_")
     (c, _), (d, _) = run(spark, ["13800000001", "13800000002"], cfg)
     assert c != d
-    k2 = _cfg({C.PHONE: C.EntityConfig(mode="pseudo")}, secret="other")
+    k2 = _cfg({C.PHONE: C.Token("TEL")}, secret="other")
     assert one(spark, "13812345678", cfg)[0] != one(spark, "13812345678", k2)[0]
 
 
@@ -75,20 +72,21 @@ def test_token_equals_python_hmac(spark):
 
 
 def test_redact_mode_and_disabled(spark):
-    cfg = _cfg({C.EMAIL: C.EntityConfig(mode="redact")})
+    cfg = _cfg({C.EMAIL: C.Remove()})
     assert "[REDACTED]" in one(spark, "邮件 bob@test.com 已发送", cfg)[0]
-    cfg = _cfg({C.EMAIL: C.EntityConfig(enabled=False)})
+    cfg = _cfg()
+    del cfg.rules[C.EMAIL]
     assert one(spark, "邮件 keep@example.com 原样保留", cfg) == ("邮件 keep@example.com 原样保留", [])
 
 
 def test_custom_entities(spark):
-    ce = C.CustomEntity("员工工号", r"EMP\d{6}", C.EntityConfig(label="<工号>"))
+    ce = C.Pattern("员工工号", r"EMP\d{6}", C.Replace("<工号>"))
     out, det = one(spark, "操作员 EMP001234 执行了删除", _cfg(custom=[ce]))
     assert out == "操作员 <工号> 执行了删除" and det == ["员工工号"]
-    ce = C.CustomEntity("order", r"ORD-\d{8}", C.EntityConfig(mode="pseudo"))
+    ce = C.Pattern("order", r"ORD-\d{8}", C.Token())
     (a, _), (b, _) = run(spark, ["订单 ORD-20240101", "退款 ORD-20240101"], _cfg(custom=[ce]))
     assert a.split(" ")[-1] == b.split(" ")[-1] and a.split(" ")[-1].startswith("[PII_")
-    bad = C.CustomEntity("bad", "[invalid(")
+    bad = C.Pattern("bad", "[invalid(")
     assert one(spark, "some text", _cfg(custom=[bad])) == ("some text", [])
 
 
@@ -107,7 +105,7 @@ def test_stats_clean_and_empty(spark):
 
 def test_layer_order_effects(spark):
     assert one(spark, "13812345678@qq.com", _cfg())[0] == "<手机>@qq.com"
-    cfg = _cfg({C.PHONE: C.EntityConfig(mode="mask", keep_head=3, keep_tail=4)})
+    cfg = _cfg({C.PHONE: C.Mask(3, 4)})
     out, det = one(spark, "13812345678@qq.com", cfg)
     assert det == [C.PHONE, C.EMAIL]
     assert one(spark, "a@mail.example.com", _cfg())[0] == "<邮箱>.com"
@@ -120,7 +118,7 @@ def test_base64_and_json_name(spark):
     assert out == f"payload {blob[:20]}...[base64 已截断, 原长 100 字节] end" and det == []
     out, det = one(spark, '{"name":"张三","userName":"Bob Smith","x":"y"}', _cfg())
     assert out == '{"name":"<姓名>","userName":"<姓名>","x":"y"}' and det == [C.PERSON]
-    cfg = _cfg({C.PERSON: C.EntityConfig(mode="mask", keep_head=1, keep_tail=0)})
+    cfg = _cfg({C.PERSON: C.Mask(1, 0)})
     assert one(spark, '{"姓名": "张三丰"}', cfg)[0] == '{"姓名": "张**"}'
 
 
@@ -137,7 +135,7 @@ def test_persons_from_name_table(spark):
 
 def test_pseudo_needs_key(spark):
     with pytest.raises(ValueError):
-        run(spark, ["13812345678"], C.RedactionConfig(secret_key=None).with_only(C.PHONE, mode="pseudo"))
+        run(spark, ["13812345678"], C.RedactionConfig(None, C.built_in_rules(C.Token, [C.PHONE])))
 
 
 def test_persons_in_unspaced_cjk_text(spark):
@@ -154,10 +152,10 @@ def test_persons_in_unspaced_cjk_text(spark):
 def test_named_groups_are_redacted_and_java_only_rejects_raise(spark):
     df = spark.createDataFrame([("badge EMP123456 twice EMP123456EMP123456",)], "text string")
     cfg = _cfg()
-    cfg.custom_entities = [C.CustomEntity("badge", r"(?P<the_id>EMP\d{6})(?P=the_id)?", C.EntityConfig(label="<badge>"))]
+    cfg.patterns = [C.Pattern("badge", r"(?P<the_id>EMP\d{6})(?P=the_id)?")]
     row = redact.redact(df, "text", cfg).first()
     assert row["text"] == "badge <badge> twice <badge>" and list(row["detected"]) == ["badge"]
-    cfg.custom_entities = [C.CustomEntity("bad", r"(?(1)a|b)(x)?(?(1)y|z)", C.EntityConfig(label="<x>"))]
+    cfg.patterns = [C.Pattern("bad", r"(?(1)a|b)(x)?(?(1)y|z)")]
     with pytest.raises(ValueError):
         redact.redact(df, "text", cfg)
 
@@ -168,9 +166,9 @@ def test_names_of_any_length_are_found_after_the_json_layer(spark):
         "k int, text string",
     )
     names = spark.createDataFrame([("Juan Carlos de Borbon",), ("欧阳修文远",), ("Ann Lee",), ("欧",), (" ",)], "name string")
-    cfg = C.RedactionConfig().with_only(C.PERSON)
+    cfg = C.RedactionConfig(rules=C.built_in_rules(C.Replace, [C.PERSON]))
     got = {r["k"]: (r["text"], list(r["detected"])) for r in redact.redact_names(texts, names, ["k"], "text", cfg).collect()}
-    label = cfg.entities[C.PERSON].label
+    label = cfg.rules[C.PERSON].label
     assert got[1] == (f"由{label}签收, {label}在场", [C.PERSON])
     assert got[2][0] == f'{{"name":"{label}"}} met {label}' and got[3] == ("Juan Carlos only", []) and got[4] == (None, [])
 
@@ -181,3 +179,44 @@ def test_masks(spark, value, head, tail, want):
 
     df = spark.createDataFrame([(value,)], "v string")
     assert df.select(mask_value(F.col("v"), head, tail).alias("m")).first()["m"] == want
+
+
+def test_needed_literals():
+    from logweave.functions.text import needed_literal
+
+    cases = {
+        r"EMP\d{6}": "EMP", r"ORD-\d{8}": "ORD-", r"(?:tok|key)=\w+": None, r"\bticket #(\d+)\b": "ticket #", r"a?bc+d": "bc", r"x|yy": None,
+        r"(?i)secret": None, r"(ab){2}cd": "ab", r"(?=zz)ab": "ab", r"(abc)?de": "de", r"[ax]bc": "bc", r"\d+": None, r"^id: .*end$": "id: ", "": None,
+    }
+    assert {p: needed_literal(p) for p in cases} == cases
+
+
+def test_many_patterns_equal_one_after_the_other(spark):
+    """Patterns with a literal run in one loop, others as layers; order, modes and cascades as written."""
+    import re
+
+    patterns = [
+        C.Pattern("a", r"EMP\d{3}", C.Replace("<ORD-77>")), C.Pattern("b", r"ORD-\d{2}", C.Mask(1, 1)), C.Pattern("c", r"\d{5}"),
+        C.Pattern("d", r"tick\w+", C.Remove()), C.Pattern("e", r"k\$\\x", C.Replace("$1 \\")),
+        *[C.Pattern(f"p{i}", rf"P{i:03d}x+") for i in range(60)],
+    ]
+    texts = ["EMP123 ORD-99 55555 ticket", "k$\\x P007xx P059xxx", "none of it", "", None, "marker \ue000 EMP123 \ue000 P001x", "EMP12"]
+    mask = lambda v: v[0] + "*" * (len(v) - 2) + v[-1]
+    want = []
+    for t in texts:
+        found = []
+        for p in patterns if t is not None else []:
+            kind = p.rule
+            t, n = re.subn(p.regex, lambda m: kind.label if isinstance(kind, C.Replace) else mask(m[0]) if isinstance(kind, C.Mask) else "[REDACTED]", t)
+            found += [p.name] if n else []
+        want.append((t, found))
+    assert run(spark, texts, C.RedactionConfig(None, {}, patterns)) == want
+    assert want[0] == ("<O****7> O****9 <c> [REDACTED]", ["a", "b", "c", "d"])
+
+
+def test_texts_with_the_marker_take_the_other_path(spark):
+    text = 'x \ue000 {"name":"张三"} tel 13812345678 a@b.com 10.0.0.1'
+    for kind in (C.Replace, C.Mask, C.Token, C.Remove):
+        cfg = C.RedactionConfig("k", C.built_in_rules(kind), [C.Pattern("tel", r"tel")])
+        (marked, d1), (plain, d2) = run(spark, [text, text.replace("\ue000", "#")], cfg)
+        assert marked.replace("\ue000", "#") == plain and d1 == d2 and len(d1) == 5
