@@ -10,16 +10,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import config as C
 from .operators import correlate, events, flow, latency, parse, redact, views
-from .operators.process import process
+from .operators.process import process, write_processed
 from .plans.rank import global_rank
 from .session import configure, ensure_checkpoint_dir
 from .sources import derived
 from .sources import logs as logs_io
+from .streaming.logs import stream_anomaly_windows
 
 # Fixed settings of the registered queries. The driver's tables hold one
 # event per ~4 minutes, so time settings are wide (see FIXTURES.md).
@@ -34,6 +35,7 @@ TL = C.TimelineConfig(
 CORR = C.CorrelationConfig(bucket_minutes=60, cascade_window_sec=600, min_cascade_count=2)
 TRACKED_ID = "1700000000042"
 SAMPLE_STEP = 5
+MAX_POINTS = 3000
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -205,15 +207,110 @@ def q_sink_text(spark, sf):
 
 
 def q_read_logs_labelled(spark, sf):
-    """One folder of files per source, merged, each file labelled by its folder."""
+    """One folder of files per source, merged; a table of paths gives each file its folder as label."""
     path, lines = _scratch(spark), derived.raw(spark, sf)
     for k in range(4):  # one write per source, so that file names differ
         lines.where(F.col("source") == f"src{k}").select("line").write.text(f"{path}/src{k}")
-    files = spark.read.format("binaryFile").load(f"{path}/*").select("path").collect()
-    labels = {name: f"{folder} (label)" for _, folder, name in (r["path"].rsplit("/", 2) for r in files)}
+    files = spark.read.format("binaryFile").load(f"{path}/*").select(F.col("path").alias("file"))
+    folder = F.element_at(F.split("file", "/"), -2)
+    labels = files.withColumn("label", F.concat(folder, F.lit(" (label)")))
     return logs_io.read_logs(spark, f"{path}/*", labels).select(F.col("value").alias("line"), "source")
 
 
+#: every line boundary, and one byte that is no UTF-8 in the last kind
+LINE_BREAKS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
+def q_read_logs_breaks(spark, sf):
+    """Files whose lines end in every boundary Unicode text knows, some with undecodable bytes."""
+    path, lg = _scratch(spark), _logs(spark, sf)
+    cut = F.element_at(F.array(*map(F.lit, LINE_BREAKS)), (F.col("event_id") % len(LINE_BREAKS) + 1).cast("int"))
+    rest = F.when(F.col("event_id") % 7 == 0, F.unhex(F.lit("61FF62"))).otherwise(F.encode(F.col("source"), "UTF-8"))
+    lines = F.concat(F.encode(F.concat("service", cut), "UTF-8"), rest).cast("string")
+    lg.select(lines.alias("value")).write.text(path)
+    return logs_io.read_logs(spark, path).select(F.col("value").alias("line"))
+
+
+def q_skip_blank(spark, sf):
+    """Blank lines, of Unicode white space too, among others with white space around them."""
+    path, lg = _scratch(spark), _logs(spark, sf)
+    blanks = ["", " ", "\t \t", "\u3000", "\u00a0\u2003"]
+    pad = F.element_at(F.array(*map(F.lit, blanks)), (F.col("event_id") % len(blanks) + 1).cast("int"))
+    line = F.when(F.col("event_id") % 3 == 0, pad).otherwise(F.concat(pad, "msg", pad))
+    lg.select(line.alias("value")).write.text(path)
+    return parse.skip_blank(logs_io.read_logs(spark, path)).select(F.col("value").alias("line"))
+
+
+def q_export_ordered(spark, sf):
+    """One ordered set of text files, read back part by part in the manifest's order."""
+    path, lg = _scratch(spark), _logs(spark, sf)
+    manifest = logs_io.write_ordered(lg, path, ["time", "event_id"])
+    parts = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
+    lines = parts.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
+    return lines.join(manifest, "file").select((F.col("first_row") + F.col("at")).alias("place"), "line")
+
+
+def q_export_totals(spark, sf):
+    """Export and statistics from one job."""
+    path = _scratch(spark)
+    out = write_processed(_processed_logs(spark, sf), lambda df: logs_io.write_json(df, path))
+    return out.select("total_lines", "redacted_lines", "fallback_lines", "fallback_pct", F.map_values("entity_lines")[1].alias("phone_lines"))
+
+
+def q_redact_custom_many(spark, sf):
+    """Fifty patterns of the user's own, ten of which occur."""
+    hits = [C.Pattern(f"ends in {d}", rf"EMP\d{{5}}{d}", C.Replace(f"<E{d}>")) for d in range(10)]
+    others = [C.Pattern(f"badge {i}", rf"BADGE{i:03d}-\w+") for i in range(40)]
+    return _redact_query(_pii, "event_id", _only(b64=False, patterns=[*others, *hits]))(spark, sf)
+
+
+def q_shared_ids_top(spark, sf):
+    """The report's first 300 identifiers, each with its place."""
+    top = correlate.shared_ids(_logs(spark, sf), CORR, top=300)
+    place = F.row_number().over(Window.orderBy(F.col("n_sources").desc(), F.col("n_occurrences").desc(), "id"))  # of 300 rows
+    return top.select("id", "n_sources", "n_occurrences", place.alias("place"))
+
+
+def q_downsample_auto(spark, sf):
+    """The chart's own step, from the number of rows."""
+    timed = events.with_event_time(_logs(spark, sf)).select("event_id", "ts", "source")
+    return events.downsample(timed, ["ts", "event_id"], MAX_POINTS).select("event_id", _fmt("ts"), "source")
+
+
+def q_event_density_sampled(spark, sf):
+    d = events.sampled_density(_classified(spark, sf), ["ts", "event_id"], MAX_POINTS, TL.bucket_minutes, TL.hot_share)
+    return d.select(_fmt("bucket"), "events", "errors", "hot")
+
+
+def q_latency_sketches(spark, sf):
+    """Percentiles of the morning hours from stored sketches; each must lie within 1 % of its rank among the samples."""
+    path, points = _scratch(spark), latency.latency_points(_logs(spark, sf))
+    latency.latency_sketches(points).write.parquet(path)
+    morning = lambda c: F.hour(c) < 12
+    est = latency.sketch_summary(spark.read.parquet(path).where(morning(F.col("bucket"))), digits=None)
+    ranked = points.where(morning(F.col("ts"))).join(est, "service")
+    ok = []
+    for name, rank in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below = F.count_if(F.col("latency_ms") < F.col(f"{name}_ms")) / F.count("*")
+        to = F.count_if(F.col("latency_ms") <= F.col(f"{name}_ms")) / F.count("*")
+        ok.append(((below <= rank + 0.01) & (to >= rank - 0.01)).alias(f"{name}_ok"))
+    return ranked.groupBy("service").agg(F.max("samples").alias("samples"), F.max("max_ms").alias("max_ms"), *ok)
+
+
+def q_anomaly_windows_stream(spark, sf):
+    """The log table as a stream of files in no order of time; a last line far ahead closes all windows."""
+    path, lg = _scratch(spark), _logs(spark, sf).select("time", "level", "service", "msg")
+    lg.repartition(6).write.json(f"{path}/in")
+    last = lg.agg(F.date_format(F.max(F.to_timestamp("time")) + F.expr("interval 20000 days"), TS_FMT).alias("time"))
+    last.select("time", *[F.lit("INFO").alias(c) for c in ("level", "service", "msg")]).coalesce(1).write.mode("append").json(f"{path}/in")
+    lines = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 2).json(f"{path}/in")
+    out = stream_anomaly_windows(lines, TL.anomaly_window_minutes, TL.anomaly_error_threshold, watermark_minutes=60 * 24 * 10000)
+    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = spark.read.schema(out.schema).parquet(f"{path}/out")
+    return done.select(_fmt("start"), _fmt("end"), "label", "buckets")
+
+
 def q_latency_by_p95(spark, sf):
     """Services from the smallest to the largest P95."""
     s = latency.latency_summary(latency.extract_latency(_logs(spark, sf)))
@@ -424,6 +521,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["sink_json"] = q_sink_json
     q["sink_text"] = q_sink_text
     q["read_logs_labelled"] = q_read_logs_labelled
+    q["read_logs_breaks"] = q_read_logs_breaks
+    q["skip_blank"] = q_skip_blank
+    q["export_ordered"] = q_export_ordered
+    q["export_totals"] = q_export_totals
+    q["redact_custom_many"] = q_redact_custom_many
+    q["shared_ids_top"] = q_shared_ids_top
+    q["downsample_auto"] = q_downsample_auto
+    q["event_density_sampled"] = q_event_density_sampled
+    q["latency_sketches"] = q_latency_sketches
+    q["anomaly_windows_stream"] = q_anomaly_windows_stream
     q["latency_by_p95"] = q_latency_by_p95
     q["cascades_by_count"] = q_cascades_by_count
     q["redact_persons_long"] = q_redact_persons_long

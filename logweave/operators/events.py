@@ -225,6 +225,12 @@ def anomaly_buckets(classified: DataFrame, window_minutes: int = 10, threshold:
     )
 
 
+def anomaly_label(start: Column, end: Column) -> Column:
+    head, rest = C.ANOMALY_LABEL.split("{start}")
+    mid, tail = rest.split("{end}")
+    return F.concat(F.lit(head), F.date_format(start, "HH:mm"), F.lit(mid), F.date_format(end, "HH:mm"), F.lit(tail))
+
+
 def anomaly_windows(classified: DataFrame, window_minutes: int = 10, threshold: float = 0.5) -> DataFrame:
     """Merge bad buckets one window apart into (start, end, label) — gaps and islands.
 
@@ -243,9 +249,7 @@ def anomaly_windows(classified: DataFrame, window_minutes: int = 10, threshold:
     )
     start = F.timestamp_micros(F.col("k0") * F.lit(width))
     end = F.timestamp_micros((F.col("k1") + 1) * F.lit(width))
-    head, rest = C.ANOMALY_LABEL.split("{start}")
-    mid, tail = rest.split("{end}")
-    label = F.concat(F.lit(head), F.date_format(start, "HH:mm"), F.lit(mid), F.date_format(end, "HH:mm"), F.lit(tail))
+    label = anomaly_label(start, end)
     return isl.select(start.alias("start"), end.alias("end"), label.alias("label"), (F.col("k1") - F.col("k0") + 1).alias("buckets"))
 
 

@@ -9,7 +9,7 @@ from .. import config as C
 from ..functions.text import jre, short_service
 from ..plans.quantiles import exact_percentiles
 from ..session import materialize
-from .events import with_event_time
+from .events import floor_minutes, with_event_time
 
 
 def service_label(df: DataFrame) -> F.Column:
@@ -48,13 +48,13 @@ def latency_points(df: DataFrame, **time_kw) -> DataFrame:
     return s.select(*keep, "ts", "service", "latency_ms", "msg")
 
 
-def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = False) -> DataFrame:
+def latency_summary(samples: DataFrame, digits: int | None = 1) -> DataFrame:
     """Per service: samples, P50/P95/P99 (linear interpolation), max, mean.
 
     Exact by default, with bounded memory: samples are counted per
     (service, value) and the percentiles come from
     :func:`logweave.plans.quantiles.exact_percentiles`, so no task holds all
-    values of a service. ``approx=True`` uses ``percentile_approx`` instead.
+    values of a service. For approximate ones see :func:`latency_sketches`.
     """
     v = materialize(samples.groupBy("service", "latency_ms").agg(F.count(F.lit(1)).alias("w")))
     g = v.groupBy("service").agg(
@@ -62,12 +62,7 @@ def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = F
         F.max("latency_ms").alias("max_ms"),
         (F.sum(F.col("latency_ms") * F.col("w")) / F.sum("w")).alias("mean_ms"),
     )
-    if approx:
-        q = samples.groupBy("service").agg(F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10000).alias("p")).select(
-            "service", *[F.col("p")[i].alias(f"p_{i}") for i in range(3)]
-        )
-    else:
-        q = exact_percentiles(v, ["service"], "latency_ms", [0.5, 0.95, 0.99], weight="w", distinct_values=True)
+    q = exact_percentiles(v, ["service"], "latency_ms", [0.5, 0.95, 0.99], weight="w", distinct_values=True)
     g = g.join(q, "service")
     rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
     return g.select(
@@ -81,6 +76,34 @@ def latency_summary(samples: DataFrame, digits: int | None = 1, approx: bool = F
     )
 
 
+def latency_sketches(points: DataFrame, bucket_minutes: int = 60, k: int = 800) -> DataFrame:
+    """(service, bucket, samples, max_ms, sketch): a mergeable quantile sketch per service and time bucket.
+
+    ``points`` holds service, ts and latency_ms (:func:`latency_points`). A
+    KLL sketch of size ``k`` has a few kilobytes whatever it has seen, so the
+    stored table answers for any stretch of time without the samples. The
+    rank error is about 2.3 / k ** 0.9 (0.6 % at 800), also after merging.
+    """
+    bucket = floor_minutes(F.col("ts"), bucket_minutes).alias("bucket")
+    return points.groupBy("service", bucket).agg(
+        F.count("latency_ms").alias("samples"),
+        F.max("latency_ms").alias("max_ms"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(k)).alias("sketch"),
+    )
+
+
+def sketch_summary(sketches: DataFrame, digits: int | None = 1) -> DataFrame:
+    """P50/P95/P99 per service from the sketches given (filter them by bucket before); see :func:`latency_sketches`."""
+    merged = sketches.groupBy("service").agg(
+        F.sum("samples").alias("samples"), F.max("max_ms").alias("max_ms"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+    rnd = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
+    ranks = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    return merged.select(
+        "service", "samples", *[rnd(F.kll_sketch_get_quantile_double("sketch", F.lit(r))).alias(n) for n, r in ranks.items()], rnd(F.col("max_ms")).alias("max_ms")
+    )
+
+
 def latency_report(df: DataFrame, digits: int | None = 1) -> DataFrame:
     """Summary ordered by P95 ascending (ties by service)."""
     return latency_summary(extract_latency(df), digits).orderBy("p95_ms", "service")

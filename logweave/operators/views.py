@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jre
@@ -70,14 +70,19 @@ def text_line(df: DataFrame) -> F.Column:
     return F.format_string("%s [%s] [%s] [%s] - %s", F.col("time"), F.col("level"), F.col("service"), src, F.col("msg"))
 
 
-def run_totals(processed: DataFrame) -> DataFrame:
-    """Lines parsed, lines with redactions, fallback lines and their share (1 decimal)."""
-    counted = F.coalesce(F.length("msg") > 0, F.lit(False))
+def total_measures(msg_col: str = "msg") -> list[Column]:
+    """The aggregates behind a run's totals."""
+    counted = F.coalesce(F.length(msg_col) > 0, F.lit(False))
     total = F.count_if(counted)
     fb = F.count_if(counted & (F.col("parse_method") == "fallback"))
-    return processed.agg(
+    return [
         total.alias("total_lines"),
         F.count_if(counted & (F.size("detected") > 0)).alias("redacted_lines"),
         fb.alias("fallback_lines"),
         F.coalesce(F.bround(F.try_divide(fb * 100.0, total), 1), F.lit(0.0)).alias("fallback_pct"),
-    )
+    ]
+
+
+def run_totals(processed: DataFrame) -> DataFrame:
+    """Lines parsed, lines with redactions, fallback lines and their share (1 decimal)."""
+    return processed.agg(*total_measures())

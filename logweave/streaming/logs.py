@@ -85,3 +85,34 @@ def stream_event_density(
         .select(F.col("w.start").alias("bucket"), "events", "errors",
                 (F.col("errors") / F.col("events") >= F.lit(hot_share)).alias("hot"))
     )
+
+
+def stream_anomaly_windows(
+    logs: DataFrame,
+    window_minutes: int = 10,
+    threshold: float = 0.5,
+    watermark_minutes: int = 10,
+) -> DataFrame:
+    """Anomaly windows on a stream: (start, end, label, buckets) of each run of bad time buckets.
+
+    Two stateful steps share one watermark: time buckets with their error
+    rate, and a session window over the bad ones, whose gap lies between one and two
+    buckets, so that neighbours merge and a good bucket in between parts them.
+    A run is final once event time passes its last bucket by the gap and the
+    watermark; until then late lines still count. Use it in append mode.
+    """
+    from ..operators.events import anomaly_label, classify_event, event_time, is_anomaly_type
+
+    timed = logs.withColumn("ts", event_time(F.col("time"))).where(F.col("ts").isNotNull())
+    cl = classify_event(timed, display_col=None).withWatermark("ts", f"{int(watermark_minutes)} minutes")
+    bad = (
+        cl.groupBy(F.window("ts", f"{int(window_minutes)} minutes").alias("w"))
+        .agg((F.count_if(is_anomaly_type(F.col("event_type"))) / F.count(F.lit(1))).alias("rate"))
+        .where(F.col("rate") >= F.lit(threshold))
+        # a session window on a stream needs a key beside it: all bad buckets have the same one
+        .select(F.window_time("w").alias("at"), "w", (F.col("rate") * 0).cast("int").alias("all"))
+    )
+    runs = bad.groupBy("all", F.session_window("at", f"{int(window_minutes) * 90} seconds")).agg(
+        F.min("w.start").alias("start"), F.max("w.end").alias("end"), F.count(F.lit(1)).alias("buckets")
+    )
+    return runs.select("start", "end", anomaly_label(F.col("start"), F.col("end")).alias("label"), "buckets")

@@ -220,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
     o["redact_pii_all"] = _redact_sql(PII, "event_id", entities=ALL, custom_mode="replace")
     o["redact_pii_mask"] = _redact_sql(PII, "event_id", entities=ALL, mode="mask", custom_mode="mask")
     o["redact_pii_token"] = _redact_sql(PII, "event_id", entities=ALL, mode="pseudo", key=KEY, custom_mode="pseudo")
+    o["redact_custom_many"] = f"""
+        select event_id, regexp_replace(text, 'EMP([0-9]{{5}})([0-9])', '<E\\2>') as clean,
+          'ends in ' || regexp_extract(text, 'EMP[0-9]{{5}}([0-9])', 1) as entities from ({PII})"""
     o["redact_persons"] = f"""
         with notes as (
           select o_orderkey, concat('order ', cast(o_orderkey as varchar), ' placed by ', c_name, ' status ', o_orderstatus) as text
@@ -339,6 +342,17 @@ def oracle_sql() -> dict[str, str]:
     o["sink_json"] = f"select event_id, source, time, level, service, msg from ({LOGS})"
     o["sink_text"] = f"select concat(time, ' [', level, '] [', service, '] [', source, '] - ', msg) as line from ({LOGS})"
     o["read_logs_labelled"] = f"select line, source || ' (label)' as source from ({RAW})"
+    o["read_logs_breaks"] = f"""
+        select service as line from ({LOGS}) union all
+        select case when event_id % 7 = 0 then 'a' || chr(65533) || 'b' else source end as line from ({LOGS})"""
+    o["skip_blank"] = f"select msg as line from ({LOGS}) where event_id % 3 <> 0"
+    o["export_ordered"] = f"""select row_number() over (order by time, event_id) - 1 as place,
+        concat(time, ' [', level, '] [', service, '] [', source, '] - ', msg) as line from ({LOGS})"""
+    o["export_totals"] = f"""
+        select count(*) as total_lines, count(*) filter (where entities <> '') as redacted_lines,
+          0::bigint as fallback_lines, 0.0::double as fallback_pct,
+          count(*) filter (where list_contains(string_split(entities, ', '), '{C.PHONE}')) as phone_lines
+        from ({clean})"""
     # ── views
     o["filter_level"] = f"select event_id, source, time, level, service, msg from ({LOGS}) where upper(level) = 'ERROR'"
     o["filter_source"] = f"select event_id, source, time, level, msg from ({LOGS}) where source = 'src2'"
@@ -401,6 +415,19 @@ def oracle_sql() -> dict[str, str]:
           select event_id, t, source, row_number() over (order by t, event_id) - 1 as r
           from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null)
         where r % 5 = 0"""
+    timed_logs = TIMED.replace('from logs', f'from ({LOGS})')
+    o["downsample_auto"] = f"""
+        select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, source from (
+          select event_id, t, source, row_number() over (order by t, event_id) - 1 as r, greatest(count(*) over () // 3000, 1) as step
+          from {timed_logs} where t is not null)
+        where r % step = 0"""
+    o["event_density_sampled"] = f"""
+        select strftime({bucket}, '%Y-%m-%d %H:%M:%S') as bucket, count(*) as events,
+          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) as errors,
+          count(*) filter (where event_type in ('http_4xx', 'http_5xx', 'error')) / count(*) >= 0.4 as hot
+        from (select *, row_number() over (order by t, event_id) - 1 as r, greatest(count(*) over () // 3000, 1) as step from {classified})
+        where r % step = 0 group by {bucket}"""
+    o["anomaly_windows_stream"] = o["anomaly_windows"]
     o["lane_axis"] = f"select distinct {lane} as lane from {classified}"
     # ── latency
     lat = f"""
@@ -421,6 +448,9 @@ def oracle_sql() -> dict[str, str]:
         from ({lat}) where latency_ms is not null group by service"""
     o["latency_by_p95"] = f"""select p95_ms, service, row_number() over (order by p95_ms, service) - 1 as place
         from ({o['latency_summary']})"""
+    o["latency_sketches"] = f"""
+        select service, count(*) as samples, max(latency_ms) as max_ms, true as p50_ok, true as p95_ok, true as p99_ok
+        from ({lat}) where latency_ms is not null and hour(strptime(time, '%Y-%m-%d %H:%M:%S')) < 12 group by service"""
     o["service_axis"] = f"select distinct service from ({lat}) where latency_ms is not null"
     # ── correlation
     rb = f"select source, {bucket} as b, count(*) as events from {TIMED.replace('from logs', f'from ({LOGS})')} where t is not null group by source, {bucket}"
@@ -470,6 +500,8 @@ def oracle_sql() -> dict[str, str]:
           count(*) as n_occurrences, strftime(min(t), '%H:%M:%S') as first_seen, strftime(max(t), '%H:%M:%S') as last_seen,
           round_even(epoch(max(t)) - epoch(min(t)), 1) as span_s
         from ({ids}) group by id having count(distinct source) >= 2"""
+    o["shared_ids_top"] = f"""select id, n_sources, n_occurrences, row_number() over (order by n_sources desc, n_occurrences desc, id) as place
+        from ({o['shared_ids']}) qualify place <= 300"""
     o["track_id"] = f"""
         select source, strftime(t, '%Y-%m-%d %H:%M:%S') as ts, msg, left(msg, 100) as snippet
         from {TIMED.replace('from logs', f'from ({LOGS})')}

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave import config as C
@@ -194,3 +195,78 @@ def test_names_with_escapes_and_csv_round_trip(spark, tmp_path):
         with open(p, newline="", encoding="utf-8") as f:
             back += [(r["msg"], int(r["n"])) for r in csv.DictReader(f)]
     assert sorted(back) == sorted(rows)
+
+
+def test_line_boundaries_and_labels_by_path(spark, tmp_path):
+    """As ``splitlines`` cuts, but for a boundary at the very end of a file; two folders may hold one name."""
+    data = "a\nb\rc\r\nd\x0be\x0cf\x1cg\x1dh\x1ei\x85j\u2028k\u2029l\x0b\n\nm".encode() + b"\xff\n"
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "app.log").write_bytes(data)
+    (tmp_path / "y" / "other+1.log").write_bytes(b"only\n")
+    want = data.decode(errors="replace").splitlines()
+    assert [r[0] for r in read_logs(spark, str(tmp_path / "x")).select("value").collect()] == want
+    labels = {str(tmp_path / "x" / "app.log"): "X", "app.log": "any", "other+1.log": "O"}
+    got = read_logs(spark, f"{tmp_path}/*", labels).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"X": len(want), "any": len(want), "O": 1}
+    table = spark.createDataFrame([(f"file://{tmp_path}/y/app.log", "Y")], "file string, label string")
+    assert {r[0] for r in read_logs(spark, f"{tmp_path}/*", table).select("source").distinct().collect()} == {"Y", "app", "other+1"}
+
+
+@pytest.mark.parametrize("kind", ["text", "csv", "json"])
+def test_ordered_export(spark, tmp_path, kind):
+    """Parts in name order hold the sorted table, equal rows included; the manifest counts them."""
+    from logweave.sources.logs import write_ordered
+
+    rows = [(f"2024-01-01 00:00:{(i * 37) % 50:02d}", "INFO", "s", f"m{i % 40}", [str(i)]) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "time string, level string, service string, msg string, detected array<string>").repartition(5)
+    path = f"{tmp_path}/out"
+    manifest = write_ordered(df, path, ["time", "msg"], kind, parts=4).orderBy("part").collect()
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    assert [m["file"] for m in manifest] == [p.name for p in parts] and len(parts) > 1
+    assert sum(m["rows"] for m in manifest) == 600 and [m["first_row"] for m in manifest][0] == 0
+    got = []
+    for p, m in zip(parts, manifest):
+        lines = p.read_text().splitlines()[1 if kind == "csv" else 0 :]
+        assert len(lines) == m["rows"] and len(got) == m["first_row"]
+        got += lines
+    key = {"text": lambda x: (x[:19], x.split(" - ")[1]), "csv": lambda x: (x.split(",")[0], x.split(",")[3]), "json": lambda x: (__import__("json").loads(x)["time"], __import__("json").loads(x)["msg"])}[kind]
+    assert [key(x) for x in got] == sorted((r[0], r[3]) for r in rows)
+
+
+def test_totals_of_the_writing_job(spark, tmp_path):
+    from logweave.operators.process import process, write_processed
+    from logweave.operators.views import run_totals
+
+    raw = spark.createDataFrame([("2024-01-01 00:00:00 [INFO] [s] - tel 13812345678",), ("nothing",), ("a@b.com 13812345678",)], "value string")
+    processed = process(raw, C.RedactionConfig())
+    got = write_processed(processed, lambda df: write_json(df, f"{tmp_path}/o")).first()
+    assert tuple(got)[:4] == tuple(run_totals(processed).first())
+    assert got["entity_lines"][C.PHONE] == 2 and got["entity_lines"][C.EMAIL] == 1 and got["entity_lines"][C.IP] == 0
+    assert spark.read.json(f"{tmp_path}/o").count() == 3
+
+
+def test_stream_anomaly_windows_match_batch(spark, tmp_path):
+    """Micro-batches in no order of time; a line far ahead closes the last run."""
+    import random
+
+    from logweave.operators import events
+    from logweave.streaming.logs import stream_anomaly_windows
+
+    rng = random.Random(3)
+    rows = []
+    for minute in range(0, 600, 2):
+        bad = (minute // 10) % 7 in (1, 2, 4)
+        rows.append((f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00", "ERROR" if bad else "INFO", "s", "m"))
+    rng.shuffle(rows)
+    schema = "time string, level string, service string, msg string"
+    for i in range(5):
+        spark.createDataFrame(rows[i::5], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    spark.createDataFrame([("2030-01-01 00:00:00", "INFO", "s", "m")], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    out = stream_anomaly_windows(lines, 10, 0.5, watermark_minutes=1000)
+    run = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = events.anomaly_windows(events.classified_timeline(spark.createDataFrame(rows, schema)), 10, 0.5)
+    assert got == {tuple(r) for r in batch.collect()} and len(got) > 10
