@@ -120,9 +120,9 @@ _VALUES = {
     "chars_per_word": "word_chars / greatest(n_words, 1)",
 }
 _RULE_ROWS = " union all ".join(
-    f"select rid, doc_id, stratum, base_failed, '{name}' as rule, len(list_filter({cuts}, lambda c: {_VALUES[name]} > c)) as level from base"
-    for name, cuts in quality.RULES.items()
+    f"select rid, doc_id, stratum, '{name}' as rule, cast({value} as double) as value from base" for name, value in _VALUES.items()
 )
+_CUTS = ", ".join(f"('{name}', {j}, cast({cut} as double))" for name, cuts in quality.RULES.items() for j, cut in enumerate(cuts, 1))
 OP8 = f"""
 with t as (select row_number() over () as rid, doc_id, lang as stratum, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '{_WORD}') as ws from t),
@@ -140,17 +140,19 @@ base as (
     length(text) - length(regexp_replace(text, '[\\p{{Lu}}]+', '', 'g')) as n_upper,
     len(ws) < 50 or 100 * coalesce(rep.n, 0) > 50 * len(ws) as base_failed
   from w join lines using (rid) left join rep using (rid)),
-lv as ({_RULE_ROWS}),
-held as (select lv.stratum, lv.rule, lv.level, l.quality from lv join labels l using (doc_id) where l.quality in (0, 1)),
-steps as (select stratum, rule, i, sum(quality) as n, sum(case when level >= i then quality else 0 end) as k,
-    sum(case when level >= i then 1 - quality else 0 end) as caught
-  from held cross join (select unnest(range(1, {quality.N_CUTOFFS + 1})) as i) group by all),
+vals as ({_RULE_ROWS}),
+cuts(rule, j, cut) as (values {_CUTS}),
+held as (select v.stratum, v.rule, v.value, l.quality from vals v join labels l using (doc_id) where l.quality in (0, 1)),
+steps as (select stratum, rule, j, cut, sum(quality) as n, sum(case when value > cut then quality else 0 end) as k,
+    sum(case when value > cut then 1 - quality else 0 end) as caught
+  from held join cuts using (rule) group by all),
 tail as (select *, case when k >= n * 0.01 then 1.0 else
-    list_sum(list_transform(range(0, cast(k + 1 as bigint)), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) end as p,
+    list_sum(list_transform(range(0, cast(k + 1 as bigint)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) end as p,
     (select count(distinct coalesce(stratum, chr(0))) * {len(quality.RULES)} from held) as tests from steps),
-ok as (select *, bool_and(p <= 0.05 / tests) over (partition by stratum, rule order by i rows unbounded preceding) as ok from tail),
-best as (select stratum, rule, arg_max(i, (caught - 10 * k) * 1000 - i) as i from ok where ok and caught - 10 * k > 0 group by stratum, rule),
-hit as (select distinct lv.rid from lv join best b on lv.stratum is not distinct from b.stratum and lv.rule = b.rule and lv.level >= b.i)
+certified as (select *, bool_and(p <= 0.05 / tests) over (partition by stratum, rule order by j rows unbounded preceding) as ok from tail),
+best as (select stratum, rule, cut from certified where ok and caught > 10 * k
+  qualify row_number() over (partition by stratum, rule order by caught - 10 * k desc, j) = 1),
+hit as (select distinct v.rid from vals v join best b on v.stratum is not distinct from b.stratum and v.rule = b.rule and v.value > b.cut)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and rid not in (select rid from hit) as kept
 from base

@@ -180,3 +180,32 @@ def test_binomial_tail(spark):
             assert r["p"] == pytest.approx(want, rel=1e-9)
         else:
             assert 0 <= r["p"] < 0.01
+
+
+def test_order_and_ties_of_cutoffs_decide_alike_in_spark_and_sql(spark):
+    """The strictest cutoffs fail and looser ones certify; cutoffs that catch alike: the loosest is taken."""
+    import duckdb
+
+    from logweave.llm import queries
+
+    rows, marks = [], []
+    body = " ".join(f"word{j}" for j in range(100))
+    for i in range(1500):
+        # 90 of the good texts lie above the two strictest cutoffs of bangs (0.3, 0.4 a word): over 1 %
+        rows.append((i, body + "!" * (45 if i % 16 == 0 else 0), "en"))
+        marks.append((i, 1))
+    for i in range(1500, 1560):
+        rows.append((i, body + "!" * (90 if i % 2 else 250), "en"))  # 0.9 and 2.5 a word
+        marks.append((i, 0))
+    rows += [(2000 + i, body + "!" * n, "en") for i, n in enumerate((35, 55, 65, 85, 150, 250))] + [(2100, body + "!" * 400, "xx"), (2101, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    # 0.8 catches all bad texts as 0.6 and 0.5 do, and is the loosest of them
+    assert [got[2000 + i] for i in range(6)] == [True, True, True, False, False, False] and got[2100] and not got[2101]
+    assert not any(got[i] for i in range(1500, 1560)) and all(got[i] for i in range(1500))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    con.execute("create table labels as select unnest(?) as doc_id, unnest(?) as quality", [[m[0] for m in marks], [m[1] for m in marks]])
+    assert dict(con.execute(f"select doc_id, kept from ({queries.OP8})").fetchall()) == got
