@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import batches, discard, stage
 from .langid import held_out
 
 # ── fixed values: letters and digits that look like Latin letters ──────────
@@ -173,7 +173,7 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
         return pa.RecordBatch.from_arrays(cols, ["token", "half", "toxic", "clean"])
 
-    for batch in rows:
+    for batch in batches(rows, "text"):
         for text, half, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "half", "toxic"))):
             sums.update((t, half, toxic) for t in tokens(fold(text)))
             if len(sums) > 300_000:
@@ -190,13 +190,14 @@ def sample_labels(labels: DataFrame, per_class: int) -> list[tuple[int, int, int
     return [(r["doc_id"], r["toxic"], r["h"] & 1) for r in rows]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entries: int = 5_000, least_weight: float = 2.0, luck: float = 1e-4) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, least_weight: float = 2.0, luck: float = 1e-4) -> Lexicon:
     """The lexicon, its exceptions and its curve from a sample of at most ``2 * per_class`` labelled rows.
 
     An entry stands in at least 3 of the sample's toxic texts (2 of a half's),
     has a smoothed log-odds of ``least_weight`` or more and so many toxic
-    texts by chance with probability ``luck`` at most; of the tokens that pass
-    all three, the ``max_entries`` commonest are kept. Without texts of both classes the
+    texts by chance with probability ``luck`` at most. Every token that passes
+    all three is an entry, and every phrase of clean texts alone (3 at least) an exception: their number
+    is bounded by the sample's words. Without texts of both classes the
     lexicon is empty and every score is the share of toxic texts (0 for none).
     """
     spark = docs.sparkSession
@@ -228,8 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entri
     real = stage(counts.mapInArrow(tested, "lexicon int, token string, toxic long, weight double"), "lexicon")
 
     def entries(which: int) -> dict[str, float]:
-        top = real.filter(F.col("lexicon") == which).orderBy(F.desc("toxic"), "token").limit(max_entries).collect()
-        return {r["token"]: r["weight"] for r in top}
+        return {r["token"]: r["weight"] for r in real.filter(F.col("lexicon") == which).orderBy("token").collect()}
 
     full = Lexicon(entries(2))
     halves = [Lexicon(entries(1 - h)) for h in (0, 1)]  # each half is scored by the other half's words
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entri
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in rows:
+        for batch in batches(rows, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 folded, pairs = fold(text), set()
                 for at in full.hits(folded):
@@ -253,12 +253,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_entri
 
     if full.entries:
         spared = sample.select("text", "toxic").mapInArrow(contexts, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-        rows = spared.filter("c >= 3 and t = 0").orderBy(F.desc("c"), "phrase").limit(max_entries).collect()
+        rows = spared.filter("c >= 3 and t = 0").orderBy("phrase").collect()
         for lex in (full, *halves):
             lex.exceptions = [r["phrase"] for r in rows]
 
     def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, "text"):
             found = [halves[h].features(t) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
             cols = [pa.array([f[i] for f in found], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *cols], ["toxic", "a", "b", "c"])
@@ -280,7 +280,7 @@ def predict(docs: DataFrame, lexicon: Lexicon, cut: float = 0.7) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, "text"):
             scores = [lexicon.score(t.as_py()) for t in batch.column("text")]
             flags = [int(s >= cut) for s in scores]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(flags, pa.int32())], ["doc_id", "held_out", "score", "predicted"])
