@@ -1,8 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased with white space runs as one space. An
-item of ``m`` characters may be found with up to ``e = floor(rate * m)`` edits
-(items shorter than ``short`` only exactly). It is split into ``e + 1``
+item of ``m`` characters may be found with up to ``e = floor(rate * m)`` edits.
+Items shorter than ``short`` are found only exactly and between word edges
+("art" does not stand in "party"); items shorter than ``least`` characters are
+no evidence and are not searched. An item is split into ``e + 1``
 pieces: any occurrence within the budget holds one piece unchanged. One
 Aho-Corasick automaton finds all pieces of all items in one pass over a text;
 around each hit, the shared q-grams are counted (an occurrence keeps at least
@@ -74,11 +76,11 @@ class Item:
 class Matcher:
     """The pieces of some items as one automaton; picklable, compiled per task."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float, short: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float, short: int, least: int = 16):
         self.items = []
         for item_id, text in items:
             norm = normalise(text)
-            if norm:
+            if len(norm) >= max(1, least):
                 self.items.append(Item(item_id, norm, int(rate * len(norm)) if len(norm) >= short else 0))
 
     def __getstate__(self):
@@ -122,6 +124,8 @@ class Matcher:
                     continue
                 if e == 0:
                     at = window.find(item.text)
+                    while at >= 0 and not stands_alone(norm, lo + at, lo + at + m):
+                        at = window.find(item.text, at + 1)
                     found = (0, at + m) if at >= 0 else (1, 0)
                 else:
                     grams, least = self.grams[n], m - Q + 1 - Q * e
@@ -135,6 +139,13 @@ class Matcher:
         return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on over either end of text[start:end]."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    right = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not left and not right
+
+
 def _merged(starts: list[int], m: int, e: int) -> Iterator[tuple[int, int]]:
     """Windows around likely starts; starts within the budget of each other share one."""
     first = last = starts[0]
@@ -151,26 +162,26 @@ _HITS_PA = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), (
 _COL = "__test_hits"
 
 
-def matchers(bench: DataFrame, rate: float, short: int) -> Iterator[Matcher]:
+def matchers(bench: DataFrame, rate: float, short: int, least: int) -> Iterator[Matcher]:
     """One matcher per shard of at most about SHARD_BYTES of items."""
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     n = shards_for(total_bytes(items, "text"), SHARD_BYTES)
     for i in range(n):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items
-        yield Matcher([(r["item_id"], r["text"]) for r in part.collect()], rate, short)
+        yield Matcher([(r["item_id"], r["text"]) for r in part.collect()], rate, short, least)
 
 
-def find(docs: DataFrame, bench: DataFrame, rate: float = 0.1, short: int = 32, column: str = _COL) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, rate: float = 0.1, short: int = 32, least: int = 16, column: str = _COL) -> DataFrame:
     """``docs`` with an array of hits per row: item_id, start, end, distance.
 
-    All rows and columns are kept. Null or empty text has no hits; null and
-    empty items are never found; repeated items are each reported; an empty
+    All rows and columns are kept. Null or empty text has no hits; null,
+    empty and very short items are never found; repeated items are each reported; an empty
     benchmark finds nothing.
     """
     prepare(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, HITS)])
     out = docs.withColumn(column, F.lit(None).cast(HITS))
-    for matcher in matchers(bench, rate, short):
+    for matcher in matchers(bench, rate, short, least):
 
         def run(rows: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches(rows, "text"):

@@ -37,7 +37,7 @@ def _edited(rng, text, n):
 def test_matcher_equals_brute_force():
     rng = random.Random(1)
     items = [(i, prose(rng, rng.randrange(7, 30), 50)) for i in range(12)] + [(20, "short one"), (21, ""), (22, None), (20, "short one")]
-    m = decontam.Matcher(items, 0.1, 32)
+    m = decontam.Matcher(items, 0.1, 32, least=5)
     for n in range(60):
         text = prose(rng, 40, 50)
         if n % 2:
@@ -58,7 +58,7 @@ def test_report_and_clean_documents(spark, monkeypatch):
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     rows = hard_rows(rng) + [(100, "before " + items[0][1] + " after " + items[3][1]), (101, items[7][1]), (102, _edited(rng, items[1][1], 5)), (102, prose(rng, 80))]
     docs = table(spark, rows)
-    assert sum(1 for _ in decontam.matchers(bench, 0.1, 32)) > 1
+    assert sum(1 for _ in decontam.matchers(bench, 0.1, 32, 16)) > 1
     got = decontam.report(docs, bench).collect()
     assert len(got) == len(rows)
     bad = sorted((r["doc_id"], r["item_ids"]) for r in got if r["contaminated"])
@@ -67,3 +67,17 @@ def test_report_and_clean_documents(spark, monkeypatch):
     assert clean.columns == docs.columns and clean.count() == len(rows) - 3
     assert decontam.report(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.report(docs.limit(0), bench).collect() == []
+
+
+def test_short_items_stand_between_word_edges():
+    items = [(1, "art"), (2, "A"), (3, "yes"), (4, "the answer is 42"), (5, "( a + b ) = c ok"), (6, "a" * 40)]
+    m = decontam.Matcher(items, 0.1, 32)
+    assert [i.item_id for i in m.items] == [4, 5, 6]
+    ids = lambda text: [h[0] for h in m.find(text)]
+    assert ids("We went to the party yesterday") == [] and ids("The  answer is 42.") == [4]
+    assert ids("breathe answer is 42") == ids("the answer is 425") == []
+    assert ids("the answer is 421, the answer is 42!") == [4]  # the first place does not count, the second does
+    assert ids("x( a + b ) = c ok") == [5] and ids("( a + b ) = c okay") == []
+    at = m.find("the answer is 421, the answer is 42!")[0]
+    assert at[1:] == (19, 35, 0)
+    assert [h[0] for h in decontam.Matcher(items, 0.1, 32, least=1).find("this is art, yes")] == [1, 3]
