@@ -158,6 +158,8 @@ class ChunkEncoder:
         heads = {c for c in unseen if c[0] == "\n"}
         seen.update(self._lines(unseen - heads, " "))
         seen.update(("\n" + c, self.feed + ids) for c, ids in self._lines({c[1:] for c in heads}, ""))
+        if len(self.tails) > self.limit:
+            self.tails.clear()
         self.tails.update(self._lines({t for _, _, t in marked if t not in self.tails}, ""))
         for p, core, t in marked:
             seen[p] = seen[core] + self.tails[t]

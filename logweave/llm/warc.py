@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on, stage
+from .common import batches, join_on, stage
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 24  # plain bytes after which a bundle is closed
@@ -167,7 +167,7 @@ def write_bundles(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
             recs = [dict(zip(("record", "frame", "offset", "length"), p)) for p in places]
             return pa.RecordBatch.from_pydict({"bundle": [name], "data": [data], "records": [recs]}, schema=_BUNDLE_PA)
 
-        for batch in rows:
+        for batch in batches(rows, "payload"):
             for page, url, payload, size, digest, first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"))):
                 page, body = page.as_py(), payload.as_py() or b""
                 writer.add(record_id(page), make_record(page, url.as_py(), digest.as_py(), size.as_py(), body, first.as_py()))
