@@ -1,13 +1,13 @@
 """logweave — log parsing, PII redaction and log analysis as Spark DataFrame operators."""
 
-from .config import CorrelationConfig, EventType, LaneRule, Mask, Pattern, RedactionConfig, Remove, Replace, TimelineConfig, Token
+from .config import EventType, LaneRule, Mask, Pattern, RedactionConfig, Remove, Replace, Token
 from .operators.parse import parse_logs
 from .operators.process import process
 from .operators.redact import redact, redaction_stats
 from .session import configure
 
 __all__ = [
-    "CorrelationConfig", "EventType", "LaneRule", "Mask", "Pattern", "RedactionConfig", "Remove", "Replace", "TimelineConfig", "Token",
+    "EventType", "LaneRule", "Mask", "Pattern", "RedactionConfig", "Remove", "Replace", "Token",
     "configure", "parse_logs", "process", "redact", "redaction_stats",
 ]
 __version__ = "0.1.0"

@@ -25,14 +25,10 @@ from .streaming.logs import stream_anomaly_windows
 # Fixed settings of the registered queries. The driver's tables hold one
 # event per ~4 minutes, so time settings are wide (see FIXTURES.md).
 TOKEN_KEY = "fixture-key"
-TL = C.TimelineConfig(
-    bucket_minutes=60,
-    anomaly_window_minutes=60,
-    anomaly_error_threshold=0.5,
-    lane_rules=[C.LaneRule(pattern="purchase", lane_name="checkout")],
-    lane_mode="source_service",
-)
-CORR = C.CorrelationConfig(bucket_minutes=60, cascade_window_sec=600, min_cascade_count=2)
+BUCKET_MINUTES = 60
+ANOMALY_MINUTES, ANOMALY_SHARE, HOT_SHARE = 60, 0.5, 0.4
+LANE_RULES, LANE_MODE = [C.LaneRule(pattern="purchase", lane_name="checkout")], "source_service"
+CASCADE_SEC = 600
 TRACKED_ID = "1700000000042"
 SAMPLE_STEP = 5
 MAX_POINTS = 3000
@@ -168,7 +164,7 @@ def q_event_time_forms(spark, sf):
 
 def q_rate_correlation_large(spark, sf):
     """Counts of billions per bucket and a constant series: exact where doubles cancel out."""
-    rb = correlate.rate_buckets(_logs(spark, sf), CORR.bucket_minutes)
+    rb = correlate.rate_buckets(_logs(spark, sf), BUCKET_MINUTES)
     big = rb.select(
         F.concat(F.lit("big_"), F.col("source")).alias("source"), F.date_format("bucket", TS_FMT).alias("time"),
         F.lit("INFO").alias("level"), F.lit("s").alias("service"), F.lit("m").alias("msg"), "events",
@@ -176,7 +172,7 @@ def q_rate_correlation_large(spark, sf):
     times = big.select("time").distinct()
     flat = times.select(F.lit("flat").alias("source"), "time", F.lit("INFO").alias("level"), F.lit("s").alias("service"), F.lit("m").alias("msg"), F.lit(0).cast("long").alias("events"))
     weighted = big.unionByName(flat).withColumn("events", F.col("events") + 1_000_000_000)
-    return correlate.rate_correlation(weighted, CORR.bucket_minutes, weight_col="events")
+    return correlate.rate_correlation(weighted, BUCKET_MINUTES, weight_col="events")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -266,7 +262,7 @@ def q_redact_custom_many(spark, sf):
 
 def q_shared_ids_top(spark, sf):
     """The report's first 300 identifiers, each with its place."""
-    top = correlate.shared_ids(_logs(spark, sf), CORR, top=300)
+    top = correlate.shared_ids(_logs(spark, sf), top=300)
     place = F.row_number().over(Window.orderBy(F.col("n_sources").desc(), F.col("n_occurrences").desc(), "id"))  # of 300 rows
     return top.select("id", "n_sources", "n_occurrences", place.alias("place"))
 
@@ -278,7 +274,7 @@ def q_downsample_auto(spark, sf):
 
 
 def q_event_density_sampled(spark, sf):
-    d = events.sampled_density(_classified(spark, sf), ["ts", "event_id"], MAX_POINTS, TL.bucket_minutes, TL.hot_share)
+    d = events.sampled_density(_classified(spark, sf), ["ts", "event_id"], MAX_POINTS, BUCKET_MINUTES, HOT_SHARE)
     return d.select(_fmt("bucket"), "events", "errors", "hot")
 
 
@@ -304,7 +300,7 @@ def q_anomaly_windows_stream(spark, sf):
     last = lg.agg(F.date_format(F.max(F.to_timestamp("time")) + F.expr("interval 20000 days"), TS_FMT).alias("time"))
     last.select("time", *[F.lit("INFO").alias(c) for c in ("level", "service", "msg")]).coalesce(1).write.mode("append").json(f"{path}/in")
     lines = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 2).json(f"{path}/in")
-    out = stream_anomaly_windows(lines, TL.anomaly_window_minutes, TL.anomaly_error_threshold, watermark_minutes=60 * 24 * 10000)
+    out = stream_anomaly_windows(lines, ANOMALY_MINUTES, ANOMALY_SHARE, watermark_minutes=60 * 24 * 10000)
     run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     done = spark.read.schema(out.schema).parquet(f"{path}/out")
@@ -318,14 +314,13 @@ def q_latency_by_p95(spark, sf):
 
 
 def q_cascades_by_count(spark, sf):
-    c = correlate.error_cascades(_logs(spark, sf), CORR).select((-F.col("cascades")).alias("less"), "source_a", "source_b")
+    c = correlate.error_cascades(_logs(spark, sf), CASCADE_SEC).select((-F.col("cascades")).alias("less"), "source_a", "source_b")
     return global_rank(c, ["less", "source_a", "source_b"], rank_col="place").drop("less")
 
 
 def q_shared_ids_custom(spark, sf):
     """An identifier pattern of the user's own beside the default ones."""
-    cfg = C.CorrelationConfig(id_patterns=[*CORR.id_patterns, r"\buser \d{3,}\b"])
-    return correlate.shared_ids(_logs(spark, sf), cfg).select("id", "sources", "n_sources", "n_occurrences")
+    return correlate.shared_ids(_logs(spark, sf), [*C.DEFAULT_ID_PATTERNS, r"\buser \d{3,}\b"]).select("id", "sources", "n_sources", "n_occurrences")
 
 
 def q_redact_persons_external(spark, sf):
@@ -401,7 +396,7 @@ def q_export_text_line(spark, sf):
 
 
 def _classified(spark, sf):
-    return events.classified_timeline(_logs(spark, sf), TL)
+    return events.classified_timeline(_logs(spark, sf), lane_rules=LANE_RULES, lane_mode=LANE_MODE)
 
 
 def q_classify_event(spark, sf):
@@ -411,26 +406,26 @@ def q_classify_event(spark, sf):
 
 def q_assign_lane(spark, sf):
     lg = _logs(spark, sf)
-    return events.assign_lane(lg, TL.lane_rules, TL.lane_mode).select("event_id", "lane")
+    return events.assign_lane(lg, LANE_RULES, LANE_MODE).select("event_id", "lane")
 
 
 def q_timeline_points(spark, sf):
-    pts = events.timeline_points(_logs(spark, sf), TL, keep=("event_id",))
+    pts = events.timeline_points(_logs(spark, sf), ("event_id",), lane_rules=LANE_RULES, lane_mode=LANE_MODE)
     return pts.select("event_id", _fmt("ts"), "lane", "event_type", "event_display", "level", "msg")
 
 
 def q_event_density(spark, sf):
-    d = events.event_density(_classified(spark, sf), TL.bucket_minutes, TL.hot_share)
+    d = events.event_density(_classified(spark, sf), BUCKET_MINUTES, HOT_SHARE)
     return d.select(_fmt("bucket"), "events", "errors", "hot")
 
 
 def q_anomaly_buckets(spark, sf):
-    b = events.anomaly_buckets(_classified(spark, sf), TL.anomaly_window_minutes, TL.anomaly_error_threshold)
+    b = events.anomaly_buckets(_classified(spark, sf), ANOMALY_MINUTES, ANOMALY_SHARE)
     return b.select(_fmt("bucket"), "total", "errors", F.bround("rate", 6).alias("rate"))
 
 
 def q_anomaly_windows(spark, sf):
-    w = events.anomaly_windows(_classified(spark, sf), TL.anomaly_window_minutes, TL.anomaly_error_threshold)
+    w = events.anomaly_windows(_classified(spark, sf), ANOMALY_MINUTES, ANOMALY_SHARE)
     return w.select(_fmt("start"), _fmt("end"), "label", "buckets")
 
 
@@ -456,30 +451,30 @@ def q_latency_summary(spark, sf):
 
 
 def q_rate_buckets(spark, sf):
-    r = correlate.rate_buckets(_logs(spark, sf), CORR.bucket_minutes)
+    r = correlate.rate_buckets(_logs(spark, sf), BUCKET_MINUTES)
     return r.select("source", _fmt("bucket"), "events")
 
 
 def q_rate_correlation(spark, sf):
-    return correlate.rate_correlation(_logs(spark, sf), CORR.bucket_minutes)
+    return correlate.rate_correlation(_logs(spark, sf), BUCKET_MINUTES)
 
 
 def q_error_cascades(spark, sf):
-    return correlate.error_cascades(_logs(spark, sf), CORR).drop("trigger_pct")
+    return correlate.error_cascades(_logs(spark, sf), CASCADE_SEC).drop("trigger_pct")
 
 
 def q_cascade_matrix(spark, sf):
-    return correlate.cascade_matrix(correlate.error_cascades(_logs(spark, sf), CORR))
+    return correlate.cascade_matrix(correlate.error_cascades(_logs(spark, sf), CASCADE_SEC))
 
 
 def q_shared_ids(spark, sf):
-    return correlate.shared_ids(_logs(spark, sf), CORR).select(
+    return correlate.shared_ids(_logs(spark, sf)).select(
         "id", "sources", "n_sources", "n_occurrences", "first_seen", "last_seen", "span_s"
     )
 
 
 def q_track_id(spark, sf):
-    t = correlate.track_id(_logs(spark, sf), TRACKED_ID, CORR, snippet=100)
+    t = correlate.track_id(_logs(spark, sf), TRACKED_ID, snippet=100)
     return t.select("source", _fmt("ts"), "msg", "snippet")
 
 

@@ -6,6 +6,7 @@ All three take one log table with a ``source`` column (not a dict of tables).
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,8 @@ def error_instants(df: DataFrame, **time_kw) -> DataFrame:
 
 def error_cascades(
     df: DataFrame,
-    cfg: C.CorrelationConfig | None = None,
+    window_sec: int = 60,
+    min_cascades: int = 2,
     digits: int | None = 2,
     **time_kw,
 ) -> DataFrame:
@@ -112,8 +114,7 @@ def error_cascades(
     the lags of each pair with their numbers, from which the exact median,
     the mean and the least lag are taken.
     """
-    cfg = cfg or C.CorrelationConfig()
-    W = int(cfg.cascade_window_sec) * 1_000_000
+    W = int(window_sec) * 1_000_000
     e = materialize(error_instants(df, **time_kw))
     totals = e.groupBy(F.col("source").alias("source_a")).agg(F.sum("n").alias("errors_a"))
     lags = lag_counts(e, W).groupBy("source_a", "source_b", "lag").agg(F.sum("w").alias("w"))
@@ -125,7 +126,7 @@ def error_cascades(
             (F.sum(F.col("lag_s") * F.col("w")) / F.sum("w")).alias("mean_lag_s"),
             F.min("lag_s").alias("min_lag_s"),
         )
-        .where(F.col("cascades") >= F.lit(int(cfg.min_cascade_count)))
+        .where(F.col("cascades") >= F.lit(int(min_cascades)))
         .join(totals, "source_a")
         # exact weighted median; bounded partitions (see plans/quantiles.py)
         .join(exact_percentiles(lags, ["source_a", "source_b"], "lag_s", [0.5], weight="w", distinct_values=True)
@@ -158,33 +159,31 @@ def cascade_matrix(cascades: DataFrame) -> DataFrame:
 
 # ── 3. identifiers shared across sources ───────────────────────────────────
 
-def id_pattern(cfg: C.CorrelationConfig) -> str:
-    if not cfg.id_patterns:
+def id_pattern(patterns: Sequence[str]) -> str:
+    if not patterns:
         raise ValueError("no id patterns")
-    joined = "|".join(cfg.id_patterns)
+    joined = "|".join(patterns)
     re.compile(joined)  # an invalid pattern raises, as it should
     return jre(joined)
 
 
-def id_occurrences(df: DataFrame, cfg: C.CorrelationConfig | None = None, **time_kw) -> DataFrame:
+def id_occurrences(df: DataFrame, patterns: Sequence[str] = C.DEFAULT_ID_PATTERNS, **time_kw) -> DataFrame:
     """One row per identifier occurrence in a timed row: (id, source, ts)."""
-    cfg = cfg or C.CorrelationConfig()
     timed = with_event_time(df, **time_kw)
     return timed.select(
-        F.explode(F.regexp_extract_all(F.coalesce(F.col("msg"), F.lit("")), F.lit(id_pattern(cfg)), 0)).alias("id"),
+        F.explode(F.regexp_extract_all(F.coalesce(F.col("msg"), F.lit("")), F.lit(id_pattern(patterns)), 0)).alias("id"),
         "source",
         "ts",
     )
 
 
-def shared_ids(df: DataFrame, cfg: C.CorrelationConfig | None = None, top: int | None = None, **time_kw) -> DataFrame:
+def shared_ids(df: DataFrame, patterns: Sequence[str] = C.DEFAULT_ID_PATTERNS, top: int | None = None, **time_kw) -> DataFrame:
     """All identifiers seen in ≥2 sources; ``top`` keeps the first ones of a report.
 
     The report's order is most sources, then most occurrences, then the id. Occurrences are pre-aggregated per (id, source) before the per-id step, so
     a hot identifier costs one row per source there.
     """
-    cfg = cfg or C.CorrelationConfig()
-    occ = id_occurrences(df, cfg, **time_kw)
+    occ = id_occurrences(df, patterns, **time_kw)
     per = occ.groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     g = (
         per.groupBy("id")
@@ -213,14 +212,13 @@ def shared_ids(df: DataFrame, cfg: C.CorrelationConfig | None = None, top: int |
     return out
 
 
-def track_id(df: DataFrame, id_value: str, cfg: C.CorrelationConfig | None = None, snippet: int | None = None, **time_kw) -> DataFrame:
+def track_id(df: DataFrame, id_value: str, patterns: Sequence[str] = C.DEFAULT_ID_PATTERNS, snippet: int | None = None, **time_kw) -> DataFrame:
     """Timed rows that carry any identifier and contain ``id_value``: (source, ts, msg).
 
     ``snippet`` adds the first so many characters of ``msg`` for a list.
     """
-    cfg = cfg or C.CorrelationConfig()
     timed = with_event_time(df, **time_kw)
     msg = F.coalesce(F.col("msg"), F.lit(""))
     extra = [F.left(msg, F.lit(snippet)).alias("snippet")] if snippet else []
     # the cheap search first
-    return timed.where(msg.contains(id_value) & msg.rlike(id_pattern(cfg))).select("source", "ts", msg.alias("msg"), *extra)
+    return timed.where(msg.contains(id_value) & msg.rlike(id_pattern(patterns))).select("source", "ts", msg.alias("msg"), *extra)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,19 +164,20 @@ def assign_lane(
 
 def classified_timeline(
     df: DataFrame,
-    cfg: C.TimelineConfig | None = None,
+    event_types: Sequence[C.EventType] = (),
+    lane_rules: Sequence[C.LaneRule] = (),
+    lane_mode: str = "service",
     **time_kw,
 ) -> DataFrame:
     """Timed rows with lane and event class: the frame every timeline table reads. Every row is in it."""
-    cfg = cfg or C.TimelineConfig()
     timed = with_event_time(df, **time_kw)
-    laned = assign_lane(timed, cfg.lane_rules, cfg.lane_mode)
-    return classify_event(laned, cfg.custom_event_types)
+    laned = assign_lane(timed, list(lane_rules), lane_mode)
+    return classify_event(laned, list(event_types))
 
 
-def timeline_points(df: DataFrame, cfg: C.TimelineConfig | None = None, keep: tuple[str, ...] = (), **time_kw) -> DataFrame:
+def timeline_points(df: DataFrame, keep: tuple[str, ...] = (), **timeline_kw) -> DataFrame:
     """One point per timed row: the ``keep`` columns, ts, lane, event_type, event_display, level, msg."""
-    return classified_timeline(df, cfg, **time_kw).select(*keep, "ts", "lane", "event_type", "event_display", "level", "msg")
+    return classified_timeline(df, **timeline_kw).select(*keep, "ts", "lane", "event_type", "event_display", "level", "msg")
 
 
 def downsample_every(df: DataFrame, step: int, order_cols: list[str]) -> DataFrame:

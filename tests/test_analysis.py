@@ -83,8 +83,7 @@ def _cascades_twin(rows, window, min_count):
 @pytest.mark.parametrize("seed,window", [(1, 60), (2, 600), (3, 5), (4, 61), (5, 300)])
 def test_error_cascades_twin(spark, seed, window):
     rows = _random_logs(seed)
-    cfg = C.CorrelationConfig(cascade_window_sec=window, min_cascade_count=2)
-    got = correlate.error_cascades(_df(spark, rows), cfg, digits=None).collect()
+    got = correlate.error_cascades(_df(spark, rows), window, 2, digits=None).collect()
     got = {(r["source_a"], r["source_b"]): (r["cascades"], r["errors_a"], round(r["mean_lag_s"], 6),
                                             round(r["median_lag_s"], 6), round(r["min_lag_s"], 6)) for r in got}
     assert got == _cascades_twin(rows, window, 2)
@@ -131,8 +130,7 @@ def test_shared_ids_twin(spark):
 def test_timeline_density_anomalies_downsample(spark):
     rows = _random_logs(5, n=2000)
     df = _df(spark, rows)
-    cfg = C.TimelineConfig(bucket_minutes=30, anomaly_window_minutes=10, anomaly_error_threshold=0.5)
-    cl = events.classified_timeline(df, cfg)
+    cl = events.classified_timeline(df)
     assert cl.count() == len(rows) - 1  # the unparsable time is dropped, 1970 is kept
     dens = {r["bucket"]: (r["events"], r["errors"]) for r in events.event_density(cl, 30).collect()}
     assert sum(v[0] for v in dens.values()) == len(rows) - 1
@@ -251,8 +249,7 @@ def test_latency_approx_and_report(spark):
 
 def test_cascade_matrix_and_nodes(spark):
     rows = _random_logs(2)
-    cfg = C.CorrelationConfig(cascade_window_sec=600, min_cascade_count=2)
-    casc = correlate.error_cascades(_df(spark, rows), cfg)
+    casc = correlate.error_cascades(_df(spark, rows), 600)
     m = {(r["source_a"], r["source_b"]): r["cascades"] for r in correlate.cascade_matrix(casc).collect()}
     got = {(r["source_a"], r["source_b"]): r["cascades"] for r in casc.collect()}
     names = {a for a, _ in got} | {b for _, b in got}
@@ -275,7 +272,7 @@ def test_degenerate_sources(spark):
     assert math.isnan(r[("a", "a")]) and math.isnan(r[("a", "b")]) and r[("b", "b")] == 1.0
     one = df.where(F.col("source") == "b")
     assert correlate.rate_correlation(one, 60).count() == 0
-    assert correlate.error_cascades(one, C.CorrelationConfig(cascade_window_sec=600)).count() == 0
+    assert correlate.error_cascades(one, 600).count() == 0
     assert correlate.shared_ids(one).count() == 0
 
 
