@@ -5,9 +5,10 @@ words also start earlier (smaller doc_id, or earlier in the same document) is
 removed. Windows are judged on the input.
 
 Phrases are the windows' anchors (see ``repeats``). Those that recur anywhere
-are confirmed by counting; each shard of documents compiles the phrases that
-recur in it into an Aho-Corasick automaton and streams its texts through it,
-which locates every occurrence by its words, not by a hash. The units around
+are confirmed by counting their hashes; each shard of documents compiles the
+confirmed phrases it holds, as words, into an Aho-Corasick automaton and
+streams all its texts through it. The automaton's hits alone say where
+phrases stand; a phrase that only shares a confirmed one's hash is not found. The units around
 located phrases (their windows by hash within their anchor) then meet across
 shards: equal units by one combining aggregate, windows of differing units of
 one anchor by another.
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, join_on, span_hashes, stage
-from .repeats import Level, Runs, blocks, by_shard, digested, identified, member, open_units, recurring_anchors, shard_facts, words_level
+from .common import discard, join_on, span_hashes, stage
+from .repeats import Level, blocks, by_shard, digested, identified, member, recurring_anchors, shard_batches, shard_facts, uncovered, with_facts, words_level
 
+SALTS = 16
 _UNITS = "anchor long, unit long, key long, tie long, start long, n int, windows array<long>"
 _EMPTY = pa.table({
     "anchor": pa.array([], pa.int64()), "unit": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()),
@@ -62,46 +64,62 @@ def spaced(text: bytes) -> tuple[str, np.ndarray]:
     return f" {b' '.join(words).decode('latin-1')} ", np.concatenate([[1], 1 + np.cumsum(size)])
 
 
+def phrase_list(level: Level, docs: pa.Table, recurring: np.ndarray) -> list[str]:
+    """The words of each confirmed phrase, from its first place in the shard's texts (one per hash)."""
+    out, missing = [], recurring
+    for batch in shard_batches(docs, level):
+        r, _, _ = level.runs(batch.column("text"))
+        some = np.flatnonzero(member(missing, r.anchor))
+        if not len(some):
+            continue
+        hashes, first = np.unique(r.anchor[some], return_index=True)
+        first = some[first]
+        for d in np.unique(r.doc[first]).tolist():
+            text, at = spaced(batch.column("text")[d].as_py().encode())
+            place = r.place[first[r.doc[first] == d]]
+            out += [text[x - 1 : y] for x, y in zip(at[place].tolist(), at[place + level.gram].tolist())]
+        missing = np.setdiff1d(missing, hashes, assume_unique=True)
+    return out
+
+
 def _located(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
-    """The units around located recurring phrases, in first copies of blocks of one shard's documents."""
-    recurring, covered = shard_facts(facts)
-    if not docs.num_rows or not len(recurring):
+    """The uncovered units whose anchors the automaton finds in one shard's texts; its hits alone decide."""
+    confirmed, covered = shard_facts(facts)
+    out = [_EMPTY]
+    if not docs.num_rows or not len(confirmed):
         return _EMPTY
-    none, automaton, found = np.zeros((0, 2), np.int64), PhraseAutomaton(), []
-    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", level.batch):
+    automaton = PhraseAutomaton()
+    for phrase in phrase_list(level, docs, confirmed):
+        automaton.add(phrase)
+    automaton.compile()
+    for batch in shard_batches(docs, level):
         r, bounds, words = level.runs(batch.column("text"))
+        keep = uncovered(r, batch, covered, level.window)
         keys, ties = batch.column("key").to_pylist(), batch.column("tie").to_pylist()
-        known = member(recurring, r.anchor)
         cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
         for d in range(batch.num_rows):
-            lo, hi = cut[d], cut[d + 1]
-            mine = Runs(*(x[lo:hi] for x in (r.doc, r.start, r.n, r.place, r.anchor, r.block)))
-            keep = open_units(mine, covered.get((keys[d], ties[d]), none), known[lo:hi], level.window)
-            if not keep.any():
+            open_ = cut[d] + np.flatnonzero(keep[cut[d] : cut[d + 1]])
+            if not len(open_):
                 continue
             text, at = spaced(batch.column("text")[d].as_py().encode())
-            place = mine.place[keep]
-            for a, b in zip(at[place].tolist(), at[place + level.gram].tolist()):
-                automaton.add(text[a - 1 : b])
-            found.append((keys[d], ties[d], text, at, words[bounds[d] : bounds[d + 1]], Runs(*(x[keep] for x in vars(mine).values()))))
-    automaton.compile()
-    out = []
-    for key, tie, text, at, words, r in found:
-        seen = np.searchsorted(at, automaton.starts(text))
-        hit = member(seen, r.place)
-        start, n, place, anchor = r.start[hit], r.n[hit], r.place[hit], r.anchor[hit]
-        # windows by their words and their offset to the anchor
-        which = np.repeat(np.arange(len(start)), n)
-        s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[which]
-        win = span_hashes(words, s, s + level.window) + (place[which] - s).astype(np.uint64)
-        unit = span_hashes(words, start, start + n - 1 + level.window) + (place - start).astype(np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(win.view(np.int64)))
-        m = len(start)
-        out.append(pa.table({
-            "anchor": anchor.view(np.int64), "unit": unit.view(np.int64), "key": np.full(m, key, np.int64), "tie": np.full(m, tie, np.int64),
-            "start": start.astype(np.int64), "n": n.astype(np.int32), "windows": lists,
-        }))
-    return pa.concat_tables([t for t in out if t.num_rows] or [_EMPTY])
+            seen = np.unique(np.searchsorted(at, automaton.starts(text)))
+            mine = open_[member(seen, r.place[open_])]
+            if not len(mine):
+                continue
+            w = words[bounds[d] : bounds[d + 1]]
+            start, n, place, anchor = r.start[mine], r.n[mine], r.place[mine], r.anchor[mine]
+            # windows by their words and their offset to the anchor
+            which = np.repeat(np.arange(len(start)), n)
+            s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[which]
+            win = span_hashes(w, s, s + level.window) + (place[which] - s).astype(np.uint64)
+            unit = span_hashes(w, start, start + n - 1 + level.window) + (place - start).astype(np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(win.view(np.int64)))
+            m = len(start)
+            out.append(pa.table({
+                "anchor": anchor.view(np.int64), "unit": unit.view(np.int64), "key": np.full(m, keys[d], np.int64), "tie": np.full(m, ties[d], np.int64),
+                "start": start.astype(np.int64), "n": n.astype(np.int32), "windows": lists,
+            }))
+    return pa.concat_tables(out)
 
 
 def covered_words(docs: DataFrame, shards: int, buckets: int, level: Level) -> DataFrame:
@@ -112,13 +130,12 @@ def covered_words(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     copies = join_on(all_blocks, firsts, ["b0", "b1"]).filter(place != F.col("first"))
     copies = stage(copies.select("key", "tie", "start", "end"), "copies", free=True)
     discard(all_blocks)
-    anchors = stage(recurring_anchors(docs, level, buckets), "anchors", free=True)
+    anchors = stage(recurring_anchors(docs, copies, level, shards, buckets), "anchors", free=True)
 
     def located(left: pa.Table, right: pa.Table) -> pa.Table:
         return _located(level, left, right)
 
-    facts = by_shard(docs, anchors, copies, shards)
-    units = docs.select("shard", "key", "tie", "text").groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(located, _UNITS)
+    units = with_facts(docs, by_shard(anchors, copies, shards), shards).applyInArrow(located, _UNITS)
     units = stage(units, "units", free=True)
     discard(anchors)
     # equal units: all but the first are covered
@@ -127,8 +144,11 @@ def covered_words(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     later = join_on(units.drop("windows"), again, ["anchor", "unit"]).filter(place != F.col("first"))
     later = later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end"))
     # first units of anchors that have several different ones: window by window
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    open_ = join_on(units, firsts.drop("c"), ["anchor", "unit"]).filter(place == F.col("first")).join(several, "anchor", "left_semi")
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
+    # a common anchor has many different units: it is dealt over SALTS keys
+    several = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = firsts.drop("c").withColumn("salt", F.pmod("unit", F.lit(SALTS)).cast("int")).join(several, ["anchor", "salt"], "left_semi")
+    open_ = join_on(units, salted.drop("salt"), ["anchor", "unit"]).filter(place == F.col("first"))
     wins = open_.select("anchor", "key", "tie", F.col("start").alias("at"), F.posexplode("windows").alias("i", "window"))
     wins = stage(wins.select("anchor", "window", "key", "tie", (F.col("at") + F.col("i")).alias("start")), "windows", free=True)
     early = wins.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")

@@ -10,8 +10,9 @@ the same window also starts earlier. Exact answers need no row per window:
   a *block* (about 16 units of words, 8 of bytes);
 * equal blocks are found by a 128-bit hash, with one combining aggregate:
   all later copies of a block are covered as a whole;
-* anchors are counted over all documents, as packed arrays per shard of
-  documents and bucket of hashes; a window can only recur if its anchor does;
+* anchors outside covered blocks are counted over all documents, as packed
+  arrays per shard of documents and bucket of hashes; a window can only recur
+  if its anchor does;
 * only units of recurring anchors in first copies of blocks remain.
 
 Nothing is grouped by an anchor or a passage in one task: counting combines
@@ -33,7 +34,6 @@ from .common import batches, joined, mix64, shards_for, sliding_argmin, span_has
 
 SHARD_BYTES = 8 << 20  # text per shard of documents
 BUCKET_BYTES = 16 << 20  # text per bucket of anchor hashes
-HELD_ANCHORS = 1 << 20  # anchors a task holds before it sends them
 NO_ID = (1 << 63) - 1  # a null doc_id comes last
 
 
@@ -153,37 +153,25 @@ def blocks(docs: DataFrame, level: Level) -> DataFrame:
 
 
 # ── anchors ────────────────────────────────────────────────────────────────
-def recurring_anchors(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
-    """(shard, anchors binary): sorted hashes of the shard's anchors that stand in two places or more."""
-
-    def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for shard, parts in held.items():
-                u, c = np.unique(np.concatenate(parts), return_counts=True)
-                h = np.concatenate([u, u[c > 1]])  # twice: it recurs here
-                at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(at, kind="stable")
-                h, cut = h[order], np.searchsorted(at[order], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cut))
-                blobs = [h[cut[b] : cut[b + 1]].tobytes() for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "shard", "h"])
+def recurring_anchors(docs: DataFrame, covers: DataFrame, level: Level, shards: int, buckets: int) -> DataFrame:
+    """(shard, anchors binary): sorted hashes of the shard's anchors that stand in two places or more outside covered blocks."""
 
-        for batch in batches(rows, "text", level.batch):
+    def packed(texts: pa.Table, facts: pa.Table) -> pa.Table:
+        _, covered = shard_facts(facts)
+        held = [np.zeros(0, np.uint64)]
+        for batch in shard_batches(texts, level):
             r, _, _ = level.runs(batch.column("text"))
-            shard = batch.column("shard").to_numpy()[r.doc]
-            for s in np.unique(shard):
-                mine = shard == s
-                h = r.anchor[mine] if level.within else _distinct(r.doc[mine], r.anchor[mine])
-                held.setdefault(int(s), []).append(h)
-                size += len(h)
-            if size > HELD_ANCHORS:
-                yield from flush()
-                held.clear()
-                size = 0
-        yield from flush()
+            keep = uncovered(r, batch, covered, level.window)
+            held.append(r.anchor[keep] if level.within else _distinct(r.doc[keep], r.anchor[keep]))
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        h = np.concatenate([u, u[c > 1]])  # twice: it recurs here
+        at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(at, kind="stable")
+        h, cut = h[order], np.searchsorted(at[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [h[cut[b] : cut[b + 1]].tobytes() for b in some]
+        shard = texts.column("shard")[0].as_py() if texts.num_rows else 0
+        return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([shard] * len(some), pa.int32()), "h": pa.array(blobs, pa.binary())})
 
     def found(table: pa.Table) -> pa.Table:
         cells = table.column("h").to_pylist()
@@ -196,8 +184,8 @@ def recurring_anchors(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
         out = [np.unique(h[e - n : e][hit[e - n : e]]).tobytes() for n, e in zip(sizes, ends)]
         return pa.table({"shard": table.column("shard").cast(pa.int32()), "anchors": pa.array(out, pa.binary())})
 
-    sent = docs.select("text", "shard").mapInArrow(packed, "bucket int, shard int, h binary")
-    return sent.groupBy("bucket").applyInArrow(found, "shard int, anchors binary").filter(F.length("anchors") > 0)
+    sent = with_facts(docs, by_shard(None, covers, shards), shards).applyInArrow(packed, "bucket int, shard int, h binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(found, "shard int, anchors binary").filter(F.length("anchors") > 0)
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -216,13 +204,15 @@ def member(of: np.ndarray, values: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
-def open_units(r: Runs, covered: np.ndarray, recurring: np.ndarray, window: int) -> np.ndarray:
-    """Which units of one text with a ``recurring`` anchor do not lie in a covered block."""
-    keep = recurring.copy()
-    if len(covered) and keep.any():
-        at = np.searchsorted(covered[:, 0], r.start, "right") - 1
-        inside = (at >= 0) & (r.start + r.n - 1 + window <= covered[np.maximum(at, 0), 1])
-        keep &= ~inside
+def uncovered(r: Runs, batch: pa.RecordBatch, covered: dict[tuple[int, int], np.ndarray], window: int) -> np.ndarray:
+    """Which units of a batch do not lie in a covered block."""
+    keep = np.ones(len(r.doc), bool)
+    cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
+    for d, name in enumerate(zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist())):
+        spans, lo, hi = covered.get(name), cut[d], cut[d + 1]
+        if spans is not None and lo < hi:
+            at = np.searchsorted(spans[:, 0], r.start[lo:hi], "right") - 1
+            keep[lo:hi] = (at < 0) | (r.start[lo:hi] + r.n[lo:hi] - 1 + window > spans[np.maximum(at, 0), 1])
     return keep
 
 
@@ -239,17 +229,29 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[last]], axis=1)
 
 
-def by_shard(docs: DataFrame, anchors: DataFrame, covers: DataFrame, shards: int) -> DataFrame:
-    """What each shard's task needs beside its documents: (shard, kind, key, tie, start, end, anchors)."""
+def by_shard(anchors: DataFrame | None, covers: DataFrame, shards: int) -> DataFrame:
+    """What each shard's task needs beside its documents: (shard, key, tie, start, end, anchors)."""
     nothing = F.lit(None).cast("binary")
     done = covers.select(
         F.pmod(F.xxhash64("key", "tie"), F.lit(shards)).cast("int").alias("shard"), "key", "tie", "start", "end", nothing.alias("anchors")
     )
+    if anchors is None:
+        return done
     zero = F.lit(None).cast("long")
     know = anchors.select("shard", zero.alias("key"), zero.alias("tie"), zero.alias("start"), zero.alias("end"), "anchors")
     return done.unionByName(know)
 
 
+def with_facts(docs: DataFrame, facts: DataFrame, shards: int):
+    """A shard's documents beside its facts; as many tasks as shards, so that a task's input does not grow."""
+    texts = docs.select("shard", "key", "tie", "text").repartition(shards, "shard")
+    return texts.groupBy("shard").cogroup(facts.repartition(shards, "shard").groupBy("shard"))
+
+
+def shard_batches(texts: pa.Table, level: Level) -> Iterator[pa.RecordBatch]:
+    return batches(texts.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", level.batch)
+
+
 def shard_facts(table: pa.Table) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]:
     """A shard's recurring anchors, and the covered blocks of its texts sorted by start."""
     blobs = [a for a in table.column("anchors").to_pylist() if a]
@@ -268,7 +270,7 @@ def digested(docs: DataFrame, covers: DataFrame, digest: Callable, schema: str)
     rows = docs.select("doc_id", "key", "tie", "text").join(per, ["key", "tie"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in batches(it, "text"):
             spans = [merge(np.array([a, b], np.int64).T if a else np.zeros((0, 2), np.int64)) for a, b in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
             yield digest(batch.column("doc_id"), batch.column("text"), spans)
 

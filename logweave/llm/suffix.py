@@ -3,13 +3,16 @@
 Every byte covered by a ``window``-byte string that also starts in a document
 with a smaller doc_id is removed. The corpus's recurring stretches are found
 by anchors (see ``repeats``): the anchor's q-gram is a suffix's initial
-bucket, and the shuffle deals the buckets out. In a task, the suffixes of the
-gathered stretches are sorted by bucket-pointer refinement: buckets of equal
-8-byte prefixes first, then every bucket is split by the bucket pointers of
+bucket, and the shuffle deals the buckets out in their order, a large one over several
+partitions. In a task, the suffixes of a chunk of
+stretches are sorted by bucket-pointer refinement: buckets of equal
+7-byte prefixes first, then every bucket is split by the bucket pointers of
 the suffixes that stand as many places later as its depth, so each pass
 reuses the pointers of the last one and doubles the depth, until buckets are
 strings of ``window`` bytes. Only suffixes in buckets of two or more are
-sorted again.
+sorted again. Where an anchor's stretches fill several chunks, the final
+buckets of its chunks are put together by a hash of their string, so no
+anchor is held in one task.
 """
 
 from __future__ import annotations
@@ -22,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, join_on, span_hashes, stage
-from .repeats import Level, Runs, blocks, by_shard, bytes_level, digested, identified, member, open_units, recurring_anchors, shard_facts
+from .common import discard, join_on, span_hashes, stage
+from .repeats import Level, blocks, by_shard, bytes_level, digested, identified, member, recurring_anchors, shard_batches, shard_facts, uncovered, with_facts
 
-HOT_UNITS = 20_000  # different stretches of one anchor beyond which they are dealt out by window
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 2 << 20  # stretches refined at once
 _UNITS = "anchor long, unit long, key long, tie long, start long, n int, body binary"
 _SCHEMA = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 
@@ -93,17 +95,13 @@ def earlier_windows(bodies: list[bytes], ids: np.ndarray, window: int) -> list[n
 def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     """Units of recurring anchors, with their bytes, in uncovered blocks of one shard's documents."""
     recurring, covered = shard_facts(facts)
-    out, none = [], np.zeros((0, 2), np.int64)
+    out = [_SCHEMA.empty_table()]
     if not docs.num_rows or not len(recurring):
-        return _SCHEMA.empty_table()
-    for batch in batches(docs.select(["key", "tie", "text"]).combine_chunks().to_batches(), "text", level.batch):
+        return out[0]
+    for batch in shard_batches(docs, level):
         r, bounds, data = level.runs(batch.column("text"))
+        keep = uncovered(r, batch, covered, level.window) & member(recurring, r.anchor)
         keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
-        cut = np.searchsorted(r.doc, np.arange(batch.num_rows + 1))
-        keep = member(recurring, r.anchor)
-        for d in range(batch.num_rows):
-            mine = Runs(*(x[cut[d] : cut[d + 1]] for x in vars(r).values()))
-            keep[cut[d] : cut[d + 1]] = open_units(mine, covered.get((int(keys[d]), int(ties[d])), none), keep[cut[d] : cut[d + 1]], level.window)
         doc, start, n, place = r.doc[keep], r.start[keep], r.n[keep], r.place[keep]
         lo = bounds[doc] + start
         hi = lo + n - 1 + level.window
@@ -117,28 +115,69 @@ def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+_HITS = "anchor long, unit long, first long, i int, h0 long, h1 long"
+
+
 def _refined(window: int):
-    """Rows (anchor, unit, key, body) sorted by anchor -> (anchor, unit, key, i): windows found under a smaller key."""
-    names = ["anchor", "unit", "first", "i"]
+    """Rows (anchor, unit, first, body) in range partitions sorted by (anchor, unit) -> windows of them.
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        hits = earlier_windows([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), window)
-        n = [len(h) for h in hits]
-        at = np.repeat(np.arange(len(rows)), n)
-        cols = [np.array([r[c] for r in rows], np.int64)[at] for c in (0, 1, 2)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(hits).astype(np.int32))], names)
+    An anchor's stretches are refined together. A window that also stands in
+    a stretch of a smaller document is a hit (no hash). An anchor that may go
+    on in another chunk (a partition's first and last, and one larger than a
+    chunk) also sends its other windows with their 128-bit hash, so that
+    its chunks can be put together.
+    """
+
+    def solve(rows: pa.Table, going_on: set[int]) -> pa.RecordBatch:
+        import xxhash
+
+        anchor = rows.column("anchor").to_numpy()
+        new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        size = np.diff(np.append(new, len(anchor)))
+        spans = np.isin(anchor, list(going_on))
+        some = np.flatnonzero((np.repeat(size, size) > 1) | spans)
+        rows, anchor, spans = rows.take(pa.array(some)), anchor[some], spans[some]
+        unit, first, bodies = rows.column("unit").to_numpy(), rows.column("first").to_numpy(), rows.column("body").to_pylist()
+        hits = earlier_windows(bodies, first, window)
+        at = np.repeat(np.arange(len(bodies)), [len(h) for h in hits])
+        i = np.concatenate([np.zeros(0, np.int64), *hits])
+        open_at, open_i, digests = [], [], []
+        for k in np.flatnonzero(spans).tolist():
+            body, known = bodies[k], set(hits[k].tolist())
+            for j in range(len(body) - window + 1):
+                if j not in known:
+                    open_at.append(k)
+                    open_i.append(j)
+                    digests.append(xxhash.xxh3_128_digest(body[j : j + window]))
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        where = np.concatenate([at, np.array(open_at, np.int64)])
+        none = pa.nulls(len(at), pa.int64())
+        hashes = [pa.concat_arrays([none, pa.array(np.ascontiguousarray(both[:, c]))]) for c in (0, 1)]
+        columns = [pa.array(x[where]) for x in (anchor, unit, first)]
+        columns.append(pa.array(np.concatenate([i, np.array(open_i, np.int64)]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*columns, *hashes], ["anchor", "unit", "first", "i", "h0", "h1"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held: pa.Table | None = None
+        before: set[int] = set()  # anchors that began in an earlier chunk; the partition's first one may have
         for batch in it:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "unit", "key", "body"))):
-                if size >= CHUNK_BYTES and row[0] != last:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[3]), row[0]
-        if held:
-            yield solve(held)
+            if not batch.num_rows:
+                continue
+            if held is None and not before:
+                before = {batch.column("anchor")[0].as_py()}
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.nbytes < CHUNK_BYTES:
+                continue
+            anchor = held.column("anchor").to_numpy()
+            other = np.flatnonzero(anchor != anchor[-1])
+            cut = int(other[-1]) + 1 if len(other) else len(anchor)  # before the last anchor; inside it if it fills the chunk
+            whole = cut < len(anchor)
+            yield solve(held.slice(0, cut), before if whole else before | {int(anchor[-1])})
+            before = set() if whole else {int(anchor[-1])}
+            held = held.slice(cut) if whole else None
+        if held is not None and held.num_rows:
+            yield solve(held, before | {held.column("anchor")[-1].as_py()})
 
     return run
 
@@ -150,36 +189,31 @@ def covered_bytes(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     copies = join_on(all_blocks, firsts, ["b0", "b1"]).filter("key > first")
     copies = stage(copies.select("key", "tie", "start", "end"), "copies", free=True)
     discard(all_blocks)
-    anchors = stage(recurring_anchors(docs, level, buckets), "anchors", free=True)
+    anchors = stage(recurring_anchors(docs, copies, level, shards, buckets), "anchors", free=True)
 
     def stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         return _stretches(level, left, right)
 
-    facts = by_shard(docs, anchors, copies, shards)
-    units = docs.select("shard", "key", "tie", "text").groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(stretches, _UNITS)
+    units = with_facts(docs, by_shard(anchors, copies, shards), shards).applyInArrow(stretches, _UNITS)
     units = stage(units, "units", free=True)
     discard(anchors)
-    firsts = stage(units.groupBy("anchor", "unit").agg(F.min("key").alias("first"), F.max("key").alias("last")), "firsts", free=True)
+    # each different stretch once, with its smallest and largest document
+    least = F.min(F.struct("key", "body"))
+    firsts = units.groupBy("anchor", "unit").agg(least.alias("least"), F.max("key").alias("last"))
+    firsts = stage(firsts.select("anchor", "unit", F.col("least.key").alias("first"), "last", F.col("least.body").alias("body")), "firsts", free=True)
     # equal stretches: those of larger documents are covered
-    spread = firsts.filter("first < last").drop("last")
+    spread = firsts.filter("first < last").select("anchor", "unit", "first")
     later = join_on(units.drop("body"), spread, ["anchor", "unit"]).filter("key > first")
     later = stage(later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end")), "later", free=True)
-    # different stretches of one anchor, each once: refined window by window
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first").alias("x"), F.max("first").alias("y")).filter("c > 1 and x < y").select("anchor", "c")
-    open_ = units.select("anchor", "unit", "key", "body").join(several, "anchor")
-    once = stage(open_.groupBy("anchor", "unit").agg(F.min("key").alias("key"), F.first("body").alias("body"), F.first("c").alias("c")), "open", free=True)
+    # different stretches of one anchor, refined window by window; a hot anchor is spread over partitions
+    dealt = firsts.select("anchor", "unit", "first", "body").repartitionByRange(shards, "anchor", "unit").sortWithinPartitions("anchor", "unit")
+    hits = stage(dealt.mapInArrow(_refined(level.window), _HITS), "hits", free=True)
     discard(firsts)
-    cool = once.filter(F.col("c") <= HOT_UNITS).select("anchor", "unit", "key", "body")
-    cool = cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refined(level.window), "anchor long, unit long, first long, i int")
-    hot = once.filter(F.col("c") > HOT_UNITS)
-    last = F.length("body") - level.window
-    hot = hot.select("anchor", "unit", F.col("key").alias("first"), "body", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    hot = hot.select("anchor", "unit", "first", "i", F.substring(F.col("body"), F.col("i") + 1, F.lit(level.window)).alias("w"))
-    least = hot.groupBy("anchor", "w").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
-    hot = join_on(hot, least, ["anchor", "w"]).filter("first > least").select("anchor", "unit", "first", "i")
-    found = cool.union(hot).groupBy("anchor", "unit", "first").agg(F.array_sort(F.collect_set("i")).alias("windows"))
-    found = stage(found, "found", free=True)
-    discard(once)
+    parts = hits.where("h0 is not null")
+    shared = parts.groupBy("h0", "h1").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
+    across = join_on(parts, shared, ["h0", "h1"]).filter("first > least")
+    names = ["anchor", "unit", "first", "i"]
+    found = hits.where("h0 is null").select(names).union(across.select(names)).groupBy("anchor", "unit", "first").agg(F.array_sort(F.collect_set("i")).alias("windows"))
     # the stretch's occurrences in its smallest document; larger ones are covered as a whole
     single = join_on(units.select("anchor", "unit", "key", "tie", "start"), found, ["anchor", "unit"]).filter("key = first")
     # neighbouring windows as one span: i minus its rank is the same along a run
@@ -188,7 +222,7 @@ def covered_bytes(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     single = single.select("key", "tie", (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y") + level.window).alias("end"))
     single = stage(single, "single", free=True)
     discard(units)
-    discard(found)
+    discard(hits)
     return copies.union(later).union(single)
 
 

@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logweave.llm import minhash, phrases, suffix
+from logweave.llm import minhash, phrases, repeats, suffix
 
 from .helpers import hard_rows, prose, table
 
@@ -178,14 +179,41 @@ def test_repeated_bytes_equal_brute_force(spark):
     assert _byte_rows(spark, rows) == _byte_truth(rows, 50)
 
 
-def test_hot_anchors_are_refined_by_window(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT_UNITS", 1)
+@pytest.mark.parametrize("chunk", [1, 400, 5000])
+def test_anchors_that_fill_several_chunks_are_put_together(spark, monkeypatch, chunk):
+    """Every anchor may go on in the next chunk or partition: its windows meet by their strings."""
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
     rng = random.Random(9)
-    rows = _passages(rng, "b", 40)
+    common = prose(rng, 14)
+    rows = _passages(rng, "b", 40) + [(5000 + i, f"{prose(rng, 3)} {common} {prose(rng, 3)}") for i in range(40)]
     assert _byte_rows(spark, rows) == _byte_truth(rows, 50)
     assert suffix.dedup(table(spark, []).limit(0)).collect() == []
 
 
+def test_the_automaton_decides_which_units_are_located(monkeypatch):
+    """Without its hits nothing is located; a phrase that only shares a confirmed hash is not."""
+
+    level = repeats.words_level(20)
+    rng = random.Random(2)
+    common = prose(rng, 40)
+    texts = [f"{prose(rng, 30)} {common}", f"{common} {prose(rng, 30)}"]
+    docs = pa.table({"shard": pa.array([0, 0], pa.int32()), "key": [1, 2], "tie": [0, 0], "text": texts})
+    r, _, _ = level.runs(pa.array(texts))
+    u, c = np.unique(r.anchor, return_counts=True)
+    facts = pa.table({"key": pa.array([None], pa.int64()), "tie": pa.array([None], pa.int64()), "start": pa.array([None], pa.int64()),
+                      "end": pa.array([None], pa.int64()), "anchors": pa.array([u[c > 1].tobytes()], pa.binary())})
+    found = phrases._located(level, docs, facts)
+    assert found.num_rows >= 4 and set(found.column("anchor").to_pylist()) == set(u[c > 1].view(np.int64).tolist())
+    with monkeypatch.context() as m:
+        m.setattr(phrases.PhraseAutomaton, "starts", lambda self, text: np.zeros(0, np.int64))
+        assert phrases._located(level, docs, facts).num_rows == 0
+    listed = phrases.phrase_list(level, docs, u[c > 1])
+    assert len(listed) == len(u[c > 1]) and all(x in f" {common} " for x in listed)
+    with monkeypatch.context() as m:
+        m.setattr(phrases, "phrase_list", lambda *a: listed[1:])
+        assert len(set(phrases._located(level, docs, facts).column("anchor").to_pylist())) == len(listed) - 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=120).map(lambda b: bytes(x % 3 for x in b)), st.integers(1, 40))
 def test_bucket_pointers_rank_prefixes(data, depth):
