@@ -262,7 +262,7 @@ def q_redact_custom_many(spark, sf):
 
 def q_shared_ids_top(spark, sf):
     """The report's first 300 identifiers, each with its place."""
-    top = correlate.shared_ids(_logs(spark, sf), top=300)
+    top = correlate.shared_ids(_logs(spark, sf), top=300, bloom_bits=1 << 20)
     place = F.row_number().over(Window.orderBy(F.col("n_sources").desc(), F.col("n_occurrences").desc(), "id"))  # of 300 rows
     return top.select("id", "n_sources", "n_occurrences", place.alias("place"))
 

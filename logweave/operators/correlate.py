@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import jre
 from ..plans.asof import lag_counts
+from ..plans.bloom import maybe_shared
 from ..plans.gram import pair_products
 from ..plans.quantiles import exact_percentiles
 from ..session import materialize
@@ -177,13 +178,19 @@ def id_occurrences(df: DataFrame, patterns: Sequence[str] = C.DEFAULT_ID_PATTERN
     )
 
 
-def shared_ids(df: DataFrame, patterns: Sequence[str] = C.DEFAULT_ID_PATTERNS, top: int | None = None, **time_kw) -> DataFrame:
+def shared_ids(df: DataFrame, patterns: Sequence[str] = C.DEFAULT_ID_PATTERNS, top: int | None = None, bloom_bits: int | None = None, **time_kw) -> DataFrame:
     """All identifiers seen in ≥2 sources; ``top`` keeps the first ones of a report.
 
-    The report's order is most sources, then most occurrences, then the id. Occurrences are pre-aggregated per (id, source) before the per-id step, so
-    a hot identifier costs one row per source there.
+    The report's order is most sources, then most occurrences, then the id.
+    Occurrences are pre-aggregated per (id, source) before the per-id step, so
+    a hot identifier costs one row per source there. ``bloom_bits`` adds a
+    Bloom filter per source in front (:mod:`logweave.plans.bloom`): where most
+    identifiers stand in one source, they never reach the shuffle; the text is
+    then read twice.
     """
     occ = id_occurrences(df, patterns, **time_kw)
+    if bloom_bits:
+        occ = maybe_shared(occ, "id", "source", bloom_bits)
     per = occ.groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     g = (
         per.groupBy("id")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from logweave.operators import persons
-from logweave.plans import asof, gram
+from logweave.plans import asof, bloom, gram
 
 
 def events(spark, rows):
@@ -110,3 +110,32 @@ def test_names_equal_brute_force(spark):
 def test_common_name_and_empty_name_table(spark):
     assert found(spark, ["x Ann y"] * 50, ["Ann"]) == [["Ann"]] * 50
     assert found(spark, ["x"], []) == [[]]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 17])
+def test_bloom_filters_lose_no_shared_item(spark, bits):
+    """Small filters let more through, a wide one nearly nothing else."""
+    rng = random.Random(3)
+    rows = [(f"id{rng.randrange(900)}", rng.choice("abc")) for _ in range(1200)] + [(None, "a"), ("x", None), ("x", "a")]
+    df = spark.createDataFrame(rows, "id string, source string").repartition(5)
+    groups = {}
+    for i, s in rows:
+        groups.setdefault(i, set()).add(s)
+    shared = {i for i, s in groups.items() if len(s) > 1}
+    kept = [tuple(r) for r in bloom.maybe_shared(df, "id", "source", bits).collect()]
+    assert sorted((r for r in rows if r[0] in shared), key=str) == sorted((r for r in kept if r[0] in shared), key=str)
+    others = {r[0] for r in kept} - shared
+    assert len(others) < 20 if bits > 64 else len(others) > 20
+    assert bloom.maybe_shared(df.limit(0), "id", "source", bits).count() == 0
+
+
+def test_shared_ids_with_and_without_filters(spark):
+    from logweave.operators import correlate
+
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(3)}", "2024-01-01 00:00:01", f"trace {1700000000000 + rng.randrange(300)} x {1800000000000 + i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "source string, time string, msg string")
+    plain = correlate.shared_ids(df).collect()
+    assert sorted(plain) == sorted(correlate.shared_ids(df, bloom_bits=1 << 16).collect()) and len(plain) > 50
+    top = correlate.shared_ids(df, top=10, bloom_bits=1 << 16).collect()
+    assert [r["id"] for r in top] == [r["id"] for r in sorted(plain, key=lambda r: (-r["n_sources"], -r["n_occurrences"], r["id"]))[:10]]
