@@ -115,7 +115,7 @@ def _stretches(level: Level, docs: pa.Table, facts: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-_HITS = "anchor long, unit long, first long, i int, h0 long, h1 long"
+_HITS = "anchor long, unit long, first long, x int, y int, h0 long, h1 long"
 
 
 def _refined(window: int):
@@ -139,23 +139,28 @@ def _refined(window: int):
         rows, anchor, spans = rows.take(pa.array(some)), anchor[some], spans[some]
         unit, first, bodies = rows.column("unit").to_numpy(), rows.column("first").to_numpy(), rows.column("body").to_pylist()
         hits = earlier_windows(bodies, first, window)
-        at = np.repeat(np.arange(len(bodies)), [len(h) for h in hits])
-        i = np.concatenate([np.zeros(0, np.int64), *hits])
+        runs: list[list[int]] = [[], [], []]  # stretch, first and last window of neighbouring hits
         open_at, open_i, digests = [], [], []
-        for k in np.flatnonzero(spans).tolist():
-            body, known = bodies[k], set(hits[k].tolist())
-            for j in range(len(body) - window + 1):
-                if j not in known:
-                    open_at.append(k)
-                    open_i.append(j)
-                    digests.append(xxhash.xxh3_128_digest(body[j : j + window]))
+        for k, h in enumerate(hits):
+            if len(h):
+                new = np.flatnonzero(np.append(True, np.diff(h) > 1))
+                runs[0] += [k] * len(new)
+                runs[1] += h[new].tolist()
+                runs[2] += h[np.append(new[1:], len(h)) - 1].tolist()
+            if spans[k]:
+                body, known = bodies[k], set(h.tolist())
+                for j in range(len(body) - window + 1):
+                    if j not in known:
+                        open_at.append(k)
+                        open_i.append(j)
+                        digests.append(xxhash.xxh3_128_digest(body[j : j + window]))
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        where = np.concatenate([at, np.array(open_at, np.int64)])
-        none = pa.nulls(len(at), pa.int64())
+        where = np.array(runs[0] + open_at, np.int64)
+        none = pa.nulls(len(runs[0]), pa.int64())
         hashes = [pa.concat_arrays([none, pa.array(np.ascontiguousarray(both[:, c]))]) for c in (0, 1)]
         columns = [pa.array(x[where]) for x in (anchor, unit, first)]
-        columns.append(pa.array(np.concatenate([i, np.array(open_i, np.int64)]).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([*columns, *hashes], ["anchor", "unit", "first", "i", "h0", "h1"])
+        columns += [pa.array(runs[c] + open_i, pa.int32()) for c in (1, 2)]
+        return pa.RecordBatch.from_arrays([*columns, *hashes], ["anchor", "unit", "first", "x", "y", "h0", "h1"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -201,29 +206,25 @@ def covered_bytes(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     least = F.min(F.struct("key", "body"))
     firsts = units.groupBy("anchor", "unit").agg(least.alias("least"), F.max("key").alias("last"))
     firsts = stage(firsts.select("anchor", "unit", F.col("least.key").alias("first"), "last", F.col("least.body").alias("body")), "firsts", free=True)
-    # equal stretches: those of larger documents are covered
-    spread = firsts.filter("first < last").select("anchor", "unit", "first")
-    later = join_on(units.drop("body"), spread, ["anchor", "unit"]).filter("key > first")
-    later = stage(later.select("key", "tie", "start", (F.col("start") + F.col("n") - 1 + level.window).alias("end")), "later", free=True)
     # different stretches of one anchor, refined window by window; a hot anchor is spread over partitions
     dealt = firsts.select("anchor", "unit", "first", "body").repartitionByRange(shards, "anchor", "unit").sortWithinPartitions("anchor", "unit")
     hits = stage(dealt.mapInArrow(_refined(level.window), _HITS), "hits", free=True)
-    discard(firsts)
     parts = hits.where("h0 is not null")
     shared = parts.groupBy("h0", "h1").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
     across = join_on(parts, shared, ["h0", "h1"]).filter("first > least")
-    names = ["anchor", "unit", "first", "i"]
-    found = hits.where("h0 is null").select(names).union(across.select(names)).groupBy("anchor", "unit", "first").agg(F.array_sort(F.collect_set("i")).alias("windows"))
-    # the stretch's occurrences in its smallest document; larger ones are covered as a whole
-    single = join_on(units.select("anchor", "unit", "key", "tie", "start"), found, ["anchor", "unit"]).filter("key = first")
-    # neighbouring windows as one span: i minus its rank is the same along a run
-    single = single.select("key", "tie", "start", F.posexplode("windows").alias("r", "i"))
-    single = single.groupBy("key", "tie", "start", (F.col("i") - F.col("r")).alias("g")).agg(F.min("i").alias("x"), F.max("i").alias("y"))
-    single = single.select("key", "tie", (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y") + level.window).alias("end"))
-    single = stage(single, "single", free=True)
+    # what is covered of a stretch: all of it in larger documents (no x), runs of windows in its smallest one
+    nothing = F.lit(None).cast("int")
+    whole = firsts.filter("first < last").select("anchor", "unit", "first", nothing.alias("x"), nothing.alias("y"))
+    names = ["anchor", "unit", "first", "x", "y"]
+    fates = whole.unionByName(hits.where("h0 is null").select(names)).unionByName(across.select(names))
+    found = join_on(units.drop("body"), fates, ["anchor", "unit"])
+    found = found.filter("(x is null and key > first) or (x is not null and key = first)")
+    start, end = F.col("start") + F.coalesce("x", F.lit(0)), F.col("start") + F.coalesce(F.col("y"), F.col("n") - 1) + level.window
+    found = stage(found.select("key", "tie", start.alias("start"), end.alias("end")), "found", free=True)
+    discard(firsts)
     discard(units)
     discard(hits)
-    return copies.union(later).union(single)
+    return copies.union(found)
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
