@@ -4,8 +4,7 @@ Texts are lower-cased; everything that is no letter counts as a word edge.
 The n-grams (1 to 3 code points) of a word with one edge on either side are
 hashed into ``buckets`` columns. Training counts them per language, summed by
 Spark over all training rows; the table of log-probabilities has
-``buckets + 1`` floats per language and goes to the executors with the
-function. Scoring adds up, for a whole batch of texts at once, the columns of
+``buckets + 1`` floats per language and is broadcast. Scoring adds up, for a whole batch of texts at once, the columns of
 the n-grams that occur (numpy gather and segment sums).
 """
 
@@ -142,11 +141,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     text under a model without labels. Null and repeated doc_ids and repeated
     rows are kept; extra columns are ignored.
     """
-    labels, logs = model
+    model_ = docs.sparkSession.sparkContext.broadcast(model)  # once per executor; 256 KiB a label, MAX_LABELS at most
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, "text"):
-            names, p = score(batch.column("text").to_pylist(), labels, logs)
+            names, p = score(batch.column("text").to_pylist(), *model_.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
