@@ -182,15 +182,32 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
+    changed = not label.isEmpty()
+    while changed:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = label.join(near, "node").select("node", "comp", F.least("comp", "m").alias("new"))
+        step = label.select("node", "comp").join(near, "node").select("node", "comp", F.least("comp", "m").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         nxt = stage(step.join(jump, "new", "left").select("node", F.col("comp").alias("was"), F.least("new", "far").alias("comp")), "labels")
-        changed = nxt.filter("comp != was").limit(1).count()
-        label = nxt.select("node", "comp")
-        if not changed:
-            return label
+        changed = not nxt.filter("comp != was").isEmpty()
+        discard(label)
+        label = nxt
+    discard(both)
+    return label
+
+
+def linked(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, comp) after further links: only the links between components are contracted."""
+    comp = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    ends = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    ends = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a != b")
+    merged = components(ends)
+    moved = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = label.select("node", "comp").join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = merged.select("node", "comp").join(label.select("node"), "node", "left_anti")
+    out = stage(old.unionByName(new), "labels")
+    discard(merged)
+    discard(label)
+    return out
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -260,21 +277,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = stage(owner.join(first, "doc_id").filter("a != node").select("a", F.col("node").alias("b")).distinct(), "links")
 
     label = components(links)
-    current = lambda m: m.select("key", "node", "degree").join(label, "node", "left").select("key", "node", "degree", F.coalesce("comp", "node").alias("comp"))
+    discard(links)
+    current = lambda m: m.select("key", "node", "degree").join(label.select("node", "comp"), "node", "left").select("key", "node", "degree", F.coalesce("comp", "node").alias("comp"))
     sizes = member.groupBy("key").agg(F.count("*").alias("c"))
     degree = member.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("degree"))
-    member = stage(member.join(degree, "node"), "buckets", free=True)
+    buckets, member = member, stage(member.join(degree, "node"), "buckets", free=True)
+    discard(buckets)
     spent = spark.createDataFrame([], "node long")
     for _ in range(STAR_ROUNDS):
-        member = stage(_mixed(current(member)), "buckets", free=True)
-        if not member.head(1):
+        buckets, member = member, stage(_mixed(current(member)), "buckets", free=True)
+        discard(buckets)
+        if member.isEmpty():
             break
         pairs, hubs = _hub_pairs(member, about, spent, percent)
+        hubs = stage(hubs, "hubs")
         spent = spent.union(hubs)
         sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
-        links = links.union(confirm(pairs, sets, percent))
-        discard(sets)
-        label = components(links)
+        links = confirm(pairs, sets, percent)
+        label = linked(label, links)
+        for used in (sets, pairs, links):
+            discard(used)
     # what hubs left open: classes of one bucket in different components, compared with each other;
     # of each pair at least one side stands outside the component of the bucket's hub
     rest = _mixed(current(member))
@@ -285,11 +307,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = outside.join(all_, (F.col("key") == F.col("key_")) & (F.col("comp") != F.col("comp_")) & once & _possible(percent))
     pairs = stage(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), "pairs", free=True)
     sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
-    links = links.union(confirm(pairs, sets, percent))
-    discard(sets)
-    label = components(links)
+    links = confirm(pairs, sets, percent)
+    label = linked(label, links)
+    for used in (sets, pairs, links, rest, member):
+        discard(used)
 
-    comp = classes.select("lo", "hi", "n_shingles", "node").join(label, "node", "left").select("lo", "hi", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    comp = classes.select("lo", "hi", "n_shingles", "node").join(label.select("node", "comp"), "node", "left").select("lo", "hi", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     out = join_on(signed.select("doc_id", "n_shingles", "lo", "hi"), comp, ["lo", "hi", "n_shingles"], "left")
     empty = F.col("n_shingles") == 0
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(empty, F.col("doc_id")).otherwise(F.col("comp")).cast("long").alias("component_id"))
