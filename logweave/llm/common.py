@@ -8,9 +8,7 @@ shuffle files above it.
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -55,19 +53,26 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own removal of an execution's shuffle files at its end
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    ``free`` asks the driver's JVM for a collection, after which Spark's
-    cleaner removes the shuffle files that only the written plan used.
+    ``free`` has Spark remove the shuffle files of this one execution when it
+    ends, instead of when the driver next collects garbage: the written table
+    stands for them. (Were a file still wanted, its stage would run again.)
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
     if free:
-        gc.collect()  # plans that Python still holds
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works beside
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
     return out

@@ -209,21 +209,25 @@ def covered_bytes(docs: DataFrame, shards: int, buckets: int, level: Level) -> D
     # different stretches of one anchor, refined window by window; a hot anchor is spread over partitions
     dealt = firsts.select("anchor", "unit", "first", "body").repartitionByRange(shards, "anchor", "unit").sortWithinPartitions("anchor", "unit")
     hits = stage(dealt.mapInArrow(_refined(level.window), _HITS), "hits", free=True)
+    # from here on no bytes: the stretches' places alone
+    spread = stage(firsts.filter("first < last").select("anchor", "unit", "first"), "spread", free=True)
+    discard(firsts)
+    places = stage(units.drop("body"), "places")
+    discard(units)
     parts = hits.where("h0 is not null")
     shared = parts.groupBy("h0", "h1").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").drop("most")
     across = join_on(parts, shared, ["h0", "h1"]).filter("first > least")
     # what is covered of a stretch: all of it in larger documents (no x), runs of windows in its smallest one
     nothing = F.lit(None).cast("int")
-    whole = firsts.filter("first < last").select("anchor", "unit", "first", nothing.alias("x"), nothing.alias("y"))
+    whole = spread.select("anchor", "unit", "first", nothing.alias("x"), nothing.alias("y"))
     names = ["anchor", "unit", "first", "x", "y"]
     fates = whole.unionByName(hits.where("h0 is null").select(names)).unionByName(across.select(names))
-    found = join_on(units.drop("body"), fates, ["anchor", "unit"])
+    found = join_on(places, fates, ["anchor", "unit"])
     found = found.filter("(x is null and key > first) or (x is not null and key = first)")
     start, end = F.col("start") + F.coalesce("x", F.lit(0)), F.col("start") + F.coalesce(F.col("y"), F.col("n") - 1) + level.window
     found = stage(found.select("key", "tie", start.alias("start"), end.alias("end")), "found", free=True)
-    discard(firsts)
-    discard(units)
-    discard(hits)
+    for used in (places, spread, hits):
+        discard(used)
     return copies.union(found)
 
 
