@@ -100,6 +100,15 @@ def test_whole_texts_and_parts_agree(tokenizers):
         assert [int(i) for g in groups for i in g[1].split(",")] == tokenizers[1].encode(text)
 
 
+def test_both_libraries_of_a_vocabulary_agree(tokenizers):
+    rng, pair = random.Random(9), align.Pair(A, B)
+    assert pair.quick is not None and pair.cut is align._CUT_LINES
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", "the", "Ünder", "9", "²", "'s", "--", "%", " ", "\n", "xq", "ÿ", "ing"]) for _ in range(rng.randrange(1, 40)))
+        assert pair.quick.encode_ordinary(text) == tokenizers[0].encode(text, add_special_tokens=False).ids
+    assert align._by_ranks(public.path("word_bpe_49k.json"), align._byte_letters()) is None
+
+
 def test_pointer_jumping_labels_the_common_cuts():
     rng = np.random.default_rng(4)
     for _ in range(200):
