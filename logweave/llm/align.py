@@ -45,11 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stage
+from .common import batches, shards_for, stage
 
 MEMORY = 1 << 18  # parts a worker remembers
 MEMORY_BYTES = 64 << 20  # and the bytes of their written groups
 BLOCK_BYTES = 4 << 20
+TASK_BYTES = 32 << 20  # links scored by a task
 SPACE_MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")  # a lone last space stays with its word
 _CUT_LINES = re.compile(r"(?<=\S)(?= [\s\S]|\n\S)")
@@ -357,13 +358,17 @@ def _score(docs: pa.Table, counts: pa.Table) -> pa.Table:
 
 def report(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per document: tokens, groups, links, links that are their B id's best, the sum of the links' counts, the digest."""
-    held = stage(_digests(docs, path_a, path_b), "links")
+    held = stage(_digests(docs, path_a, path_b), "links", free=True)
     sent = held.select("block", "links").where("length(links) > 0").mapInArrow(_block_pairs, "block long, pair long, n long")
-    need = stage(sent.groupBy("block", "pair").agg(F.sum("n").alias("n")), "pairs")
+    need = stage(sent.groupBy("block", "pair").agg(F.sum("n").alias("n")), "pairs", free=True)
     counts = need.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(0xFFFF))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
     known = counts.join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
     looked = need.select("block", "pair").join(known, "pair")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    return held.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(_score, schema)
+    # as many tasks as the links' bytes ask for, so that a task's input does not grow with the corpus
+    size = held.agg(F.sum(F.length("links"))).first()[0] or 0
+    tasks = shards_for(size, TASK_BYTES)
+    blocks = held.repartition(tasks, "block").groupBy("block")
+    return blocks.cogroup(looked.repartition(tasks, "block").groupBy("block")).applyInArrow(_score, schema)
