@@ -7,7 +7,9 @@ as keep a group near ``block`` instants; a task holds the events of one
 group of sources and, from this and the next window, those of another group,
 and searches each source's sorted instants for all events of the first at
 once. An event is copied once per group (mostly there is one), not once per
-source, and no row per (event, source) reaches a shuffle.
+source, and no row per (event, source) reaches a shuffle. A source with more
+instants than ``block`` in one window fills a group alone; its distinct
+microseconds bound it.
 """
 
 from __future__ import annotations
