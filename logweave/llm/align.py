@@ -50,6 +50,7 @@ from .common import batches, shards_for, stage
 MEMORY = 1 << 18  # parts a worker remembers
 MEMORY_BYTES = 64 << 20  # and the bytes of their written groups
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # text aligned at once: bounds what a worker holds beside its memory
 TASK_BYTES = 32 << 20  # links scored by a task
 SPACE_MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")  # a lone last space stays with its word
@@ -282,7 +283,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
-        for batch in batches(rows, "text", BLOCK_BYTES):
+        for batch in batches(rows, "text", SLICE_BYTES):
             lists: list[list[list[int]]] = [[], [], [], []]
             for parts in pair.align(batch.column("text").to_pylist()):
                 groups = b";".join([p[5] for p in parts or []]).decode()
@@ -305,7 +306,8 @@ def _digests(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair = _pair(path_a, path_b)
         for batch in batches(rows, "text", BLOCK_BYTES):
             numbers, sums, links = [], [], []
-            for parts in pair.align(batch.column("text").to_pylist()):
+            texts = (part.column("text").to_pylist() for part in batches(iter([batch]), "text", SLICE_BYTES))
+            for parts in chain.from_iterable(map(pair.align, texts)):
                 if parts is None:
                     numbers.append((0, 0, 0, 0))
                     sums.append("")
