@@ -283,7 +283,9 @@ def entity_counts(df: DataFrame, by: list[str] | str | None = "source", detected
     """Lines per entity (a line counts once per entity), per group, long form."""
     keys = [by] if isinstance(by, str) else list(by or [])
     return (
-        df.select(*keys, F.explode(detected_col).alias("entity"))
+        # the plain explode implies a filter, which is pushed below the redaction and runs it twice
+        df.select(*keys, F.explode_outer(detected_col).alias("entity"))
+        .where(F.col("entity").isNotNull())
         .groupBy(*keys, "entity")
         .agg(F.count(F.lit(1)).alias("lines"))
     )

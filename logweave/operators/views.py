@@ -44,7 +44,9 @@ def redacted_flag(detected_col: str = "detected") -> F.Column:
 def redacted_only(df: DataFrame, detected_col: str = "detected") -> DataFrame:
     """Rows with at least one redaction, raw text next to clean text."""
     cols = [c for c in ("time", "service", "source", "original_msg", "msg", "redacted_entities") if c in df.columns]
-    return df.where(redacted_flag(detected_col)).select(*cols)
+    # a plain filter would be pushed below the redaction, which then runs twice; one on a generated column is not
+    hit = F.explode_outer(F.when(redacted_flag(detected_col), F.array(F.lit(True)))).alias("__lw_hit")
+    return df.select(*cols, hit).where("__lw_hit").drop("__lw_hit")
 
 
 def preview_columns(df: DataFrame) -> DataFrame:
