@@ -2,7 +2,7 @@
 
 Usage: python tools/plan_report.py [sf_dir]   (default /root/testdata/sf0.01)
 For each query: columns read, pushed filters, shuffles, windows, join kinds,
-and a flag for any cartesian product, nested-loop join, Python UDF, cached
+and a flag for any cartesian product, nested-loop join, Python or Arrow function, cached
 scan or exchange to a single partition.
 """
 
@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from logweave import catalog  # noqa: E402
 from logweave.session import local_session  # noqa: E402
 
-BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "InMemoryTableScan", "SinglePartition")
+BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow", "InMemoryTableScan", "SinglePartition")
 
 
 def summarize(plan: str) -> dict:
@@ -40,7 +40,7 @@ def main() -> None:
         "# Physical plans of the registered queries",
         "",
         f"Generated by `tools/plan_report.py` at `{sf}` (AQE initial plans; materialized inputs show as scans of",
-        "checkpoint data). Flags list cartesian products, nested-loop joins, Python UDFs, cached scans and exchanges to one",
+        "checkpoint data). Flags list cartesian products, nested-loop joins, Python and Arrow functions, cached scans and exchanges to one",
         "partition (final rows of a global aggregate, or a window over one row per partition or part).",
         "",
         "| Query | Columns read | Pushed filters | Exchanges | Windows | Joins | Flags |",
