@@ -7,13 +7,15 @@ them, and where the two kinds of script meet. Names may have any length.
 
 Matching is one equi-join on the *whole* name. The name table gives the
 distinct lengths of its names, in words and in unspaced characters; a text
-offers its n-grams of just those lengths. Each n-gram that equals a name is a
-find, so there are no candidates to check, and the rows grow with the text
+offers its n-grams of just those lengths. A Bloom filter of the names
+(:func:`logweave.plans.bloom.maybe_among`, 16 MB at most) drops n-grams that
+are no name before they are shuffled; the join decides about the others, so
+each n-gram left that equals a name is a find, and the rows grow with the text
 alone, whatever names begin alike. Texts go through in pieces of ``CHUNK``
 words or characters that overlap by the longest name, so no row holds all
 n-grams of a long text. Names and n-grams are dealt over ``SALTS`` keys, so a
-name that stands in a third of all rows is no single key; Spark broadcasts
-the name table only below its size limit.
+name that stands in a third of all rows is no single key. The join is a
+shuffled one: the name table, salted at that, is never sent to the driver.
 
 The names found per row come back as ``array<string>`` for
 :func:`logweave.operators.redact.redact` (``persons_col``).
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bloom import maybe_among
+
 CHUNK = 512
 SALTS = 8
 
@@ -83,29 +87,28 @@ def person_names(
     ``key_cols`` must identify a row of ``df``.
     """
     nm = name_table(names, name_col)
-    lengths = nm.select("unspaced", "length").distinct().collect()  # one row per length of a name
+    lengths = nm.groupBy("unspaced", "length").count().collect()  # one row per length of a name
     by_kind = {k: sorted(r["length"] for r in lengths if r["unspaced"] is k) for k in (True, False)}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = [F.col(k).alias(f"__lw_k{i}") for i, k in enumerate(key_cols)]
-    held = [f"__lw_k{i}" for i in range(len(key_cols))]
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key_cols)])  # one column: null keys are equal, too
     offers = []
     if by_kind[False]:
         n = by_kind[False]
-        rows = df.select(*keys, _words(text).alias("all"))
-        rows = rows.select(*held, _pieces(F.col("all"), F.size("all"), F.slice, n[-1]).alias("piece"))
+        rows = df.select(key.alias("__lw_key"), _words(text).alias("all"))
+        rows = rows.select("__lw_key", _pieces(F.col("all"), F.size("all"), F.slice, n[-1]).alias("piece"))
         gram = lambda p, i, k: F.array_join(F.slice(p, i, k), " ")
-        offers.append(rows.select(*held, F.lit(False).alias("unspaced"), F.explode(_grams(F.col("piece"), F.size("piece"), gram, n)).alias("form")))
+        offers.append(rows.select("__lw_key", F.lit(False).alias("unspaced"), F.explode(_grams(F.col("piece"), F.size("piece"), gram, n)).alias("form")))
     if by_kind[True]:
         n = by_kind[True]
-        rows = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_RUN), 0))).alias("all"))
-        rows = rows.select(*held, _pieces(F.col("all"), F.length("all"), F.substring, n[-1]).alias("piece"))
-        offers.append(rows.select(*held, F.lit(True).alias("unspaced"), F.explode(_grams(F.col("piece"), F.length("piece"), F.substring, n)).alias("form")))
+        rows = df.select(key.alias("__lw_key"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_RUN), 0))).alias("all"))
+        rows = rows.select("__lw_key", _pieces(F.col("all"), F.length("all"), F.substring, n[-1]).alias("piece"))
+        offers.append(rows.select("__lw_key", F.lit(True).alias("unspaced"), F.explode(_grams(F.col("piece"), F.length("piece"), F.substring, n)).alias("form")))
     if not offers:
         return df.withColumn(out_col, F.array().cast("array<string>"))
     offered = offers[0] if len(offers) == 1 else offers[0].unionByName(offers[1])
-    offered = offered.withColumn("salt", F.pmod(F.xxhash64(*held), F.lit(SALTS)).cast("int"))
+    offered = maybe_among(offered, nm, ["unspaced", "form"], sum(r["count"] for r in lengths))
+    offered = offered.withColumn("salt", F.pmod(F.xxhash64("__lw_key"), F.lit(SALTS)).cast("int"))
     nm = nm.select("name", "form", "unspaced", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = offered.join(nm, ["unspaced", "form", "salt"]).groupBy(*held).agg(F.sort_array(F.collect_set("name")).alias("__lw_found"))
-    same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(key_cols, held)]
-    out = df.join(found, same, "left")
-    return out.withColumn(out_col, F.coalesce("__lw_found", F.array().cast("array<string>"))).drop("__lw_found", *held)
+    found = offered.join(nm, ["unspaced", "form", "salt"]).groupBy("__lw_key").agg(F.sort_array(F.collect_set("name")).alias("__lw_found"))
+    out = df.join(found, key == F.col("__lw_key"), "left")
+    return out.withColumn(out_col, F.coalesce("__lw_found", F.array().cast("array<string>"))).drop("__lw_found", "__lw_key")

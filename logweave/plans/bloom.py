@@ -8,6 +8,10 @@ bits have a fixed size (``bits / 8`` bytes in all, 8 MB by default): Spark
 broadcasts them below its limit, and drops the other items before their own
 shuffle. Beyond about ``bits`` items the filter lets ever more through, and
 the result stays right.
+
+:func:`maybe_among` asks the same of one table's keys in another: a filter of
+the other table's keys, sized by their number and at most ``MOST_PAGES`` pages,
+is broadcast, and rows whose key surely stands there nowhere are dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from ..session import ensure_checkpoint_dir, materialize, ship_package
 
 PAGE = 32_768  # bits of Spark's bitmap aggregate
 BITS = 1 << 26
+MOST_PAGES = 1 << 12  # of one table's keys: 16 MB in all
+KEY_BITS = 16  # per key, below that
+PROBES = 3  # bits a key sets, all in one page
 
 
 def _place(item: str, bits: int) -> tuple[Column, Column]:
@@ -58,3 +65,45 @@ def maybe_shared(df: DataFrame, item: str, group: str, bits: int = BITS) -> Data
     met = df.withColumn("__lw_page", page).withColumn("__lw_bit", bit).join(pages, "__lw_page")
     word = F.element_at("words", F.floor(F.col("__lw_bit") / 64).cast("int") + 1)
     return met.where(F.bit_get(word, F.col("__lw_bit") % 64) == 1).select(*df.columns)
+
+
+def _probes(keys: list[str], pages: int) -> tuple[Column, list[Column]]:
+    """A key's page and its bits there, from one hash: 15 bits each, the page from those above."""
+    h = F.xxhash64(*keys)
+    bits = [F.shiftrightunsigned(h, 15 * i).bitwiseAND(F.lit(PAGE - 1)).cast("int") for i in range(PROBES)]
+    return F.shiftrightunsigned(h, 15 * PROBES).bitwiseAND(F.lit(pages - 1)).cast("int"), bits
+
+
+def pages_for(count: int) -> int:
+    """A power of two, so many pages that each of ``count`` keys has ``KEY_BITS`` bits, ``MOST_PAGES`` at most."""
+    return min(MOST_PAGES, 1 << max(0, -(-count * KEY_BITS // PAGE) - 1).bit_length())
+
+
+def key_pages(df: DataFrame, keys: list[str], pages: int) -> DataFrame:
+    """(page, words): a filter of the keys of ``df``; every page has all its words."""
+    page, bits = _probes(keys, pages)
+    one = F.lit(1).cast("long")
+    held = df.select(page.alias("page"), F.explode(F.array(*bits)).alias("bit"))
+    held = held.select("page", F.shiftright("bit", 6).alias("word"), F.call_function("shiftleft", one, F.col("bit") % 64).alias("mask"))
+    width = PAGE // 64
+    empty = df.sparkSession.range(pages * width).select(
+        F.floor(F.col("id") / width).cast("int").alias("page"), (F.col("id") % width).cast("int").alias("word"), F.lit(0).cast("long").alias("mask")
+    )
+    words = held.unionByName(empty).groupBy("page", "word").agg(F.bit_or("mask").alias("mask"))
+    words = words.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("words"))
+    return words.select("page", F.transform("words", lambda w: w["mask"]).alias("words"))
+
+
+def maybe_among(df: DataFrame, others: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (no nulls) may stand in ``others``, which has about ``count`` different ones.
+
+    No row that stands there is lost. What is broadcast has at most
+    ``MOST_PAGES`` pages, whatever the sizes of the tables.
+    """
+    n = pages_for(count)
+    page, bits = _probes(keys, n)
+    pages = materialize(key_pages(others, keys, n))  # ready before the join runs: its broadcast waits for no other stage
+    met = df.withColumn("__lw_page", page).join(F.broadcast(pages.withColumnRenamed("page", "__lw_page")), "__lw_page")
+    for bit in bits:
+        met = met.where(F.bit_get(F.get("words", F.shiftright(bit, 6)), bit % 64) == 1)
+    return met.select(*df.columns)

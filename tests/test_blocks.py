@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.operators import persons
 from logweave.plans import asof, bloom, gram
@@ -139,3 +140,15 @@ def test_shared_ids_with_and_without_filters(spark):
     assert sorted(plain) == sorted(correlate.shared_ids(df, bloom_bits=1 << 16).collect()) and len(plain) > 50
     top = correlate.shared_ids(df, top=10, bloom_bits=1 << 16).collect()
     assert [r["id"] for r in top] == [r["id"] for r in sorted(plain, key=lambda r: (-r["n_sources"], -r["n_occurrences"], r["id"]))[:10]]
+
+
+@pytest.mark.parametrize("count", [1, 3000, 10**9])
+def test_key_filter_loses_no_key_and_is_bounded(spark, monkeypatch, count):
+    monkeypatch.setattr(bloom, "MOST_PAGES", 4)
+    keys = spark.range(0, 9000, 3).select((F.col("id") % 2 == 0).alias("kind"), F.col("id").cast("string").alias("form"))
+    df = spark.range(9000).select("id", (F.col("id") % 2 == 0).alias("kind"), F.col("id").cast("string").alias("form"))
+    kept = {r["id"] for r in bloom.maybe_among(df, keys, ["kind", "form"], count).collect()}
+    assert kept >= set(range(0, 9000, 3)) and bloom.pages_for(count) <= 4
+    if count > 1:  # sized for its keys: few others
+        assert len(kept) < 3200
+    assert bloom.maybe_among(df, keys.limit(0), ["kind", "form"], 0).count() == 0
