@@ -109,6 +109,7 @@ def person_names(
     offered = maybe_among(offered, nm, ["unspaced", "form"], sum(r["count"] for r in lengths))
     offered = offered.withColumn("salt", F.pmod(F.xxhash64("__lw_key"), F.lit(SALTS)).cast("int"))
     nm = nm.select("name", "form", "unspaced", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = offered.join(nm, ["unspaced", "form", "salt"]).groupBy("__lw_key").agg(F.sort_array(F.collect_set("name")).alias("__lw_found"))
+    # Spark's estimate of the name table counts neither the salts nor what Parquet saves
+    found = offered.join(nm.hint("merge"), ["unspaced", "form", "salt"]).groupBy("__lw_key").agg(F.sort_array(F.collect_set("name")).alias("__lw_found"))
     out = df.join(found, key == F.col("__lw_key"), "left")
     return out.withColumn(out_col, F.coalesce("__lw_found", F.array().cast("array<string>"))).drop("__lw_found", "__lw_key")

@@ -119,7 +119,8 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text that mentions customer names: (o_orderkey, c_name, text)."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
     c = table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
-    return o.join(c, o.o_custkey == c.c_custkey).select(
+    # shuffled: the customers grow with the orders, and Spark broadcasts them by their compressed size
+    return o.join(c.hint("merge"), o.o_custkey == c.c_custkey).select(
         "o_orderkey",
         "c_name",
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" placed by "), F.col("c_name"),

@@ -220,3 +220,46 @@ def test_texts_with_the_marker_take_the_other_path(spark):
         cfg = C.RedactionConfig("k", C.built_in_rules(kind), [C.Pattern("tel", r"tel")])
         (marked, d1), (plain, d2) = run(spark, [text, text.replace("\ue000", "#")], cfg)
         assert marked.replace("\ue000", "#") == plain and d1 == d2 and len(d1) == 5
+
+
+def _names_case(spark):
+    texts = spark.range(300).select(
+        F.when(F.col("id") % 50 < 49, F.col("id") % 290).alias("k"),
+        F.concat(F.lit("one two three four Nym"), (F.col("id") % 7).cast("string"), F.lit(" van der Berg, five six seven 操作员张三执行了删除 eight nine")).alias("text"),
+    )
+    names = spark.createDataFrame([(f"Nym{i} van der Berg",) for i in range(6)] + [("张三",), ("Nym0",), ("李四丰",), ("Nym6 van",)], "name string")
+    return texts, names
+
+
+def test_person_names_are_not_broadcast_and_other_grams_not_shuffled(spark, monkeypatch):
+    from logweave.operators import persons
+
+    texts, names = _names_case(spark)
+    sent, among = [], persons.maybe_among
+
+    def counted(df, *rest):
+        out = among(df, *rest)
+        sent.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(persons, "maybe_among", counted)
+    found = persons.person_names(texts, names, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "salt" in line]
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "salt" in line]
+    (offered, left), = sent
+    assert left < offered / 10
+
+
+def test_person_names_with_repeated_and_null_keys(spark):
+    from logweave.operators.persons import person_names
+
+    texts, names = _names_case(spark)
+    held = [r["name"] for r in names.collect()]
+    want: dict = {}
+    rows = texts.collect()
+    for r in rows:
+        want.setdefault(r["k"], set()).update(n for n in held if (n in r["text"] if n == "张三" else f" {n} " in r["text"].replace(",", " ")))
+    got = person_names(texts, names, ["k"]).collect()
+    assert len(got) == len(rows) and all(list(r["persons"]) == sorted(want[r["k"]]) for r in got)
+    assert want[None] and len({r["k"] for r in rows}) < len(rows)
