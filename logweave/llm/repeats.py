@@ -102,7 +102,7 @@ def _word_hashes(column: pa.Array, gram: int):
 
 
 def bytes_level(window: int = 50) -> Level:
-    return Level("bytes", window, 16, False, 1 << 20, 8, _byte_hashes)
+    return Level("bytes", window, 16, False, 1 << 18, 8, _byte_hashes)
 
 
 def words_level(window: int = 20) -> Level:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, join_on, span_hashes, stage
 from .repeats import Level, blocks, by_shard, bytes_level, digested, identified, member, recurring_anchors, shard_batches, shard_facts, uncovered, with_facts
 
-CHUNK_BYTES = 2 << 20  # stretches refined at once
+CHUNK_BYTES = 1 << 20  # stretches refined at once; a task holds about 150 bytes for each
 _UNITS = "anchor long, unit long, key long, tie long, start long, n int, body binary"
 _SCHEMA = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 

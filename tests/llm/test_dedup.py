@@ -233,3 +233,31 @@ def test_shingle_sets(texts, k):
         for j in range(i):
             same = set(h[offs[i] : offs[i + 1]].tolist()) & set(h[offs[j] : offs[j + 1]].tolist())
             assert len(same) == len(_shingles(texts[i], k) & _shingles(texts[j], k))
+
+
+def test_bytes_are_searched_and_refined_in_little_memory():
+    """Two tasks and a JVM share an executor: what one chunk and one batch take is bounded."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from logweave.llm import suffix
+    from logweave.llm.repeats import bytes_level
+
+    def peak(run) -> float:
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / 2**20
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 101, 1 << 20, np.uint8).tobytes()
+    bodies = [text[at % 40_000 : at % 40_000 + 64] for at in range(0, suffix.CHUNK_BYTES, 64)]
+    ids = np.arange(len(bodies), dtype=np.int64)
+    assert peak(lambda: suffix.earlier_windows(bodies, ids, 50)) < 220
+    level = bytes_level()
+    column = pa.array([text[: level.batch].decode()])
+    assert peak(lambda: level.runs(column)) < 40
